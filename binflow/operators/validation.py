@@ -82,11 +82,10 @@ def data_coverage(df: DataFrame) -> DataFrame:
     names = shown.agg(F.array_join(F.array_sort(F.collect_list("sample_id")), ", ").alias("_names"))
     extra = F.col("num_samples_analyzed") - SAMPLES_SHOWN
     rest = F.when(extra > 0, F.concat(F.lit(" ... and "), extra, F.lit(" more"))).otherwise("")
-    # Both sides are single-row aggregates.
-    return totals.join(F.broadcast(names)).select(
+    return totals.select(
         F.coalesce("num_rows_analyzed", F.lit(0)).alias("num_rows_analyzed"),
         "num_samples_analyzed",
-        F.concat("_names", rest).alias("samples"),
+        F.concat(names.scalar(), rest).alias("samples"),
     )
 
 
@@ -147,15 +146,17 @@ def blob_summary(metrics: DataFrame, task_rows: int = TASK_ROWS) -> DataFrame:
         F.count_if(iou < POOR_IOU).alias("poor_matches"),
     )
     medians = exact_quantiles(rows, ["_all"], ["iou", "dice"], [0.5], task_rows).select(
-        F.col("iou_q")[0].alias("median_iou"), F.col("dice_q")[0].alias("median_dice")
+        F.struct(F.col("iou_q")[0].alias("iou"), F.col("dice_q")[0].alias("dice"))
     )
 
     def percent(name: str) -> Column:
         return F.try_divide(100 * F.col(name), F.col("total_blobs")).alias(f"{name}_percent")
 
-    # Both sides are single-row aggregates.
-    return totals.join(F.broadcast(medians), how="left").select(
-        "*", *[percent(c) for c in ("perfect_matches", "near_perfect_matches", "poor_matches")]
+    return totals.select(
+        "*",
+        medians.scalar()["iou"].alias("median_iou"),
+        medians.scalar()["dice"].alias("median_dice"),
+        *[percent(c) for c in ("perfect_matches", "near_perfect_matches", "poor_matches")],
     )
 
 
