@@ -12,7 +12,7 @@ from binflow.bindings import duckdb_sql
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-_GROUPS = ("bins", "features", "validation", "scores", "forest")
+_GROUPS = ("bins", "features", "validation", "scores", "forest", "media", "runs", "detections", "inference", "provenance")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

@@ -13,7 +13,7 @@ from binflow.registry import query
 from binflow.registry.features import features_sql
 from binflow.registry.rounding import rounded
 from binflow.registry.scores import _STATS_SQL, DENSITY_SQL, PAIRED_SQL
-from binflow.session import scratch_path
+from binflow.session import materialize, scratch_path
 
 # Two small forests with known nodes: (tree, node, feature, threshold, size).
 FIXED_I = [
@@ -96,7 +96,7 @@ def full_evaluation_density(spark, sf):
 @query("train_forest")
 def train_forest(spark, sf):
     """Trains on all bins, keeps and reloads the model, scores and flags the bins."""
-    features = flow_features(load(spark, sf, "points"))
+    features = materialize(flow_features(load(spark, sf, "points")))
     model = ops.train_forest(features, ForestParams(trees=50, max_samples=64, seed=7))
     path = scratch_path(spark, "forest")
     model.save(path)
