@@ -136,7 +136,7 @@ def number_rows(
     Rows are range-partitioned by (group, order), so neither the whole table nor
     a huge group is sorted by one task. Numbers follow from the position inside
     a partition plus the rows of the group in earlier partitions. The sorted
-    rows are checkpointed first: the offsets and the rows must come from the
+    rows are written first: the offsets and the rows must come from the
     same partitioning even when tasks are retried.
     """
     within = within or []

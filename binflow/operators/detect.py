@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,17 +37,32 @@ def max_det(detections: DataFrame, n: int = 300, by: tuple[str, ...] = ("image_i
     return detections.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def _overlap(box: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Intersection over union of one box with many; 0 where both have no area."""
-    wide = np.minimum(box[2], others[:, 2]) - np.maximum(box[0], others[:, 0])
-    tall = np.minimum(box[3], others[:, 3]) - np.maximum(box[1], others[:, 1])
+def _overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection over union of boxes, broadcast as NumPy does; 0 where both have no area."""
+    wide = np.minimum(a[..., 2], b[..., 2]) - np.maximum(a[..., 0], b[..., 0])
+    tall = np.minimum(a[..., 3], b[..., 3]) - np.maximum(a[..., 1], b[..., 1])
     shared = np.maximum(wide, 0.0) * np.maximum(tall, 0.0)
-    area = (box[2] - box[0]) * (box[3] - box[1])
-    areas = (others[:, 2] - others[:, 0]) * (others[:, 3] - others[:, 1])
-    union = area + areas - shared
+    areas = [(box[..., 2] - box[..., 0]) * (box[..., 3] - box[..., 1]) for box in (a, b)]
+    union = areas[0] + areas[1] - shared
     return np.divide(shared, union, out=np.zeros_like(shared), where=union != 0)
 
 
+def _greedy(boxes: np.ndarray, iou: float, block: int = 512) -> np.ndarray:
+    """Mask of the kept boxes; ``boxes`` are in rank order.
+
+    Overlaps are taken block by block, so memory stays at block x boxes.
+    """
+    alive = np.ones(len(boxes), dtype=bool)
+    for start in range(0, len(boxes), block):
+        stop = min(start + block, len(boxes))
+        rows = start + np.flatnonzero(alive[start:stop])
+        meets = _overlap(boxes[rows, None], boxes[None, start:]) > iou
+        for row, hit in zip(rows, meets):
+            if alive[row]:
+                alive[row + 1 :] &= ~hit[row + 1 - start :]
+    return alive
+
+
 def _ranked(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values(["conf", "det_id"], ascending=[False, True], ignore_index=True)
 
@@ -68,21 +84,23 @@ def nms(
     keys = [*by] if agnostic else [*by, "class_id"]
     columns = detections.columns
 
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = _ranked(pdf)
-        boxes = pdf[BOX].to_numpy(dtype=float)
-        alive = np.ones(len(boxes), dtype=bool)
-        for i in range(len(boxes)):
-            if alive[i]:
-                alive[i + 1 :] &= _overlap(boxes[i], boxes[i + 1 :]) <= iou
-        return pdf[alive]
+    def keep(group: pa.Table) -> pa.Table:
+        conf, det_id = (group.column(c).to_numpy() for c in ("conf", "det_id"))
+        order = np.lexsort((det_id, -conf))
+        boxes = np.column_stack([group.column(c).to_numpy() for c in BOX])[order].astype(float)
+        return group.take(order[_greedy(boxes, iou)])
+
+    def per_group(df: DataFrame) -> DataFrame:
+        # A set number of partitions: the work is in Python, so small bytes must not mean one task.
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return df.repartition(parts, *keys).groupBy(*keys).applyInArrow(keep, detections.schema)
 
     hot = hot_keys(detections, keys, image_boxes)
     if hot is None:
-        return detections.groupBy(*keys).applyInPandas(keep, detections.schema)
+        return per_group(detections)
     ordinary = detections.join(hot, keys, "left_anti").select(*columns)
     large = detections.join(hot, keys, "left_semi").select(*columns)
-    return ordinary.groupBy(*keys).applyInPandas(keep, detections.schema).unionByName(_nms_by_tile(large, iou, keys, tile_boxes))
+    return per_group(ordinary).unionByName(_nms_by_tile(large, iou, keys, tile_boxes))
 
 
 def _nms_by_tile(detections: DataFrame, iou: float, keys: list[str], tile_boxes: int) -> DataFrame:
@@ -118,7 +136,7 @@ def _nms_by_tile(detections: DataFrame, iou: float, keys: list[str], tile_boxes:
             *BOX,
         )
         schema = undecided.select(*tile, "det_id").schema
-        chosen = materialize(shown.groupBy(*tile).applyInPandas(_decider(iou, tile), schema))
+        chosen = shown.groupBy(*tile).applyInPandas(_decider(iou, tile), schema)
         winners = undecided.join(chosen, [*tile, "det_id"], "left_semi")
         kept.append(materialize(winners))
         suppressors = kept[-1].select(*tile, F.col("det_id").alias("_det"), *[F.col(c).alias(f"_{c}") for c in BOX]).withColumn("_d", around).select(

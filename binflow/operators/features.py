@@ -185,6 +185,8 @@ def named_features(
     wanted = set(names)
     roi = points.filter("has_roi").select("bin_id", "seq", "x", "y")
     parts = []
+    if wanted & _PER_TRIGGER:
+        parts.append(trigger_features(points))
     plain = _row_features(wanted, params)
     if plain:
         rows = roi
@@ -199,11 +201,10 @@ def named_features(
         parts.append(rows.groupBy("bin_id").agg(*[c.alias(name) for name, c in plain.items()]))
     if wanted & _PER_VALUE:
         parts.append(duplicate_features(roi))
-    if wanted & _PER_TRIGGER:
-        parts.append(trigger_features(points))
+    # The first table has every bin of the others: all points come before those with an image.
     out = parts[0]
     for part in parts[1:]:
-        out = out.join(part, "bin_id", "full_outer")
+        out = out.join(part, "bin_id", "left")
     return out.select("bin_id", *[name for name in FEATURE_NAMES if name in wanted])
 
 

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from binflow.functions.scale import TASK_ROWS, exact_quantiles, hot_keys
+from binflow.functions.scale import TASK_ROWS, exact_quantiles, hot_keys, number_rows
 from binflow.operators.select import filter_bin_type
 from binflow.params import ForestParams, ValueRange
 from binflow.session import materialize
@@ -29,7 +29,7 @@ NODE_SCHEMA = (
 BROADCAST_NODES = 5_000_000
 
 
-@dataclass(frozen=True)
+@dataclass
 class Forest:
     """Node table plus what scoring has to know about it."""
 
@@ -39,6 +39,26 @@ class Forest:
     trees: int
     combo_id: int = 0
 
+    def slices(self, most: int) -> list[pd.DataFrame]:
+        """The node table cut by tree into parts of at most ``most`` nodes, kept after the first call."""
+        if not hasattr(self, "_slices"):
+            head = self.nodes.drop("combo_id").limit(most + 1).toPandas()
+            self._slices = [head] if len(head) <= most else self._cut(most)
+        return self._slices
+
+    def _cut(self, most: int) -> list[pd.DataFrame]:
+        runs: list[list[int]] = [[]]
+        held = 0
+        for r in self.nodes.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n")).orderBy("tree_id").collect():
+            if r.n > most:
+                raise ValueError("one tree alone is too large to broadcast; lower max_samples")
+            if held + r.n > most:
+                runs.append([])
+                held = 0
+            runs[-1].append(r.tree_id)
+            held += r.n
+        return [self.nodes.drop("combo_id").filter(F.col("tree_id").isin(run)).toPandas() for run in runs]
+
     def save(self, path: str) -> None:
         spark = self.nodes.sparkSession
         self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
@@ -84,7 +104,7 @@ class _Spec:
         return np.sort(rng.choice(available, size=self.features, replace=False))
 
 
-def _samples(features: DataFrame, names: list[str], specs: list[_Spec], rows: int) -> DataFrame:
+def _samples(features: DataFrame, names: list[str], specs: list[_Spec], rows: int, task_rows: int) -> DataFrame:
     """(combo_id, tree_id, node_id, bin_id, f): exactly psi rows per tree, or all if fewer.
 
     A hash threshold leaves slightly more than psi candidates per tree in the
@@ -108,6 +128,8 @@ def _samples(features: DataFrame, names: list[str], specs: list[_Spec], rows: in
         union = union.unionByName(part)
     if all(spec.psi >= rows for spec in specs):
         kept = union
+    elif max(spec.psi for spec in specs) > task_rows:
+        kept = number_rows(union, ["_h", "bin_id"], ["combo_id", "tree_id"], "_r").filter(F.col("_r") <= F.col("_psi"))
     else:
         order = Window.partitionBy("combo_id", "tree_id").orderBy("_h", "bin_id")
         kept = union.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.col("_psi"))
@@ -207,11 +229,14 @@ def _split_large(sample: DataFrame, specs: dict[int, _Spec], names: list[str], t
 
 def _grow(features: DataFrame, names: list[str], specs: list[_Spec], rows: int, task_rows: int) -> DataFrame:
     table = {s.combo_id: s for s in specs}
-    sample = _samples(features, names, specs, rows)
+    sample = _samples(features, names, specs, rows, task_rows)
     finished: list[DataFrame] = []
     if max(s.psi for s in specs) > task_rows:
         sample, finished = _split_large(materialize(sample), table, names, task_rows)
-    grown = sample.groupBy("combo_id", "tree_id", "node_id").applyInPandas(_grower(table, names), NODE_SCHEMA)
+    # A set number of partitions: growing is Python work, so small bytes must not mean one task.
+    parts = int(sample.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = ["combo_id", "tree_id", "node_id"]
+    grown = sample.repartition(parts, *key).groupBy(*key).applyInPandas(_grower(table, names), NODE_SCHEMA)
     for part in finished:
         grown = grown.unionByName(part)
     return grown
@@ -222,7 +247,7 @@ def train_forest(
 ) -> Forest:
     """Grow a forest on all feature columns, or on the named ones.
 
-    The nodes are checkpointed: scoring reads them more than once.
+    The nodes are written as a table: scoring reads them more than once.
     """
     names = sorted(names or [c for c in features.columns if c != "bin_id"])
     rows = features.count()
@@ -268,13 +293,9 @@ def score_forest(features: DataFrame, forest: Forest, broadcast_nodes: int = BRO
     broadcast while it is small. A larger forest is cut into slices of trees, each
     slice is broadcast on its own and the path lengths are added per bin.
     """
-    slices = _tree_slices(forest, broadcast_nodes)
-    if len(slices) == 1:
-        return _score_small(features, {"": forest})
-    parts = []
-    for trees in slices:
-        part = Forest(forest.nodes.filter(F.col("tree_id").isin(trees)), forest.feature_names, forest.psi, forest.trees)
-        parts.append(_score_small(features, {"": part}))
+    parts = [_score_small(features, {"": (forest, nodes)}) for nodes in forest.slices(broadcast_nodes)]
+    if len(parts) == 1:
+        return parts[0]
     union = parts[0]
     for part in parts[1:]:
         union = union.unionByName(part)
@@ -282,31 +303,16 @@ def score_forest(features: DataFrame, forest: Forest, broadcast_nodes: int = BRO
     return union.groupBy("bin_id").agg(F.pow(F.lit(2.0), F.sum(F.log2("score"))).alias("score"))
 
 
-def _tree_slices(forest: Forest, broadcast_nodes: int) -> list[list[int]]:
-    """Runs of trees whose nodes together may be broadcast."""
-    slices: list[list[int]] = [[]]
-    held = 0
-    for r in forest.nodes.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n")).orderBy("tree_id").collect():
-        if r.n > broadcast_nodes:
-            raise ValueError("one tree alone is too large to broadcast; lower max_samples")
-        if held + r.n > broadcast_nodes:
-            slices.append([])
-            held = 0
-        slices[-1].append(r.tree_id)
-        held += r.n
-    return slices
-
-
-def _score_small(features: DataFrame, forests: dict[str, Forest]) -> DataFrame:
+def _score_small(features: DataFrame, forests: dict[str, tuple[Forest, pd.DataFrame]]) -> DataFrame:
     """Score in one pass; a bin uses the forest whose key starts its identifier."""
-    used = sorted({n for forest in forests.values() for n in forest.feature_names})
+    used = sorted({n for forest, _ in forests.values() for n in forest.feature_names})
     absent = [n for n in used if n not in features.columns]
     if absent:
         raise ValueError(f"features are missing: {absent}")
     context = features.sparkSession.sparkContext
     shared = {
-        prefix: (context.broadcast(f.nodes.drop("combo_id").toPandas()), list(f.feature_names), f.trees * average_path(f.psi))
-        for prefix, f in forests.items()
+        prefix: (context.broadcast(nodes), list(f.feature_names), f.trees * average_path(f.psi))
+        for prefix, (f, nodes) in forests.items()
     }
     rows = features.select("bin_id", *[F.round(F.col(n).cast("double"), 9).alias(n) for n in used])
 
@@ -336,9 +342,9 @@ def score_by_type(
     forests = {kind: forest for kind, forest in (("I", forest_i), ("D", forest_d)) if forest is not None}
     if not forests:
         raise ValueError("no model given")
-    if all(len(_tree_slices(f, broadcast_nodes)) == 1 for f in forests.values()):
+    if all(len(f.slices(broadcast_nodes)) == 1 for f in forests.values()):
         kind = F.substring("bin_id", 1, 1)
-        return _score_small(features.filter(kind.isin(*forests)), forests)
+        return _score_small(features.filter(kind.isin(*forests)), {k: (f, f.slices(broadcast_nodes)[0]) for k, f in forests.items()})
     return merge_scores([score_forest(filter_bin_type(features, k), f, broadcast_nodes) for k, f in forests.items()])
 
 

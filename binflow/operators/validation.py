@@ -18,42 +18,57 @@ POOR_IOU = 0.5
 SAMPLES_SHOWN = 20
 
 
+def _joined(pred: DataFrame, gt: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Rows of both tables side by side (``p_`` and ``g_`` columns), and the common features."""
+    shared = [c for c in pred.columns if c in gt.columns and c not in KEYS]
+    p = pred.select(*KEYS, *[F.col(c).cast("double").alias(f"p_{c}") for c in shared])
+    g = gt.select(*KEYS, *[F.col(c).cast("double").alias(f"g_{c}") for c in shared])
+    return p.join(g, KEYS), shared
+
+
 def match_features(pred: DataFrame, gt: DataFrame) -> DataFrame:
     """(sample_id, roi_number, feature, pred, gt) for features both tables have."""
-    shared = [c for c in pred.columns if c in gt.columns and c not in KEYS]
-    p = pred.select(*KEYS, *[F.col(c).alias(f"p_{c}") for c in shared])
-    g = gt.select(*KEYS, *[F.col(c).alias(f"g_{c}") for c in shared])
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.col(f"p_{c}").cast("double").alias("pred"),
-                F.col(f"g_{c}").cast("double").alias("gt"),
-            )
-            for c in shared
-        ]
-    )
-    return p.join(g, KEYS).select(*KEYS, F.inline(pairs))
+    wide, shared = _joined(pred, gt)
+    pairs = [F.struct(F.lit(c).alias("feature"), F.col(f"p_{c}").alias("pred"), F.col(f"g_{c}").alias("gt")) for c in shared]
+    return wide.select(*KEYS, F.inline(F.array(*pairs)))
 
 
-def feature_metrics(matched: DataFrame) -> DataFrame:
-    """n, RMSE, MAE, R2 = 1 - SSE/SST and Pearson r per feature; pairs with a NULL are dropped.
+def _metrics(pred: Column, gt: Column) -> dict[str, Column]:
+    """Aggregates over pairs; a pair with a NULL counts nowhere.
 
-    SST is taken from the variance, so everything is one partial aggregation.
+    SST is taken from the variance, so one partial aggregation is enough.
     """
-    error = F.col("pred") - F.col("gt")
+    both = pred.isNotNull() & gt.isNotNull()
+    p, g = F.when(both, pred), F.when(both, gt)
+    error = p - g
     squares = F.avg(error * error)
-    return (
-        matched.filter(F.col("pred").isNotNull() & F.col("gt").isNotNull())
-        .groupBy("feature")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            (1 - F.try_divide(squares, F.var_pop("gt"))).alias("r2"),
-            F.sqrt(squares).alias("rmse"),
-            F.avg(F.abs(error)).alias("mae"),
-            pearson(F.col("pred"), F.col("gt")).alias("pearson_r"),
-        )
-    )
+    return {
+        "n": F.count(error),
+        "r2": 1 - F.try_divide(squares, F.var_pop(g)),
+        "rmse": F.sqrt(squares),
+        "mae": F.avg(F.abs(error)),
+        "pearson_r": pearson(p, g),
+    }
+
+
+def feature_metrics(pred: DataFrame, gt: DataFrame) -> DataFrame:
+    """n, R2 = 1 - SSE/SST, RMSE, MAE and Pearson r per common feature.
+
+    All features are aggregated side by side on the joined rows; only the
+    finished figures turn into one row per feature.
+    """
+    wide, shared = _joined(pred, gt)
+    figures = [
+        F.struct(F.lit(c).alias("feature"), *[v.alias(k) for k, v in _metrics(F.col(f"p_{c}"), F.col(f"g_{c}")).items()])
+        for c in shared
+    ]
+    return wide.agg(F.array(*figures).alias("_f")).select(F.inline("_f"))
+
+
+def metrics_of_matched(matched: DataFrame) -> DataFrame:
+    """The same figures from rows of :func:`match_features`."""
+    figures = _metrics(F.col("pred"), F.col("gt"))
+    return matched.groupBy("feature").agg(*[v.alias(k) for k, v in figures.items()])
 
 
 def feature_summary(metrics: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ def labelled_scores(
 ) -> DataFrame:
     """Scores of both sides, labelled "bad" and "normal".
 
-    The comparison reads them several times, so they are checkpointed: one row
+    The comparison reads them several times, so they are written once: one row
     per bin, against a pass over all points each time.
     """
     sides = [score_points(p, forest_i, forest_d, params).withColumn("label", F.lit(l)) for p, l in ((bad, "bad"), (normal, "normal"))]

@@ -37,7 +37,7 @@ def resume_run(
 ) -> DataFrame:
     """Run a plan and append the finished files to the manifest; returns the status rows.
 
-    The status is checkpointed, so the caller's function does not run again when
+    The status is written as a table, so the caller's function does not run again when
     the status is read. Files finished meanwhile are left out.
     """
     todo = pending(plan, read_manifest(plan.sparkSession, manifest_path))

@@ -63,7 +63,7 @@ def _matched(spark, sf):
 
 
 def _metrics(spark, sf):
-    return ops.feature_metrics(_matched(spark, sf))
+    return ops.feature_metrics(*_tables(spark, sf))
 
 
 def _masks(spark, sf):

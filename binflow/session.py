@@ -55,15 +55,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder.
+    """Cut the lineage by writing a table in the shared folder and reading it back.
 
-    Used where a plan is read twice and both reads must see the same rows in
-    the same partitions, and between the rounds of iterative operators.
+    Used where a plan is read twice and both reads must see the same rows, and
+    between the rounds of iterative operators. Each row is computed once, readers
+    take only the columns they need, and a lost executor loses nothing.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from binflow.operators.runs import run_batches
+from binflow.operators.runs import batches, run_batches
 from binflow.session import path_exists
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
@@ -35,7 +35,7 @@ def incremental_bins(
     status_path: str,
     checkpoint: str,
     stage: Callable[[str], str] | None = None,
-    slots: int = 1000,
+    batch_size: int = 1000,
 ) -> StreamingQuery:
     """Process the files that arrived since the last run, then stop.
 
@@ -49,10 +49,8 @@ def incremental_bins(
         before = read_status(spark, status_path).filter(F.col("batch_id") < batch_id)
         done = before.filter("ok").select("path")
         known = arrived.select("path").unionByName(before.filter(~F.col("ok")).select("path")).distinct()
-        todo = known.join(done, "path", "left_anti").select(
-            "path", F.lit(0).alias("chunk"), F.pmod(F.xxhash64("path"), F.lit(slots)).alias("batch")
-        )
-        run_batches(todo, process, stage).write.mode("overwrite").parquet(f"{status_path}/batch_id={batch_id}")
+        todo = known.join(done, "path", "left_anti").withColumn("chunk", F.lit(0))
+        run_batches(batches(todo, batch_size), process, stage).write.mode("overwrite").parquet(f"{status_path}/batch_id={batch_id}")
 
     return (
         files.writeStream.foreachBatch(handle)
