@@ -94,7 +94,7 @@ def _with_spread_context(rows: DataFrame, wanted: set[str], params: FlowParams,
 def _cell_variation(v: str, cells: int) -> Column:
     """Standard deviation over mean of the counts in equal-width cells, empty ones included."""
     low, high = F.col(f"{v}_min"), F.col(f"{v}_max")
-    cell = F.least(F.floor(F.try_divide(F.col(v) - low, high - low) * cells), F.lit(cells - 1))
+    cell = F.when(high > low, F.least(F.floor((F.col(v) - low) / (high - low) * cells), F.lit(cells - 1)))
     counts = [F.count_if(cell == i) for i in range(cells)]
     total = sum(counts[1:], counts[0])
     squares = sum((c * c for c in counts[1:]), counts[0] * counts[0])

@@ -43,10 +43,10 @@ STEPS_SQL = """roi as (select bin_id, seq, x, y from {points} where has_roi),
     per_y as (select bin_id, y, count(*) as c from roi group by bin_id, y),
     dup as (select bin_id, sum(case when c > 1 then c else 0 end) / sum(c)::double as duplicate_fraction,
                    max(c) / sum(c)::double as max_duplicate_fraction from per_y group by bin_id),
-    cells as (select r.bin_id, 'x' as axis, least(floor((x - xa) / nullif(xb - xa, 0) * 10), 9) as cell, count(*) as c
+    cells as (select r.bin_id, 'x' as axis, case when xb > xa then least(floor((x - xa) / (xb - xa) * 10), 9) end as cell, count(*) as c
               from roi r join span s on r.bin_id = s.bin_id group by all
               union all
-              select r.bin_id, 'y', least(floor((y - ya) / nullif(yb - ya, 0) * 10), 9), count(*)
+              select r.bin_id, 'y', case when yb > ya then least(floor((y - ya) / (yb - ya) * 10), 9) end, count(*)
               from roi r join span s on r.bin_id = s.bin_id group by all),
     var1 as (select bin_id, axis, sqrt(greatest(sum(c*c) / 10e0 - pow(sum(c) / 10e0, 2), 0)) / (sum(c) / 10e0) as cv
              from cells where cell is not null group by bin_id, axis),

@@ -2,19 +2,56 @@
 
 from __future__ import annotations
 
+import os
+import re
+from collections.abc import Iterator
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binflow.functions import text
 from binflow.operators.select import filter_bin_type
+from binflow.session import is_mounted, materialize
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """path and size of files below ``root``. File contents are never read."""
+    """path and size of files below ``root``. File contents are never read.
+
+    A mounted folder is walked by tasks, level by level. In other stores Spark's
+    own listing is used, which leaves empty files out.
+    """
+    if is_mounted(spark, root):
+        return _walk(spark, root, pattern, recursive)
     reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
     reader = reader.option("recursiveFileLookup", str(recursive).lower())
-    plain = F.regexp_replace("path", "^file:/*", "/")
-    return reader.load(root).select(plain.alias("path"), F.col("length").alias("size"))
+    return reader.load(root).select("path", F.col("length").alias("size"))
+
+
+def _walk(spark: SparkSession, root: str, pattern: str, recursive: bool) -> DataFrame:
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for folder in pdf["path"]:
+                with os.scandir(folder) as entries:
+                    while chunk := list(islice(entries, 10_000)):
+                        yield pd.DataFrame(
+                            [(e.path, e.is_dir(), 0 if e.is_dir() else e.stat().st_size) for e in chunk],
+                            columns=["path", "folder", "size"],
+                        )
+
+    level = spark.createDataFrame([("/" + root.removeprefix("file:").strip("/"),)], "path string")
+    found = None
+    while True:
+        seen = materialize(level.mapInPandas(scan, "path string, folder boolean, size bigint"))
+        files = seen.filter(~F.col("folder")).select("path", "size")
+        found = files if found is None else found.unionByName(files)
+        level = seen.filter("folder").select("path")
+        if not recursive or level.isEmpty():
+            break
+        level = level.repartition(F.col("path"))
+    name = "^" + re.escape(pattern).replace("\\*", ".*").replace("\\?", ".") + "$"
+    return found.filter(text.file_name(F.col("path")).rlike(name))
 
 
 def bins_from_paths(paths: DataFrame) -> DataFrame:
