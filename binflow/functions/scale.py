@@ -38,6 +38,15 @@ def split_hot(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) -> tup
     return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
 
 
+def lay_out(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
+    """Rows placed for a write partitioned by ``keys``: an ordinary group in one
+    task, so in one file; a hot group over all tasks."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordinary, hot = split_hot(df, keys, task_rows)
+    laid = ordinary.repartition(parts, *keys)
+    return laid if hot is None else laid.unionByName(hot.repartition(parts).select(*df.columns))
+
+
 def exact_quantiles(
     df: DataFrame, keys: list[str], values: list[str], probs: list[float], task_rows: int = TASK_ROWS
 ) -> DataFrame:

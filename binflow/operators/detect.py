@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from binflow.functions.numeric import box_iou
-from binflow.functions.scale import hot_keys
+from binflow.functions.scale import hot_keys, lay_out
 from binflow.params import DetectParams
 from binflow.session import materialize
 
@@ -209,5 +209,5 @@ def label_lines(detections: DataFrame, width: float, height: float, save_conf: b
 
 def write_detections(detections: DataFrame, path: str, width: float, height: float, save_conf: bool = False) -> None:
     """One folder of label lines per image. Large images are spread over several files."""
-    lines = label_lines(detections, width, height, save_conf)
-    lines.select("image_id", "line").hint("rebalance", "image_id").write.mode("overwrite").partitionBy("image_id").text(path)
+    lines = label_lines(detections, width, height, save_conf).select("image_id", "line")
+    lay_out(lines, ["image_id"]).write.mode("overwrite").partitionBy("image_id").text(path)

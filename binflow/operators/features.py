@@ -91,11 +91,19 @@ def _with_spread_context(rows: DataFrame, wanted: set[str], params: FlowParams,
     return rows
 
 
-def _cell_variation(v: str, cells: int) -> Column:
-    """Standard deviation over mean of the counts in equal-width cells, empty ones included."""
-    low, high = F.col(f"{v}_min"), F.col(f"{v}_max")
-    cell = F.when(high > low, F.least(F.floor((F.col(v) - low) / (high - low) * cells), F.lit(cells - 1)))
-    counts = [F.count_if(cell == i) for i in range(cells)]
+def _with_cells(rows: DataFrame, cells: int) -> DataFrame:
+    """Equal-width cell of x and of y in the bin's range; NULL when there is no range."""
+
+    def cell(v: str) -> Column:
+        low, high = F.col(f"{v}_min"), F.col(f"{v}_max")
+        return F.when(high > low, F.least(F.floor((F.col(v) - low) / (high - low) * cells), F.lit(cells - 1)).cast("int"))
+
+    return rows.withColumns({f"{v}_cell": cell(v) for v in "xy"})
+
+
+def _cell_variation(cell: str, cells: int) -> Column:
+    """Standard deviation over mean of the counts per cell, empty ones included."""
+    counts = [F.count_if(F.col(cell) == i) for i in range(cells)]
     total = sum(counts[1:], counts[0])
     squares = sum((c * c for c in counts[1:]), counts[0] * counts[0])
     mean = total / cells
@@ -129,8 +137,8 @@ def _row_features(wanted: set[str], params: FlowParams) -> dict[str, Column]:
         "iqr_y": lambda: iqr["y"],
         "ratio_spread": lambda: F.try_divide(iqr["y"], iqr["x"]),
         "core_fraction": lambda: share(inside),
-        "cv_x": lambda: _cell_variation("x", params.cells),
-        "cv_y": lambda: _cell_variation("y", params.cells),
+        "cv_x": lambda: _cell_variation("x_cell", params.cells),
+        "cv_y": lambda: _cell_variation("y_cell", params.cells),
         "skew_x": lambda: F.skewness(x),
         "skew_y": lambda: F.skewness(y),
         "kurt_x": lambda: F.kurtosis(x),
@@ -198,6 +206,8 @@ def named_features(
                 ordinary = _with_context(roi.join(hot, "bin_id", "left_anti"), wanted, params)
                 large = roi.join(hot, "bin_id", "left_semi")
                 rows = ordinary.unionByName(_with_spread_context(large, wanted, params, task_rows))
+            if wanted & _NEED_RANGE:
+                rows = _with_cells(rows, params.cells)
         parts.append(rows.groupBy("bin_id").agg(*[c.alias(name) for name, c in plain.items()]))
     if wanted & _PER_VALUE:
         parts.append(duplicate_features(roi))

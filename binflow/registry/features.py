@@ -6,7 +6,7 @@ from binflow.bindings import load
 from binflow.operators import features as ops
 from binflow.params import FEATURE_GROUPS, FEATURE_NAMES
 from binflow.registry import query
-from binflow.registry.rounding import rounded
+from binflow.registry.rounding import places_of, rounded
 
 # Expressions over rows of {points} with has_roi, grouped by bin.
 PLAIN_SQL = {
@@ -78,7 +78,7 @@ def features_sql(names: list[str] | tuple[str, ...], places: int = 6) -> str:
     base = f",\n    base as (select bin_id, {plain_sql} from roi group by bin_id)" if plain else ""
     tables += sides
     joins = tables[0] + "".join(f" full join {t} using (bin_id)" for t in tables[1:])
-    columns = ", ".join(f"round({name}, {places}) as {name}" for name in names)
+    columns = ", ".join(f"round({name}, {places_of(name, places)}) as {name}" for name in names)
     return f"with {STEPS_SQL}{base}\nselect bin_id, {columns} from {joins}"
 
 

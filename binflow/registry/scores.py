@@ -14,7 +14,7 @@ from binflow.sources import scores as io
 
 _STATS_SQL = """count(score) as n, round(min(score), 6) as min_score, round(quantile_cont(score, 0.25), 6) as q1,
     round(quantile_cont(score, 0.5), 6) as median, round(quantile_cont(score, 0.75), 6) as q3,
-    round(max(score), 6) as max_score, round(avg(score), 6) as mean_score"""
+    round(max(score), 6) as max_score, round(avg(score), 9) as mean_score"""
 PAIRED_SQL = """scoped as (select unnest([substr(bin_id, 1, 1), 'merged']) as scope, label, bin_id, score
               from {sets} where substr(bin_id, 1, 1) in ('I', 'D')),
     paired as (select * from scoped where scope in (select scope from scoped group by scope

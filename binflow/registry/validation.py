@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from binflow.bindings import load
 from binflow.operators import validation as ops
 from binflow.registry import query
-from binflow.registry.rounding import rounded
+from binflow.registry.rounding import places_of, rounded
 from binflow.session import scratch_path
 from binflow.sources import tables
 
@@ -50,7 +50,7 @@ _BLOB_MEANS = ("mean_iou", "median_iou", "std_iou", "mean_dice", "median_dice",
 
 
 def _round_sql(names: tuple[str, ...], places: int = 6) -> str:
-    return ", ".join(f"round({c}, {places}) as {c}" for c in names)
+    return ", ".join(f"round({c}, {places_of(c, places)}) as {c}" for c in names)
 
 
 def _tables(spark, sf, sample_ids=None):

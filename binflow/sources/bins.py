@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binflow.functions import text
+from binflow.functions.scale import lay_out
 from binflow.operators.select import filter_bin_type
 from binflow.session import is_mounted, materialize
 
@@ -116,10 +117,8 @@ def write_id_list(bins: DataFrame, bin_type: str, path: str) -> int:
 def write_day_layout(features: DataFrame, blobs: DataFrame, root: str) -> None:
     """Feature and multi-blob tables by day and bin, as CSV under ``features/`` and ``multiblob/``.
 
-    Rows are laid out by (day, bin) before writing, so a bin goes to few files.
-    A bin's rows are spread over tasks by AQE when it is large.
+    Rows are laid out by (day, bin) before writing, so an ordinary bin is one file.
     """
     for df, folder in ((features, "features"), (blobs, "multiblob")):
         dated = df.select("*", text.pid_fields(F.col("bin_id"))[2])
-        laid = dated.hint("rebalance", "day", "bin_id")
-        laid.write.mode("overwrite").partitionBy("day", "bin_id").option("header", True).csv(f"{root}/{folder}")
+        lay_out(dated, ["day", "bin_id"]).write.mode("overwrite").partitionBy("day", "bin_id").option("header", True).csv(f"{root}/{folder}")
