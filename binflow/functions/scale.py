@@ -166,5 +166,8 @@ def number_rows(
     )
     if not within:
         offsets = F.broadcast(offsets)  # one row per partition
-    numbered = laid.join(offsets, ["_part", *within])
-    return numbered.withColumn(name, F.col("_before") + F.col("_pos") - F.col("_first") + 1).select(*df.columns, name)
+    same = F.col("r._part") == F.col("o._part")
+    for k in within:
+        same = same & F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}"))
+    number = (F.col("_before") + F.col("_pos") - F.col("_first") + 1).alias(name)
+    return laid.alias("r").join(offsets.alias("o"), same).select(*[F.col(f"r.{c}") for c in df.columns], number)

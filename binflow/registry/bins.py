@@ -168,13 +168,30 @@ def parse_bool(spark, sf):
     )
 
 
+_LAYOUT_SQL = """with d as (select pid, unit, strftime(try_strptime(pid[2:16], '%Y%m%dT%H%M%S'), '%Y-%m-%d') as day, pid[1:9] as stem from {pids})"""
+
+
+def _day_rows(spark, sf):
+    """Ten bins a day: the identifiers' days, with the last digit of the unit as instrument."""
+    bin_id = F.concat(F.substring("pid", 1, 9), F.lit("T000000_IFCB00"), F.col("unit") % 10)
+    return load(spark, sf, "pids").select(bin_id.alias("bin_id"), "pid", "unit")
+
+
 @query(
     "write_day_layout",
-    """select strftime(cast(try_strptime(pid[2:16], '%Y%m%dT%H%M%S') as date), '%Y-%m-%d') as day, pid as bin_id, unit from {pids}""",
+    _LAYOUT_SQL
+    + """ select concat('features/', day, f.folder, stem, 'T000000_IFCB00', unit % 10, f.ending) as file, count(*) as rows
+          from d, (values ('/', '_features_v4.csv'), ('/multiblob/', '_multiblob_v4.csv')) f(folder, ending) group by all""",
 )
 def write_day_layout(spark, sf):
     root = scratch_path(spark, "days")
-    rows = load(spark, sf, "pids").select(F.concat(F.substring("pid", 1, 9), F.lit("T000000_IFCB001")).alias("bin_id"), F.col("pid"), "unit")
-    io.write_day_layout(rows, rows, root)
-    back = spark.read.option("header", True).schema("pid string, unit bigint, day string, bin_id string").csv(f"{root}/features")
-    return back.select("day", F.col("pid").alias("bin_id"), "unit")
+    rows = _day_rows(spark, sf)
+    status = io.write_day_layout(rows, rows, root).filter("ok")
+    return status.select(F.substring_index("out_path", f"{root}/".replace("file:", ""), -1).alias("file"), "rows")
+
+
+@query("write_partitioned", _LAYOUT_SQL + " select day, concat(stem, 'T000000_IFCB00', unit % 10) as bin_id, pid, unit from d")
+def write_partitioned(spark, sf):
+    root = scratch_path(spark, "days")
+    io.write_partitioned(_day_rows(spark, sf), root)
+    return spark.read.option("header", True).schema("pid string, unit bigint, day string, bin_id string").csv(root)

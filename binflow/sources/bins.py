@@ -15,6 +15,7 @@ from binflow.functions import text
 from binflow.functions.scale import lay_out
 from binflow.operators.select import filter_bin_type
 from binflow.session import is_mounted, materialize
+from binflow.sources.named import write_named
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
@@ -114,11 +115,30 @@ def write_id_list(bins: DataFrame, bin_type: str, path: str) -> int:
     return count
 
 
-def write_day_layout(features: DataFrame, blobs: DataFrame, root: str) -> None:
-    """Feature and multi-blob tables by day and bin, as CSV under ``features/`` and ``multiblob/``.
+def day_layout(bin_id: Column, root: str) -> dict[str, Column]:
+    """Output paths of a bin by day: feature table, multi-blob table and mask archive."""
+    day = F.date_format(text.pid_fields(bin_id)[2], "yyyy-MM-dd")
+    # Folder and file names of the layout.
+    return {
+        "features": F.concat(F.lit(f"{root}/features/"), day, F.lit("/"), bin_id, F.lit("_features_v4.csv")),
+        "multiblob": F.concat(F.lit(f"{root}/features/"), day, F.lit("/multiblob/"), bin_id, F.lit("_multiblob_v4.csv")),
+        "blobs": F.concat(F.lit(f"{root}/blobs/"), day, F.lit("/"), bin_id, F.lit("_blobs_v4.zip")),
+    }
 
-    Rows are laid out by (day, bin) before writing, so an ordinary bin is one file.
+
+def write_day_layout(features: DataFrame, blobs: DataFrame, root: str) -> DataFrame:
+    """Write the feature and multi-blob rows of each bin to its file of the day layout.
+
+    Returns a status row per file. Mask archives go through ``archive_bins``.
     """
-    for df, folder in ((features, "features"), (blobs, "multiblob")):
-        dated = df.select("*", text.pid_fields(F.col("bin_id"))[2])
-        lay_out(dated, ["day", "bin_id"]).write.mode("overwrite").partitionBy("day", "bin_id").option("header", True).csv(f"{root}/{folder}")
+    status = [
+        write_named(df.withColumn("out_path", day_layout(F.col("bin_id"), root)[kind]))
+        for df, kind in ((features, "features"), (blobs, "multiblob"))
+    ]
+    return status[0].unionByName(status[1])
+
+
+def write_partitioned(df: DataFrame, root: str) -> None:
+    """CSV folders by day and bin, for stores without a mount. An ordinary bin is one file."""
+    dated = df.select("*", text.pid_fields(F.col("bin_id"))[2])
+    lay_out(dated, ["day", "bin_id"]).write.mode("overwrite").partitionBy("day", "bin_id").option("header", True).csv(root)

@@ -109,8 +109,8 @@ def media_get(keys: DataFrame, store: DataFrame) -> DataFrame:
     return store.join(keys.select("key"), "key", "left_semi").select("key", F.unbase64("payload").alias("content"))
 
 
-def archive_bins(members: DataFrame, folder: str, prefix: str = "") -> DataFrame:
-    """One zip per bin at ``<folder>/<prefix><bin_id>.zip``; returns a status row per bin.
+def archive_bins(members: DataFrame, folder: str, prefix: str = "", ending: str = ".zip") -> DataFrame:
+    """One zip per bin at ``<folder>/<prefix><bin_id><ending>``; returns a status row per bin.
 
     Input: bin_id, member and path (the file is read in the task) or content. A
     zip is one stream, so a bin has one writer; members pass through it in order
@@ -129,7 +129,7 @@ def archive_bins(members: DataFrame, folder: str, prefix: str = "") -> DataFrame
                 if current is None or current.bin_id != bin_id:
                     if current is not None:
                         done.append(current.close())
-                    current = _Archive(bin_id, folder, f"{prefix}{bin_id}.zip")
+                    current = _Archive(bin_id, folder, f"{prefix}{bin_id}{ending}")
                 current.add(member, value, from_path)
             if done:
                 yield pd.DataFrame(done, columns=ARCHIVE_COLUMNS)

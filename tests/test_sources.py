@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from binflow.functions import text
 from binflow.operators import catalog, provenance, select
 from binflow.sources import bins, manifest, media, scores, tables, vectors
+from binflow.sources.named import write_named
 
 
 @pytest.fixture(scope="module")
@@ -183,3 +184,24 @@ def test_missing_and_merge_types(spark):
     assert [r.path for r in select.missing_inputs(listed, listed.filter("path = 'a'")).collect()] == ["b"]
     one, two = spark.createDataFrame([(1,)], "v int"), spark.createDataFrame([("x",)], "v string")
     assert dict(scores.merge_scores([one, two]).dtypes) == {"v": "string"}
+
+
+def test_write_named_files(spark, tmp_path):
+    rows = spark.range(30).select((F.col("id") % 2).alias("v"), "id", F.format_string("a,%d", "id").alias("t"))
+    path = F.when(F.col("v") == 0, f"{tmp_path}/m/x.csv").otherwise(f"{tmp_path}/m/y.emb.parquet")
+    status = {r.out_path.split("/")[-1]: r for r in write_named(rows.withColumn("out_path", path), ("id",)).collect()}
+    assert status["x.csv"].ok and status["x.csv"].rows == 15 and status["y.emb.parquet"].rows == 15
+    lines = (tmp_path / "m" / "x.csv").read_text().splitlines()
+    assert lines[0].replace('"', "") == "v,id,t" and lines[1] == '0,0,"a,0"' and len(lines) == 16
+    assert spark.read.parquet(f"{tmp_path}/m/y.emb.parquet").count() == 15
+    (tmp_path / "file").write_text("x")
+    bad = write_named(rows.withColumn("out_path", F.lit(f"{tmp_path}/file/z.csv"))).collect()
+    assert len(bad) == 1 and not bad[0].ok and bad[0].error
+
+
+def test_day_layout(spark, tmp_path):
+    df = spark.createDataFrame([("D20240423T115846_IFCB127", 1), ("D20240423T115846_IFCB127", 2)], "bin_id string, v int")
+    assert bins.write_day_layout(df, df, str(tmp_path)).filter("ok").count() == 2
+    folder = tmp_path / "features" / "2024-04-23"
+    assert (folder / "D20240423T115846_IFCB127_features_v4.csv").exists()
+    assert (folder / "multiblob" / "D20240423T115846_IFCB127_multiblob_v4.csv").exists()
