@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from binflow.functions.numeric import box_iou
-from binflow.functions.scale import hot_keys, lay_out
+from binflow.functions.scale import hot_keys
 from binflow.params import DetectParams
 from binflow.session import materialize
+from binflow.sources.named import write_named
 
 #: An image with more boxes than this is suppressed tile by tile.
 IMAGE_BOXES = 20_000
@@ -207,7 +208,8 @@ def label_lines(detections: DataFrame, width: float, height: float, save_conf: b
     return detections.select("image_id", "det_id", F.concat_ws(" ", *parts).alias("line"))
 
 
-def write_detections(detections: DataFrame, path: str, width: float, height: float, save_conf: bool = False) -> None:
-    """One folder of label lines per image. Large images are spread over several files."""
-    lines = label_lines(detections, width, height, save_conf).select("image_id", "line")
-    lay_out(lines, ["image_id"]).write.mode("overwrite").partitionBy("image_id").text(path)
+def write_detections(detections: DataFrame, folder: str, width: float, height: float, save_conf: bool = False) -> DataFrame:
+    """One file of label lines per image at ``<folder>/<image_id>.txt``; returns a status row per file."""
+    lines = label_lines(detections, width, height, save_conf)
+    path = F.concat(F.lit(f"{folder}/"), "image_id", F.lit(".txt"))
+    return write_named(lines.select("line", path.alias("out_path")))

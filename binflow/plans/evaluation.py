@@ -26,11 +26,17 @@ def labelled_scores(
 ) -> DataFrame:
     """Scores of both sides, labelled "bad" and "normal".
 
-    The comparison reads them several times, so they are written once: one row
-    per bin, against a pass over all points each time.
+    Both sides go through one pass: the label travels behind the identifier,
+    which is a file name and so holds no slash. The comparison reads the scores
+    several times, so they are written once: one row per bin.
     """
-    sides = [score_points(p, forest_i, forest_d, params).withColumn("label", F.lit(l)) for p, l in ((bad, "bad"), (normal, "normal"))]
-    return materialize(sides[0].unionByName(sides[1]))
+    sides = [p.withColumn("bin_id", F.concat("bin_id", F.lit(f"/{label}"))) for p, label in ((bad, "bad"), (normal, "normal"))]
+    scores = score_points(sides[0].unionByName(sides[1]), forest_i, forest_d, params)
+    return materialize(
+        scores.select(
+            F.substring_index("bin_id", "/", 1).alias("bin_id"), "score", F.substring_index("bin_id", "/", -1).alias("label")
+        )
+    )
 
 
 def full_evaluation(

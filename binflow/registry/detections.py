@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from binflow.bindings import load
+from binflow.functions import text
 from binflow.functions.numeric import box_iou
 from binflow.operators import detect as ops
 from binflow.params import DetectParams
@@ -101,6 +102,8 @@ def detect_postprocess(spark, sf):
        from {detections}""",
 )
 def write_detections(spark, sf):
-    path = scratch_path(spark, "labels")
-    ops.write_detections(load(spark, sf, "detections"), path, 200.0, 200.0, save_conf=True)
-    return spark.read.schema("line string, image_id string").text(path).select("image_id", "line")
+    folder = scratch_path(spark, "labels")
+    status = ops.write_detections(load(spark, sf, "detections"), folder, 200.0, 200.0, save_conf=True)
+    written = status.filter("ok").count()
+    lines = spark.read.text(folder).select(text.base_name(F.col("_metadata.file_name")).alias("image_id"), F.col("value").alias("line"))
+    return lines if written else lines.limit(0)

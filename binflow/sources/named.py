@@ -16,7 +16,8 @@ STATUS_SCHEMA = "out_path string, ok boolean, error string, rows bigint"
 
 
 def write_named(df: DataFrame, order_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write rows to the file in their ``out_path``: CSV with header, or Parquet by the ending.
+    """Write rows to the file in their ``out_path``; its ending chooses Parquet, plain
+    text lines (``.txt``, one column) or CSV with header.
 
     Returns a status row per file. A file is one stream, so it has one writer;
     rows pass through it batch by batch. Paths are on a mount all executors share.
@@ -52,6 +53,27 @@ def _status(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["out_path", "ok", "error", "rows"])
 
 
+class _Lines:
+    """Text lines from the only column of each batch."""
+
+    def __init__(self, path: str):
+        self.out = open(path, "w", encoding="utf-8")
+
+    def write(self, batch: pa.RecordBatch) -> None:
+        self.out.writelines(f"{line}\n" for line in batch.column(0).to_pylist())
+
+    def close(self) -> None:
+        self.out.close()
+
+
+def _writer(path: str, spare: str, schema: pa.Schema):
+    if path.endswith(".parquet"):
+        return pa.parquet.ParquetWriter(spare, schema)
+    if path.endswith(".txt"):
+        return _Lines(spare)
+    return pa.csv.CSVWriter(spare, schema, write_options=pa.csv.WriteOptions(include_header=True, quoting_style="needed"))
+
+
 class _File:
     """Writer of one file: a spare name first, put in place when complete."""
 
@@ -63,11 +85,7 @@ class _File:
             os.makedirs(folder, exist_ok=True)
             handle, self.spare = tempfile.mkstemp(dir=folder, suffix=".part")
             os.close(handle)
-            if path.endswith(".parquet"):
-                self.writer = pa.parquet.ParquetWriter(self.spare, schema)
-            else:
-                options = pa.csv.WriteOptions(include_header=True, quoting_style="needed")
-                self.writer = pa.csv.CSVWriter(self.spare, schema, write_options=options)
+            self.writer = _writer(path, self.spare, schema)
         except (OSError, pa.ArrowException) as problem:
             self.error = str(problem)
 
@@ -75,7 +93,7 @@ class _File:
         if self.error is not None:
             return
         try:
-            self.writer.write_batch(batch) if self.path.endswith(".parquet") else self.writer.write(batch)
+            self.writer.write(batch)
             self.rows += batch.num_rows
         except (OSError, pa.ArrowException) as problem:
             self.error = str(problem)

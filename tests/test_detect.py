@@ -75,3 +75,11 @@ def test_max_det_plan_limits_before_the_shuffle(spark):
     assert limited.groupBy("image_id").count().agg(F.max("count")).first()[0] == 3
     plan = limited._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_label_files(spark, tmp_path):
+    _, df = _boxes(spark, 30, 10, 3)
+    status = detect.write_detections(df, str(tmp_path / "labels"), 100.0, 50.0)
+    assert status.filter("ok").agg(F.sum("rows")).first()[0] == 30
+    lines = (tmp_path / "labels" / "img0.txt").read_text().splitlines()
+    assert len(lines) == df.filter("image_id = 'img0'").count() and all(len(line.split()) == 5 for line in lines)
