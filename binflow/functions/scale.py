@@ -149,12 +149,10 @@ def number_rows(
     same partitioning even when tasks are retried.
     """
     within = within or []
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(k) for k in within]
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
     laid = materialize(
-        df.repartitionByRange(parts, *keys, *order)
+        df.repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_pos", F.monotonically_increasing_id())
     ).withColumn("_part", F.shiftright("_pos", 33))
