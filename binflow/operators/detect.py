@@ -79,17 +79,24 @@ def nms(
     """Greedy suppression: by confidence, drop a box that overlaps a kept one by more than ``iou``.
 
     Boxes compete inside an image, or inside (image, class) unless ``agnostic``.
-    A group of ordinary size is one task; a larger one goes through
-    :func:`_nms_by_tile`, with the same result.
+    An image of ordinary size is one group; a larger one goes through
+    :func:`_nms_by_tile`, with the same result. ``det_id`` is unique in an image.
     """
-    keys = [*by] if agnostic else [*by, "class_id"]
+    keys = [*by]
     columns = detections.columns
 
     def keep(group: pa.Table) -> pa.Table:
         conf, det_id = (group.column(c).to_numpy() for c in ("conf", "det_id"))
         order = np.lexsort((det_id, -conf))
         boxes = np.column_stack([group.column(c).to_numpy() for c in BOX])[order].astype(float)
-        return group.take(order[_greedy(boxes, iou)])
+        if agnostic:
+            return group.take(order[_greedy(boxes, iou)])
+        kind = group.column("class_id").to_numpy()[order]
+        alive = np.zeros(len(order), dtype=bool)
+        for one in np.unique(kind):
+            mine = np.flatnonzero(kind == one)
+            alive[mine] = _greedy(boxes[mine], iou)
+        return group.take(order[alive])
 
     def per_group(df: DataFrame) -> DataFrame:
         # A set number of partitions: the work is in Python, so small bytes must not mean one task.
@@ -101,61 +108,94 @@ def nms(
         return per_group(detections)
     ordinary = detections.join(hot, keys, "left_anti").select(*columns)
     large = detections.join(hot, keys, "left_semi").select(*columns)
-    return per_group(ordinary).unionByName(_nms_by_tile(large, iou, keys, tile_boxes))
+    compete = keys if agnostic else [*keys, "class_id"]
+    return per_group(ordinary).unionByName(_nms_by_tile(large, iou, keys, compete, tile_boxes))
 
 
-def _nms_by_tile(detections: DataFrame, iou: float, keys: list[str], tile_boxes: int) -> DataFrame:
+def _nms_by_tile(detections: DataFrame, iou: float, images: list[str], keys: list[str], tile_boxes: int) -> DataFrame:
     """Exact greedy suppression of images too large for one task.
 
-    Tiles are as wide as the largest box, so a box only meets boxes of the nine
-    tiles around it. Each round shows every tile the best undecided boxes of its
-    neighbourhood, keeps those whose better overlapping boxes are all known to be
-    dropped, and then removes everything that overlaps a kept box. The best
-    undecided box is always decided, so the rounds end; nothing is left out.
+    Boxes lie in tiles of their size level, so small boxes keep small tiles beside
+    large ones; :func:`_meeting_tiles` gives the tiles where a box can meet a rival.
+    Each round shows every tile the best undecided boxes around it, keeps
+    those whose better overlapping boxes are all known to be dropped, and then
+    removes everything that overlaps a kept box. The best undecided box is always
+    decided, so the rounds end; nothing is left out.
     """
-    tile = [*keys, "_tx", "_ty"]
-    side = detections.groupBy(*keys).agg(F.max(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.lit(1e-9))).alias("_side"))
-    place = [F.floor(F.col(c) / F.col("_side")).alias(name) for c, name in (("x1", "_tx"), ("y1", "_ty"))]
-    # One row per image above the size limit.
-    start = detections.join(F.broadcast(side), keys).select(*detections.columns, *place)
-    undecided = materialize(start)
-    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
+    tile = [*keys, "_level", "_tx", "_ty"]
+    columns = detections.columns
+    side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"), F.lit(1e-9))
+    if iou > 0.05:
+        # IoU is at most the ratio of the longer sides, so rivals are at most one level apart.
+        base = 1.01 * max(2.0, 1.0 / iou)
+        leveled = detections.withColumn("_level", F.floor(F.log(side) / F.log(F.lit(base))).cast("int"))
+        leveled = leveled.withColumn("_unit", F.lit(base))
+    else:
+        # One row per image above the size limit.
+        longest = detections.groupBy(*images).agg((F.max(side) * 1.01).alias("_unit"))
+        leveled = detections.join(F.broadcast(longest), images).withColumn("_level", F.lit(0))
+    placed = leveled.withColumns({"_tx": _tile_of(F.col("x1"), F.col("_level")), "_ty": _tile_of(F.col("y1"), F.col("_level"))})
+    undecided = materialize(placed.select(*columns, "_unit", "_level", "_tx", "_ty"))
     best = Window.partitionBy(*tile).orderBy(F.desc("conf"), F.asc("det_id"))
+    cut = F.col("_more") & (F.col("_rn") == tile_boxes)
     kept: list[DataFrame] = []
-    small = [*tile, "det_id", "conf", *BOX]
+    small = [*tile, "_unit", "det_id", "conf", *BOX]
     while not undecided.isEmpty():
         sizes = undecided.groupBy(*tile).agg((F.count(F.lit(1)) > tile_boxes).alias("_more"))
         top = undecided.select(*small).withColumn("_rn", F.row_number().over(best)).filter(F.col("_rn") <= tile_boxes)
-        shown = top.join(sizes, tile).withColumn("_d", around).select(
+        shown = _meeting_tiles(top.join(sizes, tile).withColumn("_cut", cut), iou, "_cut").select(
             *keys,
-            (F.col("_tx") + F.col("_d.dx")).alias("_tx"),
-            (F.col("_ty") + F.col("_d.dy")).alias("_ty"),
-            ((F.col("_d.dx") == 0) & (F.col("_d.dy") == 0)).alias("_own"),
-            (F.col("_more") & (F.col("_rn") == tile_boxes)).alias("_cut"),
+            *[F.col(f"_at.{c}").alias(f"_{c}") for c in ("level", "tx", "ty")],
+            ((F.col("_at.level") == F.col("_level")) & (F.col("_at.tx") == F.col("_tx")) & (F.col("_at.ty") == F.col("_ty"))).alias("_own"),
+            "_cut",
             "det_id",
             "conf",
             *BOX,
         )
         schema = undecided.select(*tile, "det_id").schema
         chosen = shown.groupBy(*tile).applyInPandas(_decider(iou, tile), schema)
-        winners = undecided.join(chosen, [*tile, "det_id"], "left_semi")
-        kept.append(materialize(winners))
-        suppressors = kept[-1].select(*tile, F.col("det_id").alias("_det"), *[F.col(c).alias(f"_{c}") for c in BOX]).withColumn("_d", around).select(
+        kept.append(materialize(undecided.join(chosen, [*tile, "det_id"], "left_semi")))
+        suppressors = _meeting_tiles(kept[-1].select(*small), iou).select(
             *keys,
-            (F.col("_tx") + F.col("_d.dx")).alias("_tx"),
-            (F.col("_ty") + F.col("_d.dy")).alias("_ty"),
-            "_det",
-            *[f"_{c}" for c in BOX],
+            *[F.col(f"_at.{c}").alias(f"_{c}") for c in ("level", "tx", "ty")],
+            F.col("det_id").alias("_det"),
+            *[F.col(c).alias(f"_{c}") for c in BOX],
         )
-        left, right = undecided.alias("u"), suppressors.alias("s")
         condition = (F.col("u.det_id") == F.col("s._det")) | (_iou_columns() > iou)
         for k in tile:
             condition = (F.col(f"u.{k}") == F.col(f"s.{k}")) & condition
-        undecided = materialize(left.join(right, condition, "left_anti"))
+        undecided = materialize(undecided.alias("u").join(suppressors.alias("s"), condition, "left_anti"))
     out = kept[0]
     for part in kept[1:]:
         out = out.unionByName(part)
-    return out.select(*detections.columns)
+    return out.select(*columns)
+
+
+def _tile_of(edge: Column, level: Column) -> Column:
+    """Tile number of a coordinate; tiles of a level are wider than its boxes."""
+    return F.floor(edge / F.pow(F.col("_unit"), level + 1))
+
+
+def _meeting_tiles(boxes: DataFrame, iou: float, whole: str | None = None) -> DataFrame:
+    """Copies of each box for every tile (``_at``) that may hold a box it competes with.
+
+    A rival starts less than a tile before the box and not behind its end. Rows
+    flagged by the column ``whole`` stand for their tile: they go wherever any box of
+    it might, so that every tile it touches learns that more boxes follow.
+    """
+    steps = (-1, 0, 1) if iou > 0.05 else (0,)
+    levels = F.explode(F.array(*[F.col("_level") + F.lit(step) for step in steps])).alias("_l")
+    at = boxes.select("*", levels)
+    for low, high, own, name in (("x1", "x2", "_tx", "_x"), ("y1", "y2", "_ty", "_y")):
+        first, last = F.col(low), F.col(high)
+        if whole is not None:
+            width = F.pow(F.col("_unit"), F.col("_level") + 1)
+            first = F.when(F.col(whole), (F.col(own) - 0.01) * width).otherwise(first)
+            last = F.when(F.col(whole), (F.col(own) + 2.01) * width).otherwise(last)
+        span = F.sequence(_tile_of(first, F.col("_l")) - 1, _tile_of(last, F.col("_l")))
+        at = at.select("*", F.explode(span).alias(name))
+    place = F.struct(F.col("_l").alias("level"), F.col("_x").alias("tx"), F.col("_y").alias("ty"))
+    return at.withColumn("_at", place).drop("_l", "_x", "_y")
 
 
 def _iou_columns() -> Column:

@@ -56,6 +56,18 @@ def test_nms_matches_brute_force(spark, agnostic, image_boxes, tile_boxes, sprea
     assert sorted(r.det_id for r in got.select("det_id").collect()) == _brute(pdf, keys)
 
 
+@pytest.mark.parametrize("limit, n, tile_boxes", [(0.0, 60, 40), (0.3, 150, 40), (0.3, 70, 3)])
+def test_nms_of_mixed_sizes(spark, limit, n, tile_boxes):
+    """Tiny boxes beside huge ones, in one image above the size limit."""
+    rng = np.random.default_rng(11)
+    size = 10.0 ** rng.integers(-1, 4, n) * rng.uniform(0.5, 1.0, n)
+    x, y = rng.uniform(-30, 30, n), rng.uniform(-30, 30, n)
+    pdf = pd.DataFrame({"image_id": "a", "frame": 0, "det_id": np.arange(n), "class_id": 0, "conf": rng.uniform(0, 1, n),
+                        "x1": x, "y1": y, "x2": x + size, "y2": y + size * rng.uniform(0.2, 1.0, n)})
+    got = detect.nms(spark.createDataFrame(pdf[COLUMNS]), limit, image_boxes=10, tile_boxes=tile_boxes)
+    assert sorted(r.det_id for r in got.select("det_id").collect()) == _brute(pdf, ["image_id"], limit)
+
+
 def test_a_box_over_a_dropped_box_stays(spark):
     rows = [("a", 0, 1, 0, 0.9, 0.0, 0.0, 10.0, 10.0), ("a", 0, 2, 0, 0.8, 3.0, 0.0, 13.0, 10.0), ("a", 0, 3, 0, 0.7, 6.0, 0.0, 16.0, 10.0)]
     df = spark.createDataFrame(rows, "image_id string, frame long, det_id long, class_id int, conf double, x1 double, y1 double, x2 double, y2 double")
