@@ -446,17 +446,15 @@ def grid_search(
     if not specs:
         return table.withColumn("offset", F.lit(None).cast("double")), spark.createDataFrame([], NODE_SCHEMA)
     nodes = materialize(_grow(features, names, specs, rows, task_rows))
-    offsets = []
+    scored = None
     for spec in specs:
         forest = Forest(nodes.filter(F.col("combo_id") == spec.combo_id), tuple(names), spec.psi, trees, spec.combo_id)
-        probs = sorted({1 - s[2] for s in status if s[3] == spec.combo_id})
-        scored = score_forest(features, forest).withColumn("forest_id", F.lit(spec.combo_id))
-        quantiles = exact_quantiles(scored, ["forest_id"], ["score"], probs, task_rows)
-        pairs = F.arrays_zip(F.array(*[F.lit(1 - p) for p in probs]).alias("share"), F.col("score_q").alias("offset"))
-        offsets.append(quantiles.select("forest_id", F.inline(pairs)))
-    union = offsets[0]
-    for part in offsets[1:]:
-        union = union.unionByName(part)
-    matched = (table.forest_id == union.forest_id) & (F.abs(table.contamination - union.share) < 1e-9)
-    return table.join(union, matched, "left").select(table["*"], "offset"), nodes
+        part = score_forest(features, forest).select(F.lit(spec.combo_id).alias("forest_id"), "score")
+        scored = part if scored is None else scored.unionByName(part)
+    shares = sorted({s[2] for s in status if s[5]})
+    quantiles = exact_quantiles(materialize(scored), ["forest_id"], ["score"], [1 - share for share in shares], task_rows)
+    pairs = F.arrays_zip(F.array(*[F.lit(share) for share in shares]).alias("share"), F.col("score_q").alias("offset"))
+    offsets = quantiles.select("forest_id", F.inline(pairs))
+    matched = (table.forest_id == offsets.forest_id) & (table.contamination == offsets.share)
+    return table.join(offsets, matched, "left").select(table["*"], "offset"), nodes
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # Feature groups and the names of the per-bin features.
 FEATURE_GROUPS: dict[str, tuple[str, ...]] = {
@@ -39,6 +39,10 @@ def enabled_features(switches: dict[str, dict[str, bool]] | None = None) -> list
     ]
 
 
+# The defaults of the classes below that are given (aspect ratio,
+# contamination, detection limits); margin, window, cells and trees are our own.
+
+
 @dataclass(frozen=True)
 class FlowParams:
     """Geometry and sizes behind the per-bin features."""
@@ -102,4 +106,3 @@ class KeyNames:
     gt_sample: str = "ifcb_bin"
     pred_roi: str = "roi_number"
     gt_roi: str = "roi_number"
-    ignore: tuple[str, ...] = field(default_factory=tuple)

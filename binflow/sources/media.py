@@ -27,6 +27,12 @@ SIGNATURES = {
     ".avi": ["52494646________41564920%"],
 }
 HEAD_BYTES = 16
+# Reasons a file is skipped, in the order of the checks.
+EMPTY = "empty file (0 bytes)"
+BAD_IMAGE = "cannot read image"
+BAD_VIDEO = "cannot open"
+NO_FRAMES = "no frames detected"
+BAD_FRAME = "cannot read first frame"
 ARCHIVE_SCHEMA = "bin_id string, ok boolean, error string, object_key string, members bigint, bytes bigint"
 
 
@@ -84,12 +90,12 @@ def validate_media(files: DataFrame, skip_validation: bool = False) -> DataFrame
     readable = F.col("head").isNotNull() & F.coalesce(known, F.lit(False))
     image = text.is_image(ending)
     reason = (
-        F.when(F.col("size") == 0, "empty file (0 bytes)")
-        .when(image & ~readable, "cannot read image")
+        F.when(F.col("size") == 0, EMPTY)
+        .when(image & ~readable, BAD_IMAGE)
         .when(image, None)
-        .when(~readable, "cannot open")
-        .when(frames <= 0, "no frames detected")
-        .when(~first, "cannot read first frame")
+        .when(~readable, BAD_VIDEO)
+        .when(frames <= 0, NO_FRAMES)
+        .when(~first, BAD_FRAME)
     )
     return files.withColumn("reason", reason).select(
         *columns,
