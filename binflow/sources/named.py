@@ -8,8 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.csv
-import pyarrow.parquet
+from pyarrow import csv, parquet
 from pyspark.sql import DataFrame
 
 STATUS_SCHEMA = "out_path string, ok boolean, error string, rows bigint"
@@ -68,10 +67,10 @@ class _Lines:
 
 def _writer(path: str, spare: str, schema: pa.Schema):
     if path.endswith(".parquet"):
-        return pa.parquet.ParquetWriter(spare, schema)
+        return parquet.ParquetWriter(spare, schema)
     if path.endswith(".txt"):
         return _Lines(spare)
-    return pa.csv.CSVWriter(spare, schema, write_options=pa.csv.WriteOptions(include_header=True, quoting_style="needed"))
+    return csv.CSVWriter(spare, schema, write_options=csv.WriteOptions(include_header=True, quoting_style="needed"))
 
 
 class _File:
