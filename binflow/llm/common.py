@@ -44,3 +44,11 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """``df`` without columns of these names, in any case of letters."""
     gone = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in gone])
+
+
+def if_small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """``df``, a written table of a few narrow columns, to be broadcast if it has at most ``rows`` rows.
+
+    Above that Spark joins by shuffle. Two million rows of two numbers are about 50 MB.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
