@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from binflow.llm.common import n_words
 from binflow.llm.line_dedup import dedup_lines
 from binflow.llm.ngram_join import near_components
+from binflow.llm.perplexity import judge
 from binflow.llm.pivotal_mix import mix_sources
 from binflow.llm.spaced_seed import contaminated
 
@@ -42,6 +43,12 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(_table(spark, sf_dir, "documents"))
 
 
+def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_perplexity"
+    )
+
+
 def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"), n_words(F.col("text")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -66,6 +73,7 @@ FROM j GROUP BY doc_id
 QUERIES: dict[str, Query] = {
     "op3_spaced_seeds": op3_spaced_seeds,
     "op4_ngram_join": op4_ngram_join,
+    "op5_perplexity": op5_perplexity,
     "op7_pivotal_mix": op7_pivotal_mix,
     "op10_line_dedup": op10_line_dedup,
 }
