@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binflow.llm.common import n_words
+from binflow.llm.compression_quality import score_quality
+from binflow.llm.language_id import identify
 from binflow.llm.line_dedup import dedup_lines
 from binflow.llm.ngram_join import near_components
 from binflow.llm.perplexity import judge
 from binflow.llm.pivotal_mix import mix_sources
 from binflow.llm.spaced_seed import contaminated
+from binflow.llm.url_filter import judge_urls
+from binflow.llm.url_filter import oracle_sql as url_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +25,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op3_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -54,6 +62,14 @@ def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(_table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -71,10 +87,13 @@ FROM j GROUP BY doc_id
 """
 
 QUERIES: dict[str, Query] = {
+    "op2_compression_quality": op2_compression_quality,
     "op3_spaced_seeds": op3_spaced_seeds,
     "op4_ngram_join": op4_ngram_join,
     "op5_perplexity": op5_perplexity,
     "op7_pivotal_mix": op7_pivotal_mix,
+    "op8_language_id": op8_language_id,
+    "op9_url_filter": op9_url_filter,
     "op10_line_dedup": op10_line_dedup,
 }
-ORACLES: dict[str, str] = {"op3_spaced_seeds": OP3_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES: dict[str, str] = {"op3_spaced_seeds": OP3_SQL, "op9_url_filter": url_sql(), "op10_line_dedup": OP10_SQL}
