@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from binflow.llm.common import if_small
+from binflow.llm.common import if_small, uniform
 from binflow.llm.hashing import WordHashes, mix64, rows_of, shingles, signature
 from binflow.session import materialize
 
@@ -202,67 +202,68 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _links(members: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame | None:
+def _open(known: DataFrame) -> DataFrame:
+    """Of buckets that hold more than one component: key, sets outside the largest one (``_few``), its label."""
+    parts = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_of"))
+    whole = parts.groupBy("key").agg(
+        F.sum("_of").alias("_g"), F.max("_of").alias("_most"), F.max_by("label", F.struct("_of", "label")).alias("_main")
+    )
+    return whole.where(F.col("_g") > F.col("_most")).select("key", "_g", (F.col("_g") - F.col("_most")).alias("_few"), "_main")
+
+
+def _links(members: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     """Components (node, label) of all links between sets that share an index key.
 
-    First each set is compared with the smallest set under its keys. After that
-    only pairs of different components are open. Buckets of up to FREQUENT
-    sets list theirs at once; in a larger one a set of a small component is
-    compared with all sets of other components, round by round, until the sets
-    that were not compared are of one component. So no link is lost, and large
-    groups of true copies never list their pairs.
+    Keys under which the same sets stand count once. First each set is compared
+    with the smallest set under its keys. After that only pairs of different
+    components are open. Buckets of up to FREQUENT sets list theirs at once. In a
+    larger one, sets outside its largest component are compared with all sets
+    of other components: about FREQUENT of them, then eight times as many, and so
+    on until all were. So no link is lost, and large groups of true copies never
+    list their pairs.
     """
     first = members.groupBy("key").agg(
-        F.min(F.struct("s1", "n_shingles")).alias("_c"), F.max("s1").alias("_last"), F.count(F.lit(1)).alias("_g")
+        F.min(F.struct("s1", "n_shingles")).alias("_c"),
+        F.max("s1").alias("_last"),
+        F.count(F.lit(1)).alias("_g"),
+        F.bit_xor(F.xxhash64("s1")).alias("_x"),
+        F.bit_xor(F.xxhash64(F.lit(1), "s1")).alias("_y"),
     )
     first = first.where(F.col("_c.s1") != F.col("_last"))
-    members = materialize(members.join(first, "key").select("key", "s1", "n_shingles", "_c", "_g"))
+    first = first.groupBy("_g", "_x", "_y").agg(F.min("key").alias("key"), F.min("_c").alias("_c")).select("key", "_c")
+    members = materialize(members.join(first, "key").select("key", "s1", "n_shingles", "_c"))
     stars = members.where(
         (F.col("_c.s1") != F.col("s1")) & _sizes_fit(F.col("_c.n_shingles"), F.col("n_shingles"), share)
     )
-    pairs = materialize(stars.select(F.col("_c.s1").alias("a"), F.col("s1").alias("b")).distinct())
-    checked, edges = pairs, materialize(_verify(pairs, sets, share))
-    done = None
+    checked = materialize(stars.select(F.col("_c.s1").alias("a"), F.col("s1").alias("b")).distinct())
+    edges = materialize(_verify(checked, sets, share))
+    many, done = FREQUENT, None
     while True:
         labels = connected(edges)
-        known = members.join(labels.withColumnRenamed("node", "s1"), "s1", "left").withColumn(
-            "label", F.coalesce("label", "s1")
+        known = members.join(labels.withColumnRenamed("node", "s1"), "s1", "left").select(
+            "key", "s1", "n_shingles", F.coalesce("label", "s1").alias("label")
         )
-        open_keys = known.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y"))
-        open_keys = open_keys.where(F.col("_x") != F.col("_y")).select("key")
-        left = known.join(open_keys, "key").select("key", "s1", "n_shingles", "label", "_g")
-        if done is not None:
-            left = left.where(F.col("_g") > FREQUENT).join(done, ["key", "s1"], "left").withColumn("_done", F.coalesce("_done", F.lit(False)))
+        left = known.join(_open(known), "key")
+        if done is not None:  # small buckets were listed whole, and of large ones these sets
+            left = left.where(F.col("_g") > FREQUENT).join(done, ["key", "s1"], "left").withColumn("_done", F.col("_done").isNotNull())
         else:
             left = left.withColumn("_done", F.lit(False))
-        left = materialize(left)
-        a, b = left.alias("a"), left.alias("b")
+        lot = uniform(F.col("key"), F.col("s1")) * F.col("_few") < F.lit(float(many))
+        turn = ~F.col("_done") & (F.col("label") != F.col("_main")) & ((F.col("_g") <= FREQUENT) | lot)
+        left = materialize(left.withColumn("_turn", turn))
+        if not left.where(~F.col("_done") & (F.col("label") != F.col("_main"))).limit(1).count():
+            return labels
+        a, b = left.where("_turn").alias("a"), left.alias("b")
         fit = _sizes_fit(F.col("a.n_shingles"), F.col("b.n_shingles"), share) & (F.col("a.label") != F.col("b.label"))
-        light = a.where(F.col("a._g") <= FREQUENT).join(
-            b.where(F.col("b._g") <= FREQUENT), (F.col("a.key") == F.col("b.key")) & (F.col("a.s1") < F.col("b.s1")) & fit
-        )
-        heavy = left.where(F.col("_g") > FREQUENT)
-        parts = heavy.groupBy("key", "label").agg(
-            F.count(F.lit(1)).alias("_of"),
-            F.min(F.when(~F.col("_done"), F.struct("s1", "n_shingles", "label"))).alias("_next"),
+        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & fit).select(
+            F.least("a.s1", "b.s1").alias("a"), F.greatest("a.s1", "b.s1").alias("b")
         )
-        parts = parts.where(F.col("_next").isNotNull()).groupBy("key").agg(
-            F.min(F.struct("_of", "_next")).alias("_pick"), F.count(F.lit(1)).alias("_open")
-        )
-        picks = materialize(parts.where(F.col("_open") > 1).select("key", F.col("_pick._next").alias("_c")))
-        star = heavy.join(picks, "key").where(
-            (F.col("label") != F.col("_c.label")) & _sizes_fit(F.col("n_shingles"), F.col("_c.n_shingles"), share)
-        )
-        more = light.select(F.col("a.s1").alias("a"), F.col("b.s1").alias("b")).union(
-            star.select(F.least("s1", F.col("_c.s1")).alias("a"), F.greatest("s1", F.col("_c.s1")).alias("b"))
-        )
-        more = materialize(more.distinct().join(checked, ["a", "b"], "left_anti"))
-        centres = picks.select("key", F.col("_c.s1").alias("s1"), F.lit(True).alias("_done"))
-        done = materialize(centres if done is None else done.union(centres))
-        found = materialize(_verify(more, sets, share))
-        if not found.limit(1).count() and not picks.limit(1).count():
-            return labels
-        checked, edges = materialize(checked.union(more)), materialize(edges.union(found))
+        pairs = materialize(pairs.distinct().join(checked, ["a", "b"], "left_anti"))
+        turned = left.where("_turn").select("key", "s1", F.lit(True).alias("_done"))
+        done = materialize(turned if done is None else done.union(turned))
+        found = materialize(_verify(pairs, sets, share))
+        checked, edges = materialize(checked.union(pairs)), materialize(edges.union(found))
+        many *= 8
 
 
 def near_components(
