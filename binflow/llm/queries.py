@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from binflow.llm.common import n_words
 from binflow.llm.compression_quality import score_quality
 from binflow.llm.language_id import identify
+from binflow.llm.license_scan import scan_licenses
 from binflow.llm.line_dedup import dedup_lines
 from binflow.llm.ngram_join import near_components
 from binflow.llm.perplexity import judge
@@ -25,6 +26,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op2_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -87,6 +92,7 @@ FROM j GROUP BY doc_id
 """
 
 QUERIES: dict[str, Query] = {
+    "op1_license_scan": op1_license_scan,
     "op2_compression_quality": op2_compression_quality,
     "op3_spaced_seeds": op3_spaced_seeds,
     "op4_ngram_join": op4_ngram_join,
