@@ -18,6 +18,10 @@ SHINGLE, SIMILARITY = 5, Fraction(3, 4)
 #: Documents up to which a token is indexed alone; more frequent ones in pairs. Also the size
 #: of a bucket up to which its open pairs are listed at once.
 FREQUENT = 48
+#: Numbers of 64 bits in the bitmap of a set.
+BITMAP = 64
+#: Smallest keys of a set that its rows carry.
+CARRIED = 12
 #: Rows per batch that tasks send on.
 BATCH = 200_000
 
@@ -77,13 +81,20 @@ def _probes(n: int, share: Fraction):
     return run
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """One bit for each token by its hash."""
+    bits = np.zeros(BITMAP * 64, np.uint8)
+    bits[(tokens >> np.uint64(20)) % np.uint64(len(bits))] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def _sets(n: int):
-    """Rows (text, s1) to (s1, n_shingles, tokens), where the text has that signature."""
+    """Rows (text, s1) to (s1, n_shingles, tokens, bits), where the text has that signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            one, sizes, values, offsets = [], [], [np.zeros(0, np.int64)], [0]
+            one, sizes, values, offsets, bits = [], [], [np.zeros(0, np.int64)], [0], [np.zeros(0, np.int64)]
             for text, s1 in rows_of(iter([batch]), "text", "s1"):
                 tokens = np.unique(shingles(memo.of(text), n))
                 if signature(tokens)[0] != s1:
@@ -92,9 +103,11 @@ def _sets(n: int):
                 sizes.append(len(tokens))
                 values.append(tokens.view(np.int64))
                 offsets.append(offsets[-1] + len(tokens))
+                bits.append(bitmap(tokens))
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(len(one) + 1) * BITMAP, pa.int32()), pa.array(np.concatenate(bits)))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(values)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(one, pa.int64()), pa.array(sizes, pa.int64()), lists], ["s1", "n_shingles", "tokens"]
+                [pa.array(one, pa.int64()), pa.array(sizes, pa.int64()), lists, maps], ["s1", "n_shingles", "tokens", "bits"]
             )
 
     return run
@@ -165,12 +178,25 @@ def _sizes_fit(a: Column, b: Column, share: Fraction) -> Column:
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    left = sets.select(F.col("s1").alias("a"), F.col("tokens").alias("_ta"))
-    right = sets.select(F.col("s1").alias("b"), F.col("tokens").alias("_tb"))
-    both = pairs.join(left, "a").join(right, "b")
-    inter = F.size(F.array_intersect("_ta", "_tb"))
-    return both.where(_similar(inter, F.size("_ta") + F.size("_tb"), share)).select("a", "b")
+    """The pairs (a, b) whose sets are similar enough.
+
+    A bit that only one set has stands for a token that only it has, so the
+    bitmaps, a tenth of a set's size, rule out most pairs; the rest are compared exactly.
+    """
+    side = lambda name, *cols: sets.select(F.col("s1").alias(name), *[F.col(c).alias(f"_{c}_{name}") for c in cols])
+    seen = pairs.join(side("a", "bits", "n_shingles"), "a").join(side("b", "bits", "n_shingles"), "b")
+    alone = lambda x, y: F.aggregate(
+        F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, c: t + c
+    )
+    most = F.least(
+        F.col("_n_shingles_a") - alone("_bits_a", "_bits_b"), F.col("_n_shingles_b") - alone("_bits_b", "_bits_a")
+    )
+    hopeful = materialize(
+        seen.where(_similar(most, F.col("_n_shingles_a") + F.col("_n_shingles_b"), share)).select("a", "b")
+    )
+    both = hopeful.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
+    inter = F.size(F.array_intersect("_tokens_a", "_tokens_b"))
+    return both.where(_similar(inter, F.size("_tokens_a") + F.size("_tokens_b"), share)).select("a", "b")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -215,12 +241,13 @@ def _links(members: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     """Components (node, label) of all links between sets that share an index key.
 
     Keys under which the same sets stand count once. First each set is compared
-    with the smallest set under its keys. After that only pairs of different
-    components are open. Buckets of up to FREQUENT sets list theirs at once. In a
-    larger one, sets outside its largest component are compared with all sets
-    of other components: about FREQUENT of them, then eight times as many, and so
-    on until all were. So no link is lost, and large groups of true copies never
-    list their pairs.
+    with one set, the smallest under any of its keys. After that only pairs of
+    different components are open. Buckets of up to FREQUENT sets list theirs at
+    once. In a larger one, sets outside its largest component are compared with all
+    sets of other components: about FREQUENT of them, then eight times as many, and
+    so on until all were. So no link is lost, and large groups of true copies
+    never list their pairs. A pair is left out under a key if the first keys of
+    both sets, which each row carries, show that a smaller bucket lists it.
     """
     first = members.groupBy("key").agg(
         F.min(F.struct("s1", "n_shingles")).alias("_c"),
@@ -235,7 +262,7 @@ def _links(members: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     stars = members.where(
         (F.col("_c.s1") != F.col("s1")) & _sizes_fit(F.col("_c.n_shingles"), F.col("n_shingles"), share)
     )
-    checked = materialize(stars.select(F.col("_c.s1").alias("a"), F.col("s1").alias("b")).distinct())
+    checked = materialize(stars.groupBy(F.col("s1").alias("b")).agg(F.min("_c.s1").alias("a")).select("a", "b"))
     edges = materialize(_verify(checked, sets, share))
     many, done = FREQUENT, None
     while True:
@@ -253,8 +280,15 @@ def _links(members: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
         left = materialize(left.withColumn("_turn", turn))
         if not left.where(~F.col("_done") & (F.col("label") != F.col("_main"))).limit(1).count():
             return labels
-        a, b = left.where("_turn").alias("a"), left.alias("b")
-        fit = _sizes_fit(F.col("a.n_shingles"), F.col("b.n_shingles"), share) & (F.col("a.label") != F.col("b.label"))
+        small = left.where(F.col("_g") <= FREQUENT)
+        keys = small.groupBy("s1").agg(F.slice(F.array_sort(F.collect_list("key")), 1, CARRIED).alias("_first"))
+        rows = left.join(keys, "s1", "left").withColumn("_first", F.coalesce("_first", F.array().cast("array<long>")))
+        a, b = rows.where("_turn").alias("a"), rows.alias("b")
+        shared = F.array_min(F.array_intersect("a._first", "b._first"))
+        listed = F.coalesce((shared < F.col("a.key")) | (F.col("a._g") > FREQUENT) & shared.isNotNull(), F.lit(False))
+        # Both in turn: the pair is made once.
+        twice = F.col("b._turn") & (F.col("a.s1") > F.col("b.s1"))
+        fit = _sizes_fit(F.col("a.n_shingles"), F.col("b.n_shingles"), share) & (F.col("a.label") != F.col("b.label")) & ~twice & ~listed
         pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & fit).select(
             F.least("a.s1", "b.s1").alias("a"), F.greatest("a.s1", "b.s1").alias("b")
         )
@@ -305,7 +339,7 @@ def near_components(
     )
     texts = rows.join(if_small(hopeful), rows["id"] == hopeful["rep"]).select("text", "s1")
     sets = materialize(
-        texts.mapInArrow(_sets(words), "s1 long, n_shingles long, tokens array<long>").dropDuplicates(["s1"])
+        texts.mapInArrow(_sets(words), "s1 long, n_shingles long, tokens array<long>, bits array<long>").dropDuplicates(["s1"])
     )
     tokens = sets.select("s1", "n_shingles", F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") > 1)
