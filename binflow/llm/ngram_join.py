@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +16,12 @@ from binflow.llm.hashing import WordHashes, mix64, rows_of, shingles, signature
 from binflow.session import materialize
 
 SHINGLE, SIMILARITY = 5, Fraction(3, 4)
-#: Documents up to which a token is indexed alone; more frequent ones in pairs. Also the size
-#: of a bucket up to which its open pairs are listed at once.
+#: Documents up to which a token is indexed alone; more frequent ones in pairs.
 FREQUENT = 48
 #: Numbers of 64 bits in the bitmap of a set.
 BITMAP = 64
 #: Smallest keys of a set that its rows carry.
-CARRIED = 12
+CARRIED = 16
 #: Rows per batch that tasks send on.
 BATCH = 200_000
 
@@ -177,23 +177,24 @@ def _sizes_fit(a: Column, b: Column, share: Fraction) -> Column:
     return F.least(a, b) * share.denominator >= F.greatest(a, b) * share.numerator
 
 
+def _may_be_similar(bits_a: Column, bits_b: Column, n_a: Column, n_b: Column, share: Fraction) -> Column:
+    """False only for sets that are not similar: a bit that only one set has stands for a token that only it has."""
+    alone = lambda x, y: F.aggregate(
+        F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, c: t + c
+    )
+    most = F.least(n_a - alone(bits_a, bits_b), n_b - alone(bits_b, bits_a))
+    return _similar(most, n_a + n_b, share)
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough.
 
-    A bit that only one set has stands for a token that only it has, so the
-    bitmaps, a tenth of a set's size, rule out most pairs; the rest are compared exactly.
+    Bitmaps, a tenth of a set's size, rule out most pairs; the rest are compared exactly.
     """
     side = lambda name, *cols: sets.select(F.col("s1").alias(name), *[F.col(c).alias(f"_{c}_{name}") for c in cols])
     seen = pairs.join(side("a", "bits", "n_shingles"), "a").join(side("b", "bits", "n_shingles"), "b")
-    alone = lambda x, y: F.aggregate(
-        F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseAND(F.bitwise_not(q)))), F.lit(0), lambda t, c: t + c
-    )
-    most = F.least(
-        F.col("_n_shingles_a") - alone("_bits_a", "_bits_b"), F.col("_n_shingles_b") - alone("_bits_b", "_bits_a")
-    )
-    hopeful = materialize(
-        seen.where(_similar(most, F.col("_n_shingles_a") + F.col("_n_shingles_b"), share)).select("a", "b")
-    )
+    may = _may_be_similar(F.col("_bits_a"), F.col("_bits_b"), F.col("_n_shingles_a"), F.col("_n_shingles_b"), share)
+    hopeful = materialize(seen.where(may).select("a", "b"))
     both = hopeful.join(side("a", "tokens"), "a").join(side("b", "tokens"), "b")
     inter = F.size(F.array_intersect("_tokens_a", "_tokens_b"))
     return both.where(_similar(inter, F.size("_tokens_a") + F.size("_tokens_b"), share)).select("a", "b")
@@ -228,26 +229,18 @@ def connected(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _open(known: DataFrame) -> DataFrame:
-    """Of buckets that hold more than one component: key, sets outside the largest one (``_few``), its label."""
-    parts = known.groupBy("key", "label").agg(F.count(F.lit(1)).alias("_of"))
-    whole = parts.groupBy("key").agg(
-        F.sum("_of").alias("_g"), F.max("_of").alias("_most"), F.max_by("label", F.struct("_of", "label")).alias("_main")
-    )
-    return whole.where(F.col("_g") > F.col("_most")).select("key", "_g", (F.col("_g") - F.col("_most")).alias("_few"), "_main")
-
-
 def _links(members: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     """Components (node, label) of all links between sets that share an index key.
 
     Keys under which the same sets stand count once. First each set is compared
     with one set, the smallest under any of its keys. After that only pairs of
-    different components are open. Buckets of up to FREQUENT sets list theirs at
-    once. In a larger one, sets outside its largest component are compared with all
-    sets of other components: about FREQUENT of them, then eight times as many, and
-    so on until all were. So no link is lost, and large groups of true copies
-    never list their pairs. A pair is left out under a key if the first keys of
-    both sets, which each row carries, show that a smaller bucket lists it.
+    different components are open, and each set in turn is compared with all sets
+    of other components under its keys: one set of 512, then one of 64, one of 8,
+    and in the end all that are left. The early ones join large groups of true
+    copies, so these never list their pairs, and no link is lost. A pair
+    is listed under one key: the first keys of both sets, which each row carries,
+    show whether a smaller key lists it. Each row carries a small bitmap of its
+    set too, so that most pairs that are no links are not made.
     """
     first = members.groupBy("key").agg(
         F.min(F.struct("s1", "n_shingles")).alias("_c"),
@@ -264,40 +257,34 @@ def _links(members: DataFrame, sets: DataFrame, share: Fraction) -> DataFrame:
     )
     checked = materialize(stars.groupBy(F.col("s1").alias("b")).agg(F.min("_c.s1").alias("a")).select("a", "b"))
     edges = materialize(_verify(checked, sets, share))
-    many, done = FREQUENT, None
-    while True:
+    for share_of_sets in (1 / 512, 1 / 64, 1 / 8, 1.0):
         labels = connected(edges)
         known = members.join(labels.withColumnRenamed("node", "s1"), "s1", "left").select(
             "key", "s1", "n_shingles", F.coalesce("label", "s1").alias("label")
         )
-        left = known.join(_open(known), "key")
-        if done is not None:  # small buckets were listed whole, and of large ones these sets
-            left = left.where(F.col("_g") > FREQUENT).join(done, ["key", "s1"], "left").withColumn("_done", F.col("_done").isNotNull())
-        else:
-            left = left.withColumn("_done", F.lit(False))
-        lot = uniform(F.col("key"), F.col("s1")) * F.col("_few") < F.lit(float(many))
-        turn = ~F.col("_done") & (F.col("label") != F.col("_main")) & ((F.col("_g") <= FREQUENT) | lot)
-        left = materialize(left.withColumn("_turn", turn))
-        if not left.where(~F.col("_done") & (F.col("label") != F.col("_main"))).limit(1).count():
-            return labels
-        small = left.where(F.col("_g") <= FREQUENT)
-        keys = small.groupBy("s1").agg(F.slice(F.array_sort(F.collect_list("key")), 1, CARRIED).alias("_first"))
-        rows = left.join(keys, "s1", "left").withColumn("_first", F.coalesce("_first", F.array().cast("array<long>")))
-        a, b = rows.where("_turn").alias("a"), rows.alias("b")
-        shared = F.array_min(F.array_intersect("a._first", "b._first"))
-        listed = F.coalesce((shared < F.col("a.key")) | (F.col("a._g") > FREQUENT) & shared.isNotNull(), F.lit(False))
-        # Both in turn: the pair is made once.
-        twice = F.col("b._turn") & (F.col("a.s1") > F.col("b.s1"))
-        fit = _sizes_fit(F.col("a.n_shingles"), F.col("b.n_shingles"), share) & (F.col("a.label") != F.col("b.label")) & ~twice & ~listed
-        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & fit).select(
+        open_keys = known.groupBy("key").agg(F.min("label").alias("_x"), F.max("label").alias("_y"))
+        left = materialize(known.join(open_keys.where(F.col("_x") != F.col("_y")).select("key"), "key"))
+        keys = left.groupBy("s1").agg(F.slice(F.array_sort(F.collect_list("key")), 1, CARRIED).alias("_first"))
+        # Bitmaps folded to a quarter, so that each row can carry one.
+        folded = F.transform(
+            F.sequence(F.lit(0), F.lit(BITMAP // 4 - 1)),
+            lambda i: reduce(lambda x, y: x.bitwiseOR(y), [F.get(F.col("bits"), i + k * (BITMAP // 4)) for k in range(4)]),
+        )
+        brief = sets.select("s1", folded.alias("_bits"))
+        rows = materialize(left.join(keys, "s1").join(brief, "s1").withColumn("_lot", uniform(F.lit(1), F.col("s1"))))
+        a, b = rows.where(F.col("_lot") < share_of_sets).alias("a"), rows.alias("b")
+        # The one with the smaller lot has its turn first, so each pair is made once.
+        order = F.struct("a._lot", "a.s1") < F.struct("b._lot", "b.s1")
+        earlier = F.coalesce(F.array_min(F.array_intersect("a._first", "b._first")) < F.col("a.key"), F.lit(False))
+        apart = (F.col("a.label") != F.col("b.label")) & _sizes_fit(F.col("a.n_shingles"), F.col("b.n_shingles"), share)
+        may = _may_be_similar(F.col("a._bits"), F.col("b._bits"), F.col("a.n_shingles"), F.col("b.n_shingles"), share)
+        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & order & apart & ~earlier & may).select(
             F.least("a.s1", "b.s1").alias("a"), F.greatest("a.s1", "b.s1").alias("b")
         )
         pairs = materialize(pairs.distinct().join(checked, ["a", "b"], "left_anti"))
-        turned = left.where("_turn").select("key", "s1", F.lit(True).alias("_done"))
-        done = materialize(turned if done is None else done.union(turned))
         found = materialize(_verify(pairs, sets, share))
         checked, edges = materialize(checked.union(pairs)), materialize(edges.union(found))
-        many *= 8
+    return connected(edges)
 
 
 def near_components(
