@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binflow.llm.common import n_words
+from binflow.llm.compact_windows import repeated_passages
 from binflow.llm.compression_quality import score_quality
 from binflow.llm.language_id import identify
 from binflow.llm.license_scan import scan_licenses
@@ -62,6 +63,10 @@ def op5_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"), n_words(F.col("text")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -97,6 +102,7 @@ QUERIES: dict[str, Query] = {
     "op3_spaced_seeds": op3_spaced_seeds,
     "op4_ngram_join": op4_ngram_join,
     "op5_perplexity": op5_perplexity,
+    "op6_compact_windows": op6_compact_windows,
     "op7_pivotal_mix": op7_pivotal_mix,
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
