@@ -52,3 +52,24 @@ def if_small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
     Above that Spark joins by shuffle. Two million rows of two numbers are about 50 MB.
     """
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def pieces(words: Column, size: int, margin: int) -> Column:
+    """A long array cut up: array of (from, lead, count, words).
+
+    Each piece owns ``count`` positions from the ``lead``-th of its words on, and has up to ``margin``
+    more words on both sides; ``from`` is where its words begin in the whole. Rows that are
+    made from a piece carry it, so their memory does not grow with the text.
+    """
+    n = F.size(words)
+
+    def cut(start: Column) -> Column:
+        begin = F.greatest(start - margin, F.lit(0))
+        return F.struct(
+            begin.alias("from"),
+            (start - begin).alias("lead"),
+            F.least(F.lit(size), n - start).alias("count"),
+            F.slice(words, begin + 1, F.lit(size + 2 * margin)).alias("words"),
+        )
+
+    return F.transform(F.sequence(F.lit(0), n - 1, F.lit(size)), cut)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from binflow.llm.common import letter_words
+from binflow.llm.common import letter_words, pieces
 
 #: Notices by license; the last words of a notice may differ, so only their fixed part is here.
 TEMPLATES = (
@@ -28,6 +28,8 @@ WINDOW, STRIDE = 8, 4
 #: from seven words on the share is 4/9 and the chance is 0.01 %.
 BANDS = 16
 CONTAINED = 0.9
+#: Words of a piece of a long document; a multiple of STRIDE.
+PIECE = 1024
 #: Words of all templates up to which their bands are broadcast (BANDS rows of some hundred bytes a word).
 BROADCAST_WORDS = 100_000
 
@@ -97,18 +99,21 @@ def scan_licenses(
         .select("_license", "_pairs", F.size("_words").alias("_long"), F.explode(_bands(F.col("_words"), F.col("_at"))).alias("_band"))
         .distinct()
     )
-    words = known.agg(F.sum(F.size("_words")).alias("n")).first()["n"] or 0
+    sizes = known.agg(F.sum(F.size("_words")).alias("n"), F.max(F.size("_words")).alias("most")).first()
+    words, most = sizes["n"] or 0, sizes["most"] or 0
     if words <= BROADCAST_WORDS:
         planted = F.broadcast(planted)
     texts = _hashed(docs, F.col(id_col).alias("_id"), F.col(text_col)).withColumnRenamed("_words", "_text").where(F.size("_text") >= 2)
-    windows = texts.select("_id", "_text", F.explode(F.sequence(F.lit(0), F.size("_text") - 1, F.lit(STRIDE))).alias("_at"))
-    probes = windows.select("_id", "_text", "_at", F.explode(_bands(F.col("_text"), F.col("_at"))).alias("_band"))
+    cut = texts.select("_id", F.explode(pieces(F.col("_text"), PIECE, most + WINDOW)).alias("_p"))
+    starts = F.sequence(F.col("_p.lead"), F.col("_p.lead") + F.col("_p.count") - 1, F.lit(STRIDE))
+    windows = cut.select("_id", F.col("_p.words").alias("_text"), F.col("_p.from").alias("_from"), F.explode(starts).alias("_at"))
+    probes = windows.select("_id", "_text", "_from", "_at", F.explode(_bands(F.col("_text"), F.col("_at"))).alias("_band"))
     first = F.greatest(F.col("_at") - F.col("_long"), F.lit(0))
     last = F.least(F.col("_at") + WINDOW + F.col("_long"), F.size("_text")) - 2
     around = F.transform(F.sequence(first, last), lambda i: F.xxhash64(F.get(F.col("_text"), i), F.get(F.col("_text"), i + 1)))
     found = (
         probes.join(planted, "_band")
-        .select("_id", "_license", "_pairs", first.alias("_first"), around.alias("_around"))
+        .select("_id", "_license", "_pairs", (F.col("_from") + first).alias("_first"), around.alias("_around"))
         .withColumn("_both", F.array_intersect("_around", "_pairs"))
         .withColumn("_share", F.size("_both") / F.size("_pairs"))
         .where(F.col("_share") >= contained)

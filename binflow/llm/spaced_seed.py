@@ -7,11 +7,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from binflow.llm.common import letter_words
+from binflow.llm.common import letter_words, pieces
 
 #: Token positions that the two seeds look at; the others are ignored.
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 3, 6, 7, 8))
 WINDOW, MATCHES = 13, 11
+#: Words of a piece of a long document.
+PIECE = 1024
 #: Benchmark words up to which the seeds of the benchmark are broadcast (about 300 bytes each).
 BROADCAST_WORDS = 500_000
 
@@ -70,7 +72,7 @@ def contaminated(
     count as one document. Other columns are not read. An empty document or
     benchmark table gives an empty table.
 
-    A document's hashed words stay one array that every seed of the row refers to;
+    A document's hashed words are cut into overlapping pieces, which the seeds refer to;
     only verified hits are shuffled. The benchmark's seeds are broadcast after
     its words are counted; from BROADCAST_WORDS on, Spark joins by shuffle.
     """
@@ -91,16 +93,18 @@ def contaminated(
     if words <= BROADCAST_WORDS:
         planted = F.broadcast(planted)
     texts = _hashed(docs, id_col, text_col, "_doc").where(F.size("_doc_t") >= matches)
+    cut = texts.select("_doc", F.explode(pieces(F.col("_doc_t"), PIECE, window)).alias("_c"))
+    places = F.sequence(F.col("_c.lead"), F.col("_c.lead") + F.col("_c.count") - 1)
     probes = (
-        texts.select("_doc", "_doc_t", F.posexplode("_doc_t").alias("_p", "_w"))
-        .select("_doc", "_doc_t", "_p", F.explode(_seeds(F.col("_doc_t"), F.col("_p"), masks)).alias("_seed"))
+        cut.select("_doc", F.col("_c.words").alias("_doc_t"), F.col("_c.from").alias("_from"), F.explode(places).alias("_p"))
+        .select("_doc", "_doc_t", "_from", "_p", F.explode(_seeds(F.col("_doc_t"), F.col("_p"), masks)).alias("_seed"))
         .where(F.col("_seed").isNotNull())
     )
     equal = F.transform(
         F.sequence(F.lit(0), F.lit(2 * reach)),
         lambda o: F.when(F.get(F.col("_doc_t"), F.col("_p") + o - reach) == F.get(F.col("_around"), o), 1).otherwise(0),
     )
-    hits = probes.join(planted, "_seed").select("_doc", "_item", "_p", equal.alias("_eq"))
+    hits = probes.join(planted, "_seed").select("_doc", "_item", (F.col("_from") + F.col("_p")).alias("_p"), equal.alias("_eq"))
     in_stretch = lambda s: F.slice(F.col("_eq"), s + 1, window)
     count = lambda s: F.aggregate(in_stretch(s), F.lit(0), lambda a, x: a + x)
     last = lambda s: s + window - 1 - (F.array_position(F.reverse(in_stretch(s)), 1).cast("int") - 1)

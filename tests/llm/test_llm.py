@@ -190,7 +190,8 @@ def test_mix(spark, awkward, empty):
 
 def test_perplexity(spark, awkward, empty):
     rng = random.Random(6)
-    good = [(i, " ".join(rng.choice(["some", "plain", "words", "that", "people", "write", "often", f"x{rng.randint(1, 99)}"]) for _ in range(200)), "en", "a") for i in range(80)]
+    word = lambda: "".join(rng.choice(["ta", "ri", "mo", "ne", "lu", "sa"]) for _ in range(rng.randint(2, 4)))
+    good = [(i, " ".join(word() for _ in range(200)), "en", "a") for i in range(80)]
     junk = (99, " ".join("".join(rng.choice("qxzjk#%&") for _ in range(7)) for _ in range(200)), "en", "a")
     docs = frame(spark, [*good, junk])
     out = judge(docs).toPandas().set_index("doc_id")
