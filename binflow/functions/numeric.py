@@ -11,10 +11,14 @@ def softmax(scores: Column) -> Column:
     zero = F.lit(0.0)
     total = F.aggregate(scores, zero, lambda acc, v: acc + v)
     ready = F.forall(scores, lambda v: v >= 0) & (F.abs(total - 1.0) <= 1e-3)
-    top = F.array_max(scores)
-    powers = F.transform(scores, lambda v: F.exp(v - top))
-    scaled = F.transform(powers, lambda v: v / F.aggregate(powers, zero, lambda acc, w: acc + w))
-    return F.when(ready, scores).otherwise(scaled)
+    # A one-element array binds a value, so that it is computed once and not for each element.
+    bound = lambda value, use: F.get(F.transform(F.array(value), use), 0)
+    powers = bound(F.array_max(scores), lambda top: F.transform(scores, lambda v: F.exp(v - top)))
+
+    def scaled(p: Column) -> Column:
+        return bound(F.aggregate(p, zero, lambda acc, w: acc + w), lambda whole: F.transform(p, lambda v: v / whole))
+
+    return F.when(ready, scores).otherwise(bound(powers, scaled))
 
 
 def top_class(scores: Column) -> Column:

@@ -77,10 +77,10 @@ def onnx_predict_fn(model: bytes) -> Callable:
 
 
 def label_classes(scores: DataFrame, classes: DataFrame, column: str = "scores") -> DataFrame:
-    """One row per class with its name; the index is the line of the class file from 0."""
+    """One row per class with its name, NULL where it has none; the index is the line of the class file from 0."""
     kept = [c for c in scores.columns if c != column]
     long = scores.select(*kept, F.posexplode(column).alias("class_id", "score"))
-    return long.join(classes.select("class_id", "name"), "class_id")
+    return long.join(classes.select("class_id", "name"), "class_id", "left")
 
 
 def top_classes(scores: DataFrame, classes: DataFrame, column: str = "scores") -> DataFrame:

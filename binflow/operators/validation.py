@@ -119,12 +119,14 @@ def blob_metrics(matched: DataFrame) -> DataFrame:
     """Pixel counts, IoU, Dice, accuracy and differing pixels per particle image.
 
     Masks stay arrays: one pass over a row, no explode and no shuffle. Two empty
-    masks agree, so their IoU and Dice are 1.
+    masks agree, so their IoU and Dice are 1. Where a mask is missing, or the two
+    differ in length, every figure is NULL.
     """
+    comparable = F.coalesce(F.size("pred") == F.size("gt"), F.lit(False)) & F.col("pred").isNotNull() & F.col("gt").isNotNull()
 
     def pixels(pred: bool, gt: bool) -> Column:
         zipped = F.zip_with("pred", "gt", lambda p, g: (p.cast("boolean") == F.lit(pred)) & (g.cast("boolean") == F.lit(gt)))
-        return F.size(F.filter(zipped, lambda hit: hit))
+        return F.when(comparable, F.size(F.filter(zipped, lambda hit: hit)))
 
     counted = matched.select(
         *KEYS,
@@ -136,8 +138,8 @@ def blob_metrics(matched: DataFrame) -> DataFrame:
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     return counted.select(
         "*",
-        F.coalesce(F.try_divide(tp, tp + fp + fn), F.lit(1.0)).alias("iou"),
-        F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(1.0)).alias("dice"),
+        F.when(tp.isNotNull(), F.coalesce(F.try_divide(tp, tp + fp + fn), F.lit(1.0))).alias("iou"),
+        F.when(tp.isNotNull(), F.coalesce(F.try_divide(2 * tp, 2 * tp + fp + fn), F.lit(1.0))).alias("dice"),
         F.try_divide(tp + tn, tp + fp + fn + tn).alias("accuracy"),
         (fp + fn).cast("bigint").alias("diff_pixels"),
     )

@@ -200,3 +200,30 @@ def test_box_iou(spark):
     got = [r[0] for r in df.select(iou).collect()]
     assert got[0] == pytest.approx(1 / 3) and got[1] == 0 and got[2] is None
     assert np.isclose(got[0], 1 / 3)
+
+
+def test_masks_that_cannot_be_compared(spark):
+    from binflow.operators.validation import blob_metrics, blob_summary
+
+    rows = [("a", 1, [1, 0], [1, 0]), ("a", 2, None, [1, 0]), ("a", 3, [1, 0], [1, 0, 1, 1]), ("a", 4, [], [])]
+    matched = spark.createDataFrame(rows, "sample_id string, roi_number int, pred array<int>, gt array<int>")
+    out = {r.roi_number: (r.iou, r.dice, r.tp, r.diff_pixels) for r in blob_metrics(matched).collect()}
+    assert out == {1: (1.0, 1.0, 1, 0), 2: (None,) * 4, 3: (None,) * 4, 4: (1.0, 1.0, 0, 0)}
+    assert blob_summary(blob_metrics(matched)).first().perfect_matches == 2
+
+
+def test_softmax_and_class_names(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from binflow.functions.numeric import softmax
+    from binflow.operators.infer import label_classes
+
+    scores = spark.createDataFrame([(1, [0.0, 2.0, -1.0])], "id int, scores array<double>")
+    out = scores.select(softmax(F.col("scores")).alias("s")).first().s
+    whole = sum(math.exp(v) for v in (0.0, 2.0, -1.0))
+    assert all(abs(a - math.exp(v) / whole) < 1e-12 for a, v in zip(out, (0.0, 2.0, -1.0)))
+    names = spark.createDataFrame([(0, "zero")], "class_id int, name string")
+    got = sorted((r.class_id, r.name) for r in label_classes(scores, names).collect())
+    assert got == [(0, "zero"), (1, None), (2, None)]
