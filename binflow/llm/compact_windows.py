@@ -23,6 +23,10 @@ FUNCTIONS, AGREE = 4, 3
 #: Shingles of a piece of a long text, and the reach of a window to each side.
 PIECE, REACH = 1 << 18, 1 << 12
 BATCH = 100_000
+#: Documents of a key that the others are compared with in a later round: twice as many each round, up to the last.
+LEADERS, MOST_LEADERS = 8, 64
+#: Shingle values that a task sends on at once.
+VALUES = 1_000_000
 
 
 def _mixed(values: np.ndarray, function: int) -> np.ndarray:
@@ -214,6 +218,144 @@ def _compare(n: int, least: int, similarity: float):
     return run
 
 
+def _surroundings(n: int):
+    """Rows (id, text, spots) to (key, id, l, a, lo, near, loose): the shingles from ``a - back`` to ``a + on``.
+
+    ``lo`` is the position of the first; ``loose`` tells that a shingle occurs twice among them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, ids, rows, near, size = WordHashes(), [], [], [], 0
+
+        def send(kind: pa.DataType) -> pa.RecordBatch:
+            ends = np.cumsum([0] + [len(x) for x in near])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(near).view(np.int64)))
+            key, l, a, lo, loose = (pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())))
+            return pa.RecordBatch.from_arrays([key, pa.array(ids, kind), l, a, lo, lists, loose], ["key", "id", "l", "a", "lo", "near", "loose"])
+
+        kind = pa.null()
+        for batch in batches:
+            kind = batch.schema.field("id").type
+            for doc, text, spots in rows_of(iter([batch]), "id", "text", "spots"):
+                tokens = shingles(memo.of(text), n)
+                for w in spots:
+                    lo = max(0, w["a"] - w["back"])
+                    part = tokens[lo : w["a"] + w["on"] + 1]
+                    ids.append(doc)
+                    near.append(part)
+                    rows.append((w["key"], w["l"], w["a"], lo, len(np.unique(part)) < len(part)))
+                    size += len(part)
+                    if size >= VALUES:
+                        yield send(kind)
+                        ids, rows, near, size = [], [], [], 0
+        if rows:
+            yield send(kind)
+
+    return run
+
+
+def may_match(near: np.ndarray, shared: np.ndarray, least: int, similarity: float, loose: bool) -> bool:
+    """False only if no run of ``near`` of at least ``least`` shingles can be similar to one of another document.
+
+    ``shared`` are the shingles that other documents have near the same key. Sets
+    of x and y shingles, i of them common, are similar if i >= s / (1 + s) * (x + y), so
+    i >= s * x; y is ``least`` at least where no shingle repeats (else ``loose``). A run of
+    four times ``least`` holds a part of two to four times ``least`` with its share of common shingles.
+    """
+    inside = np.isin(near, shared)
+    if inside.sum() < similarity * (1 if loose else 2 / (1 + similarity)) * least:
+        return False
+    if loose:
+        return True
+    upto = np.concatenate([[0], np.cumsum(inside)])
+    for m in range(least, min(len(near), 4 * least) + 1):
+        if (upto[m:] - upto[:-m]).max() >= max(similarity * m, similarity / (1 + similarity) * (m + least)) - 1e-9:
+            return True
+    return False
+
+
+def _hopeful(least: int, similarity: float, names: list[str]):
+    """The rows whose ``near`` may match given ``common``; columns ``names``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = rows_of(iter([batch]), "near", "common", "any_loose")
+            keep = [may_match(np.array(a, np.int64), np.array(c, np.int64), least, similarity, x) for a, c, x in rows]
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _compare_near(n: int, least: int, similarity: float):
+    """Rows (id, lo, near, others) to (id, of, ...): the passage shared with the first of the others that has one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, ofs, rows = [], [], []
+            for doc, lo, near, others in rows_of(iter([batch]), "id", "lo", "near", "others"):
+                mine = np.array(near, np.int64)
+                for o in sorted(others, key=lambda x: x["id"]):
+                    found = match(mine, np.array(o["near"], np.int64), least, similarity)
+                    if found:
+                        ids.append(doc)
+                        ofs.append(o["id"])
+                        rows.append((lo + found[0], lo + found[1] + n - 1, o["lo"] + found[2], o["lo"] + found[3] + n - 1))
+                        break
+            kind = batch.schema.field("id").type
+            columns = [pa.array([r[i] for r in rows], pa.int32()) for i in range(4)]
+            names = ["first_word", "last_word", "of_first_word", "of_last_word"]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(ofs, kind), *columns], ["id", "of", *names])
+
+    return run
+
+
+def _unsettled(left: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``left`` whose centre no found passage of their document covers."""
+    spans = found.select(F.col("id").alias("_id"), "first_word", "last_word").distinct()
+    inside = (F.col("id") == F.col("_id")) & F.col("a").between(F.col("first_word"), F.col("last_word"))
+    return left.join(spans, inside, "left_anti")
+
+
+def _later_rounds(left: DataFrame, texts: DataFrame, least: int, similarity: float, schema: str) -> list[DataFrame]:
+    """Passages of rows (key, id, l, r, a) that do not match the first document of their key.
+
+    The rows carry the shingles around them. In each round those go that hold too
+    few shingles of other documents of the key to match any; then each is compared
+    with up to LEADERS others, the smallest id of each part of the key. The leaders
+    have then met all others, and leave the key.
+    """
+    kind = left.schema["id"].dataType.simpleString()
+    reach = left.groupBy("key").agg(
+        F.max(F.col("a") - F.col("l")).alias("back"), F.max(F.col("r") - F.col("a")).alias("on"), F.min("id").alias("_x"), F.max("id").alias("_y")
+    )
+    reach = reach.where(F.col("_x") != F.col("_y")).drop("_x", "_y")
+    spots = left.join(reach, "key").groupBy("id").agg(F.collect_list(F.struct("key", "l", "a", "back", "on")).alias("spots"))
+    names = ["key", "id", "l", "a", "lo", "near", "loose"]
+    fields = f"key long, id {kind}, l int, a int, lo int, near array<long>, loose boolean"
+    left = materialize(spots.join(texts, "id").mapInArrow(_surroundings(SHINGLE), fields))
+    passages, leaders = [], LEADERS
+    while left.limit(1).count():
+        # Keys that one document alone has left are done.
+        keys = left.groupBy("key").agg(F.min("id").alias("_x"), F.max("id").alias("_y"), F.max("loose").alias("any_loose"))
+        open_ = left.join(keys.where(F.col("_x") != F.col("_y")).drop("_x", "_y"), "key")
+        tokens = open_.select("key", "id", "l", F.explode(F.array_distinct("near")).alias("token"))
+        shared = tokens.groupBy("key", "token").agg(F.min("id").alias("_x"), F.max("id").alias("_y")).where(F.col("_x") != F.col("_y"))
+        common = tokens.join(shared.select("key", "token"), ["key", "token"]).groupBy("key", "id", "l").agg(F.collect_list("token").alias("common"))
+        hopeful = materialize(open_.join(common, ["key", "id", "l"]).mapInArrow(_hopeful(least, similarity, names), fields))
+        part = F.pmod(F.xxhash64("id"), F.lit(leaders))
+        firsts = hopeful.groupBy("key", part.alias("_part")).agg(F.min(F.struct("id", "l", "lo", "near")).alias("_o"))
+        lists = firsts.groupBy("key").agg(F.collect_list(F.struct("_o.id", "_o.lo", "_o.near")).alias("others"))
+        led = materialize(hopeful.join(lists, "key"))
+        is_leader = F.exists("others", lambda o: o["id"] == F.col("id"))
+        # Two leaders meet once.
+        others = F.filter("others", lambda o: (o["id"] != F.col("id")) & (~is_leader | (o["id"] < F.col("id"))))
+        found = materialize(led.select("id", "lo", "near", others.alias("others")).mapInArrow(_compare_near(SHINGLE, least, similarity), schema))
+        passages.append(found)
+        left = materialize(_unsettled(led.where(~is_leader).select(names), found))
+        leaders = min(2 * leaders, MOST_LEADERS)
+    return passages
+
+
 def repeated_passages(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -226,16 +368,16 @@ def repeated_passages(
     """Passages of at least ``words`` words that are near duplicates of one in another document.
 
     Returns one row per passage: the id, ``first_word`` and ``last_word`` (positions
-    from 0), and ``of_<id>``, ``of_first_word``, ``of_last_word``: the passage of the document
-    of the smallest id under the same signature, which stands for its class; that
-    passage itself is a row that names itself.
+    from 0), and ``of_<id>``, ``of_first_word``, ``of_last_word``: the passage of another
+    document under the same signature, which stands for its class (of the smallest
+    id, for those that match it); that passage itself is a row that names itself.
 
     Shingles of five words are hashed by each function; a compact window holds all
     subsequences with the same minimum. Where windows of ``agree`` functions meet over
     the length of a passage, their minima together are a key. Documents under a
     key are compared with the document of the smallest id that has it, over the
-    shingles around the windows; those that do not match are grouped again without
-    it, until every key is settled. Passages repeated word for word always share all
+    shingles around the windows; those that do not match go on without it, against
+    several documents a round, until every key is settled (:func:`_later_rounds`). Passages repeated word for word always share all
     keys; a near copy is found if ``agree`` of the functions agree somewhere on it.
 
     NULL, empty and short texts have no passages; a NULL id has none either. Equal
@@ -263,24 +405,18 @@ def repeated_passages(
     by_doc = windows.join(shared, "key").groupBy("id").agg(F.collect_list(F.struct("key", "f", "c", "l", "r")).alias("windows"))
     left = materialize(by_doc.mapInArrow(_joint(least, agree), f"key long, id {kind}, l int, r int, a int"))
     schema = f"id {kind}, of {kind}, first_word int, last_word int, of_first_word int, of_last_word int"
-    passages = None
-    while True:
-        stars = left.groupBy("key").agg(F.min(F.struct("id", "l", "r", "a")).alias("_o"), F.max("id").alias("_z"))
-        stars = stars.where(F.col("_o.id") != F.col("_z"))
-        open_ = materialize(left.join(stars.drop("_z"), "key").where(F.col("id") != F.col("_o.id")))
-        spot = F.struct("l", "r", "a", F.col("_o.l").alias("ol"), F.col("_o.r").alias("orr"), F.col("_o.a").alias("oa"))
-        pairs = open_.groupBy("id", F.col("_o.id").alias("of")).agg(F.collect_set(spot).alias("spots"))
-        other = texts.select(F.col("id").alias("of"), F.col("text").alias("of_text"))
-        both = pairs.join(texts, "id").join(other, "of").select("id", "of", "text", "of_text", "spots")
-        found = materialize(both.mapInArrow(_compare(SHINGLE, least, similarity), schema))
-        passages = found if passages is None else materialize(passages.union(found))
-        # A key's row is settled when a passage of its document covers its centre.
-        spans = found.select(F.col("id").alias("_id"), "first_word", "last_word").distinct()
-        covered = open_.join(spans, F.col("id") == F.col("_id")).where(F.col("a").between(F.col("first_word"), F.col("last_word")))
-        settled = covered.select("key", "id", "l").distinct()
-        left = materialize(open_.drop("_o").join(settled, ["key", "id", "l"], "left_anti"))
-        if not left.limit(1).count():
-            break
+    stars = left.groupBy("key").agg(F.min(F.struct("id", "l", "r", "a")).alias("_o"), F.max("id").alias("_z"))
+    stars = stars.where(F.col("_o.id") != F.col("_z"))
+    open_ = materialize(left.join(stars.drop("_z"), "key").where(F.col("id") != F.col("_o.id")))
+    spot = F.struct("l", "r", "a", F.col("_o.l").alias("ol"), F.col("_o.r").alias("orr"), F.col("_o.a").alias("oa"))
+    pairs = open_.groupBy("id", F.col("_o.id").alias("of")).agg(F.collect_set(spot).alias("spots"))
+    other = texts.select(F.col("id").alias("of"), F.col("text").alias("of_text"))
+    both = pairs.join(texts, "id").join(other, "of").select("id", "of", "text", "of_text", "spots")
+    passages = materialize(both.mapInArrow(_compare(SHINGLE, least, similarity), schema))
+    left = materialize(_unsettled(open_.drop("_o"), passages))
+    for found in _later_rounds(left, texts, least, similarity, schema):
+        passages = passages.union(found)
+    passages = materialize(passages)
     own = passages.select(
         F.col("of").alias("id"), "of", F.col("of_first_word").alias("first_word"), F.col("of_last_word").alias("last_word"), "of_first_word", "of_last_word"
     )
