@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from binflow.llm.common import n_words
-from binflow.llm.compact_windows import compact_windows, repeated_passages
+from binflow.llm.compact_windows import _later_rounds, compact_windows, match, may_match, repeated_passages
 from binflow.llm.compression_quality import score_quality
 from binflow.llm.language_id import identify
 from binflow.llm.license_scan import scan_licenses
@@ -279,6 +279,31 @@ def test_passages(spark, awkward, empty):
     assert repeated_passages(empty).count() == 0
 
 
+def test_rows_that_match_are_never_ruled_out():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        core = rng.integers(0, 1 << 40, int(rng.integers(30, 80)))
+        a = np.concatenate([rng.integers(0, 1 << 40, int(rng.integers(0, 60))), core, rng.integers(0, 1 << 40, int(rng.integers(0, 60)))])
+        b = np.concatenate([rng.integers(0, 1 << 40, int(rng.integers(0, 60))), core, rng.integers(0, 1 << 40, int(rng.integers(0, 60)))])
+        for x, y in ((a, b), (b, a)):
+            if match(x, y, 46, 0.75):
+                assert may_match(x, y, 46, 0.75, False)
+    # A common run too short for any passage.
+    core = rng.integers(0, 1 << 40, 36)
+    a, b = (np.concatenate([rng.integers(0, 1 << 40, 50), core, rng.integers(0, 1 << 40, 50)]) for _ in range(2))
+    assert not match(a, b, 46, 0.75) and not may_match(a, b, 46, 0.75, False)
+
+
+def test_later_rounds_find_every_passage_of_a_key(spark):
+    rng = random.Random(12)
+    parts = [sentence(rng, 70) for _ in range(12)]
+    texts = [(i, f"{sentence(rng, 20)} {parts[i % 12] if i < 24 else sentence(rng, 70)} {sentence(rng, 20)}") for i in range(30)]
+    left = spark.createDataFrame([(1, i, 20, 85, 50) for i, _ in texts], "key long, id long, l int, r int, a int")
+    schema = "id long, of long, first_word int, last_word int, of_first_word int, of_last_word int"
+    found = [r for f in _later_rounds(left, spark.createDataFrame(texts, "id long, text string"), 46, 0.75, schema) for r in f.collect()]
+    assert {frozenset((r["id"], r["of"])) for r in found} == {frozenset((i, i + 12)) for i in range(12)}
+
+
 def test_queries_match_duckdb(spark, small):
     import duckdb
 
