@@ -39,23 +39,25 @@ def collision_chance(similarity: float, bands: int = BANDS) -> float:
     return 1.0 - (1.0 - similarity) ** bands
 
 
-def _pair(words: Column, i: Column) -> Column:
-    """Hash of the two words at a position; NULL at the last word."""
-    return F.when(i + 1 < F.size(words), F.xxhash64(F.get(words, i), F.get(words, i + 1)))
+def _pairs(df: DataFrame, key: Column, text: Column) -> DataFrame:
+    """(key, ``_pairs``): hashes of each two neighbouring words of texts that have two at least."""
+    words = df.select(key, F.transform(letter_words(text), lambda w: F.xxhash64(w)).alias("_words")).where(F.size("_words") >= 2)
+    pairs = F.transform(F.slice("_words", 1, F.size("_words") - 1), lambda w, i: F.xxhash64(w, F.get(F.col("_words"), i + 1)))
+    return words.select(*[c for c in words.columns if c != "_words"], pairs.alias("_pairs"))
 
 
-def _bands(words: Column, start: Column) -> Column:
-    """One key per band of the window at ``start``: the least pair hash after an xor with the band's constant."""
-    pairs = [_pair(words, start + k) for k in range(WINDOW - 1)]
-    keys = []
-    for band in range(BANDS):
-        mask = F.xxhash64(F.lit(band), F.lit("band"))
-        keys.append(F.xxhash64(F.lit(band), F.least(*[p.bitwiseXOR(mask) for p in pairs])))
-    return F.when(start + 1 < F.size(words), F.array(*keys))
+def _bands(windows: DataFrame) -> DataFrame:
+    """The windows at ``_at`` of ``_pairs``, one row per band with its key ``_band``: the least pair hash
+    after an xor with the band's constant.
 
-
-def _hashed(df: DataFrame, key: Column, text: Column) -> DataFrame:
-    return df.select(key, F.transform(letter_words(text), lambda w: F.xxhash64(w)).alias("_words"))
+    The pairs become columns first and the bands rows, so that the generated code of a key stays small.
+    """
+    pairs = [f"_p{k}" for k in range(WINDOW - 1)]
+    wide = windows.select("*", *[F.get("_pairs", F.col("_at") + k).alias(name) for k, name in enumerate(pairs)])
+    masks = F.array(*[F.xxhash64(F.lit(band), F.lit("band")) for band in range(BANDS)])
+    each = wide.select("*", F.explode(masks).alias("_mask"))
+    least = F.least(*[F.col(name).bitwiseXOR(F.col("_mask")) for name in pairs])
+    return each.select(*windows.columns, F.xxhash64("_mask", least).alias("_band"))
 
 
 def template_table(spark, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
@@ -89,33 +91,28 @@ def scan_licenses(
     """
     spark = docs.sparkSession
     templates = template_table(spark) if templates is None else templates
-    known = _hashed(templates, F.col("license").alias("_license"), F.col("text")).where(F.size("_words") >= 2)
-    pairs = F.array_distinct(
-        F.transform(F.sequence(F.lit(0), F.size("_words") - 2), lambda i: F.xxhash64(F.get(F.col("_words"), i), F.get(F.col("_words"), i + 1)))
-    )
-    starts = F.sequence(F.lit(0), F.greatest(F.size("_words") - WINDOW, F.lit(0)))
-    planted = (
-        known.select("_license", "_words", pairs.alias("_pairs"), F.explode(starts).alias("_at"))
-        .select("_license", "_pairs", F.size("_words").alias("_long"), F.explode(_bands(F.col("_words"), F.col("_at"))).alias("_band"))
-        .distinct()
+    known = _pairs(templates, F.col("license").alias("_license"), F.col("text"))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_pairs") + 1 - WINDOW, F.lit(0)))
+    planted = _bands(known.select("_license", "_pairs", F.explode(starts).alias("_at"))).select(
+        "_license", F.array_distinct("_pairs").alias("_wanted"), (F.size("_pairs") + 1).alias("_long"), "_band"
     )
-    sizes = known.agg(F.sum(F.size("_words")).alias("n"), F.max(F.size("_words")).alias("most")).first()
+    planted = planted.distinct()
+    sizes = known.agg(F.sum(F.size("_pairs") + 1).alias("n"), F.max(F.size("_pairs") + 1).alias("most")).first()
     words, most = sizes["n"] or 0, sizes["most"] or 0
     if words <= BROADCAST_WORDS:
         planted = F.broadcast(planted)
-    texts = _hashed(docs, F.col(id_col).alias("_id"), F.col(text_col)).withColumnRenamed("_words", "_text").where(F.size("_text") >= 2)
-    cut = texts.select("_id", F.explode(pieces(F.col("_text"), PIECE, most + WINDOW)).alias("_p"))
+    texts = _pairs(docs, F.col(id_col).alias("_id"), F.col(text_col))
+    cut = texts.select("_id", F.explode(pieces(F.col("_pairs"), PIECE, most + WINDOW)).alias("_p"))
     starts = F.sequence(F.col("_p.lead"), F.col("_p.lead") + F.col("_p.count") - 1, F.lit(STRIDE))
-    windows = cut.select("_id", F.col("_p.words").alias("_text"), F.col("_p.from").alias("_from"), F.explode(starts).alias("_at"))
-    probes = windows.select("_id", "_text", "_from", "_at", F.explode(_bands(F.col("_text"), F.col("_at"))).alias("_band"))
+    windows = cut.select("_id", F.col("_p.words").alias("_pairs"), F.col("_p.from").alias("_from"), F.explode(starts).alias("_at"))
     first = F.greatest(F.col("_at") - F.col("_long"), F.lit(0))
-    last = F.least(F.col("_at") + WINDOW + F.col("_long"), F.size("_text")) - 2
-    around = F.transform(F.sequence(first, last), lambda i: F.xxhash64(F.get(F.col("_text"), i), F.get(F.col("_text"), i + 1)))
+    count = F.least(F.col("_at") + WINDOW + F.col("_long"), F.size("_pairs") + 1) - 1 - first
     found = (
-        probes.join(planted, "_band")
-        .select("_id", "_license", "_pairs", (F.col("_from") + first).alias("_first"), around.alias("_around"))
-        .withColumn("_both", F.array_intersect("_around", "_pairs"))
-        .withColumn("_share", F.size("_both") / F.size("_pairs"))
+        _bands(windows)
+        .join(planted, "_band")
+        .select("_id", "_license", "_wanted", (F.col("_from") + first).alias("_first"), F.slice("_pairs", first + 1, count).alias("_around"))
+        .withColumn("_both", F.array_intersect("_around", "_wanted"))
+        .withColumn("_share", F.size("_both") / F.size("_wanted"))
         .where(F.col("_share") >= contained)
         .withColumn("_word", F.col("_first") + F.array_position("_around", F.get("_both", 0)).cast("int") - 1)
     )
