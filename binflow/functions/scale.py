@@ -9,7 +9,7 @@ from binflow.session import materialize
 
 #: A group of at most this many rows may be sorted or buffered by one task.
 TASK_ROWS = 1_000_000
-#: Most group keys that may ever be broadcast.
+#: Most group keys that are broadcast; more are a written table, and Spark chooses the join.
 BROADCAST_KEYS = 200_000
 #: Sketch accuracy: the bracket around a wanted rank holds about 8/SKETCH of a group.
 SKETCH = 20_000
@@ -18,16 +18,25 @@ SKETCH = 20_000
 def hot_keys(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) -> DataFrame | None:
     """Keys of the groups above ``task_rows`` rows, or None when there are none.
 
-    Runs one partial aggregation over the key columns. At most BROADCAST_KEYS
-    keys, the largest groups, are named; any further group holds at most
-    1/BROADCAST_KEYS of all rows and can stay on the ordinary path.
+    Runs one partial aggregation over the key columns. Up to BROADCAST_KEYS keys
+    are broadcast. A NULL key is a key; :func:`join_on` meets it.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > task_rows)
-    largest = sizes.orderBy(F.desc("_rows")).limit(BROADCAST_KEYS).select(*keys)
-    found = largest.collect()
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > task_rows).select(*keys)
+    found = sizes.limit(BROADCAST_KEYS + 1).collect()
     if not found:
         return None
-    return F.broadcast(df.sparkSession.createDataFrame(found, largest.schema))
+    if len(found) > BROADCAST_KEYS:
+        return materialize(sizes)
+    return F.broadcast(df.sparkSession.createDataFrame(found, sizes.schema))
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join by equal keys, where NULL equals NULL; the keys come from the left side."""
+    named = right.withColumnsRenamed({k: f"_key_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    return left.join(named, same, how).drop(*[f"_key_{k}" for k in keys])
 
 
 def split_hot(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) -> tuple[DataFrame, DataFrame | None]:
@@ -35,7 +44,7 @@ def split_hot(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) -> tup
     hot = hot_keys(df, keys, task_rows)
     if hot is None:
         return df, None
-    return df.join(hot, keys, "left_anti"), df.join(hot, keys, "left_semi")
+    return join_on(df, hot, keys, "left_anti"), join_on(df, hot, keys, "left_semi")
 
 
 def lay_out(df: DataFrame, keys: list[str], task_rows: int = TASK_ROWS) -> DataFrame:
@@ -70,7 +79,8 @@ def spread_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: l
     A mergeable sketch brackets each wanted rank, one partial aggregation counts
     the rows below and inside each bracket, and only the distinct values inside
     the brackets are sorted. A bracket that misses its rank is widened to
-    everything, so the result does not depend on the sketch.
+    everything, so the result does not depend on the sketch. As with ``percentile``,
+    a group without values has NULL instead of an array.
     """
     long = df.select(
         *keys, F.explode(F.array(*[F.struct(F.lit(v).alias("_name"), F.col(v).cast("double").alias("_v")) for v in values])).alias("_s")
@@ -84,7 +94,6 @@ def spread_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: l
         F.approx_percentile("_v", low, SKETCH).alias("_lo"),
         F.approx_percentile("_v", high, SKETCH).alias("_hi"),
     )
-    # One row per hot group and value column: bounded by BROADCAST_KEYS.
     brackets = F.array(
         *[
             F.struct(
@@ -99,7 +108,7 @@ def spread_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: l
         ]
     )
     counted = (
-        long.join(F.broadcast(sketch), group)
+        join_on(long, sketch, group)
         .groupBy(*group)
         .agg(F.any_value("_n").alias("_n"), brackets.alias("_b"))
         .select(*group, "_n", F.explode("_b").alias("_b"))
@@ -115,7 +124,7 @@ def spread_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: l
         F.when(sound, F.col("_hi")).otherwise(F.lit(float("inf"))).alias("_hi"),
         F.when(sound, F.col("_below")).otherwise(F.lit(0)).alias("_below"),
     )
-    inside = long.join(F.broadcast(targets), group).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    inside = join_on(long, targets, group).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
     counts = inside.groupBy(*group, "_i", "_rank", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
     upto = F.col("_below") + F.sum("_c").over(
         Window.partitionBy(*group, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
@@ -127,14 +136,16 @@ def spread_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: l
     )
     frac = F.col("_rank") - F.floor("_rank")
     filled = picked.withColumn("_q", F.col("_v0") + (F.col("_v1") - F.col("_v0")) * frac)
-    return filled.groupBy(*keys).agg(
+    quantiles = filled.groupBy(*keys).agg(
         *[
-            F.array(
-                *[F.max(F.when((F.col("_name") == v) & (F.col("_i") == i), F.col("_q"))) for i in range(len(probs))]
+            F.when(
+                F.count_if(F.col("_name") == v) > 0,
+                F.array(*[F.max(F.when((F.col("_name") == v) & (F.col("_i") == i), F.col("_q"))) for i in range(len(probs))]),
             ).alias(f"{v}_q")
             for v in values
         ]
     )
+    return join_on(df.select(*keys).distinct(), quantiles, keys, "left")
 
 
 def number_rows(

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from binflow.functions.scale import TASK_ROWS, hot_keys, spread_quantiles
+from binflow.functions.scale import TASK_ROWS, join_on, split_hot, spread_quantiles
 from binflow.params import FEATURE_GROUPS, FEATURE_NAMES, FlowParams, enabled_features
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -27,11 +27,9 @@ def rolling_mean_y(points: DataFrame, size: int = 10, task_rows: int = TASK_ROWS
     size; each block gets the last ``size - 1`` rows before it, so every window
     is whole and no task sorts the entire bin.
     """
-    hot = hot_keys(points, ["bin_id"], task_rows)
-    if hot is None:
-        return _rolling_by(points, ["bin_id"], size)
-    ordinary = _rolling_by(points.join(hot, "bin_id", "left_anti"), ["bin_id"], size)
-    return ordinary.unionByName(_rolling_by_block(points.join(hot, "bin_id", "left_semi"), size, task_rows))
+    ordinary, hot = split_hot(points, ["bin_id"], task_rows)
+    rolled = _rolling_by(ordinary, ["bin_id"], size)
+    return rolled if hot is None else rolled.unionByName(_rolling_by_block(hot, size, task_rows))
 
 
 def _rolling_by(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
@@ -47,7 +45,7 @@ def _rolling_by_block(points: DataFrame, size: int, task_rows: int) -> DataFrame
         F.ceil(F.count(F.lit(1)) / task_rows).alias("_blocks"),
     )
     block = F.expr("(seq - _first) div greatest(1, _span div _blocks)")
-    cut = points.join(F.broadcast(span), "bin_id").select(*points.columns, block.alias("_block"))
+    cut = join_on(points, span, ["bin_id"]).select(*points.columns, block.alias("_block"))
     key = ["bin_id", "_block"]
     latest = Window.partitionBy(*key).orderBy(F.desc("seq"), F.desc("x"), F.desc("y"))
     tails = (
@@ -79,15 +77,15 @@ def _with_context(rows: DataFrame, wanted: set[str], params: FlowParams) -> Data
 
 
 def _with_spread_context(rows: DataFrame, wanted: set[str], params: FlowParams, task_rows: int) -> DataFrame:
-    """The same columns for hot bins: per-bin values come from partial aggregates and
-    are broadcast back, one row per hot bin."""
+    """The same columns for hot bins: per-bin values, one row per hot bin, come from partial
+    aggregates and are joined back."""
     if wanted & _NEED_ROLLING:
         rows = _rolling_by_block(rows, params.window, task_rows)
     if wanted & _NEED_QUARTILES:
-        rows = rows.join(F.broadcast(spread_quantiles(rows, ["bin_id"], ["x", "y"], QUARTILES)), "bin_id")
+        rows = join_on(rows, spread_quantiles(rows, ["bin_id"], ["x", "y"], QUARTILES), ["bin_id"])
     if wanted & _NEED_RANGE:
         span = rows.groupBy("bin_id").agg(*[f(v).alias(f"{v}_{f.__name__}") for v in "xy" for f in (F.min, F.max)])
-        rows = rows.join(F.broadcast(span), "bin_id")
+        rows = join_on(rows, span, ["bin_id"])
     return rows
 
 
@@ -199,13 +197,10 @@ def named_features(
     if plain:
         rows = roi
         if wanted & (_NEED_QUARTILES | _NEED_RANGE | _NEED_ROLLING):
-            hot = hot_keys(roi, ["bin_id"], task_rows)
-            if hot is None:
-                rows = _with_context(roi, wanted, params)
-            else:
-                ordinary = _with_context(roi.join(hot, "bin_id", "left_anti"), wanted, params)
-                large = roi.join(hot, "bin_id", "left_semi")
-                rows = ordinary.unionByName(_with_spread_context(large, wanted, params, task_rows))
+            ordinary, hot = split_hot(roi, ["bin_id"], task_rows)
+            rows = _with_context(ordinary, wanted, params)
+            if hot is not None:
+                rows = rows.unionByName(_with_spread_context(hot, wanted, params, task_rows))
             if wanted & _NEED_RANGE:
                 rows = _with_cells(rows, params.cells)
         parts.append(rows.groupBy("bin_id").agg(*[c.alias(name) for name, c in plain.items()]))
@@ -214,7 +209,7 @@ def named_features(
     # The first table has every bin of the others: all points come before those with an image.
     out = parts[0]
     for part in parts[1:]:
-        out = out.join(part, "bin_id", "left")
+        out = join_on(out, part, ["bin_id"], "left")
     return out.select("bin_id", *[name for name in FEATURE_NAMES if name in wanted])
 
 

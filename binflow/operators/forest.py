@@ -7,11 +7,13 @@ but not on their partitioning. A missing value always goes to the left.
 from __future__ import annotations
 
 import math
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,14 +41,15 @@ class Forest:
     trees: int
     combo_id: int = 0
 
-    def slices(self, most: int) -> list[pd.DataFrame]:
-        """The node table cut by tree into parts of at most ``most`` nodes, kept after the first call."""
-        if not hasattr(self, "_slices"):
+    def small(self, most: int) -> pd.DataFrame | None:
+        """The node table if it has at most ``most`` nodes, kept after the first call."""
+        if not hasattr(self, "_small"):
             head = self.nodes.drop("combo_id").limit(most + 1).toPandas()
-            self._slices = [head] if len(head) <= most else self._cut(most)
-        return self._slices
+            self._small = head if len(head) <= most else None
+        return self._small
 
-    def _cut(self, most: int) -> list[pd.DataFrame]:
+    def slices(self, most: int) -> Iterator[pd.DataFrame]:
+        """The node table cut by tree into parts of at most ``most`` nodes; one at a time is fetched."""
         runs: list[list[int]] = [[]]
         held = 0
         for r in self.nodes.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n")).orderBy("tree_id").collect():
@@ -57,7 +60,8 @@ class Forest:
                 held = 0
             runs[-1].append(r.tree_id)
             held += r.n
-        return [self.nodes.drop("combo_id").filter(F.col("tree_id").isin(run)).toPandas() for run in runs]
+        for run in runs:
+            yield self.nodes.drop("combo_id").filter(F.col("tree_id").isin(run)).toPandas()
 
     def save(self, path: str) -> None:
         spark = self.nodes.sparkSession
@@ -145,14 +149,13 @@ def _grower(specs: dict[int, _Spec], names: list[str]):
         allowed = spec.subset(tree, len(names))
         pdf = pdf.sort_values("bin_id")
         x = np.array(pdf["f"].tolist(), dtype=float)
-        rng = np.random.default_rng([spec.seed, combo, tree, root])
         rows = []
         open_nodes = [(root, np.arange(len(x)))]
         while open_nodes:
             node, member = open_nodes.pop()
             split = None
             if len(member) > 1 and node.bit_length() - 1 < spec.depth:
-                split = _split(x[member][:, allowed], allowed, rng)
+                split = _split(x[member][:, allowed], allowed, (spec.seed, combo, tree, node))
             if split is None:
                 rows.append((combo, tree, node, None, None, None, None, len(member)))
                 continue
@@ -169,14 +172,25 @@ def _grower(specs: dict[int, _Spec], names: list[str]):
     return grow
 
 
-def _split(x: np.ndarray, allowed: np.ndarray, rng: np.random.Generator) -> tuple[int, float] | None:
+def _hashes(node: tuple[int, int, int, int], pos: int) -> tuple[int, int]:
+    """Order of a feature and place of its threshold: Spark's ``xxhash64`` of (seed, combo, tree, node, pos), and of these and "at"."""
+    h = 42
+    for value, kind in zip((*node, pos), ("<i", "<i", "<i", "<q", "<i")):
+        h = xxhash.xxh64_intdigest(struct.pack(kind, value), h)
+    at = xxhash.xxh64_intdigest(b"at", h)
+    return (h - (1 << 64) if h >> 63 else h), at
+
+
+def _split(x: np.ndarray, allowed: np.ndarray, node: tuple[int, int, int, int]) -> tuple[int, float] | None:
+    """Column and threshold of a node, by the rule of :func:`_split_large`."""
     known = np.where(np.isnan(x), np.inf, x).min(axis=0), np.where(np.isnan(x), -np.inf, x).max(axis=0)
     usable = np.flatnonzero(known[1] > known[0])
     if not len(usable):
         return None
-    pick = rng.choice(usable)
-    low, high = known[0][pick], known[1][pick]
-    return int(allowed[pick]), float(max(rng.uniform(low, high), np.nextafter(low, high)))
+    (_, at), pick = min((_hashes(node, int(allowed[i])), i) for i in usable)
+    low, high = float(known[0][pick]), float(known[1][pick])
+    threshold = low + (at % (1 << 40) + 1) / float((1 << 40) + 1) * (high - low)
+    return int(allowed[pick]), threshold if threshold > low else high
 
 
 def _split_large(sample: DataFrame, specs: dict[int, _Spec], names: list[str], task_rows: int):
@@ -195,18 +209,20 @@ def _split_large(sample: DataFrame, specs: dict[int, _Spec], names: list[str], t
     finished = []
     while (hot := hot_keys(sample, key, task_rows)) is not None:
         large = sample.join(hot, key, "left_semi")
+        known = F.when(~F.isnan("v"), F.col("v"))  # missing values are NULL or NaN
         ranges = (
             large.select(*key, F.posexplode("f").alias("pos", "v"))
             .join(allowed, ["combo_id", "tree_id", "pos"])
             .groupBy(*key, "pos")
-            .agg(F.count(F.lit(1)).alias("size"), F.min("v").alias("_lo"), F.max("v").alias("_hi"))
+            .agg(F.count(F.lit(1)).alias("size"), F.min(known).alias("_lo"), F.max(known).alias("_hi"))
             .join(depth, "combo_id")
         )
-        open_level = F.floor(F.log2("node_id")) < F.col("_depth")
+        open_level = F.length(F.bin("node_id")) - 1 < F.col("_depth")
         usable = open_level & (F.col("_hi") > F.col("_lo"))
         turn = F.xxhash64("_seed", *key, "pos")
         unit = (F.pmod(F.xxhash64("_seed", *key, "pos", F.lit("at")), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
-        threshold = F.col("_lo") + unit * (F.col("_hi") - F.col("_lo"))
+        inner = F.col("_lo") + unit * (F.col("_hi") - F.col("_lo"))
+        threshold = F.when(inner > F.col("_lo"), inner).otherwise(F.col("_hi"))
         best = F.min(F.when(usable, F.struct(turn.alias("h"), "pos", threshold.alias("t"))))
         splits = ranges.groupBy(*key).agg(best.alias("s"), F.max("size").alias("size"))
         name = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("s.pos") + 1)
@@ -219,7 +235,7 @@ def _split_large(sample: DataFrame, specs: dict[int, _Spec], names: list[str], t
         )
         # One row per hot node, so the broadcast is bounded. Leaves drop out here.
         moves = F.broadcast(splits.filter("s is not null").select(*key, "s.pos", "s.t"))
-        goes_right = F.coalesce(F.get("f", "pos") >= F.col("t"), F.lit(False)).cast("bigint")
+        goes_right = F.coalesce(~F.isnan(F.get("f", "pos")) & (F.get("f", "pos") >= F.col("t")), F.lit(False)).cast("bigint")
         moved = large.join(moves, key).select(
             "combo_id", "tree_id", (2 * F.col("node_id") + goes_right).alias("node_id"), "bin_id", "f"
         )
@@ -290,31 +306,49 @@ def score_forest(features: DataFrame, forest: Forest, broadcast_nodes: int = BRO
     """(bin_id, score): 2 ** (-mean path / c(psi)); higher is more abnormal.
 
     Features are matched by name; a missing one is an error. The node table is
-    broadcast while it is small. A larger forest is cut into slices of trees, each
-    slice is broadcast on its own and the path lengths are added per bin.
+    broadcast while it is small. A larger forest is cut into slices of trees: the rows
+    pass one slice after the other, written in between, and carry the sum of their
+    path lengths, so every row has its own score, also where identifiers repeat.
     """
-    parts = [_score_small(features, {"": (forest, nodes)}) for nodes in forest.slices(broadcast_nodes)]
-    if len(parts) == 1:
-        return parts[0]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    # Each slice gives 2 ** (-its share of the mean path), so the slices multiply.
-    return union.groupBy("bin_id").agg(F.pow(F.lit(2.0), F.sum(F.log2("score"))).alias("score"))
+    nodes = forest.small(broadcast_nodes)
+    if nodes is not None:
+        return _score_small(features, {"": (forest, nodes)})
+    rows = _rounded(features, forest.feature_names).withColumn("_paths", F.lit(0.0))
+    for part in forest.slices(broadcast_nodes):
+        rows = materialize(_add_paths(rows, part, list(forest.feature_names)))
+    scale = forest.trees * average_path(forest.psi)
+    return rows.select("bin_id", F.pow(F.lit(2.0), -F.col("_paths") / F.lit(scale)).alias("score"))
+
+
+def _rounded(features: DataFrame, names: tuple[str, ...] | list[str]) -> DataFrame:
+    absent = [n for n in names if n not in features.columns]
+    if absent:
+        raise ValueError(f"features are missing: {absent}")
+    return features.select("bin_id", *[F.round(F.col(n).cast("double"), 9).alias(n) for n in names])
+
+
+def _add_paths(rows: DataFrame, nodes: pd.DataFrame, names: list[str]) -> DataFrame:
+    """The rows with the path lengths over the given trees added to ``_paths``."""
+    shared = rows.sparkSession.sparkContext.broadcast(nodes)
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total_path = _scorer(shared.value, names)
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(_paths=pdf["_paths"] + total_path(pdf[names].to_numpy(dtype=float, na_value=np.nan)))
+
+    return rows.mapInPandas(add, rows.schema)
 
 
 def _score_small(features: DataFrame, forests: dict[str, tuple[Forest, pd.DataFrame]]) -> DataFrame:
     """Score in one pass; a bin uses the forest whose key starts its identifier."""
     used = sorted({n for forest, _ in forests.values() for n in forest.feature_names})
-    absent = [n for n in used if n not in features.columns]
-    if absent:
-        raise ValueError(f"features are missing: {absent}")
+    rows = _rounded(features, used)
     context = features.sparkSession.sparkContext
     shared = {
         prefix: (context.broadcast(nodes), list(f.feature_names), f.trees * average_path(f.psi))
         for prefix, (f, nodes) in forests.items()
     }
-    rows = features.select("bin_id", *[F.round(F.col(n).cast("double"), 9).alias(n) for n in used])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         models = {prefix: (_scorer(nodes.value, names), names, scale) for prefix, (nodes, names, scale) in shared.items()}
@@ -342,9 +376,10 @@ def score_by_type(
     forests = {kind: forest for kind, forest in (("I", forest_i), ("D", forest_d)) if forest is not None}
     if not forests:
         raise ValueError("no model given")
-    if all(len(f.slices(broadcast_nodes)) == 1 for f in forests.values()):
+    tables = {k: f.small(broadcast_nodes) for k, f in forests.items()}
+    if all(nodes is not None for nodes in tables.values()):
         kind = F.substring("bin_id", 1, 1)
-        return _score_small(features.filter(kind.isin(*forests)), {k: (f, f.slices(broadcast_nodes)[0]) for k, f in forests.items()})
+        return _score_small(features.filter(kind.isin(*forests)), {k: (f, tables[k]) for k, f in forests.items()})
     return merge_scores([score_forest(filter_bin_type(features, k), f, broadcast_nodes) for k, f in forests.items()])
 
 

@@ -68,7 +68,10 @@ def run_batches(
             {"path": list(errors), "ok": [e is None for e in errors.values()], "error": list(errors.values())}
         )
 
-    return plan.select("chunk", "batch", "path").groupBy("chunk", "batch").applyInPandas(run, STATUS_SCHEMA)
+    # A set number of partitions: rows are only paths, so small bytes must not mean one task.
+    parts = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = plan.select("chunk", "batch", "path").repartition(parts, "chunk", "batch")
+    return laid.groupBy("chunk", "batch").applyInPandas(run, STATUS_SCHEMA)
 
 
 def run_summary(status: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -51,7 +51,7 @@ def _walk(spark: SparkSession, root: str, pattern: str, recursive: bool) -> Data
         level = seen.filter("folder").select("path")
         if not recursive or level.isEmpty():
             break
-        level = level.repartition(F.col("path"))
+        level = level.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
     name = "^" + re.escape(pattern).replace("\\*", ".*").replace("\\?", ".") + "$"
     return found.filter(text.file_name(F.col("path")).rlike(name))
 
@@ -116,8 +116,11 @@ def write_id_list(bins: DataFrame, bin_type: str, path: str) -> int:
 
 
 def day_layout(bin_id: Column, root: str) -> dict[str, Column]:
-    """Output paths of a bin by day: feature table, multi-blob table and mask archive."""
-    day = F.date_format(text.pid_fields(bin_id)[2], "yyyy-MM-dd")
+    """Output paths of a bin by day: feature table, multi-blob table and mask archive.
+
+    A bin whose name holds no day goes to the folder ``undated``.
+    """
+    day = F.coalesce(F.date_format(text.pid_fields(bin_id)[2], "yyyy-MM-dd"), F.lit("undated"))
     # Folder and file names of the layout.
     return {
         "features": F.concat(F.lit(f"{root}/features/"), day, F.lit("/"), bin_id, F.lit("_features_v4.csv")),

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from binflow.functions import text
 from binflow.sources.bins import list_files
+from binflow.sources.named import mounted_path
 
 # Leading bytes (hex, as SQL LIKE patterns) of the media types.
 SIGNATURES = {
@@ -121,11 +122,14 @@ def archive_bins(members: DataFrame, folder: str, prefix: str = "", ending: str
     Input: bin_id, member and path (the file is read in the task) or content. A
     zip is one stream, so a bin has one writer; members pass through it in order
     and are never held together. A failed bin gives its error and the rest go on.
-    ``folder`` is a mount that all executors share.
+    ``folder`` is a mount that all executors share; any other scheme is an error.
     """
+    mounted_path(folder)
     from_path = "path" in members.columns
     source = "path" if from_path else "content"
-    laid = members.select("bin_id", "member", source).repartition("bin_id").sortWithinPartitions("bin_id", "member")
+    # A set number of partitions: paths are few bytes, and these must not mean one task.
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = members.select("bin_id", "member", source).repartition(parts, "bin_id").sortWithinPartitions("bin_id", "member")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current: _Archive | None = None
@@ -155,7 +159,7 @@ class _Archive:
         self.bin_id, self.key = bin_id, key
         self.error: str | None = None
         self.members = self.bytes = 0
-        self.target = os.path.join(folder.removeprefix("file:"), key)
+        self.target = os.path.join(mounted_path(folder), key)
         self.zip = None
         try:
             os.makedirs(os.path.dirname(self.target), exist_ok=True)

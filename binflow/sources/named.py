@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -14,14 +15,26 @@ from pyspark.sql import DataFrame
 STATUS_SCHEMA = "out_path string, ok boolean, error string, rows bigint"
 
 
+def mounted_path(path: str | None) -> str:
+    """The path without ``file:``; ValueError where it has another scheme or is missing, as tasks cannot open it."""
+    if path is None:
+        raise ValueError("no output path")
+    scheme = re.match(r"([A-Za-z][A-Za-z0-9+.-]+):", path)
+    if scheme and scheme[1].lower() != "file":
+        raise ValueError(f"not a mounted path: {path}")
+    return re.sub(r"^file:/*", "/", path, flags=re.IGNORECASE) if scheme else path
+
+
 def write_named(df: DataFrame, order_by: tuple[str, ...] = ()) -> DataFrame:
     """Write rows to the file in their ``out_path``; its ending chooses Parquet, plain
     text lines (``.txt``, one column) or CSV with header.
 
     Returns a status row per file. A file is one stream, so it has one writer;
-    rows pass through it batch by batch. Paths are on a mount all executors share.
+    rows pass through it batch by batch. Paths are on a mount all executors share; a
+    path of another scheme, or NULL, gives a status row with its error.
     """
-    laid = df.repartition("out_path").sortWithinPartitions("out_path", *order_by)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid = df.repartition(parts, "out_path").sortWithinPartitions("out_path", *order_by)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: _File | None = None
@@ -78,14 +91,14 @@ class _File:
 
     def __init__(self, path: str, schema: pa.Schema):
         self.path, self.rows, self.error, self.writer = path, 0, None, None
-        self.target = path.removeprefix("file:")
         try:
+            self.target = mounted_path(path)
             folder = os.path.dirname(self.target)
             os.makedirs(folder, exist_ok=True)
             handle, self.spare = tempfile.mkstemp(dir=folder, suffix=".part")
             os.close(handle)
             self.writer = _writer(path, self.spare, schema)
-        except (OSError, pa.ArrowException) as problem:
+        except (ValueError, OSError, pa.ArrowException) as problem:
             self.error = str(problem)
 
     def add(self, batch: pa.RecordBatch) -> None:

@@ -64,11 +64,29 @@ def test_slices_of_trees_give_the_same_scores(features):
     whole = {r.bin_id: r.score for r in ops.score_forest(features, model).collect()}
     again = ops.Forest(model.nodes, model.feature_names, model.psi, model.trees)
     parts = {r.bin_id: r.score for r in ops.score_forest(features, again, broadcast_nodes=300).collect()}
-    assert len(again.slices(300)) > 1
+    assert len(list(again.slices(300))) > 1
     for bin_id, score in whole.items():
         assert parts[bin_id] == pytest.approx(score, rel=1e-9)
 
 
+def test_repeated_identifiers_have_a_score_each_in_slices(features):
+    twice = features.unionByName(features.filter("bin_id = 'D999999'"))
+    model = ops.train_forest(features, PARAMS)
+    whole = sorted(r.score for r in ops.score_forest(twice, model).filter("bin_id = 'D999999'").collect())
+    again = ops.Forest(model.nodes, model.feature_names, model.psi, model.trees)
+    parts = sorted(r.score for r in ops.score_forest(twice, again, broadcast_nodes=300).filter("bin_id = 'D999999'").collect())
+    assert len(parts) == 2 and parts == pytest.approx(whole, rel=1e-9)
+
+
+@pytest.mark.parametrize("task_rows", [1, 7, 30])
+def test_task_size_does_not_change_the_forest(features, task_rows):
+    gaps = features.withColumn("b", F.when(F.col("b") > 0.5, F.lit(float("nan"))).otherwise(F.col("b")))
+    params = ForestParams(trees=4, max_samples=100, seed=2, max_features=2)
+    want = _nodes(ops.train_forest(gaps, params))
+    assert not any(r[3] is not None and np.isnan(r[3]) for r in want)
+    assert sorted(map(str, _nodes(ops.train_forest(gaps, params, task_rows=task_rows)))) == sorted(map(str, want))
+
+
 def test_missing_feature_is_an_error(features):
     model = ops.train_forest(features, PARAMS)
     with pytest.raises(ValueError, match="missing"):
@@ -140,6 +158,6 @@ def test_score_by_type_uses_each_model(features):
 
 
 def test_threshold_ties_go_right():
-    split = ops._split(np.array([[1.0], [2.0], [np.nan]]), np.array([4]), np.random.default_rng(0))
+    split = ops._split(np.array([[1.0], [2.0], [np.nan]]), np.array([4]), (0, 0, 0, 1))
     assert split[0] == 4 and 1.0 < split[1] <= 2.0
     assert ops._split(np.array([[1.0], [1.0], [np.nan]]), np.array([4]), np.random.default_rng(0)) is None

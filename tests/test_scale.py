@@ -67,3 +67,22 @@ def test_rolling_mean_of_hot_bins(spark, small, limit):
     want = rounded(features.rolling_mean_y(points), 9)
     got = rounded(features.rolling_mean_y(points, task_rows=limit), 9)
     assert got.exceptAll(want).isEmpty() and got.count() == want.count()
+
+
+def test_hot_bins_of_null_values_and_null_names_stay(spark, small):
+    points = load(spark, small, "points")
+    names = F.when(F.col("bin_id") == points.agg(F.min("bin_id")).scalar(), None).otherwise(F.col("bin_id"))
+    blank = points.limit(300).withColumns({"bin_id": F.lit("I1"), "x": F.lit(None).cast("double"), "y": F.lit(None).cast("double")})
+    rows = points.withColumn("bin_id", names).unionByName(blank)
+    want = {r.bin_id: r for r in features.flow_features(rows).collect()}
+    got = {r.bin_id: r for r in features.flow_features(rows, task_rows=20).collect()}
+    assert None in want and "I1" in want and set(got) == set(want)
+    for bin_id, row in want.items():
+        np.testing.assert_allclose(np.array(got[bin_id][1:], float), np.array(row[1:], float), rtol=1e-7, atol=1e-12)
+
+
+def test_many_hot_keys_are_a_table(spark, monkeypatch):
+    df = _skewed(spark)
+    want = exact_quantiles(df, ["k"], ["v"], [0.5]).collect()
+    monkeypatch.setattr("binflow.functions.scale.BROADCAST_KEYS", 3)
+    assert sorted(exact_quantiles(df, ["k"], ["v"], [0.5], 10).collect()) == sorted(want)

@@ -205,3 +205,31 @@ def test_day_layout(spark, tmp_path):
     folder = tmp_path / "features" / "2024-04-23"
     assert (folder / "D20240423T115846_IFCB127_features_v4.csv").exists()
     assert (folder / "multiblob" / "D20240423T115846_IFCB127_multiblob_v4.csv").exists()
+
+
+def test_named_files_of_other_schemes_are_errors(spark, tmp_path):
+    from binflow.sources.media import archive_bins
+    from binflow.sources.named import write_named
+
+    paths = ["s3a://bucket/x/a.csv", None, f"file:{tmp_path}/b.csv"]
+    status = write_named(spark.createDataFrame([(p, 1) for p in paths], "out_path string, v int")).collect()
+    assert {r.out_path: r.ok for r in status} == {paths[0]: False, None: False, paths[2]: True}
+    assert (tmp_path / "b.csv").exists()
+    with pytest.raises(ValueError, match="not a mounted path"):
+        archive_bins(spark.createDataFrame([("b", "m", b"x")], "bin_id string, member string, content binary"), "s3a://bucket")
+
+
+def test_undated_bins_have_a_folder(spark, tmp_path):
+    from binflow.sources.bins import write_day_layout
+
+    rows = spark.createDataFrame([("I1", 1.0), ("D20200102T030405_IFCB010", 2.0)], "bin_id string, v double")
+    status = write_day_layout(rows, rows, str(tmp_path)).collect()
+    assert len(status) == 4 and all(r.ok for r in status)
+    assert (tmp_path / "features/undated/I1_features_v4.csv").exists()
+
+
+def test_batches_use_all_partitions(spark):
+    from binflow.operators.runs import run_batches
+
+    plan = spark.range(200).select(F.lit(0).alias("chunk"), F.col("id").alias("batch"), F.concat(F.lit("p"), "id").alias("path"))
+    assert run_batches(plan, lambda paths: None).select(F.spark_partition_id().alias("p")).distinct().count() == int(spark.conf.get("spark.sql.shuffle.partitions"))
