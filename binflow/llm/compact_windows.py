@@ -219,7 +219,7 @@ def _compare(n: int, least: int, similarity: float):
 
 
 def _surroundings(n: int):
-    """Rows (id, text, spots) to (key, id, l, a, lo, near, loose): the shingles from ``a - back`` to ``a + on``.
+    """Rows (id, text, spots) to (key, id, l, a, lo, near, loose, open): the shingles from ``a - back`` to ``a + on``.
 
     ``lo`` is the position of the first; ``loose`` tells that a shingle occurs twice among them.
     """
@@ -230,8 +230,10 @@ def _surroundings(n: int):
         def send(kind: pa.DataType) -> pa.RecordBatch:
             ends = np.cumsum([0] + [len(x) for x in near])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(near).view(np.int64)))
-            key, l, a, lo, loose = (pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())))
-            return pa.RecordBatch.from_arrays([key, pa.array(ids, kind), l, a, lo, lists, loose], ["key", "id", "l", "a", "lo", "near", "loose"])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
+            key, l, a, lo, loose, open_ = (pa.array(c, k) for c, k in zip(zip(*rows), kinds))
+            names = ["key", "id", "l", "a", "lo", "near", "loose", "open"]
+            return pa.RecordBatch.from_arrays([key, pa.array(ids, kind), l, a, lo, lists, loose, open_], names)
 
         kind = pa.null()
         for batch in batches:
@@ -243,7 +245,7 @@ def _surroundings(n: int):
                     part = tokens[lo : w["a"] + w["on"] + 1]
                     ids.append(doc)
                     near.append(part)
-                    rows.append((w["key"], w["l"], w["a"], lo, len(np.unique(part)) < len(part)))
+                    rows.append((w["key"], w["l"], w["a"], lo, len(np.unique(part)) < len(part), w["open"]))
                     size += len(part)
                     if size >= VALUES:
                         yield send(kind)
@@ -287,7 +289,10 @@ def _hopeful(least: int, similarity: float, names: list[str]):
 
 
 def _compare_near(n: int, least: int, similarity: float):
-    """Rows (id, lo, near, others) to (id, of, ...): the passage shared with the first of the others that has one."""
+    """Rows (id, lo, near, others) to (id, of, ...): the passages shared with the others.
+
+    All of them are tried: each leaves the key afterwards, and may have no other document to match.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,7 +305,6 @@ def _compare_near(n: int, least: int, similarity: float):
                         ids.append(doc)
                         ofs.append(o["id"])
                         rows.append((lo + found[0], lo + found[1] + n - 1, o["lo"] + found[2], o["lo"] + found[3] + n - 1))
-                        break
             kind = batch.schema.field("id").type
             columns = [pa.array([r[i] for r in rows], pa.int32()) for i in range(4)]
             names = ["first_word", "last_word", "of_first_word", "of_last_word"]
@@ -309,49 +313,55 @@ def _compare_near(n: int, least: int, similarity: float):
     return run
 
 
-def _unsettled(left: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of ``left`` whose centre no found passage of their document covers."""
-    spans = found.select(F.col("id").alias("_id"), "first_word", "last_word").distinct()
+def _settled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows, no longer ``open`` where a found passage of their document covers their centre."""
+    sides = found.select("id", "first_word", "last_word").union(found.select("of", "of_first_word", "of_last_word"))
+    spans = sides.distinct().withColumnRenamed("id", "_id")
     inside = (F.col("id") == F.col("_id")) & F.col("a").between(F.col("first_word"), F.col("last_word"))
-    return left.join(spans, inside, "left_anti")
+    centres = rows.where("open").select("id", "a").distinct().join(spans, inside, "left_semi").withColumn("_done", F.lit(True))
+    return rows.join(centres, ["id", "a"], "left").withColumn("open", F.col("open") & F.col("_done").isNull()).drop("_done")
 
 
 def _later_rounds(left: DataFrame, texts: DataFrame, least: int, similarity: float, schema: str) -> list[DataFrame]:
-    """Passages of rows (key, id, l, r, a) that do not match the first document of their key.
+    """Passages of rows (key, id, l, r, a, open) that do not match the first document of their key.
 
+    Rows that are not ``open`` have a passage already; they stay as partners of the
+    open ones, which may share more with them (without the column all are open).
     The rows carry the shingles around them. In each round those go that hold too
-    few shingles of other documents of the key to match any; then each is compared
-    with up to LEADERS others, the smallest id of each part of the key. The leaders
-    have then met all others, and leave the key.
+    few shingles of other documents of the key to match any, and the rest is compared
+    with up to LEADERS open ones, the smallest id of each part of the key. The leaders
+    have then met all others, and leave the key; it is done when no open row is left.
     """
     kind = left.schema["id"].dataType.simpleString()
-    reach = left.groupBy("key").agg(
-        F.max(F.col("a") - F.col("l")).alias("back"), F.max(F.col("r") - F.col("a")).alias("on"), F.min("id").alias("_x"), F.max("id").alias("_y")
-    )
-    reach = reach.where(F.col("_x") != F.col("_y")).drop("_x", "_y")
-    spots = left.join(reach, "key").groupBy("id").agg(F.collect_list(F.struct("key", "l", "a", "back", "on")).alias("spots"))
-    names = ["key", "id", "l", "a", "lo", "near", "loose"]
-    fields = f"key long, id {kind}, l int, a int, lo int, near array<long>, loose boolean"
+    if "open" not in left.columns:
+        left = left.withColumn("open", F.lit(True))
+    several = (F.col("_x") != F.col("_y")) & F.col("_open")
+    ends = [F.min("id").alias("_x"), F.max("id").alias("_y"), F.max("open").alias("_open")]
+    reach = left.groupBy("key").agg(F.max(F.col("a") - F.col("l")).alias("back"), F.max(F.col("r") - F.col("a")).alias("on"), *ends)
+    reach = reach.where(several).select("key", "back", "on")
+    spots = left.join(reach, "key").groupBy("id").agg(F.collect_list(F.struct("key", "l", "a", "back", "on", "open")).alias("spots"))
+    names = ["key", "id", "l", "a", "lo", "near", "loose", "open"]
+    fields = f"key long, id {kind}, l int, a int, lo int, near array<long>, loose boolean, open boolean"
     left = materialize(spots.join(texts, "id").mapInArrow(_surroundings(SHINGLE), fields))
     passages, leaders = [], LEADERS
-    while left.limit(1).count():
-        # Keys that one document alone has left are done.
-        keys = left.groupBy("key").agg(F.min("id").alias("_x"), F.max("id").alias("_y"), F.max("loose").alias("any_loose"))
-        open_ = left.join(keys.where(F.col("_x") != F.col("_y")).drop("_x", "_y"), "key")
-        tokens = open_.select("key", "id", "l", F.explode(F.array_distinct("near")).alias("token"))
-        shared = tokens.groupBy("key", "token").agg(F.min("id").alias("_x"), F.max("id").alias("_y")).where(F.col("_x") != F.col("_y"))
+    while left.where("open").limit(1).count():
+        # Keys that one document alone has left are done, and those without an open row.
+        keys = left.groupBy("key").agg(*ends, F.max("loose").alias("any_loose")).where(several).select("key", "any_loose")
+        live = left.join(keys, "key")
+        tokens = live.select("key", "id", "l", "open", F.explode(F.array_distinct("near")).alias("token"))
+        shared = tokens.groupBy("key", "token").agg(*ends).where(several)
         common = tokens.join(shared.select("key", "token"), ["key", "token"]).groupBy("key", "id", "l").agg(F.collect_list("token").alias("common"))
-        hopeful = materialize(open_.join(common, ["key", "id", "l"]).mapInArrow(_hopeful(least, similarity, names), fields))
+        hopeful = materialize(live.join(common, ["key", "id", "l"]).mapInArrow(_hopeful(least, similarity, names), fields))
         part = F.pmod(F.xxhash64("id"), F.lit(leaders))
-        firsts = hopeful.groupBy("key", part.alias("_part")).agg(F.min(F.struct("id", "l", "lo", "near")).alias("_o"))
-        lists = firsts.groupBy("key").agg(F.collect_list(F.struct("_o.id", "_o.lo", "_o.near")).alias("others"))
+        firsts = hopeful.where("open").groupBy("key", part.alias("_part")).agg(F.min(F.struct("id", "l", "lo", "near")).alias("_o"))
+        lists = firsts.groupBy("key").agg(F.collect_list(F.struct("_o.id", "_o.l", "_o.lo", "_o.near")).alias("others"))
         led = materialize(hopeful.join(lists, "key"))
         is_leader = F.exists("others", lambda o: o["id"] == F.col("id"))
         # Two leaders meet once.
         others = F.filter("others", lambda o: (o["id"] != F.col("id")) & (~is_leader | (o["id"] < F.col("id"))))
         found = materialize(led.select("id", "lo", "near", others.alias("others")).mapInArrow(_compare_near(SHINGLE, least, similarity), schema))
         passages.append(found)
-        left = materialize(_unsettled(led.where(~is_leader).select(names), found))
+        left = materialize(_settled(led.where(~is_leader).select(names), found))
         leaders = min(2 * leaders, MOST_LEADERS)
     return passages
 
@@ -376,8 +386,8 @@ def repeated_passages(
     subsequences with the same minimum. Where windows of ``agree`` functions meet over
     the length of a passage, their minima together are a key. Documents under a
     key are compared with the document of the smallest id that has it, over the
-    shingles around the windows; those that do not match go on without it, against
-    several documents a round, until every key is settled (:func:`_later_rounds`). Passages repeated word for word always share all
+    shingles around the windows; those that do not match it meet all others of the key,
+    matched or not, several a round (:func:`_later_rounds`). Passages repeated word for word always share all
     keys; a near copy is found if ``agree`` of the functions agree somewhere on it.
 
     NULL, empty and short texts have no passages; a NULL id has none either. Equal
@@ -413,7 +423,7 @@ def repeated_passages(
     other = texts.select(F.col("id").alias("of"), F.col("text").alias("of_text"))
     both = pairs.join(texts, "id").join(other, "of").select("id", "of", "text", "of_text", "spots")
     passages = materialize(both.mapInArrow(_compare(SHINGLE, least, similarity), schema))
-    left = materialize(_unsettled(open_.drop("_o"), passages))
+    left = materialize(_settled(open_.drop("_o").withColumn("open", F.lit(True)), passages))
     for found in _later_rounds(left, texts, least, similarity, schema):
         passages = passages.union(found)
     passages = materialize(passages)

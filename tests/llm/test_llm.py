@@ -304,6 +304,17 @@ def test_later_rounds_find_every_passage_of_a_key(spark):
     assert {frozenset((r["id"], r["of"])) for r in found} == {frozenset((i, i + 12)) for i in range(12)}
 
 
+def test_settled_documents_stay_partners(spark):
+    rng = random.Random(20)
+    rows, chains = [], 12
+    for k in range(chains):
+        z, core, y = (" ".join(f"{c}{k}x{rng.randrange(10**6)}" for _ in range(n)) for c, n in (("z", 20), ("c", 46), ("y", 8)))
+        texts = (f"{z} {core} {sentence(rng, 30)}", f"{z} {core} {y} {sentence(rng, 20)}", f"{sentence(rng, 30)} {core} {y} {sentence(rng, 20)}")
+        rows += [(100 * i + k, t, "en", "a") for i, t in enumerate(texts)]
+    out = repeated_passages(frame(spark, rows)).toPandas()
+    assert set(out.doc_id) == {100 * i + k for i in range(3) for k in range(chains)}
+
+
 def test_queries_match_duckdb(spark, small):
     import duckdb
 
