@@ -203,6 +203,14 @@ def test_perplexity(spark, awkward, empty):
     assert keep_good(awkward).count() == odd.kept.sum()
 
 
+def test_bands_reject_bad_and_keep_good(spark, small):
+    at = small.replace("sf0.001", "sf0.01")
+    out = judge(spark.read.parquet(f"{at}/documents.parquet")).where("not base_failed")
+    rates = out.join(spark.read.parquet(f"{at}/labels.parquet"), "doc_id").groupBy("quality").agg(F.avg((~F.col("kept")).cast("int")).alias("r"))
+    rate = {r.quality: r.r for r in rates.collect()}
+    assert rate[0] > 0.5 and rate[1] < 0.01
+
+
 def test_base_figures(spark):
     text = "a b c\na b c\n\n\nd | e # f\na b c"
     r = judge(frame(spark, [(1, text, "en", "a")])).first()
