@@ -183,10 +183,26 @@ def match(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> tuple[
     return None
 
 
+def _spans(at: np.ndarray, start: int, end: int, least: int) -> bool:
+    """Whether the first and the last of the sorted positions in [start, end) span ``least``."""
+    i, j = np.searchsorted(at, (start, end))
+    return bool(i < j and at[j - 1] - at[i] + 1 >= least)
+
+
+def _laid(spots: list[dict]) -> Iterator[tuple[dict, dict]]:
+    """Every place of the one document with every place of the other, key by key; long and early places first."""
+    mine = ((m["l"], -m["r"], m["a"], k) for k, s in enumerate(spots) for m in s["mine"])
+    for l, r, a, k in sorted(mine):
+        for other in spots[k]["theirs"]:
+            yield {"l": l, "r": -r, "a": a}, other
+
+
 def _compare(n: int, least: int, similarity: float):
-    """Rows (id, of, text, of_text, spots) to (id, of, first, last, of_first, of_last, spots_done): verified passages.
+    """Rows (id, of, text, of_text, spots) to (id, of, first, last, of_first, of_last): verified passages.
 
-    ``spots`` are the joint windows of the pair; those that a found passage covers need no comparison.
+    ``spots`` are the joint windows of both documents (``mine``, ``theirs``) under each common key.
+    Places that a found passage covers need no comparison, nor do those whose surroundings
+    hold no span of ``least`` between shingles that both documents have.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,14 +212,20 @@ def _compare(n: int, least: int, similarity: float):
             for doc, of, text, of_text, spots in rows_of(iter([batch]), "id", "of", "text", "of_text", "spots"):
                 mine, other = shingles(memo.of(text), n), shingles(memo.of(of_text), n)
                 covered: list[tuple[int, int, int, int]] = []
-                for s in sorted(spots, key=lambda x: (x["l"], -x["r"], x["ol"])):
-                    if any(c[0] <= s["a"] <= c[1] and c[2] <= s["oa"] <= c[3] for c in covered):
+                tried: set[tuple[int, int, int, int]] = set()
+                in_mine, in_other = np.flatnonzero(np.isin(mine, other)), np.flatnonzero(np.isin(other, mine))
+                for s, t in _laid(spots):
+                    if any(c[0] <= s["a"] <= c[1] and c[2] <= t["a"] <= c[3] for c in covered):
                         continue
                     # Around the two centres as far as either window reaches.
-                    back = max(s["a"] - s["l"], s["oa"] - s["ol"])
-                    on = max(s["r"] - s["a"], s["orr"] - s["oa"])
-                    a0, b0 = max(0, s["a"] - back), max(0, s["oa"] - back)
-                    found = match(mine[a0 : s["a"] + on + 1], other[b0 : s["oa"] + on + 1], least, similarity)
+                    back = max(s["a"] - s["l"], t["a"] - t["l"])
+                    on = max(s["r"] - s["a"], t["r"] - t["a"])
+                    a0, b0 = max(0, s["a"] - back), max(0, t["a"] - back)
+                    a1, b1 = s["a"] + on + 1, t["a"] + on + 1
+                    if (a0, a1, b0, b1) in tried or not (_spans(in_mine, a0, a1, least) and _spans(in_other, b0, b1, least)):
+                        continue
+                    tried.add((a0, a1, b0, b1))
+                    found = match(mine[a0:a1], other[b0:b1], least, similarity)
                     if found:
                         covered.append((a0 + found[0], a0 + found[1], b0 + found[2], b0 + found[3]))
                 for c in covered:
@@ -329,8 +351,9 @@ def _later_rounds(left: DataFrame, texts: DataFrame, least: int, similarity: flo
     open ones, which may share more with them (without the column all are open).
     The rows carry the shingles around them. In each round those go that hold too
     few shingles of other documents of the key to match any, and the rest is compared
-    with up to LEADERS open ones, the smallest id of each part of the key. The leaders
-    have then met all others, and leave the key; it is done when no open row is left.
+    with up to LEADERS open ones, the first place of the smallest id of each part of the
+    key. The leaders have then met all others, and leave the key; other places of their
+    documents stay. A key is done when no open row is left.
     """
     kind = left.schema["id"].dataType.simpleString()
     if "open" not in left.columns:
@@ -356,7 +379,7 @@ def _later_rounds(left: DataFrame, texts: DataFrame, least: int, similarity: flo
         firsts = hopeful.where("open").groupBy("key", part.alias("_part")).agg(F.min(F.struct("id", "l", "lo", "near")).alias("_o"))
         lists = firsts.groupBy("key").agg(F.collect_list(F.struct("_o.id", "_o.l", "_o.lo", "_o.near")).alias("others"))
         led = materialize(hopeful.join(lists, "key"))
-        is_leader = F.exists("others", lambda o: o["id"] == F.col("id"))
+        is_leader = F.exists("others", lambda o: (o["id"] == F.col("id")) & (o["l"] == F.col("l")))
         # Two leaders meet once.
         others = F.filter("others", lambda o: (o["id"] != F.col("id")) & (~is_leader | (o["id"] < F.col("id"))))
         found = materialize(led.select("id", "lo", "near", others.alias("others")).mapInArrow(_compare_near(SHINGLE, least, similarity), schema))
@@ -385,8 +408,8 @@ def repeated_passages(
     Shingles of five words are hashed by each function; a compact window holds all
     subsequences with the same minimum. Where windows of ``agree`` functions meet over
     the length of a passage, their minima together are a key. Documents under a
-    key are compared with the document of the smallest id that has it, over the
-    shingles around the windows; those that do not match it meet all others of the key,
+    key are compared with the document of the smallest id that has it, each place with
+    each of its places, over the shingles around the windows; those that do not match it meet all others of the key,
     matched or not, several a round (:func:`_later_rounds`). Passages repeated word for word always share all
     keys; a near copy is found if ``agree`` of the functions agree somewhere on it.
 
@@ -415,15 +438,17 @@ def repeated_passages(
     by_doc = windows.join(shared, "key").groupBy("id").agg(F.collect_list(F.struct("key", "f", "c", "l", "r")).alias("windows"))
     left = materialize(by_doc.mapInArrow(_joint(least, agree), f"key long, id {kind}, l int, r int, a int"))
     schema = f"id {kind}, of {kind}, first_word int, last_word int, of_first_word int, of_last_word int"
-    stars = left.groupBy("key").agg(F.min(F.struct("id", "l", "r", "a")).alias("_o"), F.max("id").alias("_z"))
-    stars = stars.where(F.col("_o.id") != F.col("_z"))
-    open_ = materialize(left.join(stars.drop("_z"), "key").where(F.col("id") != F.col("_o.id")))
-    spot = F.struct("l", "r", "a", F.col("_o.l").alias("ol"), F.col("_o.r").alias("orr"), F.col("_o.a").alias("oa"))
-    pairs = open_.groupBy("id", F.col("_o.id").alias("of")).agg(F.collect_set(spot).alias("spots"))
+    stars = left.groupBy("key").agg(F.min("id").alias("of"), F.max("id").alias("_z")).where(F.col("of") != F.col("_z")).drop("_z")
+    led = materialize(left.join(stars, "key"))
+    place = F.sort_array(F.collect_set(F.struct("l", "r", "a")))
+    theirs = led.where(F.col("id") == F.col("of")).groupBy("key", "of").agg(place.alias("theirs"))
+    open_ = led.where(F.col("id") != F.col("of"))
+    mine = open_.groupBy("key", "id", "of").agg(place.alias("mine")).join(theirs, ["key", "of"])
+    pairs = mine.groupBy("id", "of").agg(F.sort_array(F.collect_set(F.struct("mine", "theirs"))).alias("spots"))
     other = texts.select(F.col("id").alias("of"), F.col("text").alias("of_text"))
     both = pairs.join(texts, "id").join(other, "of").select("id", "of", "text", "of_text", "spots")
     passages = materialize(both.mapInArrow(_compare(SHINGLE, least, similarity), schema))
-    left = materialize(_settled(open_.drop("_o").withColumn("open", F.lit(True)), passages))
+    left = materialize(_settled(open_.drop("of").withColumn("open", F.lit(True)), passages))
     for found in _later_rounds(left, texts, least, similarity, schema):
         passages = passages.union(found)
     passages = materialize(passages)

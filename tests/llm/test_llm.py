@@ -323,6 +323,27 @@ def test_settled_documents_stay_partners(spark):
     assert set(out.doc_id) == {100 * i + k for i in range(3) for k in range(chains)}
 
 
+def test_every_place_of_a_document_is_compared(spark):
+    rng = random.Random(21)
+    rows, cases = [], 8
+    for k in range(cases):
+        core, y = (" ".join(f"{c}{k}x{rng.randrange(10**6)}" for _ in range(n)) for c, n in (("c", 49), ("y", 8)))
+        rows.append((k, f"{core} {sentence(rng, 60)} {core} {y} {sentence(rng, 20)}", "en", "a"))
+        rows.append((100 + k, f"{sentence(rng, 30)} {core} {y} {sentence(rng, 20)}", "en", "a"))
+    out = repeated_passages(frame(spark, rows)).toPandas()
+    assert set(out.doc_id) == {100 * i + k for i in range(2) for k in range(cases)}
+
+
+def test_later_rounds_compare_every_place(spark):
+    rng = random.Random(22)
+    core, y = sentence(rng, 45), sentence(rng, 20)
+    texts = [(1, f"{core} {sentence(rng, 60)} {core} {y}"), (2, f"{sentence(rng, 40)} {core} {y}")]
+    left = spark.createDataFrame([(1, 1, 0, 60, 20), (1, 1, 105, 165, 125), (1, 2, 40, 100, 60)], "key long, id long, l int, r int, a int")
+    schema = "id long, of long, first_word int, last_word int, of_first_word int, of_last_word int"
+    found = [r for f in _later_rounds(left, spark.createDataFrame(texts, "id long, text string"), 46, 0.75, schema) for r in f.collect()]
+    assert {frozenset((r["id"], r["of"])) for r in found} == {frozenset((1, 2))}
+
+
 def test_queries_match_duckdb(spark, small):
     import duckdb
 
