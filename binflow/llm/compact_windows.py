@@ -18,8 +18,8 @@ SHINGLE = 5
 #: Words of the shortest passage; in shingles it is SHINGLE - 1 less.
 PASSAGE = 50
 SIMILARITY = 0.75
-#: Min-hash functions, and how many of them must agree on one pair of subsequences.
-FUNCTIONS, AGREE = 4, 3
+#: Min-hash functions, and how many of them must agree on one pair of subsequences; the README has the recall.
+FUNCTIONS, AGREE = 8, 3
 #: Shingles of a piece of a long text, and the reach of a window to each side.
 PIECE, REACH = 1 << 18, 1 << 12
 BATCH = 100_000

@@ -344,6 +344,22 @@ def test_later_rounds_compare_every_place(spark):
     assert {frozenset((r["id"], r["of"])) for r in found} == {frozenset((1, 2))}
 
 
+def test_near_copies_are_found(spark):
+    rng = random.Random(23)
+    rows, pairs = [], 60
+    for k in range(pairs):
+        word = lambda: f"k{k}x{rng.randrange(10**6)}"  # noqa: B023, E731
+        core = [word() for _ in range(50 + 5 * (k % 3))]
+        other = [*core[: len(core) // 2], word(), *core[len(core) // 2 + 1 :]]
+        rows += [(2 * k + i, " ".join([*(word() for _ in range(30)), *part, *(word() for _ in range(30))]), "en", "a") for i, part in enumerate((core, other))]
+    tokens = {i: [tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)] for i, t, *_ in rows}
+    codes = collections.defaultdict(lambda: len(codes))
+    shingles = {i: np.array([codes[x] for x in v]) for i, v in tokens.items()}
+    want = {2 * k for k in range(pairs) if match(shingles[2 * k], shingles[2 * k + 1], 46, 0.75)}
+    found = set(repeated_passages(frame(spark, rows)).toPandas().doc_id)
+    assert len(want) == pairs and len(want & found) >= 0.98 * pairs
+
+
 def test_queries_match_duckdb(spark, small):
     import duckdb
 
