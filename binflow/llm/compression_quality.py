@@ -90,10 +90,9 @@ def _sample_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         quality, found = [], []
         for q, t in zip(batch.column(0), batch.column(1)):
             blocks = blocks_of(t.as_py())
-            step = max(1, len(blocks) // BLOCKS_PER_DOC)
-            for block in blocks[::step][:BLOCKS_PER_DOC]:
+            for i in sorted({i * len(blocks) // BLOCKS_PER_DOC for i in range(BLOCKS_PER_DOC)} if blocks else ()):
                 quality.append(q.as_py())
-                found.append(block)
+                found.append(blocks[i])
         yield pa.RecordBatch.from_arrays([pa.array(quality, pa.int32()), pa.array(found, pa.binary())], ["quality", "block"])
 
 

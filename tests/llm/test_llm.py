@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from binflow.llm.common import n_words
 from binflow.llm.compact_windows import _later_rounds, compact_windows, match, may_match, repeated_passages
-from binflow.llm.compression_quality import score_quality
+from binflow.llm.compression_quality import BLOCK, BLOCKS_PER_DOC, _sample_blocks, score_quality
 from binflow.llm.language_id import identify
 from binflow.llm.license_scan import scan_licenses
 from binflow.llm.line_dedup import dedup_lines
@@ -230,6 +230,16 @@ def test_quality(spark, awkward, empty):
     assert score_quality(awkward, labels).count() == 10 and score_quality(empty, labels).count() == 0
 
 
+def test_sampled_blocks_span_the_text():
+    import pyarrow as pa
+
+    for n in (0, 1, 5, 6, 11, 17, 40):
+        text = "".join(chr(65 + i) * BLOCK for i in range(n))
+        batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([text])], ["quality", "text"])
+        at = [b.as_py()[0] - 65 for b in next(_sample_blocks(iter([batch]))).column(1)]
+        assert at == sorted({i * n // BLOCKS_PER_DOC for i in range(BLOCKS_PER_DOC)} if n else [])
+
+
 def test_language(spark, small, awkward, empty):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     out = identify(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
