@@ -24,8 +24,9 @@ TEMPLATES = (
 #: Words of a window and between the starts of two: a run of up to WINDOW - STRIDE + 1 words lies whole in one.
 WINDOW, STRIDE = 8, 4
 #: Bands of one MinHash each. A notice's windows share 2/7 of the pairs of words at least where the
-#: notice is whole (three words in a window of eight), so a miss has a chance of (5/7)^BANDS = 0.5 % at most;
-#: from seven words on the share is 4/9 and the chance is 0.01 %.
+#: notice is whole (three words in a window of eight), so a miss has a chance of (5/7)^BANDS = 0.5 %
+#: at most from three words on; from seven words on the share is 4/9 and the chance is 0.01 %. A notice of two
+#: words is one pair of seven, and its chance is (6/7)^BANDS = 8.5 % where only one window holds it.
 BANDS = 16
 CONTAINED = 0.9
 #: Words of a piece of a long document; a multiple of STRIDE.
@@ -48,7 +49,7 @@ def _pairs(df: DataFrame, key: Column, text: Column) -> DataFrame:
 
 def _bands(windows: DataFrame) -> DataFrame:
     """The windows at ``_at`` of ``_pairs``, one row per band with its key ``_band``: the least pair hash
-    after an xor with the band's constant.
+    after hashing each pair anew with the band's constant.
 
     The pairs become columns first and the bands rows, so that the generated code of a key stays small.
     """
@@ -56,7 +57,8 @@ def _bands(windows: DataFrame) -> DataFrame:
     wide = windows.select("*", *[F.get("_pairs", F.col("_at") + k).alias(name) for k, name in enumerate(pairs)])
     masks = F.array(*[F.xxhash64(F.lit(band), F.lit("band")) for band in range(BANDS)])
     each = wide.select("*", F.explode(masks).alias("_mask"))
-    least = F.least(*[F.col(name).bitwiseXOR(F.col("_mask")) for name in pairs])
+    # A pair that is missing stays NULL, which least() passes over.
+    least = F.least(*[F.when(F.col(name).isNotNull(), F.xxhash64("_mask", name)) for name in pairs])
     return each.select(*windows.columns, F.xxhash64("_mask", least).alias("_band"))
 
 

@@ -15,7 +15,7 @@ from binflow.llm.common import n_words
 from binflow.llm.compact_windows import _later_rounds, compact_windows, match, may_match, repeated_passages
 from binflow.llm.compression_quality import BLOCK, BLOCKS_PER_DOC, _sample_blocks, score_quality
 from binflow.llm.language_id import identify
-from binflow.llm.license_scan import scan_licenses
+from binflow.llm.license_scan import _bands, scan_licenses
 from binflow.llm.line_dedup import dedup_lines
 from binflow.llm.ngram_join import keep_one, near_components, prefix_signatures
 from binflow.llm.perplexity import judge, keep_good
@@ -266,6 +266,14 @@ def test_licenses(spark, awkward, empty):
     assert scan_licenses(awkward).count() == 0 and scan_licenses(empty).count() == 0
 
 
+def test_license_bands_are_independent(spark):
+    rng, n = random.Random(24), 10000
+    pairs = [[rng.randrange(-(2**63), 2**63) for _ in range(7)] for _ in range(n)]
+    sides = [_bands(spark.createDataFrame([(i, 0, p[:m]) for i, p in enumerate(pairs)], "id long, _at int, _pairs array<long>")) for m in (7, 2)]
+    met = sides[0].select("id", "_band").join(sides[1].select("id", "_band"), ["id", "_band"]).select("id").distinct().count()
+    assert n - met <= 0.006 * n
+
+
 def test_compact_windows_match_the_definition():
     rng = np.random.default_rng(9)
     for n, least in ((60, 7), (200, 46), (30, 30), (20, 21)):
