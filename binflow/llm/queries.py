@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from binflow.llm.common import n_words
 from binflow.llm.compact_windows import repeated_passages
 from binflow.llm.compression_quality import score_quality
+from binflow.llm.filter_audit import SQL as AUDIT_SQL
+from binflow.llm.filter_audit import audit_filters
 from binflow.llm.language_id import identify
 from binflow.llm.license_scan import scan_licenses
 from binflow.llm.line_dedup import dedup_lines
 from binflow.llm.ngram_join import near_components
 from binflow.llm.perplexity import judge
+from binflow.llm.phrase_mining import SQL as PHRASES_SQL
+from binflow.llm.phrase_mining import mine_phrases
 from binflow.llm.pivotal_mix import mix_sources
+from binflow.llm.simhash_trees import near_fingerprints
 from binflow.llm.spaced_seed import contaminated
 from binflow.llm.url_filter import judge_urls
 from binflow.llm.url_filter import oracle_sql as url_sql
@@ -96,6 +101,19 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM j GROUP BY doc_id
 """
 
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_simhash_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_fingerprints(_table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": op1_license_scan,
     "op2_compression_quality": op2_compression_quality,
@@ -107,5 +125,14 @@ QUERIES: dict[str, Query] = {
     "op8_language_id": op8_language_id,
     "op9_url_filter": op9_url_filter,
     "op10_line_dedup": op10_line_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_simhash_trees": op12_simhash_trees,
+    "op13_phrase_mining": op13_phrase_mining,
+}
+ORACLES: dict[str, str] = {
+    "op3_spaced_seeds": OP3_SQL,
+    "op9_url_filter": url_sql(),
+    "op10_line_dedup": OP10_SQL,
+    "op11_filter_audit": AUDIT_SQL,
+    "op13_phrase_mining": PHRASES_SQL,
 }
-ORACLES: dict[str, str] = {"op3_spaced_seeds": OP3_SQL, "op9_url_filter": url_sql(), "op10_line_dedup": OP10_SQL}
