@@ -21,9 +21,9 @@ SAMPLE = 1 / 16
 SET_BITS = 26
 BUCKET_BITS = 15
 #: Words and bytes of words that a task remembers the number of before it starts anew.
-REMEMBERED, REMEMBERED_BYTES = 200_000, 8_000_000
+REMEMBERED, REMEMBERED_BYTES = 100_000, 8_000_000
 #: Words that are looked at together.
-STEP = 400_000
+STEP = 100_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
 _ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -56,46 +56,54 @@ def _encode(attempt: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memos: dict[str, _Numbers] = {}
-        for batch in batches:
-            found, offsets, lots, langs, counts = [np.zeros(0, np.uint64)], [0], [], [], []
-            for text, lang, lot in rows_of(iter([batch]), "text", "lang", "lot"):
-                memo = memos.get(lang)
-                if memo is None:
-                    memo = memos[lang] = _Numbers(lang, attempt)
-                words = text.encode("utf-8", "replace").lower().translate(_TO_END).replace(b"\n", b" " + _END + b" ").split()
-                words.append(_END)
-                ids = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-                found.append(ids)
-                offsets.append(offsets[-1] + len(ids))
-                lots.append(lot)
-                langs.append(lang)
-                counts.append(int(np.count_nonzero(ids)))
-            new = [(m.lang, w, m[w]) for m in memos.values() for w in m.fresh]
-            n, extra = len(langs), len(new)
-            lists = pa.ListArray.from_arrays(
-                pa.array(offsets + [offsets[-1]] * extra, pa.int32()),
-                pa.array(np.concatenate(found).view(np.int64)),
-                mask=pa.array(np.arange(n + extra) >= n),
-            )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    lists,
-                    pa.array(lots + [None] * extra, pa.float64()),
-                    pa.array(langs + [x[0] for x in new], pa.string()),
-                    pa.array(counts + [None] * extra, pa.int64()),
-                    pa.array([None] * n + [x[1].decode("utf-8", "replace") for x in new], pa.string()),
-                    pa.array(np.r_[np.zeros(n, np.uint64), np.array([x[2] for x in new], np.uint64)].view(np.int64)),
-                ],
-                ["ids", "lot", "lang", "n", "word", "id"],
-            )
-            for memo in memos.values():
-                memo.fresh.clear()
-            if sum(map(len, memos.values())) > REMEMBERED or sum(m.bytes for m in memos.values()) > REMEMBERED_BYTES:
-                memos.clear()
+        docs: list[tuple] = []
+        held = 0
+        for text, lang, lot in rows_of(batches, "text", "lang", "lot"):
+            memo = memos.get(lang)
+            if memo is None:
+                memo = memos[lang] = _Numbers(lang, attempt)
+            words = text.encode("utf-8", "replace").lower().translate(_TO_END).replace(b"\n", b" " + _END + b" ").split()
+            words.append(_END)
+            ids = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+            docs.append((ids, lot, lang))
+            held += len(ids)
+            if held >= STEP:
+                yield _packed(docs, memos)
+                docs, held = [], 0
+                if sum(map(len, memos.values())) > REMEMBERED or sum(m.bytes for m in memos.values()) > REMEMBERED_BYTES:
+                    memos.clear()
+        if docs:
+            yield _packed(docs, memos)
 
     return run
 
 
+def _packed(docs: list[tuple], memos: dict[str, _Numbers]) -> pa.RecordBatch:
+    """The rows of some documents and of the words that they brought."""
+    new = [(m.lang, w, m[w]) for m in memos.values() for w in m.fresh]
+    for memo in memos.values():
+        memo.fresh.clear()
+    n, extra = len(docs), len(new)
+    ends = np.cumsum([len(ids) for ids, _, _ in docs])
+    lists = pa.ListArray.from_arrays(
+        pa.array(np.r_[0, ends, np.full(extra, ends[-1])], pa.int32()),
+        pa.array(np.concatenate([ids for ids, _, _ in docs]).view(np.int64)),
+        mask=pa.array(np.arange(n + extra) >= n),
+    )
+    sizes = [int(np.count_nonzero(ids)) for ids, _, _ in docs]
+    return pa.RecordBatch.from_arrays(
+        [
+            lists,
+            pa.array([lot for _, lot, _ in docs] + [None] * extra, pa.float64()),
+            pa.array([lang for _, _, lang in docs] + [x[0] for x in new], pa.string()),
+            pa.array(sizes + [None] * extra, pa.int64()),
+            pa.array([None] * n + [x[1].decode("utf-8", "replace") for x in new], pa.string()),
+            pa.array(np.r_[np.zeros(n, np.uint64), np.array([x[2] for x in new], np.uint64)].view(np.int64)),
+        ],
+        ["ids", "lot", "lang", "n", "word", "id"],
+    )
+
+
 def encode(docs: DataFrame) -> DataFrame:
     """Written rows of :func:`_encode`, in which every number belongs to one word of one language.
 
