@@ -149,8 +149,8 @@ def links_within(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Da
     """
     if shard < 2:
         raise ValueError("a shard holds two fingerprints at least")
-    masks = refine(0, radius)
-    rows = fps.select("fp", F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("mask"))
+    first = [F.lit(signed(m)) for m in refine(0, radius)]
+    rows = fps.select("fp", F.explode(F.array(*first)).alias("mask"))
     found = None
     while True:
         keyed = rows.select("fp", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("value"))
@@ -162,11 +162,12 @@ def links_within(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> Da
         large = sizes.where(F.col("n") > shard)
         if large.isEmpty():
             return found
-        finer = {m: refine(m, radius) for m in masks}
-        masks = [m for ms in finer.values() for m in ms]
-        of = F.create_map(*[x for m, ms in finer.items() for x in (F.lit(signed(m)), F.array(*[F.lit(signed(k)) for k in ms]))])
-        again = keyed.join(large, ["mask", "value"], "left_semi")
-        rows = materialize(again.select("fp", F.explode(of[F.col("mask")]).alias("mask")))
+        # Masks, not fingerprints: at most radius + 1 times as many a round, whatever the table holds.
+        masks = [r.mask for r in large.select("mask").distinct().collect()]
+        finer = [(m, [signed(k) for k in refine(m % (1 << BITS), radius)]) for m in masks]
+        finer = F.broadcast(fps.sparkSession.createDataFrame(finer, "mask long, finer array<long>"))
+        again = keyed.join(large, ["mask", "value"], "left_semi").join(finer, "mask")
+        rows = materialize(again.select("fp", F.explode("finer").alias("mask")))
 
 
 def near_fingerprints(
