@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binflow.functions import text
-from binflow.sources.bins import list_files
+from binflow.sources.store import list_files
 
 
 def dataset_catalog(images: DataFrame, labels: DataFrame, names: DataFrame) -> DataFrame:

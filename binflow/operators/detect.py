@@ -13,6 +13,7 @@ from binflow.functions.scale import hot_keys
 from binflow.params import DetectParams
 from binflow.session import materialize
 from binflow.sources.named import write_named
+from binflow.sources.store import Files
 
 #: An image with more boxes than this is suppressed tile by tile.
 IMAGE_BOXES = 20_000
@@ -248,8 +249,13 @@ def label_lines(detections: DataFrame, width: float, height: float, save_conf: b
     return detections.select("image_id", "det_id", F.concat_ws(" ", *parts).alias("line"))
 
 
-def write_detections(detections: DataFrame, folder: str, width: float, height: float, save_conf: bool = False) -> DataFrame:
-    """One file of label lines per image at ``<folder>/<image_id>.txt``; returns a status row per file."""
+def write_detections(
+    detections: DataFrame, folder: str, width: float, height: float, save_conf: bool = False, files: Files | None = None
+) -> DataFrame:
+    """One file of label lines per image at ``<folder>/<image_id>.txt``, in order of det_id; returns a status row per file.
+
+    ``folder`` may be in any store. The files are there when this returns; reading the status writes nothing.
+    """
     lines = label_lines(detections, width, height, save_conf)
     path = F.concat(F.lit(f"{folder}/"), "image_id", F.lit(".txt"))
-    return write_named(lines.select("line", path.alias("out_path")))
+    return write_named(lines.select("line", "det_id", path.alias("out_path")), folder, ("det_id", "line"), ["line"], files)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from binflow.operators.runs import batches, contiguous_chunks, run_batches
 from binflow.operators.select import pending
 from binflow.session import materialize
-from binflow.sources.manifest import append_manifest, read_manifest
+from binflow.sources.manifest import append_manifest, pending_paths
 from binflow.sources.media import discover_media, validate_media
 
 
@@ -40,7 +40,7 @@ def resume_run(
     The status is written as a table, so the caller's function does not run again when
     the status is read. Files finished meanwhile are left out.
     """
-    todo = pending(plan, read_manifest(plan.sparkSession, manifest_path))
+    todo = pending_paths(plan, manifest_path)
     status = materialize(run_batches(todo, process, stage))
     append_manifest(status, manifest_path, run_id)
     return status

@@ -11,6 +11,8 @@ from binflow.registry import query
 from binflow.registry.rounding import rounded
 from binflow.session import scratch_path
 from binflow.sources import bins as io
+from binflow.sources.named import write_named
+from binflow.sources.store import Files
 
 
 @query(
@@ -18,7 +20,12 @@ from binflow.sources import bins as io
     "select regexp_extract(path, '([^/]+)[.]adc$', 1) as bin_id, substr(split_part(path, '/', 4), 1, 1) as bin_type, path from {bins}",
 )
 def scan_bins(spark, sf):
-    return io.bins_from_paths(load(spark, sf, "bins").select("path"))
+    """Writes a file for each bin, in folders as the paths name them, and lists them."""
+    root = scratch_path(spark, "bins")
+    place = lambda path: F.concat(F.lit(root), F.substr(path, F.lit(len("/data") + 1)))
+    write_named(load(spark, sf, "bins").select(F.col("bin_id").alias("line"), place(F.col("path")).alias("out_path")), root)
+    below = F.substr("path", F.lit(len(Files.plain(root)) + 1))
+    return io.scan_bins(spark, root).select("bin_id", "bin_type", F.concat(F.lit("/data"), below).alias("path"))
 
 
 _RAW = {
@@ -28,24 +35,32 @@ _RAW = {
     "y": "double(_c3) / 50",
     "has_roi": "_c4 <> 'N'",
 }
+_RAW_SQL = """select concat('S', cast(l_suppkey as string)) as bin_id, l_linenumber::bigint as seq, l_orderkey as trigger_id,
+              round(l_extendedprice / 105000e0 * 1.36e0, 6) as x, round(l_quantity / 50e0, 6) as y, l_returnflag <> 'N' as has_roi
+       from {lineitem}"""
 
 
-@query(
-    "scan_points",
-    """select concat('S', cast(l_suppkey as string)) as bin_id, l_linenumber::bigint as seq, l_orderkey as trigger_id,
-              round(l_extendedprice / 105000e0 * 1.36e0, 6) as x, round(l_quantity / 50e0, 6) as y, l_returnflag <> 'N' as has_roi
-       from {lineitem}""",
-)
+def _point_files(spark, sf) -> str:
+    """Folder of headerless instrument files, one per supplier."""
+    root = scratch_path(spark, "points")
+    line = F.concat_ws(",", "l_linenumber", "l_orderkey", "l_extendedprice", "l_quantity", "l_returnflag")
+    path = F.concat(F.lit(f"{root}/run/S"), "l_suppkey", F.lit(".adc"))
+    write_named(load(spark, sf, "lineitem").select(line.alias("line"), path.alias("out_path")), root)
+    return root
+
+
+@query("scan_points", _RAW_SQL)
 def scan_points(spark, sf):
-    """Writes the point rows as headerless instrument files, one folder of
-    ``.adc`` files, then scans them back."""
-    folder = scratch_path(spark, "points")
-    raw = load(spark, sf, "lineitem").select(
-        "l_linenumber", "l_orderkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_suppkey"
-    )
-    raw.write.option("header", False).csv(f"{folder}/run.adc")
-    rows = spark.read.schema("_c0 string, _c1 string, _c2 string, _c3 string, _c4 string, _c5 string").csv(f"{folder}/run.adc")
-    return rounded(io.points_from_rows(rows, _RAW, F.concat(F.lit("S"), F.col("_c5"))))
+    """Writes the point rows as instrument files, then scans them back in small byte ranges."""
+    return rounded(io.scan_points(spark, _point_files(spark, sf), _RAW, 5, split_bytes=50_000))
+
+
+@query("scan_points_listed", _RAW_SQL + " where l_suppkey % 3 = 0")
+def scan_points_listed(spark, sf):
+    """Only the files of the listed bins are opened."""
+    suppliers = load(spark, sf, "supplier").where("s_suppkey % 3 = 0")
+    ids = suppliers.select(F.concat(F.lit("S"), "s_suppkey").alias("bin_id"))
+    return rounded(io.scan_points(spark, _point_files(spark, sf), _RAW, 5, ids=ids))
 
 
 @query("read_id_list", "select bin_id from {bins}")
@@ -181,13 +196,15 @@ def _day_rows(spark, sf):
     "write_day_layout",
     _LAYOUT_SQL
     + """ select concat('features/', day, f.folder, stem, 'T000000_IFCB00', unit % 10, f.ending) as file, count(*) as rows
-          from d, (values ('/', '_features_v4.csv'), ('/multiblob/', '_multiblob_v4.csv')) f(folder, ending) group by all""",
+          from d, (values ('/', '_features_v4.csv'), ('/multiblob/', '_multiblob_v4.csv')) f(folder, ending) group by all
+          union all select concat('blobs/', day, '/', stem, 'T000000_IFCB00', unit % 10, '_blobs_v4.zip'), count(*) from d group by all""",
 )
 def write_day_layout(spark, sf):
     root = scratch_path(spark, "days")
     rows = _day_rows(spark, sf)
-    status = io.write_day_layout(rows, rows, root).filter("ok")
-    return status.select(F.substring_index("out_path", f"{root}/".replace("file:", ""), -1).alias("file"), "rows")
+    masks = rows.select("bin_id", F.col("unit").cast("string").alias("member"), F.col("pid").alias("content"))
+    status = io.write_day_layout(rows, rows, root, masks, ("unit",)).filter("ok")
+    return status.select(F.substr("out_path", F.lit(len(Files.plain(root)) + 2)).alias("file"), "rows")
 
 
 @query("write_partitioned", _LAYOUT_SQL + " select day, concat(stem, 'T000000_IFCB00', unit % 10) as bin_id, pid, unit from d")

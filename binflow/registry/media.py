@@ -11,6 +11,7 @@ from binflow.operators.runs import skip_reasons
 from binflow.registry import query
 from binflow.session import scratch_path
 from binflow.sources import media as io
+from binflow.sources.named import write_named
 
 # Leading bytes as hex: right for two files of three, else the start of the document's text.
 _HEADS = {".jpg": "FFD8FFE0", ".PNG": "89504E470D0A1A0A", ".tif": "49492A0008000000", ".avi": "524946461000000041564920"}
@@ -102,6 +103,21 @@ def archive_bins(spark, sf):
     return status.select("bin_id", "ok", "object_key", "members", "bytes")
 
 
+@query(
+    "archive_bins_paths",
+    """select bin_id, true as ok, concat('runs/', bin_id, '.zip') as object_key, count(*) as members, sum(strlen(content) + 1)::bigint as bytes
+       from {archive_members} group by bin_id""",
+)
+def archive_bins_paths(spark, sf):
+    """The members are files, each a line longer than its text; the tasks that write the archives open them."""
+    root = scratch_path(spark, "members")
+    path = F.concat_ws("/", F.lit(root), "bin_id", "member")
+    members = load(spark, sf, "archive_members").select("bin_id", "member", path.alias("path"), "content")
+    write_named(members.select(F.col("path").alias("out_path"), "content"), root)
+    status = io.archive_bins(members.drop("content"), scratch_path(spark, "zips"), "runs/")
+    return status.select("bin_id", "ok", "object_key", "members", "bytes")
+
+
 @query(
     "dataset_catalog",
     """with named as (select l.split, l.stem, l.class_id, n.n_name from {image_labels} l left join {nation} n on l.class_id = n.n_nationkey)

@@ -8,8 +8,8 @@ from binflow.bindings import load
 from binflow.operators import provenance as ops
 from binflow.registry import query
 from binflow.session import scratch_path
-from binflow.streaming.incremental import incremental_bins as run_incremental
-from binflow.streaming.incremental import read_status
+from binflow.sources.manifest import Ledger
+from binflow.streaming.incremental import run_incremental
 
 
 @query(
@@ -57,15 +57,10 @@ def _process(paths: list[str]) -> None:
               (select unnest([1, 2]) as run) where run = 1 or path like '%3.tif' group by all""",
 )
 def incremental_bins(spark, sf):
-    """Streams the file list, then runs again: only the failed files are tried a second time."""
+    """Streams the file list, then runs again without a new file: the failed files are tried a second time."""
     root = scratch_path(spark, "stream")
-    files = load(spark, sf, "files").select("path", "size")
-    late = F.col("path").endswith("0.avi")
-    files.filter(~late).write.mode("append").parquet(f"{root}/in")
-    for step in range(2):
+    load(spark, sf, "files").select("path", "size").write.parquet(f"{root}/in")
+    for _ in range(2):
         stream = spark.readStream.schema("path string, size bigint").parquet(f"{root}/in")
-        run_incremental(stream, _process, f"{root}/status", f"{root}/checkpoint").awaitTermination()
-        if step == 0:
-            files.filter(late).write.mode("append").parquet(f"{root}/in")
-    status = read_status(spark, f"{root}/status")
-    return status.groupBy("path", "ok").agg(F.count(F.lit(1)).alias("attempts"))
+        run_incremental(stream, _process, f"{root}/status", f"{root}/checkpoint", buckets=8)
+    return Ledger(spark, f"{root}/status").table().groupBy("path", "ok").agg(F.count(F.lit(1)).alias("attempts"))

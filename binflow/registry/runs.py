@@ -20,6 +20,19 @@ def pending_files(spark, sf):
     return pending(load(spark, sf, "files"), load(spark, sf, "manifest")).select("path", "size", "suffix", "doc_id")
 
 
+@query("pending_ledger", "select path, doc_id from {files} where path not in (select path from {manifest})")
+def pending_ledger(spark, sf):
+    """The manifest as a bucketed ledger: several runs, some files tried twice, compacted in between."""
+    path = scratch_path(spark, "ledger")
+    ledger = manifests.Ledger(spark, path, buckets=8)
+    done = load(spark, sf, "manifest").distinct()
+    ledger.append(done.withColumn("ok", F.lit(False)), "first")
+    ledger.append(done.withColumn("ok", F.lit(True)), "second")
+    ledger.compact()
+    ledger.append(load(spark, sf, "files").join(done, "path", "left_anti").withColumn("ok", F.lit(False)), "third")
+    return manifests.Ledger(spark, path).pending(load(spark, sf, "files")).select("path", "doc_id")
+
+
 @query(
     "pending_counts",
     """select count(*) as found, count(*) filter (path in (select path from {manifest})) as complete,

@@ -75,8 +75,3 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence test through the Hadoop file system of the path."""
     system, target = _file_system(spark, path)
     return system.exists(target)
-
-
-def is_mounted(spark: SparkSession, path: str) -> bool:
-    """Whether the path is on a file system that tasks can open directly."""
-    return _file_system(spark, path)[0].getScheme() == "file"

@@ -2,58 +2,22 @@
 
 from __future__ import annotations
 
-import os
-import re
 from collections.abc import Iterator
-from itertools import islice
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binflow.functions import text
 from binflow.functions.scale import lay_out
-from binflow.operators.select import filter_bin_type
-from binflow.session import is_mounted, materialize
-from binflow.sources.named import write_named
+from binflow.operators.select import filter_bin_type, select_units
+from binflow.sources.named import write_named, write_zips
+from binflow.sources.store import Files, list_files
 
-
-def list_files(spark: SparkSession, root: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """path and size of files below ``root``. File contents are never read.
-
-    A mounted folder is walked by tasks, level by level. In other stores Spark's
-    own listing is used, which leaves empty files out.
-    """
-    if is_mounted(spark, root):
-        return _walk(spark, root, pattern, recursive)
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-    reader = reader.option("recursiveFileLookup", str(recursive).lower())
-    return reader.load(root).select("path", F.col("length").alias("size"))
-
-
-def _walk(spark: SparkSession, root: str, pattern: str, recursive: bool) -> DataFrame:
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for folder in pdf["path"]:
-                with os.scandir(folder) as entries:
-                    while chunk := list(islice(entries, 10_000)):
-                        yield pd.DataFrame(
-                            [(e.path, e.is_dir(), 0 if e.is_dir() else e.stat().st_size) for e in chunk],
-                            columns=["path", "folder", "size"],
-                        )
-
-    level = spark.createDataFrame([("/" + root.removeprefix("file:").strip("/"),)], "path string")
-    found = None
-    while True:
-        seen = materialize(level.mapInPandas(scan, "path string, folder boolean, size bigint"))
-        files = seen.filter(~F.col("folder")).select("path", "size")
-        found = files if found is None else found.unionByName(files)
-        level = seen.filter("folder").select("path")
-        if not recursive or level.isEmpty():
-            break
-        level = level.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path")
-    name = "^" + re.escape(pattern).replace("\\*", ".*").replace("\\?", ".") + "$"
-    return found.filter(text.file_name(F.col("path")).rlike(name))
+#: Bytes of a point file that one task reads at a time; longer files are shared out.
+SPLIT_BYTES = 64 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def bins_from_paths(paths: DataFrame) -> DataFrame:
@@ -64,9 +28,9 @@ def bins_from_paths(paths: DataFrame) -> DataFrame:
     )
 
 
-def scan_bins(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """Bins below a folder; ``recursive=False`` lists only its own files."""
-    return bins_from_paths(list_files(spark, root, "*.adc", recursive))
+def scan_bins(spark: SparkSession, root: str, recursive: bool = True, files: Files | None = None) -> DataFrame:
+    """Bins below a folder, bins without rows too; ``recursive=False`` lists only its own files."""
+    return bins_from_paths(list_files(spark, root, "*.adc", recursive, files=files))
 
 
 def points_from_rows(rows: DataFrame, column_map: dict[str, str], bin_id: Column) -> DataFrame:
@@ -81,20 +45,79 @@ def points_from_rows(rows: DataFrame, column_map: dict[str, str], bin_id: Column
     )
 
 
-def scan_points(spark: SparkSession, root: str, column_map: dict[str, str], columns: int, recursive: bool = True) -> DataFrame:
-    """Point rows of all ``.adc`` files below a folder, bin_id from the file name.
+def read_lines(paths: DataFrame, files: Files | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """(path, line) of the listed files: rows (path, size) in, one row per line out. Blank lines are dropped.
 
-    The raw files have no header; ``columns`` fields are read as text ``_c0``...
-    and only the mapped ones are parsed.
+    Only listed files are opened. A file is cut into byte ranges that are dealt over the tasks, so one very long file is
+    no single task; a line belongs to the range it begins in. A file that cannot be read is an error.
     """
+    files = files or Files()
+    parts = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(split_bytes).cast("long")))
+    ranges = paths.where(F.col("size") > 0).select("path", begin.alias("begin")).repartition(parts, "path", "begin")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, begin in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with files.open(path) as stream:
+                    for lines in _lines_of(stream, begin, begin + split_bytes):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(lines), path, object), pa.string()), pa.array(lines, pa.string())], ["path", "line"]
+                        )
+
+    return ranges.mapInArrow(read, "path string, line string")
+
+
+def _lines_of(stream: pa.NativeFile, begin: int, end: int) -> Iterator[list[str]]:
+    """Lines that begin in [begin, end) of a stream; they end at LF, CR LF or the end of the stream."""
+    # From the byte before: a line that begins just here is ours, and the rest of an earlier one is not.
+    at, skipping, rest = max(begin - 1, 0), begin > 0, b""
+    stream.seek(at)
+    while True:
+        block = stream.read(BLOCK_BYTES)
+        lines = (rest + block).split(b"\n")
+        rest = lines.pop() if block else b""
+        kept = []
+        for line in lines:
+            if at >= end:
+                break
+            if skipping:
+                skipping = False
+            elif text_of := line.removesuffix(b"\r"):
+                kept.append(text_of.decode("utf-8", "replace"))
+            at += len(line) + 1
+        if kept:
+            yield kept
+        if not block or at >= end:
+            return
+
+
+def scan_points(
+    spark: SparkSession,
+    root: str,
+    column_map: dict[str, str],
+    columns: int,
+    recursive: bool = True,
+    ids: DataFrame | list[str] | None = None,
+    days: list[str] | None = None,
+    files: Files | None = None,
+    split_bytes: int = SPLIT_BYTES,
+) -> DataFrame:
+    """Point rows of the ``.adc`` files below a folder, bin_id from the file name.
+
+    ``ids`` (None or empty: all) and ``days`` (``yyyy-MM-dd``; None: all) choose bins by name before any
+    file is opened. The raw files have no header; ``columns`` fields are text ``_c0``... and only the mapped ones are
+    parsed. A row with fewer fields has NULL in the rest.
+    """
+    listed = list_files(spark, root, "*.adc", recursive, files=files)
+    bin_id = F.regexp_replace(text.file_name(F.col("path")), "[.]adc$", "")
+    chosen = select_units(listed.select(bin_id.alias("bin_id"), "path", "size"), ids)
+    if days is not None:
+        chosen = chosen.where(text.pid_fields(F.col("bin_id"))[2].cast("string").isin(*days))
     schema = ", ".join(f"_c{i} string" for i in range(columns))
-    raw = (
-        spark.read.schema(schema)
-        .option("pathGlobFilter", "*.adc")
-        .option("recursiveFileLookup", str(recursive).lower())
-        .csv(root)
-    )
-    return points_from_rows(raw, column_map, F.regexp_replace(F.col("_metadata.file_name"), "[.]adc$", ""))
+    lines = read_lines(chosen, files, split_bytes)
+    raw = lines.select(bin_id.alias("bin_id"), F.from_csv("line", schema).alias("_r")).select("bin_id", "_r.*")
+    return points_from_rows(raw, column_map, F.col("bin_id"))
 
 
 def read_id_list(spark: SparkSession, path: str) -> DataFrame:
@@ -129,16 +152,25 @@ def day_layout(bin_id: Column, root: str) -> dict[str, Column]:
     }
 
 
-def write_day_layout(features: DataFrame, blobs: DataFrame, root: str) -> DataFrame:
-    """Write the feature and multi-blob rows of each bin to its file of the day layout.
+def write_day_layout(
+    features: DataFrame,
+    multiblob: DataFrame,
+    root: str,
+    masks: DataFrame | None = None,
+    order_by: tuple[str, ...] = (),
+    files: Files | None = None,
+) -> DataFrame:
+    """Write each bin's feature rows, multi-blob rows and mask archive to its files of the day layout.
 
-    Returns a status row per file. Mask archives go through ``archive_bins``.
+    The tables have bin_id and any columns, rows in the order of ``order_by``; ``masks`` has bin_id, member, and path or content. Returns
+    a status row per file: out_path, ok, error, rows, bytes. All has been written when this returns, once.
     """
-    status = [
-        write_named(df.withColumn("out_path", day_layout(F.col("bin_id"), root)[kind]))
-        for df, kind in ((features, "features"), (blobs, "multiblob"))
-    ]
-    return status[0].unionByName(status[1])
+    place = lambda df, kind: df.withColumn("out_path", day_layout(F.col("bin_id"), root)[kind])
+    status = write_named(place(features, "features"), root, order_by, files=files)
+    status = status.unionByName(write_named(place(multiblob, "multiblob"), root, order_by, files=files))
+    if masks is not None:
+        status = status.unionByName(write_zips(place(masks, "blobs").drop("bin_id"), root, files))
+    return status
 
 
 def write_partitioned(df: DataFrame, root: str) -> None:

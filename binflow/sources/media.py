@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
-import tempfile
-import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binflow.functions import text
-from binflow.sources.bins import list_files
-from binflow.sources.named import mounted_path
+from binflow.sources.named import write_zips
+from binflow.sources.store import Files, list_files
 
 # Leading bytes (hex, as SQL LIKE patterns) of the media types.
 SIGNATURES = {
@@ -34,7 +30,6 @@ BAD_IMAGE = "cannot read image"
 BAD_VIDEO = "cannot open"
 NO_FRAMES = "no frames detected"
 BAD_FRAME = "cannot read first frame"
-ARCHIVE_SCHEMA = "bin_id string, ok boolean, error string, object_key string, members bigint, bytes bigint"
 
 
 def discover_media(files: DataFrame, ext: str = ".avi", max_files: int | None = None) -> DataFrame:
@@ -43,30 +38,32 @@ def discover_media(files: DataFrame, ext: str = ".avi", max_files: int | None =
     return found if max_files is None else found.orderBy("path").limit(max_files)
 
 
-def scan_media(spark: SparkSession, root: str, ext: str = ".avi", max_files: int | None = None) -> DataFrame:
-    return discover_media(list_files(spark, root, f"*{ext}"), ext, max_files)
+def scan_media(
+    spark: SparkSession, root: str, ext: str = ".avi", max_files: int | None = None, files: Files | None = None, heads: bool = False
+) -> DataFrame:
+    """Media files below a folder of any store: path and size, with ``heads`` also the bytes that validation looks at.
+
+    With ``max_files`` only the heads of the chosen files are read.
+    """
+    if max_files is None:
+        return discover_media(list_files(spark, root, f"*{ext}", head=HEAD_BYTES if heads else None, files=files), ext)
+    found = discover_media(list_files(spark, root, f"*{ext}", files=files), ext, max_files)
+    return read_heads(found, files) if heads else found
 
 
-def read_heads(files: DataFrame) -> DataFrame:
+def read_heads(paths: DataFrame, files: Files | None = None) -> DataFrame:
     """Adds ``head``: the first bytes of each file, NULL when it cannot be read.
 
-    Only these bytes are read, not the file.
+    Only these bytes are read, not the file. A store that cannot be opened is an error, not a file that cannot be read.
     """
+    files = files or Files()
 
     def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pdf.assign(head=[_head(path) for path in pdf["path"]])
-
-    schema = ", ".join(f"`{name}` {kind}" for name, kind in files.dtypes)
-    return files.mapInPandas(heads, f"{schema}, head binary")
+            yield pdf.assign(head=[files.head(path, HEAD_BYTES) for path in pdf["path"]])
 
-
-def _head(path: str) -> bytes | None:
-    try:
-        with open(path, "rb") as f:
-            return f.read(HEAD_BYTES)
-    except OSError:
-        return None
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in paths.dtypes)
+    return paths.mapInPandas(heads, f"{schema}, head binary")
 
 
 def validate_media(files: DataFrame, skip_validation: bool = False) -> DataFrame:
@@ -116,84 +113,21 @@ def media_get(keys: DataFrame, store: DataFrame) -> DataFrame:
     return store.join(keys.select("key"), "key", "left_semi").select("key", F.unbase64("payload").alias("content"))
 
 
-def archive_bins(members: DataFrame, folder: str, prefix: str = "", ending: str = ".zip") -> DataFrame:
+def archive_bins(
+    members: DataFrame, folder: str, prefix: str = "", ending: str = ".zip", files: Files | None = None
+) -> DataFrame:
     """One zip per bin at ``<folder>/<prefix><bin_id><ending>``; returns a status row per bin.
 
     Input: bin_id, member and path (the file is read in the task) or content. A
     zip is one stream, so a bin has one writer; members pass through it in order
-    and are never held together. A failed bin gives its error and the rest go on.
-    ``folder`` is a mount that all executors share; any other scheme is an error.
+    and are never held together. A failed bin gives its error and the rest go on. ``folder`` may be in
+    any store. The archives are there when this returns; reading the status writes nothing.
     """
-    mounted_path(folder)
-    from_path = "path" in members.columns
-    source = "path" if from_path else "content"
-    # A set number of partitions: paths are few bytes, and these must not mean one task.
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    laid = members.select("bin_id", "member", source).repartition(parts, "bin_id").sortWithinPartitions("bin_id", "member")
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current: _Archive | None = None
-        for pdf in batches:
-            done = []
-            for bin_id, member, value in pdf[["bin_id", "member", source]].itertuples(index=False):
-                if current is None or current.bin_id != bin_id:
-                    if current is not None:
-                        done.append(current.close())
-                    current = _Archive(bin_id, folder, f"{prefix}{bin_id}{ending}")
-                current.add(member, value, from_path)
-            if done:
-                yield pd.DataFrame(done, columns=ARCHIVE_COLUMNS)
-        if current is not None:
-            yield pd.DataFrame([current.close()], columns=ARCHIVE_COLUMNS)
-
-    return laid.mapInPandas(write, ARCHIVE_SCHEMA)
-
-
-ARCHIVE_COLUMNS = ["bin_id", "ok", "error", "object_key", "members", "bytes"]
-
-
-class _Archive:
-    """Zip of one bin: written to a spare name, put in place when complete."""
-
-    def __init__(self, bin_id: str, folder: str, key: str):
-        self.bin_id, self.key = bin_id, key
-        self.error: str | None = None
-        self.members = self.bytes = 0
-        self.target = os.path.join(mounted_path(folder), key)
-        self.zip = None
-        try:
-            os.makedirs(os.path.dirname(self.target), exist_ok=True)
-            handle, self.spare = tempfile.mkstemp(dir=os.path.dirname(self.target), suffix=".part")
-            os.close(handle)
-            self.zip = zipfile.ZipFile(self.spare, "w", zipfile.ZIP_DEFLATED)
-        except OSError as problem:
-            self.error = str(problem)
-
-    def add(self, member: str, value, from_path: bool) -> None:
-        if self.error is not None:
-            return
-        try:
-            if from_path:
-                size = os.path.getsize(value)
-                with open(value, "rb") as source, self.zip.open(member, "w", force_zip64=True) as out:
-                    shutil.copyfileobj(source, out)
-            else:
-                data = value.encode() if isinstance(value, str) else bytes(value)
-                size = len(data)
-                self.zip.writestr(member, data)
-            self.members += 1
-            self.bytes += size
-        except (OSError, ValueError, zipfile.BadZipFile) as problem:
-            self.error = str(problem)
-
-    def close(self) -> tuple:
-        if self.zip is not None:
-            try:
-                self.zip.close()
-                if self.error is None:
-                    os.replace(self.spare, self.target)
-                else:
-                    os.unlink(self.spare)
-            except OSError as problem:
-                self.error = self.error or str(problem)
-        return self.bin_id, self.error is None, self.error, self.key, self.members, self.bytes
+    key = F.concat(F.lit(prefix), F.col("bin_id"), F.lit(ending))
+    root = Files.plain(folder)
+    source = "path" if "path" in members.columns else "content"
+    placed = members.select(F.concat(F.lit(f"{root}/"), key).alias("out_path"), "member", source)
+    object_key = F.substr("out_path", F.lit(len(root) + 2))
+    bin_id = F.substr(object_key, F.lit(len(prefix) + 1), F.char_length(object_key) - len(prefix) - len(ending))
+    status = write_zips(placed, root, files)
+    return status.select(bin_id.alias("bin_id"), "ok", "error", object_key.alias("object_key"), F.col("rows").alias("members"), "bytes")

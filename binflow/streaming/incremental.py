@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from binflow.operators.runs import batches, run_batches
-from binflow.session import path_exists
+from binflow.session import materialize
+from binflow.sources.manifest import BUCKETS, Ledger
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -21,12 +22,22 @@ def stream_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFram
     return found.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.col("length").alias("size"))
 
 
-def read_status(spark: SparkSession, status_path: str) -> DataFrame:
-    """(path, ok, error, batch_id) of all attempts so far."""
-    schema = "path string, ok boolean, error string, batch_id bigint"
-    if not path_exists(spark, status_path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(status_path)
+def attempt(
+    files: DataFrame,
+    ledger: Ledger,
+    process: Callable[[list[str]], None],
+    run_id: str,
+    stage: Callable[[str], str] | None = None,
+    batch_size: int = 1000,
+) -> DataFrame:
+    """Process those of the files (path) that are not finished, note the outcome in the ledger, and return it.
+
+    Files that another attempt has finished meanwhile are left out, and each file is tried once.
+    """
+    todo = ledger.pending(files.select("path").distinct()).withColumn("chunk", F.lit(0))
+    status = materialize(run_batches(batches(todo, batch_size), process, stage))
+    ledger.append(status, run_id)
+    return status
 
 
 def incremental_bins(
@@ -36,21 +47,17 @@ def incremental_bins(
     checkpoint: str,
     stage: Callable[[str], str] | None = None,
     batch_size: int = 1000,
+    buckets: int = BUCKETS,
 ) -> StreamingQuery:
     """Process the files that arrived since the last run, then stop.
 
-    A file source never offers a file twice, so files that failed are taken
-    again from the status table. Each micro-batch writes its own status folder
-    by overwriting it: a batch repeated after a crash leaves no second copy.
+    Outcomes go to the ledger at ``status_path``. A micro-batch repeated after a crash tries only the files that are
+    not finished there, so it touches the buckets of its own files and reads no history of others into a shuffle. Failed
+    files are worked off by :func:`run_incremental`, as a file source never offers a file twice.
     """
 
     def handle(arrived: DataFrame, batch_id: int) -> None:
-        spark = arrived.sparkSession
-        before = read_status(spark, status_path).filter(F.col("batch_id") < batch_id)
-        done = before.filter("ok").select("path")
-        known = arrived.select("path").unionByName(before.filter(~F.col("ok")).select("path")).distinct()
-        todo = known.join(done, "path", "left_anti").withColumn("chunk", F.lit(0))
-        run_batches(batches(todo, batch_size), process, stage).write.mode("overwrite").parquet(f"{status_path}/batch_id={batch_id}")
+        attempt(arrived, Ledger(arrived.sparkSession, status_path, buckets), process, f"batch-{batch_id}", stage, batch_size)
 
     return (
         files.writeStream.foreachBatch(handle)
@@ -58,3 +65,26 @@ def incremental_bins(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def run_incremental(
+    files: DataFrame,
+    process: Callable[[list[str]], None],
+    status_path: str,
+    checkpoint: str,
+    stage: Callable[[str], str] | None = None,
+    batch_size: int = 1000,
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """One run: the files that failed before, then those that arrived; returns the state of every file so far.
+
+    What is pending is worked out anew in each run, whether files have arrived or not. A file that fails in this run is pending
+    for the next one.
+    """
+    spark = files.sparkSession
+    ledger = Ledger(spark, status_path, buckets)
+    failed = ledger.failed().select("path") if ledger.exists else None
+    if failed is not None and not failed.isEmpty():
+        attempt(failed, ledger, process, "retry", stage, batch_size)
+    incremental_bins(files, process, status_path, checkpoint, stage, batch_size, buckets).awaitTermination()
+    return Ledger(spark, status_path, buckets).latest()
