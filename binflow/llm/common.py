@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Separators of words and blanks at line ends: space, tab, LF, VT, FF, CR.
@@ -73,3 +76,19 @@ def pieces(words: Column, size: int, margin: int) -> Column:
         )
 
     return F.transform(F.sequence(F.lit(0), n - 1, F.lit(size)), cut)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Tables written inside go to Python workers in batches of at most ``rows`` rows.
+
+    A batch of whole texts, or of arrays made from them, is held by the JVM and the worker at once; the usual ten
+    thousand rows can be a hundred megabytes on each side.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

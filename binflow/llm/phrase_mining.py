@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from binflow.llm.common import uniform
+from binflow.llm.common import small_batches, uniform
 from binflow.llm.hashing import mix64, rows_of
 from binflow.session import materialize
 
@@ -21,7 +21,7 @@ SAMPLE = 1 / 16
 SET_BITS = 26
 BUCKET_BITS = 15
 #: Words and bytes of words that a task remembers the number of before it starts anew.
-REMEMBERED, REMEMBERED_BYTES = 100_000, 8_000_000
+REMEMBERED, REMEMBERED_BYTES = 300_000, 16_000_000
 #: Words that are looked at together.
 STEP = 100_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -301,12 +301,12 @@ def mine_phrases(
     rows = docs.select(
         text.alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), uniform(text).alias("lot")
     )
-    encoded = encode(rows)
-    texts = encoded.where(F.col("word").isNull())
-    context = docs.sparkSession.sparkContext
-    sent = context.broadcast(frequent_keys(texts.select("ids", "lot"), least, sample))
-    exact = texts.select("ids").mapInArrow(_exact_counts(sent), "w1 long, w2 long, w3 long, n long")
-    exact = materialize(exact.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
+    with small_batches(docs.sparkSession):
+        encoded = encode(rows)
+        texts = encoded.where(F.col("word").isNull())
+        sent = docs.sparkSession.sparkContext.broadcast(frequent_keys(texts.select("ids", "lot"), least, sample))
+        exact = texts.select("ids").mapInArrow(_exact_counts(sent), "w1 long, w2 long, w3 long, n long")
+        exact = materialize(exact.groupBy("w1", "w2", "w3").agg(F.sum("n").alias("a")).where(F.col("a") >= least))
     words = exact.where("w2 = 0").select(F.col("w1").alias("w"), F.col("a").alias("f"))
     pairs = exact.where("w2 <> 0 and w3 = 0").select("w1", "w2", "a")
     triples = exact.where("w3 <> 0").select("w1", "w2", "w3", "a")
