@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from binflow.llm.common import if_small, uniform
+from binflow.llm.common import if_small, small_batches, uniform
 from binflow.llm.hashing import WordHashes, mix64, rows_of, shingles, signature
 from binflow.session import materialize
 
@@ -308,6 +308,11 @@ def near_components(
     """
     if not Fraction(1, 2) <= similarity <= 1:
         raise ValueError("similarity must be in [1/2, 1]")
+    with small_batches(docs.sparkSession):
+        return _components(docs, id_col, text_col, words, similarity)
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: Fraction) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
     described = materialize(
