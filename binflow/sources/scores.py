@@ -3,41 +3,76 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binflow.functions import text
-from binflow.session import path_exists
+from binflow.sources.store import Files
 
 log = logging.getLogger(__name__)
+#: Bytes that are read at a time until a header ends.
+HEADER_BLOCK = 4096
 _WIDER = ["int", "bigint", "double", "string"]
 
 
-def read_score_csvs(spark: SparkSession, paths: list[str], add_source: bool = False) -> DataFrame | None:
-    """Union of header CSV files; missing or unreadable ones are skipped with a warning.
+def read_score_csvs(
+    spark: SparkSession, paths: list[str], add_source: bool = False, files: Files | None = None
+) -> DataFrame | None:
+    """Union of header CSV files; missing, unreadable and empty ones are skipped with a warning.
 
-    None when nothing could be read.
+    One job reads the first line of each file. Files of the same header are read together, so jobs, scans and branches of the union
+    grow with the different headers and not with the files. A column has the type that fits all its values. A path listed twice
+    counts twice. None when nothing could be read.
     """
-    frames = []
+    headers = read_headers(spark, paths, files) if paths else {}
+    groups: dict[tuple[str, int], list[str]] = {}
+    times: dict[str, int] = {}
     for path in paths:
-        if not path_exists(spark, path):
-            log.warning("score file is missing and skipped: %s", path)
-            continue
-        try:
-            df = spark.read.option("header", True).option("inferSchema", True).csv(path)
-        except AnalysisException as problem:
-            log.warning("score file is unreadable and skipped: %s (%s)", path, problem)
-            continue
-        if not df.columns:
-            log.warning("score file is empty and skipped: %s", path)
+        header, problem = headers[path]
+        if problem is not None:
+            log.warning("score file is skipped: %s (%s)", path, problem)
             continue
-        frames.append(df.withColumn("source_file", text.base_name(F.lit(path))) if add_source else df)
+        times[path] = times.get(path, 0) + 1
+        groups.setdefault((header, times[path]), []).append(path)
+    frames = []
+    for group in groups.values():
+        df = spark.read.option("header", True).option("inferSchema", True).csv(group)
+        # Names in metadata are URIs.
+        name = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+        frames.append(df.select("*", text.base_name(name).alias("source_file")) if add_source else df)
     return merge_scores(frames) if frames else None
 
 
+def read_headers(spark: SparkSession, paths: list[str], files: Files | None = None) -> dict[str, tuple[str | None, str | None]]:
+    """(first line, problem) of each listed file, read by tasks from its beginning."""
+    files = files or Files()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [_header(files, path) for path in batch.column(0).to_pylist()]
+            columns = [batch.column(0), *(pa.array(list(c), pa.string()) for c in zip(*rows))]
+            yield pa.RecordBatch.from_arrays(columns, ["path", "header", "problem"])
+
+    listed = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "path string")
+    return {r.path: (r.header, r.problem) for r in listed.mapInArrow(read, "path string, header string, problem string").collect()}
+
+
+def _header(files: Files, path: str) -> tuple[str | None, str | None]:
+    try:
+        with files.open(path) as stream:
+            line = b""
+            while b"\n" not in line and (block := stream.read(HEADER_BLOCK)):
+                line += block
+    except (OSError, ValueError) as problem:
+        return None, str(problem) or type(problem).__name__
+    line = line.split(b"\n", 1)[0].removesuffix(b"\r")
+    return (line.decode("utf-8", "replace"), None) if line else (None, "empty")
+
+
 def merge_scores(frames: list[DataFrame]) -> DataFrame:
     """All rows of all tables; columns match by name, absent ones are NULL.
 

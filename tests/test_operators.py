@@ -164,6 +164,47 @@ def test_incremental_runs(spark, tmp_path):
     ]
 
 
+def flood(grid):
+    """Parts of a mask by flooding pixel by pixel."""
+    free, out = grid.copy(), []
+    for y, x in np.argwhere(grid):
+        if not free[y, x]:
+            continue
+        free[y, x] = False
+        part, edge = [(y, x)], [(y, x)]
+        while edge:
+            cy, cx = edge.pop()
+            for ny in range(max(0, cy - 1), min(grid.shape[0], cy + 2)):
+                for nx in range(max(0, cx - 1), min(grid.shape[1], cx + 2)):
+                    if free[ny, nx]:
+                        free[ny, nx] = False
+                        part.append((ny, nx))
+                        edge.append((ny, nx))
+        p = np.array(part)
+        out.append((len(p), p[:, 1].min(), p[:, 0].min(), p[:, 1].max(), p[:, 0].max()))
+    return out
+
+
+def test_blobs_by_runs_equal_flooding():
+    rng = np.random.default_rng(0)
+    for _ in range(150):
+        grid = rng.random((rng.integers(1, 14), rng.integers(1, 14))) < rng.random()
+        assert [tuple(r) for r in zip(*infer._blobs(grid))] == flood(grid)
+    snake = np.zeros((61, 61), bool)
+    snake[::2], snake[1::4, -1], snake[3::4, 0] = True, True, True
+    comb = np.zeros((60, 60), bool)
+    comb[:, ::2], comb[-1] = True, True
+    for grid in (snake, comb, np.zeros((3, 3), bool), np.ones((5, 1), bool)):
+        assert [tuple(r) for r in zip(*infer._blobs(grid))] == flood(grid)
+
+
+def test_blobs_of_missing_and_empty_masks(spark):
+    rows = [("a", 1, 2, None), ("a", 2, 2, []), ("a", 3, 2, [1, 0, 0, 1]), ("a", 4, 2, [0, 0, 0, 0])]
+    df = spark.createDataFrame(rows, "sample_id string, roi_number long, width int, mask array<int>")
+    assert [tuple(r) for r in infer.roi_blobs(df).collect()] == [("a", 3, 0, 2, 0, 0, 1, 1)]
+    assert infer.roi_blobs(df.where("roi_number = 1")).count() == 0
+
+
 def test_softmax_and_top_class(spark):
     df = spark.createDataFrame([([1000.0, 0.0],), ([0.25, 0.75],), ([2.0, 2.0],)], "s array<double>")
     rows = df.select(numeric.softmax(F.col("s")).alias("p"), numeric.top_class(F.col("s")).alias("c")).collect()

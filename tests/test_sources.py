@@ -77,6 +77,30 @@ def test_read_score_csvs(spark, tmp_path):
     assert scores.read_score_csvs(spark, [str(tmp_path / "gone.csv")]) is None
 
 
+def test_many_score_csvs_are_read_by_header(spark, tmp_path):
+    paths = []
+    for i in range(60):
+        kind = i % 3
+        header, value = ("bin_id,score", i) if kind == 0 else ("bin_id,score", i + 0.5) if kind == 1 else ("score,bin_id,note", i)
+        path = tmp_path / f"run {i}+x.v1.csv"
+        path.write_text(f"{header}\n{value},I{i},n\n" if kind == 2 else f"{header}\nI{i},{value}\n")
+        paths.append(str(path))
+    (tmp_path / "crlf.csv").write_bytes(b"bin_id,score\r\nI99,7\r\n")
+    (tmp_path / "folder.csv").mkdir()
+    listed = [*paths, paths[0], str(tmp_path / "crlf.csv"), str(tmp_path / "folder.csv"), "nowhere://x/y.csv"]
+    tracker = spark.sparkContext.statusTracker()
+    before = max(tracker.getJobIdsForGroup() or [0])
+    df = scores.read_score_csvs(spark, listed, add_source=True)
+    assert max(tracker.getJobIdsForGroup() or [0]) - before <= 12  # a few for each of three headers
+    rows = df.collect()
+    assert len(rows) == 62 and dict(df.dtypes)["score"] == "double"
+    assert sum(r.source_file == "run 0+x.v1" for r in rows) == 2 and {r.source_file for r in rows if r.bin_id == "I99"} == {"crlf"}
+    assert {r.bin_id: r.score for r in rows if r.bin_id in ("I1", "I3", "I5")} == {"I1": 1.5, "I3": 3.0, "I5": 5.0}
+    assert sum(r.note == "n" for r in rows) == 20
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 3
+    assert scores.read_score_csvs(spark, []) is None
+
+
 def test_manifest(spark, tmp_path):
     path = str(tmp_path / "manifest")
     assert manifest.read_manifest(spark, path).count() == 0
@@ -211,7 +235,6 @@ def test_day_layout(spark, tmp_path):
 def test_named_files_of_other_schemes_are_errors(spark, tmp_path):
     from binflow.sources.media import archive_bins
     from binflow.sources.named import write_named
-from binflow.sources.store import list_files
 
     paths = ["s3a://bucket/x/a.csv", None, f"file:{tmp_path}/b.csv"]
     status = write_named(spark.createDataFrame([(p, 1) for p in paths], "out_path string, v int"), str(tmp_path)).collect()
