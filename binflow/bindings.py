@@ -55,7 +55,7 @@ VIEWS: dict[str, str] = {
         union all
         select 'normal', concat(case when c_custkey % 2 = 0 then 'D' else 'I' end, 'N', cast(c_custkey as string)),
                (c_acctbal + 1000e0) / 11000e0 from {customer}""",
-    "classes": "select n_nationkey as class_id, n_name as name from {nation} where n_nationkey < 10",
+    "classes": "select n_nationkey as class_id, n_name as name from {nation}",
     "detections": """
         select concat('img', lpad(cast(user_id as string), 5, '0')) as image_id,
                event_id % 8 as frame, event_id as det_id,
@@ -103,7 +103,7 @@ VIEWS: dict[str, str] = {
         select concat('D', cast(label as string)) as sample_id, vec_id as roi_number, 8 as width,
                transform(embedding, e -> cast(e > ((vec_id % 5) - 2) / 1e2 as int)) as mask from {embeddings}""",
     "class_scores": """
-        select vec_id, transform(slice(embedding, 1, 10), v -> cast(v as double) * 1e1) as logits from {embeddings}""",
+        select vec_id, transform(embedding, v -> cast(v as double) * 1e1) as logits from {embeddings}""",
 }
 
 # DuckDB texts where the array functions differ.
@@ -115,7 +115,7 @@ DUCKDB_VIEWS: dict[str, str] = {
         select concat('D', cast(label as string)) as sample_id, vec_id as roi_number, 8 as width,
                list_transform(embedding, lambda e: cast(e > ((vec_id % 5) - 2) / 1e2 as int)) as mask from {embeddings}""",
     "class_scores": """
-        select vec_id, list_transform(embedding[1:10], lambda v: v::double * 1e1) as logits from {embeddings}""",
+        select vec_id, list_transform(embedding, lambda v: v::double * 1e1) as logits from {embeddings}""",
 }
 _DAYS = {"spark": "datediff(cast(l_shipdate as date), date '1970-01-01')", "duckdb": "datediff('day', date '1970-01-01', cast(l_shipdate as date))"}
 

@@ -22,7 +22,7 @@ def _scores(spark, sf):
     return load(spark, sf, "class_scores").select("vec_id", numeric.softmax(F.col("logits")).alias("scores"))
 
 
-@query("softmax", f"with {_SOFTMAX} select vec_id, unnest(range(0, 10))::int as class_id, round(unnest(scores), 6) as score from p")
+@query("softmax", f"with {_SOFTMAX} select vec_id, unnest(range(0, len(scores)))::int as class_id, round(unnest(scores), 6) as score from p")
 def softmax(spark, sf):
     return rounded(_scores(spark, sf).select("vec_id", F.posexplode("scores").alias("class_id", "score")))
 
@@ -38,20 +38,20 @@ def top_class(spark, sf):
 
 @query(
     "label_classes",
-    f"""with {_SOFTMAX}, l as (select vec_id, unnest(range(0, 10))::int as class_id, unnest(scores) as score from p)
-        select vec_id, class_id, name, round(score, 6) as score from l join {{classes}} using (class_id)""",
+    f"""with {_SOFTMAX}, l as (select vec_id, unnest(range(0, len(scores)))::int as class_id, unnest(scores) as score from p)
+        select vec_id, class_id, name, round(score, 6) as score from l left join {{classes}} using (class_id)""",
 )
 def label_classes(spark, sf):
     return rounded(ops.label_classes(_scores(spark, sf), load(spark, sf, "classes")))
 
 
 def _linear_head():
-    """Fixed linear model: weights from a formula, plus the first four inputs as embedding."""
+    """Fixed linear model: weights from a formula, plus all inputs, doubled, as embedding."""
     weights = ((np.arange(64)[:, None] * 7 + np.arange(CLASSES)[None, :] * 3) % 11 - 5) / 10
 
     def predict(inputs: np.ndarray) -> dict[str, np.ndarray]:
         x = inputs.astype(np.float64)
-        return {"scores": x @ weights, "embedding": x[:, :4] * 2}
+        return {"scores": x @ weights, "embedding": x * 2}
 
     return predict
 
@@ -69,23 +69,25 @@ def _inputs(spark, sf):
 @query(
     "model_infer",
     f"""with {_HEAD_SQL} select vec_id, class_id, round(score, 6) as score, round(sum2, 6) as embedding_sum from prob
-        join (select vec_id, 2 * (embedding[1]::double + embedding[2]::double + embedding[3]::double + embedding[4]::double) as sum2 from {{embeddings}}) using (vec_id)""",
+        join (select vec_id, sum(2 * v * (i + 1)) as sum2 from x group by vec_id) using (vec_id)""",
 )
 def model_infer(spark, sf):
     out = ops.model_infer(_inputs(spark, sf), _linear_head, "embedding", [64], batch=128, embeddings=True)
-    total = F.aggregate("embedding", F.lit(0.0), lambda acc, v: acc + v)
+    # Each entry counts by its place, so that none can be missing or elsewhere.
+    placed = F.transform("embedding", lambda v, i: v.cast("double") * (i + 1))
+    total = F.aggregate(placed, F.lit(0.0), lambda acc, v: acc + v)
     return rounded(out.select("vec_id", F.posexplode("scores").alias("class_id", "score"), total.alias("embedding_sum")))
 
 
 @query(
     "write_embeddings",
-    "select vec_id, 4::int as dims, round(2 * embedding[1]::double, 5) as first from {embeddings}",
+    "select vec_id, unnest(range(0, len(embedding)))::int as place, round(2 * unnest(embedding)::double, 5) as value from {embeddings}",
 )
 def write_embeddings(spark, sf):
     path = scratch_path(spark, "vectors")
     write_vectors(ops.model_infer(_inputs(spark, sf), _linear_head, "embedding", [64], embeddings_only=True), path)
     back = spark.read.parquet(path)
-    return rounded(back.select("vec_id", F.size("embedding").alias("dims"), F.col("embedding")[0].cast("double").alias("first")), 5)
+    return rounded(back.select("vec_id", F.posexplode("embedding").alias("place", "value")).withColumn("value", F.col("value").cast("double")), 5)
 
 
 _ON = """cells as (select sample_id, roi_number, unnest(mask) as v, unnest(range(0, len(mask))) as px, width from {pred_masks}),
