@@ -274,32 +274,48 @@ def train_forest(
     return Forest(nodes, tuple(names), spec.psi, spec.trees)
 
 
-def _scorer(nodes: pd.DataFrame, names: list[str]):
-    """Function from a feature matrix to summed path lengths over the given trees."""
+@dataclass
+class _Packed:
+    """A node table as arrays, built once on the driver: tasks only look things up."""
+
+    left: np.ndarray
+    right: np.ndarray
+    column: np.ndarray
+    threshold: np.ndarray
+    length: np.ndarray
+    roots: np.ndarray
+    levels: int
+
+
+def _pack(nodes: pd.DataFrame, names: list[str]) -> _Packed:
+    """Arrays of a node table whose features are columns of a matrix in the order of ``names``."""
     nodes = nodes.sort_values(["tree_id", "node_id"], ignore_index=True)
-    place = {key: i for i, key in enumerate(zip(nodes["tree_id"], nodes["node_id"]))}
+    place = pd.MultiIndex.from_arrays([nodes["tree_id"], nodes["node_id"]])
     leaf = nodes["feature"].isna().to_numpy()
-    trees = nodes["tree_id"].to_numpy()
+    here = np.arange(len(nodes))
 
     def child(column: str) -> np.ndarray:
-        return np.array([i if leaf[i] else place[t, int(c)] for i, (t, c) in enumerate(zip(trees, nodes[column]))])
-
-    left, right = child("left"), child("right")
-    column = np.array([0 if is_leaf else names.index(n) for is_leaf, n in zip(leaf, nodes["feature"])])
-    threshold = nodes["threshold"].to_numpy(dtype=float)
-    level = np.array([int(n).bit_length() - 1 for n in nodes["node_id"]])
-    length = level + np.array([average_path(s) for s in nodes["size"]])
+        ids = nodes[column].fillna(0).astype("int64")
+        return np.where(leaf, here, place.get_indexer(pd.MultiIndex.from_arrays([nodes["tree_id"], ids])))
+
+    column = np.where(leaf, 0, pd.Index(names).get_indexer(nodes["feature"].fillna(names[0] if names else "")))
+    level = np.floor(np.log2(nodes["node_id"].to_numpy(dtype=float))).astype(np.int64) if len(nodes) else here
+    sizes = nodes["size"].to_numpy()
+    distinct, which = np.unique(sizes, return_inverse=True)
+    length = level + np.array([average_path(s) for s in distinct])[which] if len(nodes) else np.zeros(0)
     roots = np.flatnonzero(nodes["node_id"].to_numpy() == 1)
+    threshold = nodes["threshold"].to_numpy(dtype=float, na_value=np.nan)
+    return _Packed(child("left"), child("right"), column, threshold, length, roots, int(level.max(initial=0)))
 
-    def total_path(x: np.ndarray) -> np.ndarray:
-        at = np.tile(roots, (len(x), 1))
-        row = np.arange(len(x))[:, None]
-        for _ in range(int(level.max())):
-            goes_right = x[row, column[at]] >= threshold[at]
-            at = np.where(goes_right, right[at], left[at])
-        return length[at].sum(axis=1)
 
-    return total_path
+def _total_path(packed: _Packed, x: np.ndarray) -> np.ndarray:
+    """Path lengths of the rows of a feature matrix, summed over the trees."""
+    at = np.tile(packed.roots, (len(x), 1))
+    row = np.arange(len(x))[:, None]
+    for _ in range(packed.levels):
+        goes_right = x[row, packed.column[at]] >= packed.threshold[at]
+        at = np.where(goes_right, packed.right[at], packed.left[at])
+    return packed.length[at].sum(axis=1)
 
 
 def score_forest(features: DataFrame, forest: Forest, broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
@@ -329,13 +345,13 @@ def _rounded(features: DataFrame, names: tuple[str, ...] | list[str]) -> DataFra
 
 def _add_paths(rows: DataFrame, nodes: pd.DataFrame, names: list[str]) -> DataFrame:
     """The rows with the path lengths over the given trees added to ``_paths``."""
-    shared = rows.sparkSession.sparkContext.broadcast(nodes)
+    shared = rows.sparkSession.sparkContext.broadcast(_pack(nodes, names))
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total_path = _scorer(shared.value, names)
         for pdf in batches:
             if len(pdf):
-                yield pdf.assign(_paths=pdf["_paths"] + total_path(pdf[names].to_numpy(dtype=float, na_value=np.nan)))
+                x = pdf[names].to_numpy(dtype=float, na_value=np.nan)
+                yield pdf.assign(_paths=pdf["_paths"] + _total_path(shared.value, x))
 
     return rows.mapInPandas(add, rows.schema)
 
@@ -346,22 +362,86 @@ def _score_small(features: DataFrame, forests: dict[str, tuple[Forest, pd.DataFr
     rows = _rounded(features, used)
     context = features.sparkSession.sparkContext
     shared = {
-        prefix: (context.broadcast(nodes), list(f.feature_names), f.trees * average_path(f.psi))
+        prefix: (context.broadcast(_pack(nodes, list(f.feature_names))), list(f.feature_names), f.trees * average_path(f.psi))
         for prefix, (f, nodes) in forests.items()
     }
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        models = {prefix: (_scorer(nodes.value, names), names, scale) for prefix, (nodes, names, scale) in shared.items()}
         for pdf in batches:
-            for prefix, (total_path, names, scale) in models.items():
+            for prefix, (packed, names, scale) in shared.items():
                 mine = pdf[pdf["bin_id"].str.startswith(prefix)]
                 if len(mine):
-                    paths = total_path(mine[names].to_numpy(dtype=float, na_value=np.nan))
+                    paths = _total_path(packed.value, mine[names].to_numpy(dtype=float, na_value=np.nan))
                     yield pd.DataFrame({"bin_id": mine["bin_id"], "score": 2.0 ** (-paths / scale)})
 
     return rows.mapInPandas(score, "bin_id string, score double")
 
 
+def score_forests(features: DataFrame, forests: list[Forest], broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
+    """(forest_id, bin_id, score) of every row under every forest; ``forest_id`` is the forest's combo_id.
+
+    Forests that together have at most ``broadcast_nodes`` nodes score in one pass over the rows, so a grid of usual size
+    is one scan and one stage. A forest that is too large alone is scored in slices.
+    """
+    passes: list[list[tuple[Forest, pd.DataFrame]]] = []
+    held, parts = broadcast_nodes + 1, []
+    for forest in forests:
+        nodes = forest.small(broadcast_nodes)
+        if nodes is None:
+            alone = score_forest(features, forest, broadcast_nodes)
+            parts.append(alone.select(F.lit(forest.combo_id).alias("forest_id"), "bin_id", "score"))
+            continue
+        if held + len(nodes) > broadcast_nodes:
+            passes.append([])
+            held = 0
+        passes[-1].append((forest, nodes))
+        held += len(nodes)
+    parts = [_score_pass(features, p) for p in passes] + parts
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _score_pass(features: DataFrame, forests: list[tuple[Forest, pd.DataFrame]]) -> DataFrame:
+    used = sorted({n for forest, _ in forests for n in forest.feature_names})
+    # All forests read one matrix.
+    models = [(f.combo_id, _pack(nodes, used), f.trees * average_path(f.psi)) for f, nodes in forests]
+    shared = features.sparkSession.sparkContext.broadcast(models)
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            x = pdf[used].to_numpy(dtype=float, na_value=np.nan)
+            for forest_id, packed, scale in shared.value:
+                if len(pdf):
+                    yield pd.DataFrame({"forest_id": forest_id, "bin_id": pdf["bin_id"], "score": 2.0 ** (-_total_path(packed, x) / scale)})
+
+    return _rounded(features, used).mapInPandas(score, "forest_id int, bin_id string, score double")
+
+
+def forest_shape(nodes: DataFrame) -> DataFrame:
+    """What must hold for every tree, one row per (combo_id, tree_id): counts of nodes and leaves, rows in the leaves, deepest level,
+    and how many nodes are at fault: an inner node without two children of its size together, a leaf with children, a node without its parent.
+    """
+    key = ["combo_id", "tree_id"]
+    leaf = F.col("feature").isNull()
+    parent = F.floor(F.col("node_id") / 2)
+    below = nodes.where("node_id > 1").groupBy(*key, parent.alias("node_id")).agg(
+        F.count(F.lit(1)).alias("_children"), F.sum("size").alias("_below")
+    )
+    both = nodes.join(below, [*key, "node_id"], "full")
+    sound = F.when(leaf, F.col("_children").isNull() & F.col("size").isNotNull()).otherwise(
+        (F.col("_children") == 2) & (F.col("_below") == F.col("size")) & F.col("threshold").isNotNull()
+    )
+    return both.groupBy(*key).agg(
+        F.count("size").alias("nodes"),
+        F.count_if(leaf).alias("leaves"),
+        F.sum(F.when(leaf, F.col("size"))).alias("rows"),
+        F.max(F.length(F.bin("node_id")) - 1).alias("depth"),
+        F.count_if(~F.coalesce(sound, F.lit(False))).alias("faults"),
+    )
+
+
 def score_offset(scores: DataFrame, contamination: float, task_rows: int = TASK_ROWS) -> DataFrame:
     """One row: the score above which a share ``contamination`` of the rows lies."""
     rows = scores.select("score", F.lit(1).alias("_all"))
@@ -481,11 +561,8 @@ def grid_search(
     if not specs:
         return table.withColumn("offset", F.lit(None).cast("double")), spark.createDataFrame([], NODE_SCHEMA)
     nodes = materialize(_grow(features, names, specs, rows, task_rows))
-    scored = None
-    for spec in specs:
-        forest = Forest(nodes.filter(F.col("combo_id") == spec.combo_id), tuple(names), spec.psi, trees, spec.combo_id)
-        part = score_forest(features, forest).select(F.lit(spec.combo_id).alias("forest_id"), "score")
-        scored = part if scored is None else scored.unionByName(part)
+    forests = [Forest(nodes.filter(F.col("combo_id") == s.combo_id), tuple(names), s.psi, trees, s.combo_id) for s in specs]
+    scored = score_forests(features, forests).select("forest_id", "score")
     shares = sorted({s[2] for s in status if s[5]})
     quantiles = exact_quantiles(materialize(scored), ["forest_id"], ["score"], [1 - share for share in shares], task_rows)
     pairs = F.arrays_zip(F.array(*[F.lit(share) for share in shares]).alias("share"), F.col("score_q").alias("offset"))

@@ -108,6 +108,21 @@ def covered_samples(df: DataFrame) -> DataFrame:
     return df.select("sample_id").distinct()
 
 
+def with_coverage(summary: DataFrame, df: DataFrame) -> DataFrame:
+    """The one-row summary with num_rows_analyzed, num_samples_analyzed and samples_analyzed, the sorted sample names.
+
+    Rows shrink to one per sample before the names, which are one JSON array by its definition, come together.
+    """
+    samples = df.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_rows"))
+    covered = samples.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("num_rows_analyzed"),
+        F.count("sample_id").alias("num_samples_analyzed"),
+        F.array_sort(F.collect_list("sample_id")).alias("samples_analyzed"),
+    )
+    # One row each.
+    return summary.withColumn("_one", F.lit(1)).join(covered.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
 def match_blobs(pred: DataFrame, gt: DataFrame) -> DataFrame:
     """Predicted and true mask arrays of the same particle image."""
     p = pred.select(*KEYS, F.col("mask").alias("pred"))

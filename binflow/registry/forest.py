@@ -105,6 +105,64 @@ def train_forest(spark, sf):
     return rounded(scores.withColumn("is_anomaly", F.col("score") > limit))
 
 
+@query(
+    "forest_shape",
+    """select 0 as combo_id, t::int as tree_id, least(64, n)::bigint as rows, true as nodes_fit_leaves, true as depth_fits, 0::bigint as faults
+       from range(0, 50) r(t), (select count(distinct l_suppkey) as n from {lineitem})""",
+)
+def forest_shape(spark, sf):
+    """Every tree of a trained forest: psi rows in its leaves, a binary tree, at most log2(psi) levels, each node the sum of its children."""
+    features = materialize(flow_features(load(spark, sf, "points")))
+    shape = ops.forest_shape(ops.train_forest(features, ForestParams(trees=50, max_samples=64, seed=7)).nodes)
+    return shape.select(
+        "combo_id", "tree_id", "rows", (F.col("nodes") == 2 * F.col("leaves") - 1).alias("nodes_fit_leaves"), (F.col("depth") <= 6).alias("depth_fits"), "faults"
+    )
+
+
+_GRID = {"contamination": (0.05, 0.1, 0.9), "max_samples": (32, 64)}
+
+
+@query(
+    "grid_shape",
+    """with n as (select count(distinct l_suppkey) as bins from {lineitem}),
+            c as (select row_number() over (order by i, j) - 1 as combo, share, drawn
+                  from (values (0, 0.05), (1, 0.1), (2, 0.9)) a(i, share), (values (0, 32), (1, 64)) b(j, drawn))
+       select combo::int as combo_id, share <= 0.5 as ok, case when share > 0.5 then concat('contamination ', share::double, ' is outside (0, 0.5]') else 'none' end as error,
+              case when share <= 0.5 then (combo % 2)::int else -1 end as forest_id,
+              true as share_sound,
+              case when share <= 0.5 then 20 else 0 end::bigint as trees, case when share <= 0.5 then 20 * least(drawn, bins) else 0 end::bigint as rows, 0::bigint as faults
+       from c, n""",
+)
+def grid_shape(spark, sf):
+    """Every combination of a search: its status, and of its forest the trees, the rows in them and what is at fault; the share
+    of bins above its offset is the contamination."""
+    features = materialize(flow_features(load(spark, sf, "points")))
+    ranges = {k: ops.ValueRange(values=v) for k, v in _GRID.items()}
+    status, nodes = ops.grid_search(features, ops.param_grid(ops.search_row(spark, ranges)), trees=20, seed=3)
+    status = materialize(status)
+    shape = ops.forest_shape(nodes).groupBy(F.col("combo_id").alias("forest_id")).agg(
+        F.count(F.lit(1)).alias("trees"), F.sum("rows").alias("rows"), F.sum("faults").alias("faults")
+    )
+    ids = [r.forest_id for r in status.where("ok").select("forest_id", "psi").distinct().collect()]
+    psi = {r.forest_id: r.psi for r in status.where("ok").collect()}
+    names = tuple(sorted(c for c in features.columns if c != "bin_id"))
+    forests = [ops.Forest(nodes.filter(F.col("combo_id") == i), names, psi[i], 20, i) for i in ids]
+    scores = ops.score_forests(features, forests)
+    above = (
+        status.where("ok")
+        .join(scores, "forest_id")
+        .groupBy("combo_id", "contamination")
+        .agg(F.count_if(F.col("score") > F.col("offset")).alias("_above"), F.count(F.lit(1)).alias("_bins"))
+        .select("combo_id", (F.col("_above") <= F.floor(F.col("_bins") * F.col("contamination"))).alias("share_sound"))
+    )
+    both = status.join(above, "combo_id", "left").join(shape, "forest_id", "left")
+    return both.select(
+        "combo_id", "ok", F.coalesce("error", F.lit("none")).alias("error"), F.coalesce("forest_id", F.lit(-1)).alias("forest_id"),
+        F.coalesce("share_sound", F.lit(True)).alias("share_sound"),
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("trees", "rows", "faults")],
+    )
+
+
 def _searches(spark, sf):
     """One search per supplier: listed or default contamination, spaced sample counts."""
     key = F.col("s_suppkey")

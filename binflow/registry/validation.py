@@ -108,12 +108,20 @@ def feature_summary(spark, sf):
     return rounded(ops.feature_summary(_metrics(spark, sf)))
 
 
-@query("summary_json", _SUMMARY_SQL)
+@query(
+    "summary_json",
+    f"""with {_METRICS_SQL}, summary as (select {_SUMMARY_COLUMNS} from metrics),
+        covered as (select count(*) as num_rows_analyzed, count(distinct sample_id) as num_samples_analyzed,
+                    string_agg(distinct sample_id, ',' order by sample_id) as samples_analyzed from wide)
+    select total_features, {_round_sql(_MEANS)}, features_with_high_correlation, features_with_low_r2, covered.* from summary, covered""",
+)
 def summary_json(spark, sf):
     path = scratch_path(spark, "summary")
-    tables.export_summary_json(ops.feature_summary(_metrics(spark, sf)), path)
+    pred, gt = _tables(spark, sf)
+    joined = pred.select(*ops.KEYS).join(gt.select(*ops.KEYS), ops.KEYS)
+    tables.export_summary_json(ops.with_coverage(ops.feature_summary(_metrics(spark, sf)), joined), path)
     kept = tables.read_summary_json(spark, path)
-    return rounded(kept.drop("num_rows_analyzed", "num_samples_analyzed", "samples_analyzed"))
+    return rounded(kept.withColumn("samples_analyzed", F.array_join("samples_analyzed", ",")))
 
 
 @query(
