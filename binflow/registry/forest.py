@@ -128,7 +128,7 @@ _GRID = {"contamination": (0.05, 0.1, 0.9), "max_samples": (32, 64)}
             c as (select row_number() over (order by i, j) - 1 as combo, share, drawn
                   from (values (0, 0.05), (1, 0.1), (2, 0.9)) a(i, share), (values (0, 32), (1, 64)) b(j, drawn))
        select combo::int as combo_id, share <= 0.5 as ok, case when share > 0.5 then concat('contamination ', share::double, ' is outside (0, 0.5]') else 'none' end as error,
-              case when share <= 0.5 then (combo % 2)::int else -1 end as forest_id,
+              case when share > 0.5 then -1 when least(drawn, bins) = least(32, bins) then 0 else 1 end::int as forest_id,
               true as share_sound,
               case when share <= 0.5 then 20 else 0 end::bigint as trees, case when share <= 0.5 then 20 * least(drawn, bins) else 0 end::bigint as rows, 0::bigint as faults
        from c, n""",
@@ -153,7 +153,7 @@ def grid_shape(spark, sf):
         .join(scores, "forest_id")
         .groupBy("combo_id", "contamination")
         .agg(F.count_if(F.col("score") > F.col("offset")).alias("_above"), F.count(F.lit(1)).alias("_bins"))
-        .select("combo_id", (F.col("_above") <= F.floor(F.col("_bins") * F.col("contamination"))).alias("share_sound"))
+        .select("combo_id", (F.col("_above") <= F.ceil(F.col("_bins") * F.col("contamination"))).alias("share_sound"))
     )
     both = status.join(above, "combo_id", "left").join(shape, "forest_id", "left")
     return both.select(
