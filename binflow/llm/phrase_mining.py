@@ -22,6 +22,8 @@ SET_BITS = 26
 BUCKET_BITS = 15
 #: Words and bytes of words that a task remembers the number of before it starts anew.
 REMEMBERED, REMEMBERED_BYTES = 300_000, 16_000_000
+#: Lots of a language's candidates that are ranked apart first.
+LOTS = 32
 #: Words that are looked at together.
 STEP = 100_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -343,8 +345,13 @@ def mine_phrases(
     for k in (2, 3):
         spelled = spelled.join(named.select(F.col("id").alias(f"w{k}"), F.col("word").alias(f"x{k}")), f"w{k}", "left")
     found = spelled.select("lang", F.concat_ws(" ", "x1", "x2", "x3").alias("phrase"), "a", "c.l", "c.r", "c.score")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    # A language may hold most candidates: its lots are cut to their first ones before they come together.
+    order = (F.desc("score"), F.desc("a"), F.asc("phrase"))
+    lots = found.withColumn("_lot", F.pmod(F.xxhash64("phrase"), F.lit(LOTS)))
+    first = F.row_number().over(Window.partitionBy("lang", "_lot").orderBy(*order))
+    found = lots.withColumn("_first", first).where(F.col("_first") <= top).drop("_lot", "_first")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    best = found.withColumn("rank", rank).where(F.col("rank") <= top)
     sizes = texts.groupBy(F.col("lang").alias("_lang")).agg(F.sum("n").alias("n"))
     joined = best.join(sizes, best["lang"] == sizes["_lang"])
     return joined.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
