@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from binflow.session import materialize
 
@@ -70,17 +73,19 @@ def exact_quantiles(
     buffered = ordinary.groupBy(*keys).agg(*[F.percentile(v, wanted).alias(f"{v}_q") for v in values])
     if hot is None:
         return buffered
-    return buffered.unionByName(spread_quantiles(hot, keys, values, probs))
+    return buffered.unionByName(spread_quantiles(hot, keys, values, probs, task_rows))
 
 
-def spread_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: list[float]) -> DataFrame:
+def spread_quantiles(
+    df: DataFrame, keys: list[str], values: list[str], probs: list[float], task_rows: int = TASK_ROWS
+) -> DataFrame:
     """Exact quantiles of few, very large groups without gathering any of them.
 
     A mergeable sketch brackets each wanted rank, one partial aggregation counts
     the rows below and inside each bracket, and only the distinct values inside
-    the brackets are sorted. A bracket that misses its rank is widened to
-    everything, so the result does not depend on the sketch. As with ``percentile``,
-    a group without values has NULL instead of an array.
+    the brackets are sorted. A bracket that misses its rank, or holds more than ``task_rows`` rows, is
+    not sorted: :func:`_select_wide` narrows it down by counting. So the result does not depend on the sketch, and no
+    task sorts more than ``task_rows`` values. As with ``percentile``, a group without values has NULL instead of an array.
     """
     long = df.select(
         *keys, F.explode(F.array(*[F.struct(F.lit(v).alias("_name"), F.col(v).cast("double").alias("_v")) for v in values])).alias("_s")
@@ -116,26 +121,17 @@ def spread_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: l
     )
     rank = F.col("_p") * (F.col("_n") - 1)
     sound = (F.col("_below") <= F.floor(rank)) & (F.ceil(rank) < F.col("_upto"))
-    targets = counted.select(
-        *group,
-        "_i",
-        rank.alias("_rank"),
-        F.when(sound, F.col("_lo")).otherwise(F.lit(float("-inf"))).alias("_lo"),
-        F.when(sound, F.col("_hi")).otherwise(F.lit(float("inf"))).alias("_hi"),
-        F.when(sound, F.col("_below")).otherwise(F.lit(0)).alias("_below"),
-    )
-    inside = join_on(long, targets, group).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-    counts = inside.groupBy(*group, "_i", "_rank", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.col("_below") + F.sum("_c").over(
-        Window.partitionBy(*group, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    ranked = counts.withColumn("_cum", upto)
-    picked = ranked.groupBy(*group, "_i", "_rank").agg(
-        F.min(F.when(F.col("_cum") > F.floor("_rank"), F.col("_v"))).alias("_v0"),
-        F.min(F.when(F.col("_cum") > F.ceil("_rank"), F.col("_v"))).alias("_v1"),
-    )
+    held = F.col("_upto") - F.col("_below")
+    targets = materialize(counted.select(*group, "_i", rank.alias("_rank"), "_lo", "_hi", "_below", (~sound | (held > task_rows)).alias("_wide")))
+    narrow = targets.where(~F.col("_wide")).drop("_wide")
+    inside = join_on(long, narrow, group).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+    picked = _pick(inside, group, [F.floor("_rank"), F.ceil("_rank")])
+    wide = targets.where("_wide").select(*group, "_i", "_rank")
+    if not wide.isEmpty():
+        picked = picked.unionByName(_select_wide(long, wide, group, task_rows))
     frac = F.col("_rank") - F.floor("_rank")
-    filled = picked.withColumn("_q", F.col("_v0") + (F.col("_v1") - F.col("_v0")) * frac)
+    between = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * frac
+    filled = picked.withColumn("_q", F.when(F.col("_v0") == F.col("_v1"), F.col("_v0")).otherwise(between))  # infinities, too
     quantiles = filled.groupBy(*keys).agg(
         *[
             F.when(
@@ -148,6 +144,66 @@ def spread_quantiles(df: DataFrame, keys: list[str], values: list[str], probs: l
     return join_on(df.select(*keys).distinct(), quantiles, keys, "left")
 
 
+def _pick(inside: DataFrame, group: list[str], ranks: list[Column]) -> DataFrame:
+    """The values ``_v0`` and ``_v1`` at two ranks (from 0, in the group) of each target (``_i``, ``_rank``), among the rows
+    of which ``_below`` come before."""
+    counts = inside.groupBy(*group, "_i", "_rank", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    upto = F.col("_below") + F.sum("_c").over(
+        Window.partitionBy(*group, "_i", "_below").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    )
+    ranked = counts.withColumn("_cum", upto)
+    at = [F.min(F.when(F.col("_cum") > r, F.col("_v"))).alias(f"_v{i}") for i, r in enumerate(ranks)]
+    return ranked.groupBy(*group, "_i", "_rank").agg(*at)
+
+
+@F.pandas_udf(LongType())
+def _ordered_bits(values: pd.Series) -> pd.Series:
+    """The bits of doubles, changed so that as unsigned numbers they have the order of the values."""
+    bits = (values.to_numpy(dtype=float) + 0.0).view(np.int64)  # -0.0 is 0.0
+    return pd.Series(np.where(bits < 0, ~bits, bits ^ np.int64(-(1 << 63))))
+
+
+def _select_wide(long: DataFrame, targets: DataFrame, group: list[str], task_rows: int) -> DataFrame:
+    """Values at the ranks of ``targets`` by refining a histogram over the bits of the values.
+
+    Each round counts the values that share the bits found so far by their next 16, with partial aggregation: at most
+    65,536 counts per rank meet in a task. The cell of the rank gives the next bits. After four rounds, or once a cell holds
+    at most ``task_rows`` rows, one value or so few are left; ties of any number are one value.
+    """
+    keyed = materialize(join_on(long, targets.select(*group).distinct(), group).withColumn("_key", _ordered_bits("_v")))
+    ranks = F.explode(F.array_distinct(F.array(F.floor("_rank"), F.ceil("_rank"))))
+    state = targets.select(*group, "_i", "_rank", ranks.alias("_k"), F.lit(0).cast("bigint").alias("_prefix"), F.lit(0).cast("bigint").alias("_below"))
+    found = None
+    for shift in (48, 32, 16, 0):
+        rows = join_on(keyed, state, group)
+        if shift < 48:
+            rows = rows.where(F.shiftrightunsigned("_key", shift + 16) == F.col("_prefix"))
+        digit = F.shiftrightunsigned("_key", shift).bitwiseAND(65535)
+        cells = rows.groupBy(*group, "_i", "_rank", "_k", "_prefix", "_below", digit.alias("_digit")).agg(F.count(F.lit(1)).alias("_c"))
+        upto = F.col("_below") + F.sum("_c").over(
+            Window.partitionBy(*group, "_i", "_k").orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0)
+        )
+        reached = cells.withColumn("_cum", upto).where((F.col("_cum") > F.col("_k")) & (F.col("_cum") - F.col("_c") <= F.col("_k")))
+        state = materialize(
+            reached.select(
+                *group, "_i", "_rank", "_k", F.shiftleft("_prefix", 16).bitwiseOR(F.col("_digit")).alias("_prefix"),
+                (F.col("_cum") - F.col("_c")).alias("_below"), "_c",
+            )
+        )
+        settled = F.lit(True) if shift == 0 else F.col("_c") <= task_rows
+        few = state.where(settled).drop("_c")
+        inside = join_on(keyed, few, group).where(F.shiftrightunsigned("_key", shift) == F.col("_prefix"))
+        # One rank at a time: the rank stands in the place of a target's number.
+        one = inside.withColumn("_rank", F.struct("_rank", "_k"))
+        picked = _pick(one, group, [F.col("_rank._k")]).select(*group, "_i", "_rank._rank", "_v0")
+        found = picked if found is None else found.unionByName(picked)
+        state = state.where(~settled).drop("_c")
+        if shift and state.isEmpty():
+            break
+    # The two ranks of a target, the lower one first.
+    return found.groupBy(*group, "_i", "_rank").agg(F.min("_v0").alias("_v0"), F.max("_v0").alias("_v1"))
+
+
 def number_rows(
     df: DataFrame, order_by: list[Column | str], within: list[str] | None = None, name: str = "rn"
 ) -> DataFrame:

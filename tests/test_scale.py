@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from binflow.bindings import load
+from binflow.functions import scale
 from binflow.functions.scale import exact_quantiles, hot_keys, number_rows
 from binflow.operators import features
 from binflow.registry.rounding import rounded
@@ -36,6 +37,48 @@ def test_spread_quantiles_match_percentile(spark, limit):
         np.testing.assert_allclose(got[r.k][1], r.w, rtol=1e-9)
 
 
+def _adversarial(spark, kind, n=4000):
+    """Values that a sketch or a histogram over equal cells splits badly."""
+    i = F.col("id")
+    value = {
+        "one value": F.lit(-0.0),
+        "two values": F.when(i % 2 == 0, -0.0).otherwise(0.0),
+        "ties and magnitudes": F.when(i % 3 == 0, 5.0).otherwise(F.pow(F.lit(10.0), (i % 600 - 300).cast("double")) * F.when(i % 2 == 0, 1).otherwise(-1)),
+        "neighbours": F.lit(1.0) + (i % 7).cast("double") * F.lit(2.220446049250313e-16),
+        "infinite": F.when(i % 5 == 0, float("inf")).when(i % 5 == 1, float("-inf")).otherwise(i.cast("double")),
+    }[kind]
+    return spark.range(n).select(F.lit("a").alias("k"), value.alias("v"))
+
+
+@pytest.mark.parametrize("kind", ["one value", "two values", "ties and magnitudes", "neighbours", "infinite"])
+def test_missed_brackets_are_narrowed_exactly(spark, monkeypatch, kind):
+    """With a sketch of accuracy 2 brackets miss, or hold nearly everything."""
+    monkeypatch.setattr(scale, "SKETCH", 2)
+    df = _adversarial(spark, kind)
+    probs = [0.0, 0.2, 0.37, 0.5, 0.9, 1.0] if kind != "infinite" else [0.1, 0.5, 0.95]
+    want = df.agg(F.percentile("v", F.array(*[F.lit(p) for p in probs])).alias("v")).first().v
+    got = scale.spread_quantiles(df, ["k"], ["v"], probs, 10).first().v_q
+    assert got == pytest.approx(want, rel=1e-12)
+
+
+def test_no_task_sorts_a_wide_bracket(spark, monkeypatch):
+    """What the last windows sort: at most task_rows distinct values of a rank."""
+    seen = []
+    plain = scale._pick
+
+    def watched(inside, group, ranks):
+        sizes = inside.groupBy(*group, "_i", "_rank").agg(F.count_distinct("_v").alias("n")).agg(F.max("n")).first()[0]
+        seen.append(sizes or 0)
+        return plain(inside, group, ranks)
+
+    monkeypatch.setattr(scale, "SKETCH", 2)
+    monkeypatch.setattr(scale, "_pick", watched)
+    df = spark.range(20_000).select(F.lit("a").alias("k"), F.sqrt(F.col("id").cast("double")).alias("v"))
+    got = scale.spread_quantiles(df, ["k"], ["v"], [0.25, 0.5], 50).first().v_q
+    want = df.agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5))).alias("v")).first().v
+    assert got == pytest.approx(want, rel=1e-12) and 0 < max(seen) <= 50
+
+
 def test_spread_quantiles_ignore_nulls(spark):
     df = spark.range(100).select(F.lit("a").alias("k"), F.when(F.col("id") % 2 == 0, F.col("id").cast("double")).alias("v"))
     assert exact_quantiles(df, ["k"], ["v"], [0.5], 10).first().v_q == [49.0]
