@@ -48,20 +48,21 @@ class Forest:
             self._small = head if len(head) <= most else None
         return self._small
 
-    def slices(self, most: int) -> Iterator[pd.DataFrame]:
-        """The node table cut by tree into parts of at most ``most`` nodes; one at a time is fetched."""
-        runs: list[list[int]] = [[]]
-        held = 0
+    def slices(self, most: int) -> tuple[list[list[int]], list[int]]:
+        """Tree numbers in runs of at most ``most`` nodes, and the trees that have more alone."""
+        runs: list[list[int]] = []
+        large: list[int] = []
+        held = most
         for r in self.nodes.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n")).orderBy("tree_id").collect():
             if r.n > most:
-                raise ValueError("one tree alone is too large to broadcast; lower max_samples")
+                large.append(r.tree_id)
+                continue
             if held + r.n > most:
                 runs.append([])
                 held = 0
             runs[-1].append(r.tree_id)
             held += r.n
-        for run in runs:
-            yield self.nodes.drop("combo_id").filter(F.col("tree_id").isin(run)).toPandas()
+        return runs, large
 
     def save(self, path: str) -> None:
         spark = self.nodes.sparkSession
@@ -324,14 +325,20 @@ def score_forest(features: DataFrame, forest: Forest, broadcast_nodes: int = BRO
     Features are matched by name; a missing one is an error. The node table is
     broadcast while it is small. A larger forest is cut into slices of trees: the rows
     pass one slice after the other, written in between, and carry the sum of their
-    path lengths, so every row has its own score, also where identifiers repeat.
+    path lengths, so every row has its own score, also where identifiers repeat. Trees that
+    are too large alone are walked by joins (:func:`_add_walked`).
     """
     nodes = forest.small(broadcast_nodes)
     if nodes is not None:
         return _score_small(features, {"": (forest, nodes)})
     rows = _rounded(features, forest.feature_names).withColumn("_paths", F.lit(0.0))
-    for part in forest.slices(broadcast_nodes):
+    runs, large = forest.slices(broadcast_nodes)
+    table = forest.nodes.drop("combo_id")
+    for run in runs:
+        part = table.filter(F.col("tree_id").isin(run)).toPandas()
         rows = materialize(_add_paths(rows, part, list(forest.feature_names)))
+    if large:
+        rows = _add_walked(rows, table.filter(F.col("tree_id").isin(large)), list(forest.feature_names), broadcast_nodes)
     scale = forest.trees * average_path(forest.psi)
     return rows.select("bin_id", F.pow(F.lit(2.0), -F.col("_paths") / F.lit(scale)).alias("score"))
 
@@ -356,6 +363,55 @@ def _add_paths(rows: DataFrame, nodes: pd.DataFrame, names: list[str]) -> DataFr
     return rows.mapInPandas(add, rows.schema)
 
 
+def _average_path(size: Column) -> Column:
+    """:func:`average_path` of a column."""
+    n = size.cast("double")
+    return F.when(size <= 1, 0.0).when(size == 2, 1.0).otherwise(2.0 * (F.ln(n - 1) + 0.5772156649) - 2.0 * (n - 1) / n)
+
+
+#: Levels that rows go down before they are written.
+LEVELS_A_WRITE = 6
+
+
+def _add_walked(rows: DataFrame, nodes: DataFrame, names: list[str], broadcast_nodes: int) -> DataFrame:
+    """The rows with the path lengths over the given trees added to ``_paths``; no tree is held anywhere as a whole.
+
+    The frontier, one row per row and tree, goes down a level by a join with the nodes of that level. Levels of few nodes are
+    broadcast, so the shuffles begin where a tree is wide and the frontier spread; a node that holds most rows is a key that
+    Spark may split, as both sides are plain exchanges.
+    """
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("feature")) - 1
+    level_of = F.length(F.bin("node_id")) - 1
+    nodes = materialize(
+        nodes.select(
+            "tree_id", "node_id", level_of.alias("_level"), F.col("feature").isNull().alias("_leaf"), place.cast("int").alias("_pos"),
+            "threshold", (level_of + _average_path(F.col("size"))).alias("_whole"),
+        )
+    )
+    sizes = {r["_level"]: r["n"] for r in nodes.groupBy("_level").agg(F.count(F.lit(1)).alias("n")).collect()}
+    trees = nodes.where("_level = 0").select("tree_id")
+    at = F.array(*[F.col(n) for n in names])
+    roots = trees.withColumn("_one", F.lit(1))
+    front = rows.select("_row", at.alias("f"), F.lit(1).alias("_one")).join(F.broadcast(roots), "_one").drop("_one")
+    front = front.select("_row", "f", "tree_id", F.lit(1).cast("bigint").alias("node_id"), F.lit(None).cast("double").alias("_length"))
+    for level in range(max(sizes) + 1):
+        here = nodes.where(F.col("_level") == level).drop("_level")
+        if sizes[level] <= broadcast_nodes:
+            here = F.broadcast(here)
+        value = F.get("f", "_pos")
+        right = F.coalesce(~F.isnan(value) & (value >= F.col("threshold")), F.lit(False)).cast("bigint")
+        inner = F.col("_leaf").isNotNull() & ~F.col("_leaf")
+        front = front.join(here, ["tree_id", "node_id"], "left").select(
+            "_row", "f", "tree_id", F.when(inner, 2 * F.col("node_id") + right).otherwise(F.col("node_id")).alias("node_id"),
+            F.when(F.col("_leaf"), F.col("_whole")).otherwise(F.col("_length")).alias("_length"),
+        )
+        if level % LEVELS_A_WRITE == LEVELS_A_WRITE - 1:
+            front = materialize(front)
+    walked = front.groupBy("_row").agg(F.sum("_length").alias("_walked"))
+    return rows.join(walked, "_row").withColumn("_paths", F.col("_paths") + F.col("_walked")).drop("_row", "_walked")
+
+
 def _score_small(features: DataFrame, forests: dict[str, tuple[Forest, pd.DataFrame]]) -> DataFrame:
     """Score in one pass; a bin uses the forest whose key starts its identifier."""
     used = sorted({n for forest, _ in forests.values() for n in forest.feature_names})

@@ -64,7 +64,7 @@ def test_slices_of_trees_give_the_same_scores(features):
     whole = {r.bin_id: r.score for r in ops.score_forest(features, model).collect()}
     again = ops.Forest(model.nodes, model.feature_names, model.psi, model.trees)
     parts = {r.bin_id: r.score for r in ops.score_forest(features, again, broadcast_nodes=300).collect()}
-    assert len(list(again.slices(300))) > 1
+    assert len(again.slices(300)[0]) > 1 and not again.slices(300)[1]
     for bin_id, score in whole.items():
         assert parts[bin_id] == pytest.approx(score, rel=1e-9)
 
@@ -161,3 +161,39 @@ def test_threshold_ties_go_right():
     split = ops._split(np.array([[1.0], [2.0], [np.nan]]), np.array([4]), (0, 0, 0, 1))
     assert split[0] == 4 and 1.0 < split[1] <= 2.0
     assert ops._split(np.array([[1.0], [1.0], [np.nan]]), np.array([4]), np.random.default_rng(0)) is None
+
+
+@pytest.mark.parametrize("most", [1, 40, 90])
+def test_trees_above_the_broadcast_are_walked(features, most):
+    """Trees of more nodes than may be broadcast, mixed with smaller ones, give the scores of the whole table."""
+    model = ops.train_forest(features, ForestParams(trees=6, max_samples=64, seed=5))
+    sizes = sorted(r["count"] for r in model.nodes.groupBy("tree_id").count().collect())
+    assert sizes[0] > 40
+    want = {r.bin_id: r.score for r in ops.score_forest(features, model).collect()}
+    again = ops.Forest(model.nodes, model.feature_names, model.psi, model.trees)
+    got = ops.score_forest(features, again, broadcast_nodes=most).collect()
+    assert len(got) == features.count()
+    assert all(r.score == pytest.approx(want[r.bin_id], rel=1e-12) for r in got)
+
+
+def test_several_forests_in_one_pass(features):
+    models = [ops.train_forest(features, ForestParams(trees=4, max_samples=n, seed=n)) for n in (16, 32, 48)]
+    for i, m in enumerate(models):
+        m.combo_id = i
+    want = {(i, r.bin_id): r.score for i, m in enumerate(models) for r in ops.score_forest(features, m).collect()}
+    for most in (5_000_000, 200, 100):
+        fresh = [ops.Forest(m.nodes, m.feature_names, m.psi, m.trees, m.combo_id) for m in models]
+        df = ops.score_forests(features, fresh, most)
+        got = {(r.forest_id, r.bin_id): r.score for r in df.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-12) for k in want)
+    plan = ops.score_forests(features, models)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and plan.count("Union") == 1  # the one of the features
+
+
+def test_forest_shape_finds_faults(spark, features):
+    model = ops.train_forest(features, ForestParams(trees=3, max_samples=32, seed=1))
+    shape = ops.forest_shape(model.nodes).collect()
+    assert [(r.rows, r.faults, r.nodes) for r in shape] == [(32, 0, 2 * r.leaves - 1) for r in shape] and len(shape) == 3
+    leaf = model.nodes.where("feature is null and node_id > 1").orderBy("tree_id", "node_id").first()
+    broken = model.nodes.where(~((F.col("tree_id") == leaf.tree_id) & (F.col("node_id") == leaf.node_id)))
+    assert {r.tree_id: r.faults for r in ops.forest_shape(broken).collect()}[leaf.tree_id] > 0
