@@ -246,7 +246,7 @@ def worst_n_for_display(names: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def report_tables(features: DataFrame, blobs: DataFrame) -> DataFrame:
+def report_tables(features: DataFrame, blobs: DataFrame | None = None) -> DataFrame:
     """(section, name, value) of both one-row summaries: 4 places, percentages 1."""
 
     def tidy(summary: DataFrame, section: str) -> DataFrame:
@@ -256,7 +256,8 @@ def report_tables(features: DataFrame, blobs: DataFrame) -> DataFrame:
         rows = F.array(*[F.struct(F.lit(c).alias("name"), figure(c).alias("value")) for c in summary.columns])
         return summary.select(F.lit(section).alias("section"), F.inline(rows))
 
-    return tidy(features, "features").unionByName(tidy(blobs, "blobs"))
+    shown = tidy(features, "features")
+    return shown if blobs is None else shown.unionByName(tidy(blobs, "blobs"))
 
 
 def named_keys(pred: DataFrame, gt: DataFrame, names: KeyNames = KeyNames()) -> tuple[DataFrame, DataFrame]:

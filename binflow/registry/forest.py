@@ -9,6 +9,8 @@ from binflow.operators import forest as ops
 from binflow.operators.features import flow_features, named_features
 from binflow.params import ForestParams
 from binflow.plans import evaluation
+from binflow.plans.flow import FlowRun
+from binflow.plans.training import train_run
 from binflow.registry import query
 from binflow.registry.features import features_sql
 from binflow.registry.rounding import rounded
@@ -119,6 +121,25 @@ def forest_shape(spark, sf):
     )
 
 
+@query(
+    "training_run",
+    """with b as (select bin_type, count(distinct l_suppkey) as n from {bins} join {lineitem} on s_key(bin_id) = l_suppkey group by bin_type)
+       select bin_type, t::int as tree_id, least(16, n)::bigint as rows, 0::bigint as faults from b, range(0, 10) r(t)""".replace(
+        "s_key(bin_id)", "substr(bin_id, 2)::int"
+    ),
+)
+def training_run(spark, sf):
+    """One model for each bin type through the training plan: its trees hold rows of that type only."""
+    root = scratch_path(spark, "training")
+    out = None
+    for kind in ("I", "D"):
+        flow = FlowRun(spark, f"train-{kind}", f"{root}/prov")
+        model = train_run(flow, f"{root}/{kind}", load(spark, sf, "bins"), load(spark, sf, "points"), kind, params=ForestParams(trees=10, max_samples=16, seed=1))
+        shape = ops.forest_shape(model.nodes).select(F.lit(kind).alias("bin_type"), "tree_id", "rows", "faults")
+        out = shape if out is None else out.unionByName(shape)
+    return out
+
+
 _GRID = {"contamination": (0.05, 0.1, 0.9), "max_samples": (32, 64)}
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from binflow.bindings import load
 from binflow.operators import validation as ops
+from binflow.plans.flow import FlowRun
+from binflow.plans.validation import validate_run
 from binflow.registry import query
 from binflow.registry.rounding import places_of, rounded
 from binflow.session import scratch_path
@@ -213,8 +215,7 @@ def worst_n_for_display(spark, sf):
     return ops.worst_n_for_display(names)
 
 
-@query(
-    "report_tables",
+_REPORT_SQL = (
     f"""with {_METRICS_SQL}, {_BLOBS_SQL}, s1 as (select {_SUMMARY_COLUMNS} from metrics), s2 as (select {_BLOB_SUMMARY_COLUMNS} from blobs)
         """
     + " union all ".join(
@@ -224,7 +225,19 @@ def worst_n_for_display(spark, sf):
             ("blobs", "s2", ("total_blobs", "perfect_matches", "near_perfect_matches", "poor_matches", *_BLOB_MEANS)),
         )
         for c in names
-    ),
+    )
 )
+
+
+@query("report_tables", _REPORT_SQL)
 def report_tables(spark, sf):
     return ops.report_tables(ops.feature_summary(_metrics(spark, sf)), ops.blob_summary(_blobs(spark, sf)))
+
+
+@query("validation_run", _REPORT_SQL)
+def validation_run(spark, sf):
+    """The whole validation, each task reading the files of the one before, with provenance."""
+    root = scratch_path(spark, "validation")
+    pred, gt = load(spark, sf, "pred_features"), load(spark, sf, "gt_features")
+    masks = (load(spark, sf, "pred_masks"), load(spark, sf, "gt_masks"))
+    return validate_run(FlowRun(spark, "validation", f"{root}/prov"), root, pred, gt, masks=masks)
