@@ -123,10 +123,8 @@ def forest_shape(spark, sf):
 
 @query(
     "training_run",
-    """with b as (select bin_type, count(distinct l_suppkey) as n from {bins} join {lineitem} on s_key(bin_id) = l_suppkey group by bin_type)
-       select bin_type, t::int as tree_id, least(16, n)::bigint as rows, 0::bigint as faults from b, range(0, 10) r(t)""".replace(
-        "s_key(bin_id)", "substr(bin_id, 2)::int"
-    ),
+    """with b as (select bin_type, count(distinct l_suppkey) as n from {bins} join {lineitem} on substr(bin_id, 2)::int = l_suppkey group by bin_type)
+       select bin_type, t::int as tree_id, least(16, n)::bigint as rows, 0::bigint as faults from b, range(0, 10) r(t)""",
 )
 def training_run(spark, sf):
     """One model for each bin type through the training plan: its trees hold rows of that type only."""
