@@ -69,6 +69,10 @@ class Files:
         system, path = self.at(uri)
         return system.get_file_info(path).type != fs.FileType.NotFound
 
+    def is_folder(self, uri: str) -> bool:
+        system, path = self.at(uri)
+        return system.get_file_info(path).type == fs.FileType.Directory
+
     def entries(self, folder: str) -> Iterator[tuple[str, bool, int]]:
         """(uri, is a folder, size) of what lies directly in a folder. A folder that is missing or cannot be read raises."""
         system, path = self.at(folder)

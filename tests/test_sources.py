@@ -99,6 +99,10 @@ def test_many_score_csvs_are_read_by_header(spark, tmp_path):
     assert sum(r.note == "n" for r in rows) == 20
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 3
     assert scores.read_score_csvs(spark, []) is None
+    # A folder that Spark wrote is one table under its own name.
+    spark.range(5).selectExpr("concat('I', id) as bin_id", "id as score").repartition(3).write.option("header", True).csv(str(tmp_path / "set.v2"))
+    both = scores.read_score_csvs(spark, [str(tmp_path / "set.v2"), paths[0]], add_source=True).collect()
+    assert sorted(r.source_file for r in both) == ["run 0+x.v1"] + ["set"] * 5
 
 
 def test_manifest(spark, tmp_path):
