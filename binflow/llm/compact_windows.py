@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from binflow.llm.common import WORD
+from binflow.llm.common import WORD, if_small
 from binflow.llm.hashing import WordHashes, mix64, rows_of, shingles
 from binflow.session import materialize
 
@@ -18,11 +19,13 @@ SHINGLE = 5
 #: Words of the shortest passage; in shingles it is SHINGLE - 1 less.
 PASSAGE = 50
 SIMILARITY = 0.75
-#: Min-hash functions, and how many of them must agree on one pair of subsequences; the README has the recall.
-FUNCTIONS, AGREE = 8, 3
-#: Shingles of a piece of a long text, and the reach of a window to each side.
-PIECE, REACH = 1 << 18, 1 << 12
-BATCH = 100_000
+#: Min-hash functions; those of a line (:func:`lines`) must agree on one pair of subsequences. The README has the recall.
+FUNCTIONS = 9
+#: Halving steps that look for the ends of a window go up to REACH; with all of them it stops less than MARGIN from its centre.
+REACH = 1 << 8
+MARGIN = 2 * REACH
+#: Shingles of a piece of a long text, and of the pieces that are hashed together.
+PIECE = 1 << 18
 #: Documents of a key that the others are compared with in a later round: twice as many each round, up to the last.
 LEADERS, MOST_LEADERS = 8, 64
 #: Shingle values that a task sends on at once.
@@ -76,75 +79,122 @@ def compact_windows(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
     return left[wide], centres[wide], right[wide]
 
 
+def lines(functions: int) -> list[tuple[int, int, int]]:
+    """Triples of functions: the lines of the plane of three by three points, of those of its points that are used.
+
+    Two points lie on one line. Of the nine functions any five hold a line, and so do 72 of
+    the 126 choices of four; all triples would be seven times as many keys.
+    """
+    return [t for t in combinations(range(functions), 3) if sum(t) % 3 == 0 and sum(f // 3 for f in t) % 3 == 0]
+
+
 def _windows(n: int, least: int, functions: int):
-    """Rows (id, text) to (key, id, f, c, l, r): key is the shingle at the centre under function f."""
+    """Rows (id, text) to (key, id, f, c, l, r): key is the shingle at the centre under function f.
+
+    Pieces of many texts are hashed as one array, each followed by a zero that no window
+    crosses. Pieces of a long text overlap by MARGIN on both sides; each centre belongs to one of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, parts, ids, rows = WordHashes(), [], [], 0
+        memo, parts, ids, size = WordHashes(), [], [], 0
 
         def send() -> pa.RecordBatch:
-            keys, f, c, lo, hi = (np.concatenate([p[i] for p in parts]) for i in range(5))
-            owner = np.repeat(np.array(ids, object), [len(p[0]) for p in parts])
-            columns = [pa.array(keys.view(np.int64)), pa.array(owner), pa.array(f), pa.array(c), pa.array(lo), pa.array(hi)]
-            return pa.RecordBatch.from_arrays(columns, ["key", "id", "f", "c", "l", "r"])
+            gap = np.zeros(1, np.uint64)
+            tokens = np.concatenate([x for p in parts for x in (p[0], gap)])
+            ends = np.cumsum([len(p[0]) + 1 for p in parts])
+            begins = np.concatenate([[0], ends[:-1]])
+            start, first, last = (np.array([p[i] for p in parts], np.int64) for i in (1, 2, 3))
+            columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            for f in range(functions):
+                hashes = _mixed(tokens, f)
+                hashes[ends - 1] = 0
+                lo, c, hi = compact_windows(hashes, least)
+                part = np.searchsorted(ends, c, "right")
+                shift = start[part] - begins[part]
+                own = (c != ends[part] - 1) & (c + shift >= first[part]) & (c + shift < last[part])
+                lo, c, hi, part, shift = lo[own], c[own], hi[own], part[own], shift[own]
+                found = (_mixed(tokens[c], f + 101).view(np.int64), part, np.full(len(c), f), c + shift, lo + shift, hi + shift)
+                for column, values in zip(columns, found):
+                    column.append(values)
+            key, part, *places = (np.concatenate(c) for c in columns)
+            owner = pa.array(ids).take(pa.array(part))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(key), owner, *(pa.array(x.astype(np.int32)) for x in places)], ["key", "id", "f", "c", "l", "r"]
+            )
 
         for doc, text in rows_of(batches, "id", "text"):
             tokens = shingles(memo.of(text), n)
-            for start in range(0, max(1, len(tokens) - least + 1), PIECE - REACH):
+            for start in range(0, max(1, len(tokens) - 2 * MARGIN), PIECE - 2 * MARGIN):
                 piece = tokens[start : start + PIECE]
-                for f in range(functions):
-                    lo, c, hi = compact_windows(_mixed(piece, f), least)
-                    if len(c):
-                        key = _mixed(piece[c], f + 101)
-                        shift = lambda x: (x + start).astype(np.int32)
-                        parts.append((key, np.full(len(c), f, np.int32), shift(c), shift(lo), shift(hi)))
-                        ids.append(doc)
-                        rows += len(c)
-                if start + PIECE >= len(tokens):
+                end = start + PIECE >= len(tokens)
+                if len(piece) >= least:
+                    parts.append((piece, start, start + MARGIN if start else 0, len(tokens) if end else start + PIECE - MARGIN))
+                    ids.append(doc)
+                    size += len(piece)
+                if size >= PIECE:
+                    yield send()
+                    parts, ids, size = [], [], 0
+                if end:
                     break
-            if rows >= BATCH:
-                yield send()
-                parts, ids, rows = [], [], 0
-        if rows:
+        if parts:
             yield send()
 
     return run
 
 
-def _joint(least: int, agree: int):
-    """Rows (id, windows) to (key, id, l, r, a): runs in which windows of ``agree`` functions meet.
+def _joint(least: int, functions: int):
+    """Rows (id, windows) to (key, id, l, r, a): runs in which windows of the functions of a line meet.
 
     The windows are those whose key another document has too. A window is the
     signature of the runs of ``least`` shingles that start in [s, e]; for one
     function these intervals do not overlap, so at most one window of each other
-    function is open where a window begins, and each choice of ``agree - 1`` of
-    them gives one key. ``a`` is the first centre, by which two documents are laid
+    function is open where a window begins, and each line through its function
+    gives one key at most. ``a`` is the first centre, by which two documents are laid
     on each other.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, found = [], [[], [], [], []]
-            for doc, windows in rows_of(iter([batch]), "id", "windows"):
-                for w in windows:
-                    w["s"], w["e"] = max(w["l"], w["c"] - least + 1), min(w["c"], w["r"] - least + 1)
-                open_: list[dict] = []
-                for w in sorted(windows, key=lambda x: (x["s"], x["f"], x["e"], x["c"])):
-                    open_ = [o for o in open_ if o["e"] >= w["s"] and o["f"] != w["f"]]
-                    for others in combinations(open_, agree - 1):
-                        group = sorted((*others, w), key=lambda x: x["f"])
-                        key = 0
-                        for x in group:
-                            key = (key * 0x100000001B3 + x["key"]) & 0xFFFFFFFFFFFFFFFF
-                        ids.append(doc)
-                        right = min(x["e"] for x in group) + least - 1
-                        for column, v in zip(found, (key - (1 << 64) if key >> 63 else key, w["s"], right, min(x["c"] for x in group))):
-                            column.append(v)
-                    open_.append(w)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-            columns = [pa.array(c, k) for c, k in zip(found, kinds)]
-            owner = pa.array(ids, batch.schema.field("id").type)
-            yield pa.RecordBatch.from_arrays([columns[0], owner, *columns[1:]], ["key", "id", "l", "r", "a"])
+            lists = batch.column(batch.schema.get_field_index("windows"))
+            doc = np.repeat(np.arange(len(lists), dtype=np.int64), lists.value_lengths().to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            key, f, c, lo, hi = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("key", "f", "c", "l", "r"))
+            key, (c, lo, hi) = key.view(np.uint64), (x.astype(np.int64) for x in (c, lo, hi))
+            s, e = np.maximum(lo, c - least + 1), np.minimum(c, hi - least + 1)
+            at = (doc << 32) | s
+            of = [np.flatnonzero(f == g) for g in range(functions)]
+            of = [i[np.argsort(at[i], kind="stable")] for i in of]
+
+            def open_at(i: np.ndarray, function: int, other: int) -> np.ndarray:
+                """The window of another function that is open where each of ``i`` begins, or -1; equal starts count for the later function."""
+                if not len(of[other]):
+                    return np.full(len(i), -1)
+                j = np.searchsorted(at[of[other]], at[i], "right") - 1
+                w = of[other][np.maximum(j, 0)]
+                held = (j >= 0) & (doc[w] == doc[i]) & (e[w] >= s[i])
+                if other > function:
+                    held &= s[w] < s[i]
+                return np.where(held, w, -1)
+
+            found: list[tuple] = []
+            for last in range(functions):
+                through = [t for t in lines(functions) if last in t]
+                open_ = {g: open_at(of[last], last, g) for g in {g for t in through for g in t} - {last}}
+                for line in through:
+                    all_ = np.stack([of[last] if g == last else open_[g] for g in line])
+                    all_ = all_[:, (all_ >= 0).all(axis=0)]
+                    joint = key[all_[0]]
+                    for w in all_[1:]:
+                        joint = joint * np.uint64(0x100000001B3) + key[w]
+                    # Lines are told apart, so that three functions never meet three others.
+                    joint = mix64(joint + np.uint64(line[0] * 100 + line[1] * 10 + line[2]))
+                    begin = s[all_].max(axis=0)
+                    found.append((joint.view(np.int64), doc[all_[0]], begin, e[all_].min(axis=0) + least - 1, c[all_].min(axis=0)))
+            joint, owner, *places = (np.concatenate(x) for x in zip(*found))
+            ids = batch.column(batch.schema.get_field_index("id")).take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(joint), ids, *(pa.array(x.astype(np.int32)) for x in places)], ["key", "id", "l", "r", "a"]
+            )
 
     return run
 
@@ -183,6 +233,61 @@ def match(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> tuple[
     return None
 
 
+def _onward(same: np.ndarray, share: float) -> int:
+    """The longest beginning that ends with an equal position and of which ``share`` is equal."""
+    upto = np.cumsum(same)
+    good = np.flatnonzero(same & (upto >= share * np.arange(1, len(same) + 1)))
+    return int(good[-1]) + 1 if len(good) else 0
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    x, y = np.unique(a), np.unique(b)
+    same = len(np.intersect1d(x, y, assume_unique=True))
+    return same / max(1, len(x) + len(y) - same)
+
+
+def _further(a: np.ndarray, b: np.ndarray, share: float) -> int:
+    """How far two runs go on together from their beginnings; looks on only where they do."""
+    n, size = min(len(a), len(b)), 1 << 10
+    while True:
+        reach = _onward(a[: min(n, size)] == b[: min(n, size)], share)
+        if size >= n or reach < size // 2:
+            return reach
+        size *= 4
+
+
+def extend(a: np.ndarray, b: np.ndarray, span: tuple[int, int, int, int], similarity: float) -> tuple[int, int, int, int]:
+    """A passage that two texts share (ends inclusive), lengthened at both ends as far as the texts go on alike.
+
+    First over replaced words, where the sets stay similar enough; else over equal shingles only,
+    which leaves no set less similar.
+    """
+    a0, a1, b0, b1 = span
+    for share in (2 * similarity / (1 + similarity), 1.0):
+        on = _further(a[a1 + 1 :], b[b1 + 1 :], share)
+        back = _further(a[:a0][::-1], b[:b0][::-1], share)
+        wide = (a0 - back, a1 + on, b0 - back, b1 + on)
+        if share == 1.0 or _jaccard(a[wide[0] : wide[1] + 1], b[wide[2] : wide[3] + 1]) >= similarity:
+            return wide
+    return span
+
+
+def merge(a: np.ndarray, b: np.ndarray, spans: list[tuple[int, int, int, int]], similarity: float) -> list[tuple[int, int, int, int]]:
+    """Passages of two texts that overlap in both become one where it is similar enough as a whole."""
+    done: list[tuple[int, int, int, int]] = []
+    for s in sorted(set(spans)):
+        for i in range(len(done) - 1, -1, -1):
+            d = done[i]
+            if s[0] <= d[1] + 1 and s[2] <= d[3] + 1 and d[2] <= s[3] + 1:
+                whole = (d[0], max(d[1], s[1]), min(d[2], s[2]), max(d[3], s[3]))
+                if whole == d or _jaccard(a[whole[0] : whole[1] + 1], b[whole[2] : whole[3] + 1]) >= similarity:
+                    done[i] = whole
+                    break
+        else:
+            done.append(s)
+    return done
+
+
 def _spans(at: np.ndarray, start: int, end: int, least: int) -> bool:
     """Whether the first and the last of the sorted positions in [start, end) span ``least``."""
     i, j = np.searchsorted(at, (start, end))
@@ -227,8 +332,9 @@ def _compare(n: int, least: int, similarity: float):
                     tried.add((a0, a1, b0, b1))
                     found = match(mine[a0:a1], other[b0:b1], least, similarity)
                     if found:
-                        covered.append((a0 + found[0], a0 + found[1], b0 + found[2], b0 + found[3]))
-                for c in covered:
+                        span = (a0 + found[0], a0 + found[1], b0 + found[2], b0 + found[3])
+                        covered.append(extend(mine, other, span, similarity))
+                for c in merge(mine, other, covered, similarity):
                     ids.append(doc)
                     ofs.append(of)
                     rows.append((c[0], c[1] + n - 1, c[2], c[3] + n - 1))
@@ -240,10 +346,65 @@ def _compare(n: int, least: int, similarity: float):
     return run
 
 
-def _surroundings(n: int):
-    """Rows (id, text, spots) to (key, id, l, a, lo, near, loose, open): the shingles from ``a - back`` to ``a + on``.
+def _extend_all(n: int, similarity: float):
+    """Rows (id, of, text, of_text, spans) to (id, of, ...): the passages of a pair, lengthened and merged."""
 
-    ``lo`` is the position of the first; ``loose`` tells that a shingle occurs twice among them.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            ids, ofs, rows = [], [], []
+            for doc, of, text, of_text, spans in rows_of(iter([batch]), "id", "of", "text", "of_text", "spans"):
+                mine, other = shingles(memo.of(text), n), shingles(memo.of(of_text), n)
+                ends = [(s["first_word"], s["last_word"] - n + 1, s["of_first_word"], s["of_last_word"] - n + 1) for s in spans]
+                for c in merge(mine, other, [extend(mine, other, s, similarity) for s in ends], similarity):
+                    ids.append(doc)
+                    ofs.append(of)
+                    rows.append((c[0], c[1] + n - 1, c[2], c[3] + n - 1))
+            kind = batch.schema.field("id").type
+            names = ["first_word", "last_word", "of_first_word", "of_last_word"]
+            columns = [pa.array([r[i] for r in rows], pa.int32()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(ofs, kind), *columns], ["id", "of", *names])
+
+    return run
+
+
+def _near_tokens(n: int):
+    """Rows (id, text, spots) to (id, token): each shingle around any of the spots, once a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordHashes()
+        for batch in batches:
+            kind = batch.schema.field("id").type
+            ids, found, size = [], [], 0
+
+            def send() -> pa.RecordBatch:
+                owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                token = pa.array(np.concatenate(found).view(np.int64))
+                return pa.RecordBatch.from_arrays([pa.array(ids, kind).take(pa.array(owner)), token], ["id", "token"])
+
+            for doc, text, spots in rows_of(iter([batch]), "id", "text", "spots"):
+                tokens = shingles(memo.of(text), n)
+                steps = np.zeros(len(tokens) + 1, np.int32)
+                for w in spots:
+                    steps[max(0, w["a"] - w["back"])] += 1
+                    steps[min(len(tokens), w["a"] + w["on"] + 1)] -= 1
+                ids.append(doc)
+                found.append(np.unique(tokens[np.cumsum(steps[:-1]) > 0]))
+                size += len(found[-1])
+                if size >= VALUES:
+                    yield send()
+                    ids, found, size = [], [], 0
+            if found:
+                yield send()
+
+    return run
+
+
+def _surroundings(n: int, least: int, similarity: float):
+    """Rows (id, text, spots, common) to (key, id, l, a, lo, near, loose, open): the shingles from ``a - back`` to ``a + on``.
+
+    ``lo`` is the position of the first; ``loose`` tells that a shingle occurs twice among them. Spots that
+    cannot match any document, given the shingles ``common`` to this one and others, give no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,14 +421,23 @@ def _surroundings(n: int):
         kind = pa.null()
         for batch in batches:
             kind = batch.schema.field("id").type
-            for doc, text, spots in rows_of(iter([batch]), "id", "text", "spots"):
+            for doc, text, spots, common in rows_of(iter([batch]), "id", "text", "spots", "common"):
                 tokens = shingles(memo.of(text), n)
+                shared = np.array(common, np.int64).view(np.uint64)
+                hopeful: dict[tuple[int, int], bool] = {}
                 for w in spots:
                     lo = max(0, w["a"] - w["back"])
-                    part = tokens[lo : w["a"] + w["on"] + 1]
+                    ends = (lo, w["a"] + w["on"] + 1)
+                    part = tokens[lo : ends[1]]
+                    loose = len(np.unique(part)) < len(part)
+                    if ends not in hopeful:
+                        # A shingle that another document repeats may make that one's set small, so only the plain bound holds.
+                        hopeful[ends] = may_match(part, shared, least, similarity, True)
+                    if not hopeful[ends]:
+                        continue
                     ids.append(doc)
                     near.append(part)
-                    rows.append((w["key"], w["l"], w["a"], lo, len(np.unique(part)) < len(part), w["open"]))
+                    rows.append((w["key"], w["l"], w["a"], lo, loose, w["open"]))
                     size += len(part)
                     if size >= VALUES:
                         yield send(kind)
@@ -365,7 +535,13 @@ def _later_rounds(left: DataFrame, texts: DataFrame, least: int, similarity: flo
     spots = left.join(reach, "key").groupBy("id").agg(F.collect_list(F.struct("key", "l", "a", "back", "on", "open")).alias("spots"))
     names = ["key", "id", "l", "a", "lo", "near", "loose", "open"]
     fields = f"key long, id {kind}, l int, a int, lo int, near array<long>, loose boolean, open boolean"
-    left = materialize(spots.join(texts, "id").mapInArrow(_surroundings(SHINGLE), fields))
+    spots = materialize(spots)
+    # First a look at all keys together: most spots lie around a stretch that is shared but too short, and match nothing.
+    tokens = materialize(spots.join(texts, "id").mapInArrow(_near_tokens(SHINGLE), f"id {kind}, token long"))
+    held = tokens.groupBy("token").agg(F.min("id").alias("_x"), F.max("id").alias("_y")).where(F.col("_x") != F.col("_y")).select("token")
+    common = tokens.join(held, "token").groupBy("id").agg(F.collect_list("token").alias("common"))
+    around = spots.join(common, "id").join(texts, "id").select("id", "text", "spots", "common")
+    left = materialize(around.mapInArrow(_surroundings(SHINGLE, least, similarity), fields))
     passages, leaders = [], LEADERS
     while left.where("open").limit(1).count():
         # Keys that one document alone has left are done, and those without an open row.
@@ -396,7 +572,6 @@ def repeated_passages(
     words: int = PASSAGE,
     similarity: float = SIMILARITY,
     functions: int = FUNCTIONS,
-    agree: int = AGREE,
 ) -> DataFrame:
     """Passages of at least ``words`` words that are near duplicates of one in another document.
 
@@ -406,16 +581,17 @@ def repeated_passages(
     id, for those that match it); that passage itself is a row that names itself.
 
     Shingles of five words are hashed by each function; a compact window holds all
-    subsequences with the same minimum. Where windows of ``agree`` functions meet over
+    subsequences with the same minimum. Where windows of three functions of a line (:func:`lines`) meet over
     the length of a passage, their minima together are a key. Documents under a
     key are compared with the document of the smallest id that has it, each place with
     each of its places, over the shingles around the windows; those that do not match it meet all others of the key,
     matched or not, several a round (:func:`_later_rounds`). Passages repeated word for word always share all
-    keys; a near copy is found if ``agree`` of the functions agree somewhere on it.
+    keys; a near copy is found if the functions of a line agree somewhere on it. Passages go on to both
+    sides as far as both texts do.
 
     NULL, empty and short texts have no passages; a NULL id has none either. Equal
     texts are compared once and all get the result. Rows of one id and different
-    texts: the smallest text stands for the id. Other columns are not read. An empty
+    texts: the text of the smallest hash stands for the id. Other columns are not read. An empty
     table gives an empty table.
     """
     least = words - SHINGLE + 1
@@ -434,9 +610,9 @@ def repeated_passages(
         texts.mapInArrow(_windows(SHINGLE, least, functions), f"key long, id {kind}, f int, c int, l int, r int")
     )
     shared = windows.groupBy("key").agg(F.min("id").alias("_x"), F.max("id").alias("_y"))
-    shared = shared.where(F.col("_x") != F.col("_y")).select("key")
-    by_doc = windows.join(shared, "key").groupBy("id").agg(F.collect_list(F.struct("key", "f", "c", "l", "r")).alias("windows"))
-    left = materialize(by_doc.mapInArrow(_joint(least, agree), f"key long, id {kind}, l int, r int, a int"))
+    shared = materialize(shared.where(F.col("_x") != F.col("_y")).select("key"))
+    by_doc = windows.join(if_small(shared), "key").groupBy("id").agg(F.collect_list(F.struct("key", "f", "c", "l", "r")).alias("windows"))
+    left = materialize(by_doc.mapInArrow(_joint(least, functions), f"key long, id {kind}, l int, r int, a int"))
     schema = f"id {kind}, of {kind}, first_word int, last_word int, of_first_word int, of_last_word int"
     stars = left.groupBy("key").agg(F.min("id").alias("of"), F.max("id").alias("_z")).where(F.col("of") != F.col("_z")).drop("_z")
     led = materialize(left.join(stars, "key"))
@@ -449,9 +625,12 @@ def repeated_passages(
     both = pairs.join(texts, "id").join(other, "of").select("id", "of", "text", "of_text", "spots")
     passages = materialize(both.mapInArrow(_compare(SHINGLE, least, similarity), schema))
     left = materialize(_settled(open_.drop("of").withColumn("open", F.lit(True)), passages))
-    for found in _later_rounds(left, texts, least, similarity, schema):
-        passages = passages.union(found)
-    passages = materialize(passages)
+    later = _later_rounds(left, texts, least, similarity, schema)
+    if later:
+        ends = F.struct("first_word", "last_word", "of_first_word", "of_last_word")
+        spans = reduce(DataFrame.union, later).groupBy("id", "of").agg(F.sort_array(F.collect_set(ends)).alias("spans"))
+        both = spans.join(texts, "id").join(other, "of").select("id", "of", "text", "of_text", "spans")
+        passages = materialize(passages.union(both.mapInArrow(_extend_all(SHINGLE, similarity), schema)))
     own = passages.select(
         F.col("of").alias("id"), "of", F.col("of_first_word").alias("first_word"), F.col("of_last_word").alias("last_word"), "of_first_word", "of_last_word"
     )

@@ -8,11 +8,12 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from binflow.llm.common import n_words
-from binflow.llm.compact_windows import _later_rounds, compact_windows, match, may_match, repeated_passages
+from binflow.llm.compact_windows import MARGIN, PIECE, _joint, _later_rounds, _windows, compact_windows, extend, lines, match, may_match, merge, repeated_passages
 from binflow.llm.compression_quality import BLOCK, BLOCKS_PER_DOC, _sample_blocks, score_quality
 from binflow.llm.language_id import identify
 from binflow.llm.license_scan import _bands, scan_licenses
@@ -378,6 +379,87 @@ def test_near_copies_are_found(spark):
     assert len(want) == pairs and len(want & found) >= 0.98 * pairs
 
 
+def test_lines_of_functions():
+    found = lines(9)
+    assert len(found) == 12
+    # Two functions lie on one line, and any five hold one.
+    assert all(sum(set(p) <= set(t) for t in found) == 1 for p in itertools.combinations(range(9), 2))
+    assert all(any(set(t) <= set(five) for t in found) for five in itertools.combinations(range(9), 5))
+
+
+def test_windows_of_many_texts_are_those_of_each():
+    rng = random.Random(30)
+    texts = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(n)) for n in (60, 0, 3, 49, 50, 51, 700, PIECE + 3 * MARGIN)]
+    run = lambda chosen: {
+        tuple(r.values())
+        for batch in _windows(5, 46, 3)(iter([pa.RecordBatch.from_pydict({"id": [k for k, _ in chosen], "text": [t for _, t in chosen]})]))
+        for r in batch.to_pylist()
+    }
+    rows = list(enumerate(texts))
+    assert run(rows) == set().union(*(run([row]) for row in rows))
+    found = [b for b in _windows(5, 46, 1)(iter([pa.RecordBatch.from_pydict({"id": [1], "text": [texts[-1]]})]))]
+    centres = np.sort(np.concatenate([b.column(3).to_numpy() for b in found]))
+    # No centre twice, and none missing where two pieces overlap.
+    assert (np.diff(centres) > 0).all() and np.diff(centres).max() < 2 * 46
+
+
+def test_joint_keys_match_the_definition():
+    rng = random.Random(31)
+    rows = []
+    for doc in range(4):
+        windows = []
+        for f in range(9):
+            at = 0
+            while at < 400:
+                c, width = at + rng.randrange(1, 40), rng.randrange(1, 60)
+                windows.append({"key": rng.randrange(-(2**63), 2**63), "f": f, "c": c + 60, "l": c + 60 - 45, "r": c + 60 - 45 + 45 + width - 1})
+                at = c + 60 + width
+        rng.shuffle(windows)
+        rows.append((doc, windows))
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("f", pa.int32()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows]), pa.array([w for _, w in rows], kind)], ["id", "windows"])
+    got = collections.Counter(tuple(r[k] for k in ("id", "l", "r", "a")) for b in _joint(46, 9)(iter([batch])) for r in b.to_pylist())
+    want = collections.Counter()
+    for doc, windows in rows:
+        by = collections.defaultdict(list)
+        for w in windows:
+            by[w["f"]].append((max(w["l"], w["c"] - 45), min(w["c"], w["r"] - 45), w["c"]))
+        for line in lines(9):
+            for trio in itertools.product(*(by[f] for f in line)):
+                s, e = max(x[0] for x in trio), min(x[1] for x in trio)
+                if s <= e:
+                    want[doc, s, e + 45, min(x[2] for x in trio)] += 1
+    assert got == want and want
+
+
+def test_matches_are_lengthened_and_merged():
+    rng = np.random.default_rng(32)
+    core = rng.integers(0, 1 << 40, 3000)
+    a, b = (np.concatenate([rng.integers(0, 1 << 40, k), core, rng.integers(0, 1 << 40, 30)]) for k in (40, 90))
+    assert extend(a, b, (500, 560, 550, 610), 0.75) == (40, 3039, 90, 3089)
+    # Over a replaced stretch, not into what differs.
+    b[1000:1005] = 1
+    assert extend(a, b, (500, 560, 550, 610), 0.75) == (40, 3039, 90, 3089)
+    assert extend(a, b, (0, 0, 0, 0), 0.75) == (0, 0, 0, 0)
+    assert merge(a, b, [(40, 500, 90, 550), (450, 3039, 500, 3089), (60, 100, 110, 150)], 0.75) == [(40, 3039, 90, 3089)]
+
+
+def test_repeats_are_reported_whole(spark):
+    rng = random.Random(33)
+    rows, want, pairs = [], set(), 200
+    for k in range(pairs):
+        n = 3000 if k == 0 else rng.randrange(50, 121)
+        word = lambda: f"r{k}x{rng.randrange(10**6)}"  # noqa: B023, E731
+        core = [word() for _ in range(n)]
+        starts = [rng.randrange(0, 60) for _ in range(2)]
+        for i, start in enumerate(starts):
+            text = [*(f"u{word()}" for _ in range(start)), *core, *(f"u{word()}" for _ in range(rng.randrange(0, 60)))]
+            rows.append((2 * k + i, " ".join(text), "en", "a"))
+            want.add((2 * k + i, 2 * k, start, start + n - 1, starts[0], starts[0] + n - 1))
+    out = repeated_passages(frame(spark, rows)).toPandas()
+    assert set(map(tuple, out[["doc_id", "of_doc_id", "first_word", "last_word", "of_first_word", "of_last_word"]].to_numpy())) == want
+
+
 def test_queries_match_duckdb(spark, small):
     import duckdb
 
