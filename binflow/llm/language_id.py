@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -28,7 +27,6 @@ FAMILIES = {
 BUCKETS, ORDERS = 4096, (1, 2, 3)
 #: Documents that the fit reads: about so many of each language, and in all.
 PER_LANGUAGE, IN_ALL = 500, 4000
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def family_of(lang: str) -> str:
@@ -105,7 +103,7 @@ class Hierarchy:
         return cls(names, fit_pairs(x, group), within)
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.langs or not LETTER.search(text):
+        if not text or not self.langs or not any(map(str.isalpha, text)):
             return "und", 0.0
         x = features(text)
         family, p = vote(x, list(self.langs), self.families)
