@@ -10,6 +10,8 @@ from binflow.session import materialize
 
 #: Items that one step of the reduction tree rounds together.
 FANOUT = 64
+#: Halvings between two classes of sizes.
+HALVINGS = 3
 #: Rows of one unit that one array spells out.
 CHUNK = 100_000
 
@@ -85,6 +87,27 @@ def _step(state: Column, item: Column, seed: int) -> Column:
     return F.get(F.transform(F.array(moved), settle), 0)
 
 
+def _reduce(level: DataFrame, most: int, seed: int) -> tuple[list[DataFrame], DataFrame]:
+    """Rounds items (_source, _block, _item) up a tree: those decided at each level, and one open item a source.
+
+    ``most`` is the largest number of items of a source.
+    """
+    decided, depth, n_blocks = [], 0, max(1, -(-most // FANOUT))
+    while True:
+        grouped = level.groupBy("_source", "_block").agg(F.sort_array(F.collect_list("_item")).alias("_items"))
+        start = F.struct(F.get("_items", 0).alias("carry"), F.slice("_items", 1, 0).alias("done"))
+        rest = F.slice("_items", 2, F.size("_items"))
+        state = F.aggregate(rest, start, lambda s, x: _step(s, x, seed + 3 + depth))
+        done = materialize(grouped.select("_source", "_block", state.alias("_s")).select("_source", "_block", "_s.*"))
+        decided.append(done.select("_source", F.explode("done").alias("_item")))
+        last = done.select("_source", "_block", F.col("carry").alias("_item"))
+        if n_blocks == 1:
+            return decided, last.select("_source", "_item")
+        level = last.withColumn("_block", F.floor(F.col("_block") / FANOUT))
+        n_blocks = -(-n_blocks // FANOUT)
+        depth += 1
+
+
 def mix_sources(
     docs: DataFrame,
     size: Column,
@@ -101,11 +124,13 @@ def mix_sources(
     times size. Every document of a source has the expected copies target over
     source size. Their whole part is sure; the fractions are rounded in pairs:
     words move between two documents at random until one fraction is 0 or 1, and
-    the other goes on. Words are kept in every pair, so a source ends within one
-    document of its target. Blocks of about ``FANOUT`` documents leave one open
+    the other goes on. Words are kept in every pair. Blocks of about ``FANOUT`` documents leave one open
     fraction each, blocks of blocks again, up to one per source.
 
-    Inside a block large documents come first, so what stays open is mostly small.
+    Large documents are decided first: sizes fall into classes (HALVINGS), and the one
+    that a class leaves open is paired with all smaller documents of its source together, whose
+    expected copies, between 0 and ``cap``, take up the words. So a source ends within one document of the
+    smallest class of its target, as far as its smaller documents can take up what the larger ones leave.
 
     Random numbers depend on ids and ``seed`` only, so reruns agree. Rows of equal
     id, source and size are interchangeable: they are counted, not gathered, and
@@ -114,74 +139,76 @@ def mix_sources(
     last source. NULL ids are ids like others. Other columns are not read, so
     their names cannot clash. An empty table gives an empty table.
     """
+    n_words = F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long")
     units = materialize(
-        docs.select(
-            F.col(id_col).alias("_id"),
-            F.col(source_col).alias("_source"),
-            F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("long").alias("_size"),
-        )
+        docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words.alias("_size"))
         .groupBy("_id", "_source", "_size")
         .agg(F.count(F.lit(1)).alias("_m"))
+        .withColumn("_class", F.when(F.col("_size") > 0, F.floor(F.log2("_size") / HALVINGS)).otherwise(-1).cast("int"))
     )
-    sizes = units.groupBy("_source").agg(
-        F.sum(F.col("_size") * F.col("_m")).alias("source_size"),
-        F.sum(F.when(F.col("_size") > 0, F.col("_m")).otherwise(0)).alias("_n"),
+    # One row a source and class: how many it holds, and the words of all smaller classes.
+    smaller = Window.partitionBy("_source").orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)
+    held = materialize(
+        units.groupBy("_source", "_class")
+        .agg(F.sum(F.col("_size") * F.col("_m")).alias("_words"), F.sum("_m").alias("_n"))
+        .withColumn("_below", F.coalesce(F.sum("_words").over(smaller), F.lit(0)))
     )
+    sizes = held.groupBy("_source").agg(F.sum("_words").alias("source_size"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    targets = materialize(
-        source_targets(sizes, cap, weights)
-        .withColumn("_base", F.floor(ratio))
-        .withColumn("_p", ratio - F.floor(ratio))
-        .withColumnRenamed("_source", "_of")
-    )
+    targets = materialize(source_targets(sizes, cap, weights).withColumn("_ratio", ratio).withColumnRenamed("_source", "_of"))
+    ratios = targets.select("_of", "_ratio")
+    targets = targets.drop("_ratio")
+    base, fraction = F.floor("_ratio"), F.col("_ratio") - F.floor("_ratio")
     chunks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("_m") - 1) / CHUNK))
     within = F.sequence(F.col("_c") * CHUNK, F.least((F.col("_c") + 1) * CHUNK, F.col("_m")) - 1)
-    rows = (
-        units.join(targets, F.col("_source").eqNullSafe(F.col("_of")))
-        .withColumn("_c", F.explode(chunks))
-        .withColumn("_k", F.explode(within))
-    )
     item = F.struct(
-        # Large documents first: small ones settle their fractions, and the last open one is small.
         (-F.col("_size")).alias("order"),
         uniform(F.lit(seed + 1), "_id", "_size", "_k").alias("tie"),
         F.col("_id").alias("id"),
         F.col("_size").alias("size"),
         F.col("_k").alias("k"),
-        F.col("_p").alias("p"),
-        F.col("_base").alias("base"),
+        F.when(F.col("_size") > 0, fraction).otherwise(0.0).alias("p"),
+        base.alias("base"),
         F.col("source_size").alias("source_size"),
         F.col("target").alias("target"),
     )
-    opened = (F.col("_p") > 0) & (F.col("_size") > 0)
-    sure = rows.where(~opened).select(F.col("_source"), item.withField("p", F.lit(0.0)).alias("_item"))
-    blocks = F.greatest(F.ceil(F.col("_n") / FANOUT), F.lit(1)).cast("long")
-    level = rows.where(opened).select(
-        "_source",
-        F.pmod(F.xxhash64(F.lit(seed + 2), "_id", "_size", "_k"), blocks).alias("_block"),
-        item.alias("_item"),
-    )
-    n_blocks = max(1, -(-(targets.agg(F.max("_n").alias("n")).first()["n"] or 0) // FANOUT))
-    decided, depth = [sure], 0
-    while True:
-        grouped = level.groupBy("_source", "_block").agg(F.sort_array(F.collect_list("_item")).alias("_items"))
-        start = F.struct(
-            F.get("_items", 0).alias("carry"), F.slice("_items", 1, 0).alias("done")
+
+    def spelled(at: Column) -> DataFrame:
+        """Items of the classes chosen, with the expected copies of their source by now."""
+        rows = units.where(at).join(targets, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
+        rows = rows.join(ratios, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
+        return rows.withColumn("_c", F.explode(chunks)).withColumn("_k", F.explode(within))
+
+    decided = [spelled(F.col("_class") < 0).select("_source", item.alias("_item"))]
+    # At most some twenty classes, whatever the input.
+    per_class = held.where("_class >= 0").groupBy("_class").agg(F.max("_n").alias("n")).collect()
+    for label, most in sorted(((r["_class"], r["n"]) for r in per_class), reverse=True):
+        rows = spelled(F.col("_class") == label)
+        decided.append(rows.where(fraction == 0).select("_source", item.alias("_item")))
+        count = held.where(F.col("_class") == label).select(F.col("_source").alias("_of"), "_n", "_below")
+        open_ = rows.where(fraction > 0).join(count, F.col("_source").eqNullSafe(F.col("_of")))
+        blocks = F.greatest(F.ceil(F.col("_n") / FANOUT), F.lit(1)).cast("long")
+        block = F.pmod(F.xxhash64(F.lit(seed + 2), "_id", "_size", "_k"), blocks)
+        done, last = _reduce(open_.select("_source", block.alias("_block"), item.alias("_item")), most, seed)
+        decided += done
+        # The open item and the smaller documents of its source, as one item of all words that they can give.
+        last = last.join(count, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
+        last = last.join(ratios, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
+        share, words = F.col("_ratio") / cap, F.col("_below") * cap
+        pool = F.struct(F.lit(f"class {label}").alias("id"), F.lit(0).alias("k"), share.alias("p"), words.alias("size"))
+        settled = _integral(F.col("_item.p")) | (F.col("_below") == 0)
+        moved = F.when(settled, F.struct(F.col("_item.p").alias("pa"), share.alias("pb"))).otherwise(
+            _pair(F.col("_item"), pool, seed)
+        )
+        last = materialize(last.select("_source", "_item", moved.alias("_moved")))
+        p = F.col("_moved.pa")
+        lot = uniform(F.lit(seed), "_item.id", "_item.k")
+        bit = F.when(_integral(p), p).otherwise(F.when(lot < p, 1.0).otherwise(0.0))
+        decided.append(last.select("_source", F.col("_item").withField("p", bit).alias("_item")))
+        after = last.select("_source", (F.col("_moved.pb") * cap).alias("_new"))
+        ratios = materialize(
+            ratios.join(after, F.col("_of").eqNullSafe(F.col("_source")), "left").select("_of", F.coalesce("_new", "_ratio").alias("_ratio"))
         )
-        rest = F.slice("_items", 2, F.size("_items"))
-        state = F.aggregate(rest, start, lambda s, x: _step(s, x, seed + 3 + depth))
-        done = materialize(grouped.select("_source", "_block", state.alias("_s")).select("_source", "_block", "_s.*"))
-        decided.append(done.select("_source", F.explode("done").alias("_item")))
-        last = done.select("_source", "_block", F.col("carry").alias("_item"))
-        if n_blocks == 1:
-            p = F.col("_item.p")
-            lot = uniform(F.lit(seed), "_item.id", "_item.k")
-            bit = F.when(_integral(p), p).otherwise(F.when(lot < p, 1.0).otherwise(0.0))
-            decided.append(last.select("_source", F.col("_item").withField("p", bit).alias("_item")))
-            break
-        level = last.withColumn("_block", F.floor(F.col("_block") / FANOUT))
-        n_blocks = -(-n_blocks // FANOUT)
-        depth += 1
     out = decided[0]
     for part in decided[1:]:
         out = out.unionByName(part)

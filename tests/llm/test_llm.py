@@ -189,6 +189,30 @@ def test_mix(spark, awkward, empty):
         assert abs(row.target.iloc[0] - t) < 1e-6
 
 
+def test_mix_comes_near_its_targets(spark):
+    rng = random.Random(40)
+    sizes = [rng.choice((3, 5, 40, 60, 300, 900, 5000)) for _ in range(400)]
+    docs = spark.createDataFrame([(i, "abc"[i % 3], n) for i, n in enumerate(sizes)], "doc_id long, source string, n long")
+    runs = [mix_sources(docs, F.col("n"), seed=seed).toPandas() for seed in (1, 2)]
+    for out in runs:
+        sums = out.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+        # The small documents of a source are few, and may all be used up by what larger ones leave.
+        assert ((sums.taken - sums.target).abs() <= 0.001 * sums.target).all()
+        assert (out.taken <= 3 * out["size"]).all() and (out.copies >= 0).all()
+    # Seeds choose different documents.
+    assert not runs[0].sort_values("doc_id").copies.reset_index(drop=True).equals(runs[1].sort_values("doc_id").copies.reset_index(drop=True))
+    # One source of a single large document and few words else: they take up what they can.
+    few = spark.createDataFrame([(1, "a", 9000), (2, "a", 10), (3, "b", 50), (4, None, None), (5, "b", 0)], "doc_id long, source string, n long")
+    out = mix_sources(few, F.col("n")).toPandas()
+    assert len(out) == 5 and (out.taken <= 3 * out["size"]).all()
+
+
+def test_letters_of_languages(spark):
+    docs = frame(spark, [(1, "the cat and the dog", "en", "a"), (2, "le chat et le chien", "fr", "a"), (3, "\u00bd \u00b2 12", "fr", "a"), (5, "\u4f60", None, "a")])
+    out = {r["doc_id"]: r["lang_pred"] for r in identify(docs).collect()}
+    assert out[3] == "und" and out[5] != "und"
+
+
 def test_perplexity(spark, awkward, empty):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice(["ta", "ri", "mo", "ne", "lu", "sa"]) for _ in range(rng.randint(2, 4)))
