@@ -149,7 +149,7 @@ def _pick(inside: DataFrame, group: list[str], ranks: list[Column]) -> DataFrame
     of which ``_below`` come before."""
     counts = inside.groupBy(*group, "_i", "_rank", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
     upto = F.col("_below") + F.sum("_c").over(
-        Window.partitionBy(*group, "_i", "_below").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*group, "_i", "_rank", "_below").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     )
     ranked = counts.withColumn("_cum", upto)
     at = [F.min(F.when(F.col("_cum") > r, F.col("_v"))).alias(f"_v{i}") for i, r in enumerate(ranks)]

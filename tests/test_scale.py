@@ -79,6 +79,13 @@ def test_no_task_sorts_a_wide_bracket(spark, monkeypatch):
     assert got == pytest.approx(want, rel=1e-12) and 0 < max(seen) <= 50
 
 
+def test_two_ranks_in_one_cell_are_counted_apart(spark, monkeypatch):
+    """A target between two values of one cell of the histogram, whose bracket misses its rank."""
+    monkeypatch.setattr(scale, "SKETCH", 2)
+    df = spark.range(402).select(F.lit("a").alias("k"), F.col("id").cast("double").alias("v"))
+    assert scale.spread_quantiles(df, ["k"], ["v"], [0.25, 0.75], 390).first().v_q == [100.25, 300.75]
+
+
 def test_spread_quantiles_ignore_nulls(spark):
     df = spark.range(100).select(F.lit("a").alias("k"), F.when(F.col("id") % 2 == 0, F.col("id").cast("double")).alias("v"))
     assert exact_quantiles(df, ["k"], ["v"], [0.5], 10).first().v_q == [49.0]
