@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from binflow.llm.perplexity import BITS, ORDER, Model, base_figures, count_ngrams, kneser_ney, words_of
+from binflow.llm.perplexity import BITS, ORDER, Model, base_figures, count_ngrams, judge, keep_good, kneser_ney, split_model, words_of
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +44,38 @@ def test_a_model_without_texts(spark):
     assert empty.word_scores(["ab"])[0][0] == pytest.approx(-3 * np.log(1 << BITS))
 
 
+@pytest.fixture(scope="module")
+def mixed(spark):
+    """Documents of two languages and odd ones; rows of one id, too."""
+    rng = random.Random(7)
+    rows = [(i, " ".join("".join(rng.choice("abcdeé中") for _ in range(rng.randint(1, 6))) for _ in range(60)), "xy"[i % 2]) for i in range(40)]
+    rows += [(90, None, "x"), (91, "", None), (91, "ab cd " * 40, None), (92, "q\x00\x01z 😀 " * 60 + "ß", "y"), (93, "中" * 300, "y")]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string").cache()
+
+
+def test_every_ngram_is_in_the_model(mixed):
+    """N-grams never share a place: the tables have as many as the counts and the orders below them."""
+    counts = count_ngrams(mixed)
+    tables, _ = kneser_ney(counts)
+    for k, rows in tables.items():
+        own = counts.where(f"span = {k}").select("gram")
+        assert own.exceptAll(rows.select("gram")).isEmpty() and rows.count() == rows.select("gram").distinct().count()
+
+
+@pytest.mark.parametrize("most", [0, 20, 300])
+def test_ngrams_beyond_the_arrays_count_in_full(mixed, most):
+    counts = count_ngrams(mixed)
+    near, far = split_model(counts, kneser_ney(counts)[0], most)
+    assert sum(t.count() for t in near.values()) <= most and far is not None
+    assert far.count() + sum(t.count() for t in near.values()) == counts.count()
+    want, got = (sorted(judge(mixed, **x).collect(), key=lambda r: (r.doc_id, r.n_words)) for x in ({}, {"most": most}))
+    assert len(got) == len(want) == mixed.count()
+    for a, b in zip(want, got):
+        assert a[:9] == b[:9] and a.log_perplexity == (b.log_perplexity and pytest.approx(b.log_perplexity, rel=1e-9))
+    kept = [sorted(keep_good(mixed, **x).collect(), key=str) for x in ({}, {"most": most})]
+    assert kept[0] == kept[1] and kept[0]
+
+
 @pytest.mark.parametrize("text", ["", " \n", "a\x1cb c d \te\x0bf\x0cg\rh", "é ß\n\n€ 中文 😀", "one", "\x00 \x01"])
 def test_words(text):
     want = re.findall(r"[^\x20\x09-\x0D]+", text)
