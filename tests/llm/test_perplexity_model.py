@@ -6,6 +6,8 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
+from binflow.llm import perplexity
 from binflow.llm.perplexity import BITS, ORDER, Model, base_figures, count_ngrams, judge, keep_good, kneser_ney, split_model, words_of
 
 
@@ -76,6 +78,15 @@ def test_ngrams_beyond_the_arrays_count_in_full(mixed, most):
     assert kept[0] == kept[1] and kept[0]
 
 
+def test_the_pipeline_keeps_the_same_documents_beyond_the_arrays(spark, mixed, monkeypatch):
+    want = sorted(corpus_pipeline.quality_rules(spark, mixed, "").collect(), key=str)
+    monkeypatch.setattr(perplexity, "MOST", 20)
+    seen = []
+    plain = perplexity._with_far
+    monkeypatch.setattr(perplexity, "_with_far", lambda *x: seen.append(1) or plain(*x))
+    assert sorted(corpus_pipeline.quality_rules(spark, mixed, "").collect(), key=str) == want and want and seen
+
+
 @pytest.mark.parametrize("text", ["", " \n", "a\x1cb c d \te\x0bf\x0cg\rh", "é ß\n\n€ 中文 😀", "one", "\x00 \x01"])
 def test_words(text):
     want = re.findall(r"[^\x20\x09-\x0D]+", text)
