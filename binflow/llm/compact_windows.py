@@ -24,12 +24,17 @@ FUNCTIONS = 9
 #: Halving steps that look for the ends of a window go up to REACH; with all of them it stops less than MARGIN from its centre.
 REACH = 1 << 8
 MARGIN = 2 * REACH
-#: Shingles of a piece of a long text, and of the pieces that are hashed together.
+#: Shingles of a piece of a long text, and of the texts whose windows a task sends on together; those hashed together are fewer.
 PIECE = 1 << 18
+TOGETHER = 1 << 16
 #: Documents of a key that the others are compared with in a later round: twice as many each round, up to the last.
 LEADERS, MOST_LEADERS = 8, 64
 #: Shingle values that a task sends on at once.
 VALUES = 1_000_000
+#: The set of shared keys has a bit for so many characters of text, and at most 2 to the MOST_BITS (64 MB).
+CHARS_A_BIT, MOST_BITS = 32, 29
+#: One key in so many finds the passages that most spots of near copies lie in; then all keys are looked at.
+SAMPLE = 16
 
 
 def _mixed(values: np.ndarray, function: int) -> np.ndarray:
@@ -52,6 +57,32 @@ def _minima(levels: list[np.ndarray], at: np.ndarray, side: int) -> np.ndarray:
     return edge
 
 
+def _levels(hashes: np.ndarray, reach: int) -> list[np.ndarray]:
+    """Minima of all runs of 1, 2, 4, ... up to ``reach`` positions."""
+    levels, n = [hashes], len(hashes)
+    while (1 << len(levels)) <= min(n, reach):
+        k = len(levels)
+        levels.append(np.minimum(levels[-1][: n - (1 << k) + 1], levels[-1][(1 << (k - 1)) : n - (1 << (k - 1)) + 1]))
+    return levels
+
+
+def _centres(levels: list[np.ndarray], least: int) -> np.ndarray:
+    """Positions of the minima of the runs of ``least`` positions."""
+    hashes, n, k = levels[0], len(levels[0]), least.bit_length() - 1
+    lows = np.minimum(levels[k][: n - least + 1], levels[k][least - (1 << k) : n - (1 << k) + 1])
+    # Each minimum of a run, once: a smaller one has just come in at the end; where the last one was left behind, look for the next.
+    fall = np.flatnonzero(lows[1:] < lows[:-1]) + 1
+    rise = np.concatenate([[0], np.flatnonzero(lows[1:] > lows[:-1]) + 1])
+    at = np.argmax(hashes[rise[:, None] + np.arange(least)] == lows[rise][:, None], axis=1)
+    return np.unique(np.concatenate([fall + least - 1, rise + at]))
+
+
+def _spread(levels: list[np.ndarray], centres: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    left, right = _minima(levels, centres, -1), _minima(levels, centres, 1)
+    wide = right - left + 1 >= least
+    return left[wide], centres[wide], right[wide]
+
+
 def compact_windows(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(left, centre, right) of the nodes of the Cartesian tree over the hashes that span at least ``least`` positions.
 
@@ -60,23 +91,11 @@ def compact_windows(hashes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndar
     if it is the minimum of some run of that length, so only those minima are
     looked up; spans stop REACH positions from their centre.
     """
-    n = len(hashes)
-    if n < least:
+    if len(hashes) < least:
         empty = np.zeros(0, np.int64)
         return empty, empty, empty
-    levels = [hashes]
-    while (1 << len(levels)) <= min(n, max(REACH, least)):
-        k = len(levels)
-        levels.append(np.minimum(levels[-1][: n - (1 << k) + 1], levels[-1][(1 << (k - 1)) : n - (1 << (k - 1)) + 1]))
-    k = least.bit_length() - 1
-    lows = np.minimum(levels[k][: n - least + 1], levels[k][least - (1 << k) : n - (1 << k) + 1])
-    # Each minimum of a run, once: where the run's minimum changes, look for its position in the run.
-    change = np.flatnonzero(np.concatenate([[True], lows[1:] != lows[:-1]]))
-    runs = change[:, None] + np.arange(least)
-    centres = np.unique(change + np.argmax(hashes[runs] == lows[change][:, None], axis=1))
-    left, right = _minima(levels, centres, -1), _minima(levels, centres, 1)
-    wide = right - left + 1 >= least
-    return left[wide], centres[wide], right[wide]
+    levels = _levels(hashes, max(REACH, least))
+    return _spread(levels, _centres(levels, least), least)
 
 
 def lines(functions: int) -> list[tuple[int, int, int]]:
@@ -88,70 +107,198 @@ def lines(functions: int) -> list[tuple[int, int, int]]:
     return [t for t in combinations(range(functions), 3) if sum(t) % 3 == 0 and sum(f // 3 for f in t) % 3 == 0]
 
 
-def _windows(n: int, least: int, functions: int):
-    """Rows (id, text) to (key, id, f, c, l, r): key is the shingle at the centre under function f.
+class SharedKeys:
+    """Keys that two documents have, as bits; it may hold more keys, never fewer."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.shift = bits, np.uint64(64 - (8 * len(bits)).bit_length() + 1)
 
-    Pieces of many texts are hashed as one array, each followed by a zero that no window
-    crosses. Pieces of a long text overlap by MARGIN on both sides; each centre belongs to one of them.
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        place = keys >> self.shift
+        return (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _documents(batches: Iterator[pa.RecordBatch], n: int, least: int) -> Iterator[tuple[list, list]]:
+    """Texts as pieces of shingles: (ids, pieces (shingles, start, first, last, number of the id)), whole documents only.
+
+    Pieces of a long text overlap by MARGIN on both sides; each position in [first, last) belongs to one of them.
     """
+    memo, parts, ids, size = WordHashes(), [], [], 0
+    for doc, text in rows_of(batches, "id", "text"):
+        tokens = shingles(memo.of(text), n)
+        if len(tokens) < least:
+            continue
+        for start in range(0, max(1, len(tokens) - 2 * MARGIN), PIECE - 2 * MARGIN):
+            piece = tokens[start : start + PIECE]
+            end = start + PIECE >= len(tokens)
+            if len(piece) >= least:
+                parts.append((piece, start, start + MARGIN if start else 0, len(tokens) if end else start + PIECE - MARGIN, len(ids)))
+                size += len(piece)
+            if end:
+                break
+        ids.append(doc)
+        if size >= PIECE:
+            yield ids, parts
+            parts, ids, size = [], [], 0
+    if parts:
+        yield ids, parts
+
+
+def _nodes(parts: list, least: int, functions: int, shared: SharedKeys | None = None, spans: bool = True) -> list[np.ndarray]:
+    """Windows of pieces as columns (key, number of the document, f, c, l, r); only those of ``shared`` keys.
+
+    Pieces are hashed as one array, each followed by a zero that no window crosses. Without ``spans`` the last
+    two columns are empty, and a centre whose window is too narrow for equal hashes beside it counts too.
+    """
+    columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
+    gap, begin = np.zeros(1, np.uint64), 0
+    while begin < len(parts):
+        end, size = begin, 0
+        while end < len(parts) and (end == begin or size + len(parts[end][0]) <= TOGETHER):
+            size += len(parts[end][0])
+            end += 1
+        chunk, begin = parts[begin:end], end
+        tokens = np.concatenate([x for p in chunk for x in (p[0], gap)])
+        ends = np.cumsum([len(p[0]) + 1 for p in chunk])
+        start, first, last, number = (np.array([p[i] for p in chunk], np.int64) for i in (1, 2, 3, 4))
+        shifts = start - np.concatenate([[0], ends[:-1]])
+        for f in range(functions):
+            hashes = _mixed(tokens, f)
+            hashes[ends - 1] = 0
+            levels = _levels(hashes, max(REACH, least) if spans else least)
+            c = _centres(levels, least)
+            key = _mixed(tokens[c], f + 101)
+            if shared is not None:
+                held = shared.has(key)
+                c, key = c[held], key[held]
+            part = np.searchsorted(ends, c, "right")
+            at = c + shifts[part]
+            own = (c != ends[part] - 1) & (at >= first[part]) & (at < last[part])
+            c, key, part = c[own], key[own], part[own]
+            lo = hi = np.zeros(0, np.int64)
+            if spans:
+                lo, wide, hi = _spread(levels, c, least)
+                kept = np.isin(c, wide, assume_unique=True)
+                c, key, part = wide, key[kept], part[kept]
+                lo, hi = lo + shifts[part], hi + shifts[part]
+            for column, values in zip(columns, (key, number[part], np.full(len(c), f), c + shifts[part], lo, hi)):
+                column.append(values)
+    return [np.concatenate(c) for c in columns]
+
+
+def _windows(n: int, least: int, functions: int):
+    """Rows (id, text) to (key, id, f, c, l, r): key is the shingle at the centre under function f."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, parts in _documents(batches, n, least):
+            key, number, *places = _nodes(parts, least, functions)
+            columns = [pa.array(key.view(np.int64)), pa.array(ids).take(pa.array(number)), *(pa.array(x.astype(np.int32)) for x in places)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "id", "f", "c", "l", "r"])
+
+    return run
+
+
+def _window_keys(n: int, least: int, functions: int, bucket_bits: int):
+    """Rows (id, text) to (bucket, keys): 32 bits of each window's key after those of the bucket, twice if two documents have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, parts, ids, size = WordHashes(), [], [], 0
+        held, size = [], 0
 
         def send() -> pa.RecordBatch:
-            gap = np.zeros(1, np.uint64)
-            tokens = np.concatenate([x for p in parts for x in (p[0], gap)])
-            ends = np.cumsum([len(p[0]) + 1 for p in parts])
-            begins = np.concatenate([[0], ends[:-1]])
-            start, first, last = (np.array([p[i] for p in parts], np.int64) for i in (1, 2, 3))
-            columns: list[list[np.ndarray]] = [[], [], [], [], [], []]
-            for f in range(functions):
-                hashes = _mixed(tokens, f)
-                hashes[ends - 1] = 0
-                lo, c, hi = compact_windows(hashes, least)
-                part = np.searchsorted(ends, c, "right")
-                shift = start[part] - begins[part]
-                own = (c != ends[part] - 1) & (c + shift >= first[part]) & (c + shift < last[part])
-                lo, c, hi, part, shift = lo[own], c[own], hi[own], part[own], shift[own]
-                found = (_mixed(tokens[c], f + 101).view(np.int64), part, np.full(len(c), f), c + shift, lo + shift, hi + shift)
-                for column, values in zip(columns, found):
-                    column.append(values)
-            key, part, *places = (np.concatenate(c) for c in columns)
-            owner = pa.array(ids).take(pa.array(part))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(key), owner, *(pa.array(x.astype(np.int32)) for x in places)], ["key", "id", "f", "c", "l", "r"]
-            )
-
-        for doc, text in rows_of(batches, "id", "text"):
-            tokens = shingles(memo.of(text), n)
-            for start in range(0, max(1, len(tokens) - 2 * MARGIN), PIECE - 2 * MARGIN):
-                piece = tokens[start : start + PIECE]
-                end = start + PIECE >= len(tokens)
-                if len(piece) >= least:
-                    parts.append((piece, start, start + MARGIN if start else 0, len(tokens) if end else start + PIECE - MARGIN))
-                    ids.append(doc)
-                    size += len(piece)
-                if size >= PIECE:
-                    yield send()
-                    parts, ids, size = [], [], 0
-                if end:
-                    break
-        if parts:
+            keys = np.sort(np.concatenate(held))
+            # Of a key that many of these documents have, two tell as much.
+            keys = keys[np.concatenate([np.ones(min(2, len(keys)), bool), keys[2:] != keys[:-2]])]
+            cuts = np.searchsorted(keys >> np.uint64(64 - bucket_bits), np.arange((1 << bucket_bits) + 1, dtype=np.uint64))
+            low = (keys >> np.uint64(32 - bucket_bits)).astype(np.uint32)
+            full = [b for b in range(1 << bucket_bits) if cuts[b] < cuts[b + 1]]
+            packed = [low[cuts[b] : cuts[b + 1]].tobytes() for b in full]
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packed, pa.binary())], ["bucket", "keys"])
+
+        for _, parts in _documents(batches, n, least):
+            key, number, *_ = _nodes(parts, least, functions, spans=False)
+            order = np.lexsort((number, key))
+            key, number = key[order], number[order]
+            held.append(key[np.concatenate([[True], (key[1:] != key[:-1]) | (number[1:] != number[:-1])])])
+            size += len(held[-1])
+            if size >= VALUES:
+                yield send()
+                held, size = [], 0
+        if held:
             yield send()
 
     return run
 
 
-def _joint(least: int, functions: int):
-    """Rows (id, windows) to (key, id, l, r, a): runs in which windows of the functions of a line meet.
+def shared_keys(texts: DataFrame, chars: int, least: int, functions: int) -> SharedKeys:
+    """Keys of windows that more than one document of (id, text) has, ``chars`` characters in all.
+
+    Tasks send 32 bits a key by bucket; a bucket's task sends its bits of the set. So the driver gets a
+    bit for CHARS_A_BIT characters, 64 MB at most; a set that is too full lets more windows pass, and
+    those that no other document has meet nobody.
+    """
+    bits = min(MOST_BITS, max(16, (chars // CHARS_A_BIT).bit_length()))
+    bucket_bits = min(13, bits - 3, max(6, (chars >> 22).bit_length()))
+    inner = bits - bucket_bits
 
-    The windows are those whose key another document has too. A window is the
-    signature of the runs of ``least`` shingles that start in [s, e]; for one
+    def seen_twice(table: pa.Table) -> pa.Table:
+        keys = np.sort(np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint32))
+        marks = np.zeros(1 << inner, np.uint8)
+        marks[keys[1:][keys[1:] == keys[:-1]] >> np.uint32(32 - inner)] = 1
+        bucket = table.column("bucket")[0].as_py()
+        return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": [np.packbits(marks, bitorder="little").tobytes()]})
+
+    keys = texts.mapInArrow(_window_keys(SHINGLE, least, functions, bucket_bits), "bucket int, keys binary")
+    found = np.zeros(1 << (bits - 3), np.uint8)
+    size = 1 << (inner - 3)
+    for bucket, part in keys.groupBy("bucket").applyInArrow(seen_twice, "bucket int, bits binary").collect():
+        found[bucket * size : (bucket + 1) * size] = np.frombuffer(bytes(part), np.uint8)
+    return SharedKeys(found)
+
+
+def _meet(doc: np.ndarray, key: np.ndarray, f: np.ndarray, c: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int, functions: int) -> list[np.ndarray]:
+    """Columns (key, number of the document, l, r, a): runs in which windows of the functions of a line meet.
+
+    A window is the signature of the runs of ``least`` shingles that start in [s, e]; for one
     function these intervals do not overlap, so at most one window of each other
     function is open where a window begins, and each line through its function
     gives one key at most. ``a`` is the first centre, by which two documents are laid
     on each other.
     """
+    s, e = np.maximum(lo, c - least + 1), np.minimum(c, hi - least + 1)
+    at = (doc << 32) | s
+    of = [np.flatnonzero(f == g) for g in range(functions)]
+    of = [i[np.argsort(at[i], kind="stable")] for i in of]
+
+    def open_at(i: np.ndarray, function: int, other: int) -> np.ndarray:
+        """The window of another function that is open where each of ``i`` begins, or -1; equal starts count for the later function."""
+        if not len(of[other]):
+            return np.full(len(i), -1)
+        j = np.searchsorted(at[of[other]], at[i], "right") - 1
+        w = of[other][np.maximum(j, 0)]
+        held = (j >= 0) & (doc[w] == doc[i]) & (e[w] >= s[i])
+        if other > function:
+            held &= s[w] < s[i]
+        return np.where(held, w, -1)
+
+    found: list[tuple] = []
+    for last in range(functions):
+        through = [t for t in lines(functions) if last in t]
+        open_ = {g: open_at(of[last], last, g) for g in {g for t in through for g in t} - {last}}
+        for line in through:
+            all_ = np.stack([of[last] if g == last else open_[g] for g in line])
+            all_ = all_[:, (all_ >= 0).all(axis=0)]
+            joint = key[all_[0]]
+            for w in all_[1:]:
+                joint = joint * np.uint64(0x100000001B3) + key[w]
+            # Lines are told apart, so that three functions never meet three others.
+            joint = mix64(joint + np.uint64(line[0] * 100 + line[1] * 10 + line[2]))
+            begin = s[all_].max(axis=0)
+            found.append((joint.view(np.int64), doc[all_[0]], begin, e[all_].min(axis=0) + least - 1, c[all_].min(axis=0)))
+    return [np.concatenate(x) for x in zip(*found)]
+
+
+def _joint(least: int, functions: int):
+    """Rows (id, windows) to (key, id, l, r, a): the runs of :func:`_meet`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,42 +306,27 @@ def _joint(least: int, functions: int):
             doc = np.repeat(np.arange(len(lists), dtype=np.int64), lists.value_lengths().to_numpy(zero_copy_only=False))
             flat = lists.flatten()
             key, f, c, lo, hi = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("key", "f", "c", "l", "r"))
-            key, (c, lo, hi) = key.view(np.uint64), (x.astype(np.int64) for x in (c, lo, hi))
-            s, e = np.maximum(lo, c - least + 1), np.minimum(c, hi - least + 1)
-            at = (doc << 32) | s
-            of = [np.flatnonzero(f == g) for g in range(functions)]
-            of = [i[np.argsort(at[i], kind="stable")] for i in of]
-
-            def open_at(i: np.ndarray, function: int, other: int) -> np.ndarray:
-                """The window of another function that is open where each of ``i`` begins, or -1; equal starts count for the later function."""
-                if not len(of[other]):
-                    return np.full(len(i), -1)
-                j = np.searchsorted(at[of[other]], at[i], "right") - 1
-                w = of[other][np.maximum(j, 0)]
-                held = (j >= 0) & (doc[w] == doc[i]) & (e[w] >= s[i])
-                if other > function:
-                    held &= s[w] < s[i]
-                return np.where(held, w, -1)
-
-            found: list[tuple] = []
-            for last in range(functions):
-                through = [t for t in lines(functions) if last in t]
-                open_ = {g: open_at(of[last], last, g) for g in {g for t in through for g in t} - {last}}
-                for line in through:
-                    all_ = np.stack([of[last] if g == last else open_[g] for g in line])
-                    all_ = all_[:, (all_ >= 0).all(axis=0)]
-                    joint = key[all_[0]]
-                    for w in all_[1:]:
-                        joint = joint * np.uint64(0x100000001B3) + key[w]
-                    # Lines are told apart, so that three functions never meet three others.
-                    joint = mix64(joint + np.uint64(line[0] * 100 + line[1] * 10 + line[2]))
-                    begin = s[all_].max(axis=0)
-                    found.append((joint.view(np.int64), doc[all_[0]], begin, e[all_].min(axis=0) + least - 1, c[all_].min(axis=0)))
-            joint, owner, *places = (np.concatenate(x) for x in zip(*found))
-            ids = batch.column(batch.schema.get_field_index("id")).take(pa.array(owner))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(joint), ids, *(pa.array(x.astype(np.int32)) for x in places)], ["key", "id", "l", "r", "a"]
-            )
+            places = (x.astype(np.int64) for x in (c, lo, hi))
+            yield _joint_rows(batch.column(batch.schema.get_field_index("id")), _meet(doc, key.view(np.uint64), f, *places, least, functions))
+
+    return run
+
+
+def _joint_rows(ids: pa.Array, columns: list[np.ndarray]) -> pa.RecordBatch:
+    joint, owner, *places = columns
+    arrays = [pa.array(joint), ids.take(pa.array(owner)), *(pa.array(x.astype(np.int32)) for x in places)]
+    return pa.RecordBatch.from_arrays(arrays, ["key", "id", "l", "r", "a"])
+
+
+def _joint_of_texts(n: int, least: int, functions: int, shared):
+    """Rows (id, text) to (key, id, l, r, a), from the windows whose key is in the broadcast set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.schema.field("id").type
+            for ids, parts in _documents(iter([batch]), n, least):
+                key, number, *places = _nodes(parts, least, functions, SharedKeys(shared.value))
+                yield _joint_rows(pa.array(ids, kind), _meet(number, key, *places, least, functions))
 
     return run
 
@@ -233,6 +365,30 @@ def match(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> tuple[
     return None
 
 
+def match_plain(
+    a: list[int], at_a: dict[int, int], b: list[int], at_b: dict[int, int], least: int, similarity: float
+) -> tuple[int, int, int, int] | None:
+    """:func:`match` of two short runs without repeats, given the position of each of their shingles."""
+    in_a, in_b = [at_a[x] for x in a if x in at_b], [at_b[x] for x in b if x in at_a]
+    while in_a:
+        a0, a1, b0, b1, same = in_a[0], in_a[-1], in_b[0], in_b[-1], len(in_a)
+        x, y = a1 - a0 + 1, b1 - b0 + 1
+        if x < least or y < least:
+            return None
+        if same >= similarity * (x + y - same):
+            return a0, a1, b0, b1
+        own = in_a if x >= y else in_b
+        widest, cut = max(((own[i + 1] - own[i], -i) for i in range(same - 1)), default=(1, 0))
+        if widest == 1:
+            return None
+        keep = own[: 1 - cut] if own[-cut] - own[0] >= own[-1] - own[1 - cut] else own[1 - cut :]
+        if own is in_a:
+            in_a, in_b = keep, sorted(at_b[a[i]] for i in keep)
+        else:
+            in_a, in_b = sorted(at_a[b[i]] for i in keep), keep
+    return None
+
+
 def _onward(same: np.ndarray, share: float) -> int:
     """The longest beginning that ends with an equal position and of which ``share`` is equal."""
     upto = np.cumsum(same)
@@ -303,9 +459,10 @@ def _laid(spots: list[dict]) -> Iterator[tuple[dict, dict]]:
 
 
 def _compare(n: int, least: int, similarity: float):
-    """Rows (id, of, text, of_text, spots) to (id, of, first, last, of_first, of_last): verified passages.
+    """Rows (id, of, text, of_text, spots, known) to (id, of, first, last, of_first, of_last): verified passages.
 
-    ``spots`` are the joint windows of both documents (``mine``, ``theirs``) under each common key.
+    ``spots`` are the joint windows of both documents (``mine``, ``theirs``) under each common key, ``known``
+    the passages of the two that were found before; they are in the result, merged with the new ones.
     Places that a found passage covers need no comparison, nor do those whose surroundings
     hold no span of ``least`` between shingles that both documents have.
     """
@@ -313,12 +470,20 @@ def _compare(n: int, least: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            ids, ofs, rows = [], [], []
-            for doc, of, text, of_text, spots in rows_of(iter([batch]), "id", "of", "text", "of_text", "spots"):
-                mine, other = shingles(memo.of(text), n), shingles(memo.of(of_text), n)
-                covered: list[tuple[int, int, int, int]] = []
+            ids, ofs, rows, last, other = [], [], [], None, None
+            for doc, of, text, of_text, spots, known in rows_of(iter([batch]), "id", "of", "text", "of_text", "spots", "known"):
+                mine = shingles(memo.of(text), n)
+                if last is None or of != last:
+                    last, other = of, shingles(memo.of(of_text), n)
+                    order = np.argsort(other, kind="stable")
+                    values = other[order]
+                covered = [(k["first_word"], k["last_word"] - n + 1, k["of_first_word"], k["of_last_word"] - n + 1) for k in known]
                 tried: set[tuple[int, int, int, int]] = set()
-                in_mine, in_other = np.flatnonzero(np.isin(mine, other)), np.flatnonzero(np.isin(other, mine))
+                own = np.unique(mine)
+                begin, end = np.searchsorted(values, own), np.searchsorted(values, own, "right")
+                held = end - begin
+                in_mine = np.flatnonzero(held[np.searchsorted(own, mine)] > 0)
+                in_other = np.sort(order[np.repeat(begin - np.cumsum(held) + held, held) + np.arange(held.sum())])
                 for s, t in _laid(spots):
                     if any(c[0] <= s["a"] <= c[1] and c[2] <= t["a"] <= c[3] for c in covered):
                         continue
@@ -368,6 +533,16 @@ def _extend_all(n: int, similarity: float):
     return run
 
 
+def _fields(batch: pa.RecordBatch, *names: str) -> Iterator[dict[str, np.ndarray]]:
+    """The fields of ``spots``, a list of structs, row by row."""
+    lists = batch.column(batch.schema.get_field_index("spots"))
+    cuts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+    flat = lists.flatten()
+    columns = {x: flat.field(x).to_numpy(zero_copy_only=False) for x in names}
+    for i in range(len(lists)):
+        yield {x: values[cuts[i] : cuts[i + 1]] for x, values in columns.items()}
+
+
 def _near_tokens(n: int):
     """Rows (id, text, spots) to (id, token): each shingle around any of the spots, once a text."""
 
@@ -382,12 +557,11 @@ def _near_tokens(n: int):
                 token = pa.array(np.concatenate(found).view(np.int64))
                 return pa.RecordBatch.from_arrays([pa.array(ids, kind).take(pa.array(owner)), token], ["id", "token"])
 
-            for doc, text, spots in rows_of(iter([batch]), "id", "text", "spots"):
+            for (doc, text), w in zip(rows_of(iter([batch]), "id", "text"), _fields(batch, "a", "back", "on")):
                 tokens = shingles(memo.of(text), n)
                 steps = np.zeros(len(tokens) + 1, np.int32)
-                for w in spots:
-                    steps[max(0, w["a"] - w["back"])] += 1
-                    steps[min(len(tokens), w["a"] + w["on"] + 1)] -= 1
+                np.add.at(steps, np.maximum(0, w["a"] - w["back"]), 1)
+                np.add.at(steps, np.minimum(len(tokens), w["a"] + w["on"] + 1), -1)
                 ids.append(doc)
                 found.append(np.unique(tokens[np.cumsum(steps[:-1]) > 0]))
                 size += len(found[-1])
@@ -401,7 +575,7 @@ def _near_tokens(n: int):
 
 
 def _surroundings(n: int, least: int, similarity: float):
-    """Rows (id, text, spots, common) to (key, id, l, a, lo, near, loose, open): the shingles from ``a - back`` to ``a + on``.
+    """Rows (id, text, spots, common) to (key, grp, id, l, a, lo, near, loose, open): the shingles from ``a - back`` to ``a + on``.
 
     ``lo`` is the position of the first; ``loose`` tells that a shingle occurs twice among them. Spots that
     cannot match any document, given the shingles ``common`` to this one and others, give no row.
@@ -413,31 +587,31 @@ def _surroundings(n: int, least: int, similarity: float):
         def send(kind: pa.DataType) -> pa.RecordBatch:
             ends = np.cumsum([0] + [len(x) for x in near])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(near).view(np.int64)))
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
-            key, l, a, lo, loose, open_ = (pa.array(c, k) for c, k in zip(zip(*rows), kinds))
-            names = ["key", "id", "l", "a", "lo", "near", "loose", "open"]
-            return pa.RecordBatch.from_arrays([key, pa.array(ids, kind), l, a, lo, lists, loose, open_], names)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_())
+            key, grp, l, a, lo, loose, open_ = (pa.array(c, k) for c, k in zip(zip(*rows), kinds))
+            names = ["key", "grp", "id", "l", "a", "lo", "near", "loose", "open"]
+            return pa.RecordBatch.from_arrays([key, grp, pa.array(ids, kind), l, a, lo, lists, loose, open_], names)
 
         kind = pa.null()
         for batch in batches:
             kind = batch.schema.field("id").type
-            for doc, text, spots, common in rows_of(iter([batch]), "id", "text", "spots", "common"):
+            spots = _fields(batch, "key", "grp", "l", "a", "back", "on", "open")
+            for (doc, text, common), w in zip(rows_of(iter([batch]), "id", "text", "common"), spots):
                 tokens = shingles(memo.of(text), n)
-                shared = np.array(common, np.int64).view(np.uint64)
-                hopeful: dict[tuple[int, int], bool] = {}
-                for w in spots:
-                    lo = max(0, w["a"] - w["back"])
-                    ends = (lo, w["a"] + w["on"] + 1)
-                    part = tokens[lo : ends[1]]
-                    loose = len(np.unique(part)) < len(part)
-                    if ends not in hopeful:
-                        # A shingle that another document repeats may make that one's set small, so only the plain bound holds.
-                        hopeful[ends] = may_match(part, shared, least, similarity, True)
-                    if not hopeful[ends]:
-                        continue
+                inside = np.isin(tokens, np.array(common, np.int64).view(np.uint64))
+                upto = np.concatenate([[0], np.cumsum(inside)])
+                lo, hi = np.maximum(0, w["a"] - w["back"]), np.minimum(len(tokens), w["a"] + w["on"] + 1)
+                # A shingle that another document repeats may make that one's set small, so only the plain bound of :func:`may_match` holds.
+                hopeful = np.flatnonzero(upto[hi] - upto[lo] >= similarity * least)
+                repeats: dict[tuple[int, int], bool] = {}
+                for i in hopeful.tolist():
+                    ends = (int(lo[i]), int(hi[i]))
+                    part = tokens[ends[0] : ends[1]]
+                    if ends not in repeats:
+                        repeats[ends] = len(np.unique(part)) < len(part)
                     ids.append(doc)
                     near.append(part)
-                    rows.append((w["key"], w["l"], w["a"], lo, loose, w["open"]))
+                    rows.append((w["key"][i], w["grp"][i], w["l"][i], w["a"][i], ends[0], repeats[ends], w["open"][i]))
                     size += len(part)
                     if size >= VALUES:
                         yield send(kind)
@@ -481,18 +655,29 @@ def _hopeful(least: int, similarity: float, names: list[str]):
 
 
 def _compare_near(n: int, least: int, similarity: float):
-    """Rows (id, lo, near, others) to (id, of, ...): the passages shared with the others.
+    """Rows (key, id, l, lo, near, others) to (id, of, ...): the passages shared with the others, the leaders of the key.
 
-    All of them are tried: each leaves the key afterwards, and may have no other document to match.
+    All of them are tried: each leaves the key afterwards, and may have no other document to match. Two
+    leaders meet once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, leaders = None, []
         for batch in batches:
             ids, ofs, rows = [], [], []
-            for doc, lo, near, others in rows_of(iter([batch]), "id", "lo", "near", "others"):
-                mine = np.array(near, np.int64)
-                for o in sorted(others, key=lambda x: x["id"]):
-                    found = match(mine, np.array(o["near"], np.int64), least, similarity)
+            lists = batch.column(batch.schema.get_field_index("others"))
+            for i, (key, doc, l, lo, near) in enumerate(rows_of(iter([batch]), "key", "id", "l", "lo", "near")):
+                if key != last:
+                    last, leaders = key, [(o, {x: p for p, x in enumerate(o["near"])}) for o in sorted(lists[i].as_py(), key=lambda x: x["id"])]
+                is_leader = any(o["id"] == doc and o["l"] == l for o, _ in leaders)
+                mine = {x: p for p, x in enumerate(near)}
+                for o, theirs in leaders:
+                    if o["id"] == doc or (is_leader and o["id"] > doc):
+                        continue
+                    if len(mine) == len(near) and len(theirs) == len(o["near"]):
+                        found = match_plain(near, mine, o["near"], theirs, least, similarity)
+                    else:
+                        found = match(np.array(near, np.int64), np.array(o["near"], np.int64), least, similarity)
                     if found:
                         ids.append(doc)
                         ofs.append(o["id"])
@@ -508,34 +693,44 @@ def _compare_near(n: int, least: int, similarity: float):
 def _settled(rows: DataFrame, found: DataFrame) -> DataFrame:
     """The rows, no longer ``open`` where a found passage of their document covers their centre."""
     sides = found.select("id", "first_word", "last_word").union(found.select("of", "of_first_word", "of_last_word"))
-    spans = sides.distinct().withColumnRenamed("id", "_id")
-    inside = (F.col("id") == F.col("_id")) & F.col("a").between(F.col("first_word"), F.col("last_word"))
-    centres = rows.where("open").select("id", "a").distinct().join(spans, inside, "left_semi").withColumn("_done", F.lit(True))
-    return rows.join(centres, ["id", "a"], "left").withColumn("open", F.col("open") & F.col("_done").isNull()).drop("_done")
+    spans = materialize(sides.groupBy("id").agg(F.collect_set(F.struct("first_word", "last_word")).alias("_spans")))
+    inside = F.exists("_spans", lambda s: F.col("a").between(s["first_word"], s["last_word"]))
+    covered = F.coalesce(inside, F.lit(False))
+    return rows.join(if_small(spans, 200_000), "id", "left").withColumn("open", F.col("open") & ~covered).drop("_spans")
+
+
+def _of_open_keys(rows: DataFrame) -> DataFrame:
+    """The rows of keys that have an open row."""
+    keys = materialize(rows.where("open").select("key").distinct())
+    return rows.join(if_small(keys), "key", "left_semi")
 
 
 def _later_rounds(left: DataFrame, texts: DataFrame, least: int, similarity: float, schema: str) -> list[DataFrame]:
-    """Passages of rows (key, id, l, r, a, open) that do not match the first document of their key.
+    """Passages of rows (key, id, l, r, a, open, grp) that do not match the first document of their key.
 
     Rows that are not ``open`` have a passage already; they stay as partners of the
     open ones, which may share more with them (without the column all are open).
-    The rows carry the shingles around them. In each round those go that hold too
+    The rows carry the shingles around them. In each round those open rows go that hold too
     few shingles of other documents of the key to match any, and the rest is compared
     with up to LEADERS open ones, the first place of the smallest id of each part of the
     key. The leaders have then met all others, and leave the key; other places of their
-    documents stay. A key is done when no open row is left.
+    documents stay. A key is done when no open row is left. Shingles of other documents are looked up
+    for all keys of one ``grp`` together (without the column each key is one), which lets more rows stay, never fewer.
     """
     kind = left.schema["id"].dataType.simpleString()
     if "open" not in left.columns:
         left = left.withColumn("open", F.lit(True))
+    if "grp" not in left.columns:
+        left = left.withColumn("grp", F.col("key"))
     several = (F.col("_x") != F.col("_y")) & F.col("_open")
     ends = [F.min("id").alias("_x"), F.max("id").alias("_y"), F.max("open").alias("_open")]
     reach = left.groupBy("key").agg(F.max(F.col("a") - F.col("l")).alias("back"), F.max(F.col("r") - F.col("a")).alias("on"), *ends)
     reach = reach.where(several).select("key", "back", "on")
-    spots = left.join(reach, "key").groupBy("id").agg(F.collect_list(F.struct("key", "l", "a", "back", "on", "open")).alias("spots"))
-    names = ["key", "id", "l", "a", "lo", "near", "loose", "open"]
-    fields = f"key long, id {kind}, l int, a int, lo int, near array<long>, loose boolean, open boolean"
+    spots = left.join(reach, "key").groupBy("id").agg(F.collect_list(F.struct("key", "grp", "l", "a", "back", "on", "open")).alias("spots"))
+    names = ["key", "grp", "id", "l", "a", "lo", "near", "loose", "open"]
+    fields = f"key long, grp long, id {kind}, l int, a int, lo int, near array<long>, loose boolean, open boolean"
     spots = materialize(spots)
+    texts = _texts_of(texts, spots.select("id"))
     # First a look at all keys together: most spots lie around a stretch that is shared but too short, and match nothing.
     tokens = materialize(spots.join(texts, "id").mapInArrow(_near_tokens(SHINGLE), f"id {kind}, token long"))
     held = tokens.groupBy("token").agg(F.min("id").alias("_x"), F.max("id").alias("_y")).where(F.col("_x") != F.col("_y")).select("token")
@@ -545,26 +740,50 @@ def _later_rounds(left: DataFrame, texts: DataFrame, least: int, similarity: flo
     passages, leaders = [], LEADERS
     while left.where("open").limit(1).count():
         # Keys that one document alone has left are done, and those without an open row.
-        keys = left.groupBy("key").agg(*ends, F.max("loose").alias("any_loose")).where(several).select("key", "any_loose")
-        live = left.join(keys, "key")
-        tokens = live.select("key", "id", "l", "open", F.explode(F.array_distinct("near")).alias("token"))
-        shared = tokens.groupBy("key", "token").agg(*ends).where(several)
-        common = tokens.join(shared.select("key", "token"), ["key", "token"]).groupBy("key", "id", "l").agg(F.collect_list("token").alias("common"))
-        hopeful = materialize(live.join(common, ["key", "id", "l"]).mapInArrow(_hopeful(least, similarity, names), fields))
+        keys = materialize(left.groupBy("key").agg(*ends, F.max("loose").alias("any_loose")).where(several).select("key", "any_loose"))
+        live = left.join(if_small(keys), "key")
+        token = F.explode(F.array_distinct("near")).alias("token")
+        shared = live.select("grp", "id", "open", token).groupBy("grp", "token").agg(*ends).where(several).select("grp", "token")
+        asked = live.where("open").select("grp", "id", token).distinct()
+        common = asked.join(shared, ["grp", "token"]).groupBy("grp", "id").agg(F.collect_list("token").alias("common"))
+        asking = live.where("open").join(common, ["grp", "id"])
+        hopeful = materialize(asking.mapInArrow(_hopeful(least, similarity, names), fields))
         part = F.pmod(F.xxhash64("id"), F.lit(leaders))
-        firsts = hopeful.where("open").groupBy("key", part.alias("_part")).agg(F.min(F.struct("id", "l", "lo", "near")).alias("_o"))
-        lists = firsts.groupBy("key").agg(F.collect_list(F.struct("_o.id", "_o.l", "_o.lo", "_o.near")).alias("others"))
-        led = materialize(hopeful.join(lists, "key"))
-        is_leader = F.exists("others", lambda o: (o["id"] == F.col("id")) & (o["l"] == F.col("l")))
-        # Two leaders meet once.
-        others = F.filter("others", lambda o: (o["id"] != F.col("id")) & (~is_leader | (o["id"] < F.col("id"))))
-        found = materialize(led.select("id", "lo", "near", others.alias("others")).mapInArrow(_compare_near(SHINGLE, least, similarity), schema))
+        firsts = hopeful.groupBy("key", part.alias("_part")).agg(F.min(F.struct("id", "l", "lo", "near")).alias("_o"))
+        lists = materialize(firsts.groupBy("key").agg(F.collect_list(F.struct("_o.id", "_o.l", "_o.lo", "_o.near")).alias("others")))
+        settled = left.where(~F.col("open")).join(if_small(lists.select("key")), "key", "left_semi")
+        rows = hopeful.union(settled.select(names))
+        led = rows.select("key", "id", "l", "lo", "near").join(lists, "key")
+        found = materialize(led.mapInArrow(_compare_near(SHINGLE, least, similarity), schema))
         passages.append(found)
-        left = materialize(_settled(led.where(~is_leader).select(names), found))
+        gone = lists.select("key", F.explode("others").alias("_o")).select("key", "_o.id", "_o.l")
+        stay = rows.join(if_small(materialize(gone)), ["key", "id", "l"], "left_anti").select(names)
+        left = materialize(_of_open_keys(_settled(stay, found)))
         leaders = min(2 * leaders, MOST_LEADERS)
     return passages
 
 
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of some ids, of which ``ids`` may have each more than once."""
+    return texts.join(if_small(materialize(ids.distinct())), "id", "left_semi")
+
+
+def _found_in_pairs(rows: DataFrame, known: DataFrame | None, texts: DataFrame, least: int, similarity: float, schema: str) -> DataFrame:
+    """Passages of rows (id, of, l, r, a, theirs), those of a pair together with its ``known`` ones."""
+    spot = F.struct(F.struct("l", "r", "a").alias("mine"), "theirs")
+    pairs = rows.groupBy("id", "of").agg(F.collect_set(spot).alias("spots"))
+    one = pairs.select("id", "of", F.transform("spots", lambda s: F.struct(F.array(s["mine"]).alias("mine"), s["theirs"].alias("theirs"))).alias("spots"))
+    none = F.array().cast("array<struct<first_word: int, last_word: int, of_first_word: int, of_last_word: int>>")
+    if known is None:
+        one = one.withColumn("known", none)
+    else:
+        one = one.join(known, ["id", "of"], "left").withColumn("known", F.coalesce("known", none))
+    one = materialize(one)
+    other = _texts_of(texts, one.select(F.col("of").alias("id"))).select(F.col("id").alias("of"), F.col("text").alias("of_text"))
+    both = one.join(_texts_of(texts, one.select("id")), "id").join(other, "of")
+    return materialize(both.select("id", "of", "text", "of_text", "spots", "known").mapInArrow(_compare(SHINGLE, least, similarity), schema))
+
+
 def repeated_passages(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -598,49 +817,63 @@ def repeated_passages(
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     base = base.where(F.col("id").isNotNull() & (F.char_length("text") >= 2 * words - 1))
     kind = base.schema["id"].dataType.simpleString()
-    names = materialize(
-        base.groupBy("id").agg(F.min(F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))).alias("_t"))
-    )
-    reps = materialize(names.groupBy("_t").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("_copies")))
     mark = F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))
-    one = reps.select("rep", F.col("_t").alias("_mark"))
-    texts = base.join(one, (F.col("id") == F.col("rep")) & mark.eqNullSafe(F.col("_mark"))).groupBy("id").agg(F.min("text").alias("text"))
-    texts = materialize(texts)
-    windows = materialize(
-        texts.mapInArrow(_windows(SHINGLE, least, functions), f"key long, id {kind}, f int, c int, l int, r int")
+    names = materialize(
+        base.groupBy("id").agg(F.min(mark).alias("_t"), F.max(F.char_length("text")).alias("_chars"), (F.count(F.lit(1)) > 1).alias("_again"))
     )
-    shared = windows.groupBy("key").agg(F.min("id").alias("_x"), F.max("id").alias("_y"))
-    shared = materialize(shared.where(F.col("_x") != F.col("_y")).select("key"))
-    by_doc = windows.join(if_small(shared), "key").groupBy("id").agg(F.collect_list(F.struct("key", "f", "c", "l", "r")).alias("windows"))
-    left = materialize(by_doc.mapInArrow(_joint(least, functions), f"key long, id {kind}, l int, r int, a int"))
+    reps = names.groupBy("_t").agg(F.min(F.struct("id", "_again")).alias("_f"), F.count(F.lit(1)).alias("_copies"), F.max("_chars").alias("_chars"))
+    reps = materialize(reps.select("_t", F.col("_f.id").alias("rep"), F.col("_f._again").alias("_again"), "_copies", "_chars"))
+    one = reps.select("rep", F.col("_t").alias("_mark"), "_again")
+    texts = base.join(if_small(one), (F.col("id") == F.col("rep")) & mark.eqNullSafe(F.col("_mark"))).select("id", "text", "_again")
+    # Only the texts of ids in several rows move: those rows may be the same.
+    texts = texts.where(~F.col("_again")).select("id", "text").union(texts.where("_again").groupBy("id").agg(F.min("text").alias("text")))
+    chars = reps.agg(F.sum("_chars")).first()[0] or 0
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(shared_keys(texts, chars, least, functions).bits)
+    joint = texts.mapInArrow(_joint_of_texts(SHINGLE, least, functions, shared), f"key long, id {kind}, l int, r int, a int")
     schema = f"id {kind}, of {kind}, first_word int, last_word int, of_first_word int, of_last_word int"
-    stars = left.groupBy("key").agg(F.min("id").alias("of"), F.max("id").alias("_z")).where(F.col("of") != F.col("_z")).drop("_z")
-    led = materialize(left.join(stars, "key"))
-    place = F.sort_array(F.collect_set(F.struct("l", "r", "a")))
-    theirs = led.where(F.col("id") == F.col("of")).groupBy("key", "of").agg(place.alias("theirs"))
-    open_ = led.where(F.col("id") != F.col("of"))
-    mine = open_.groupBy("key", "id", "of").agg(place.alias("mine")).join(theirs, ["key", "of"])
-    pairs = mine.groupBy("id", "of").agg(F.sort_array(F.collect_set(F.struct("mine", "theirs"))).alias("spots"))
-    other = texts.select(F.col("id").alias("of"), F.col("text").alias("of_text"))
-    both = pairs.join(texts, "id").join(other, "of").select("id", "of", "text", "of_text", "spots")
-    passages = materialize(both.mapInArrow(_compare(SHINGLE, least, similarity), schema))
-    left = materialize(_settled(open_.drop("of").withColumn("open", F.lit(True)), passages))
+    # One shuffle by the key serves the first document of each key, its places and the rows of the others.
+    # It is one only while all of them take the same columns, so the extremes are of whole rows; a filter on the id would be a join by it.
+    left = joint.where(F.col("key").isNotNull() & F.col("id").isNotNull()).repartition("key")
+    row = F.struct("id", "l", "r", "a")
+    stars = left.groupBy("key").agg(F.min(row).alias("_x"), F.max(row).alias("_z")).where(F.col("_x.id") != F.col("_z.id"))
+    led = left.join(stars.select("key", F.col("_x.id").alias("of")), "key")
+    first = F.when(F.col("id") == F.col("of"), F.struct("l", "r", "a"))
+    theirs = led.groupBy("key").agg(F.sort_array(F.collect_set(first)).alias("theirs"))
+    rows = materialize(led.where(F.col("id") != F.col("of")).join(theirs, "key"))
+    texts = materialize(_texts_of(texts, rows.select("id").union(rows.select("of"))))
+    # A part of the keys first: what they find covers most places of near copies, and the other keys of those need no look.
+    some = _found_in_pairs(rows.where(F.pmod("key", F.lit(SAMPLE)) == 0), None, texts, least, similarity, schema)
+    ends = F.struct("first_word", "last_word", "of_first_word", "of_last_word")
+    known = materialize(some.groupBy("id", "of").agg(F.sort_array(F.collect_set(ends)).alias("known")))
+    within = lambda t: lambda k: (
+        F.col("a").between(k["first_word"], k["last_word"] - (SHINGLE - 1)) & t["a"].between(k["of_first_word"], k["of_last_word"] - (SHINGLE - 1))
+    )
+    covered = F.forall("theirs", lambda t: F.exists("known", within(t)))
+    rest = rows.join(if_small(known, 200_000), ["id", "of"], "left").where(~F.coalesce(covered, F.lit(False))).drop("known")
+    more = _found_in_pairs(rest, known, texts, least, similarity, schema)
+    passages = materialize(some.join(more.select("id", "of").distinct(), ["id", "of"], "left_anti").select(more.columns).union(more))
+    # Keys whose first document has them in one stretch share what lies around them.
+    grp = F.xxhash64("of", F.floor(F.col("theirs")[0]["a"] / F.lit(least)))
+    left = materialize(_of_open_keys(_settled(rows.select("key", "id", "l", "r", "a", grp.alias("grp"), F.lit(True).alias("open")), passages)))
     later = _later_rounds(left, texts, least, similarity, schema)
     if later:
-        ends = F.struct("first_word", "last_word", "of_first_word", "of_last_word")
-        spans = reduce(DataFrame.union, later).groupBy("id", "of").agg(F.sort_array(F.collect_set(ends)).alias("spans"))
-        both = spans.join(texts, "id").join(other, "of").select("id", "of", "text", "of_text", "spans")
+        spans = materialize(reduce(DataFrame.union, later).groupBy("id", "of").agg(F.sort_array(F.collect_set(ends)).alias("spans")))
+        other = _texts_of(texts, spans.select(F.col("of").alias("id"))).select(F.col("id").alias("of"), F.col("text").alias("of_text"))
+        both = spans.join(_texts_of(texts, spans.select("id")), "id").join(other, "of").select("id", "of", "text", "of_text", "spans")
         passages = materialize(passages.union(both.mapInArrow(_extend_all(SHINGLE, similarity), schema)))
     own = passages.select(
         F.col("of").alias("id"), "of", F.col("of_first_word").alias("first_word"), F.col("of_last_word").alias("last_word"), "of_first_word", "of_last_word"
     )
     every = passages.union(own.select(passages.columns)).distinct()
     # Documents of equal texts: each gets the rows of the one that was compared, and all of it is a passage.
-    member = names.join(reps, "_t").select(F.col("id").alias("_member"), "rep", "_copies")
+    member = names.join(reps.select("_t", "rep", "_copies"), "_t").select(F.col("id").alias("_member"), "rep", "_copies")
     spread = every.join(member, F.col("id") == F.col("rep")).select("_member", "of", "first_word", "last_word", "of_first_word", "of_last_word")
-    copies = member.where(F.col("_copies") > 1).join(texts, F.col("rep") == F.col("id"))
+    copied = materialize(reps.where(F.col("_copies") > 1).select("rep", F.col("_t").alias("_mark")))
     last = F.regexp_count("text", F.lit(WORD)).cast("int") - 1
-    whole = copies.select("_member", F.col("rep").alias("of"), F.lit(0).alias("first_word"), last.alias("last_word"))
+    lasts = base.join(if_small(copied), (F.col("id") == F.col("rep")) & mark.eqNullSafe(F.col("_mark"))).groupBy("rep").agg(F.min(last).alias("last_word"))
+    copies = member.where(F.col("_copies") > 1).join(lasts, "rep")
+    whole = copies.select("_member", F.col("rep").alias("of"), F.lit(0).alias("first_word"), "last_word")
     whole = whole.where(F.col("last_word") + 1 >= words).select(
         "_member", "of", "first_word", "last_word", F.col("first_word").alias("of_first_word"), F.col("last_word").alias("of_last_word")
     )

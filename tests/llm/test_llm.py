@@ -13,7 +13,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from binflow.llm.common import n_words
-from binflow.llm.compact_windows import MARGIN, PIECE, _joint, _later_rounds, _windows, compact_windows, extend, lines, match, may_match, merge, repeated_passages
+from binflow.llm.compact_windows import (
+    MARGIN, PIECE, _joint, _later_rounds, _windows, compact_windows, extend, lines, match, match_plain, may_match, merge, repeated_passages, shared_keys
+)
 from binflow.llm.compression_quality import BLOCK, BLOCKS_PER_DOC, _sample_blocks, score_quality
 from binflow.llm.language_id import identify
 from binflow.llm.license_scan import _bands, scan_licenses
@@ -23,6 +25,7 @@ from binflow.llm.perplexity import judge, keep_good
 from binflow.llm.pivotal_mix import mix_sources
 from binflow.llm.spaced_seed import MASKS, contaminated, decontaminate, seeds_cover
 from binflow.llm.url_filter import judge_urls
+from binflow.session import materialize
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text string, label string, n_lines string"
 
@@ -427,6 +430,48 @@ def test_windows_of_many_texts_are_those_of_each():
     assert (np.diff(centres) > 0).all() and np.diff(centres).max() < 2 * 46
 
 
+def test_shared_keys_hold_every_key_of_two_documents(spark):
+    rng = random.Random(33)
+    part = sentence(rng, 300)
+    texts = [(i, f"{sentence(rng, 200)} {part if i % 2 else sentence(rng, 300)}") for i in range(8)]
+    rows = [r for b in _windows(5, 46, 9)(iter([pa.RecordBatch.from_pydict({"id": [i for i, _ in texts], "text": [t for _, t in texts]})])) for r in b.to_pylist()]
+    owners = collections.defaultdict(set)
+    for r in rows:
+        owners[r["key"]].add(r["id"])
+    keys = np.array(list(owners), np.int64).view(np.uint64)
+    held = shared_keys(spark.createDataFrame(texts, "id long, text string"), sum(len(t) for _, t in texts), 46, 9).has(keys)
+    twice = np.array([len(v) > 1 for v in owners.values()])
+    assert twice.sum() > 20 and held[twice].all() and held[~twice].mean() < 0.1
+
+
+def test_quick_match_is_the_match():
+    rng, found = np.random.default_rng(34), 0
+    for _ in range(500):
+        core = rng.integers(0, 1 << 40, int(rng.integers(35, 80)))
+        other = np.where(rng.random(len(core)) < rng.choice([0, 0.05, 0.2]), rng.integers(0, 1 << 40, len(core)), core)
+        cut = int(rng.integers(0, len(other)))
+        other = np.concatenate([other[:cut], rng.integers(0, 1 << 40, int(rng.integers(0, 30))), other[cut:]])
+        a, b = (np.concatenate([rng.integers(0, 1 << 40, int(rng.integers(0, 30))), x, rng.integers(0, 1 << 40, 9)]) for x in (core, other))
+        at_a, at_b = ({x: i for i, x in enumerate(v.tolist())} for v in (a, b))
+        want = match(a, b, 46, 0.75)
+        assert match_plain(a.tolist(), at_a, b.tolist(), at_b, 46, 0.75) == want
+        found += want is not None
+    assert 50 < found < 450
+
+
+def test_passages_need_little_shuffle_and_scratch(spark, tmp_path, monkeypatch):
+    """Texts are not written and shuffled whole, and windows that no other document has not at all."""
+    from binflow.llm import compact_windows as module
+
+    rng, written = random.Random(35), []
+    monkeypatch.setattr(module, "materialize", lambda df: written.append(materialize(df)) or written[-1])
+    part = sentence(rng, 80)
+    rows = [(i, f"{sentence(rng, 400)} {part if i < 4 else ''}", "en", "a") for i in range(200)]
+    assert {r.doc_id for r in repeated_passages(frame(spark, rows)).collect()} == {0, 1, 2, 3}
+    assert max(t.count() for t in written if "text" in t.columns) == 4
+    assert sum(t.count() for t in written if "key" in t.columns) < 2000
+
+
 def test_joint_keys_match_the_definition():
     rng = random.Random(31)
     rows = []
