@@ -331,6 +331,34 @@ def _joint_of_texts(n: int, least: int, functions: int, shared):
     return run
 
 
+def _beside_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, id, l, r, a), in order, to (key, id, l, r, a, of, theirs): those of other documents than the first of their key.
+
+    ``theirs`` are the places of the first. Only these go on from batch to batch, so a key of very many documents is no burden.
+    """
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        key, id_, *places = (batch.column(i) for i in range(5))
+        keys, codes = key.to_numpy(zero_copy_only=False), id_.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        new = np.concatenate([[True], keys[1:] != keys[:-1]])
+        start, group = np.flatnonzero(new), np.cumsum(new) - 1
+        is_first = codes == codes[start][group]
+        firsts = np.bincount(group[is_first])
+        held = batch.slice(start[-1], firsts[-1])
+        rows = np.flatnonzero(~is_first)
+        begin, many = start[group[rows]], firsts[group[rows]]
+        ends = np.cumsum(many)
+        at = pa.array(np.repeat(begin - ends + many, many) + np.arange(many.sum()))
+        theirs = pa.StructArray.from_arrays([p.take(at) for p in places], ["l", "r", "a"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), theirs)
+        columns = [c.take(pa.array(rows)) for c in (key, id_, *places)]
+        yield pa.RecordBatch.from_arrays([*columns, id_.take(pa.array(begin)), lists], ["key", "id", "l", "r", "a", "of", "theirs"])
+
+
 def match(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> tuple[int, int, int, int] | None:
     """The passage that two runs of shingles share: ends in ``a`` and in ``b`` (both inclusive), or None.
 
@@ -389,6 +417,19 @@ def match_plain(
     return None
 
 
+def _places(run: list[int]) -> dict[int, int]:
+    return {x: i for i, x in enumerate(run)}
+
+
+def _match(a: np.ndarray, b: np.ndarray, least: int, similarity: float) -> tuple[int, int, int, int] | None:
+    """:func:`match`, the quick way where no shingle repeats."""
+    plain_a, plain_b = a.tolist(), b.tolist()
+    at_a, at_b = _places(plain_a), _places(plain_b)
+    if len(at_a) == len(a) and len(at_b) == len(b):
+        return match_plain(plain_a, at_a, plain_b, at_b, least, similarity)
+    return match(a, b, least, similarity)
+
+
 def _onward(same: np.ndarray, share: float) -> int:
     """The longest beginning that ends with an equal position and of which ``share`` is equal."""
     upto = np.cumsum(same)
@@ -495,7 +536,7 @@ def _compare(n: int, least: int, similarity: float):
                     if (a0, a1, b0, b1) in tried or not (_spans(in_mine, a0, a1, least) and _spans(in_other, b0, b1, least)):
                         continue
                     tried.add((a0, a1, b0, b1))
-                    found = match(mine[a0:a1], other[b0:b1], least, similarity)
+                    found = _match(mine[a0:a1], other[b0:b1], least, similarity)
                     if found:
                         span = (a0 + found[0], a0 + found[1], b0 + found[2], b0 + found[3])
                         covered.append(extend(mine, other, span, similarity))
@@ -668,9 +709,9 @@ def _compare_near(n: int, least: int, similarity: float):
             lists = batch.column(batch.schema.get_field_index("others"))
             for i, (key, doc, l, lo, near) in enumerate(rows_of(iter([batch]), "key", "id", "l", "lo", "near")):
                 if key != last:
-                    last, leaders = key, [(o, {x: p for p, x in enumerate(o["near"])}) for o in sorted(lists[i].as_py(), key=lambda x: x["id"])]
+                    last, leaders = key, [(o, _places(o["near"])) for o in sorted(lists[i].as_py(), key=lambda x: x["id"])]
                 is_leader = any(o["id"] == doc and o["l"] == l for o, _ in leaders)
-                mine = {x: p for p, x in enumerate(near)}
+                mine = _places(near)
                 for o, theirs in leaders:
                     if o["id"] == doc or (is_leader and o["id"] > doc):
                         continue
@@ -832,15 +873,8 @@ def repeated_passages(
     shared = context.broadcast(shared_keys(texts, chars, least, functions).bits)
     joint = texts.mapInArrow(_joint_of_texts(SHINGLE, least, functions, shared), f"key long, id {kind}, l int, r int, a int")
     schema = f"id {kind}, of {kind}, first_word int, last_word int, of_first_word int, of_last_word int"
-    # One shuffle by the key serves the first document of each key, its places and the rows of the others.
-    # It is one only while all of them take the same columns, so the extremes are of whole rows; a filter on the id would be a join by it.
-    left = joint.where(F.col("key").isNotNull() & F.col("id").isNotNull()).repartition("key")
-    row = F.struct("id", "l", "r", "a")
-    stars = left.groupBy("key").agg(F.min(row).alias("_x"), F.max(row).alias("_z")).where(F.col("_x.id") != F.col("_z.id"))
-    led = left.join(stars.select("key", F.col("_x.id").alias("of")), "key")
-    first = F.when(F.col("id") == F.col("of"), F.struct("l", "r", "a"))
-    theirs = led.groupBy("key").agg(F.sort_array(F.collect_set(first)).alias("theirs"))
-    rows = materialize(led.where(F.col("id") != F.col("of")).join(theirs, "key"))
+    beside = f"key long, id {kind}, l int, r int, a int, of {kind}, theirs array<struct<l: int, r: int, a: int>>"
+    rows = materialize(joint.repartition("key").sortWithinPartitions("key", "id", "l", "r", "a").mapInArrow(_beside_first, beside))
     texts = materialize(_texts_of(texts, rows.select("id").union(rows.select("of"))))
     # A part of the keys first: what they find covers most places of near copies, and the other keys of those need no look.
     some = _found_in_pairs(rows.where(F.pmod("key", F.lit(SAMPLE)) == 0), None, texts, least, similarity, schema)

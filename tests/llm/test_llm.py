@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from binflow.llm.common import n_words
 from binflow.llm.compact_windows import (
-    MARGIN, PIECE, _joint, _later_rounds, _windows, compact_windows, extend, lines, match, match_plain, may_match, merge, repeated_passages, shared_keys
+    MARGIN, PIECE, _beside_first, _joint, _later_rounds, _windows, compact_windows, extend, lines, match, match_plain, may_match, merge, repeated_passages, shared_keys
 )
 from binflow.llm.compression_quality import BLOCK, BLOCKS_PER_DOC, _sample_blocks, score_quality
 from binflow.llm.language_id import identify
@@ -444,6 +444,22 @@ def test_shared_keys_hold_every_key_of_two_documents(spark):
     assert twice.sum() > 20 and held[twice].all() and held[~twice].mean() < 0.1
 
 
+def test_rows_beside_the_first_of_their_key_over_batches():
+    rng = random.Random(36)
+    rows = sorted({(rng.randrange(12), f"d{rng.randrange(6)}", *[rng.randrange(3)] * 3) for _ in range(150)})
+    want = set()
+    for k in {r[0] for r in rows}:
+        of = min(r[1] for r in rows if r[0] == k)
+        theirs = tuple(r[2:] for r in rows if r[:2] == (k, of))
+        want |= {(*r, of, theirs) for r in rows if r[0] == k and r[1] != of}
+    names = ["key", "id", "l", "r", "a"]
+    for size in (1, 2, 7, 200):
+        batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows[i : i + size]]) for i in range(0, len(rows), size)]
+        got = [r for b in _beside_first(iter(batches)) for r in b.to_pylist()]
+        assert len(got) == len(want)
+        assert {(*(r[n] for n in names), r["of"], tuple((t["l"], t["r"], t["a"]) for t in r["theirs"])) for r in got} == want
+
+
 def test_quick_match_is_the_match():
     rng, found = np.random.default_rng(34), 0
     for _ in range(500):
