@@ -39,6 +39,8 @@ VALUES = 1_000_000
 CHARS_A_BIT, MOST_BITS = 32, 29
 #: Rows of joint keys that a task packs together.
 ROWS = 1 << 18
+#: Bytes of packed rows that a task looks at together.
+LARGE = 1 << 24
 #: The square of the number of parts of the joint keys is that of the characters by this: parts and what a task sends to each grow alike.
 CHARS_A_SQUARE = 1 << 16
 #: Packed parts that go to a task's Python at once, packed rows that tasks have sent, and rows with a text.
@@ -380,9 +382,17 @@ def _part(ids: pa.Array, parts: int) -> np.ndarray:
 
 def _in_order(rows: pa.Table) -> pa.Table:
     """Rows (key, id, l, r, a) by key, id and place; under one key a document has one place that begins at ``l``."""
-    (rank,) = _ranks(_column(rows, "id"))
-    places = (rank << 32) | _column(rows, "l").to_numpy().astype(np.int64)
-    return rows.take(pa.array(np.lexsort((places, _column(rows, "key").to_numpy()))))
+    (rank,), key, l = _ranks(_column(rows, "id")), _column(rows, "key").to_numpy(), _column(rows, "l").to_numpy().astype(np.int64)
+    rank_bits, l_bits = (int(x.max(initial=0)).bit_length() for x in (rank, l))
+    place = (rank << l_bits) | l
+    order = np.argsort(key)
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(np.concatenate([[False], key[order][1:] != key[order][:-1]])[: len(key)])
+    if len(key).bit_length() + rank_bits + l_bits < 63:
+        order = np.argsort((number << (rank_bits + l_bits)) | place)
+    else:
+        order = np.lexsort((place, number))
+    return rows.take(pa.array(order))
 
 
 def _joint_of_texts(n: int, least: int, functions: int, shared, parts: int):
@@ -402,7 +412,7 @@ def _joint_of_texts(n: int, least: int, functions: int, shared, parts: int):
             first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
             least_rank = np.repeat(np.minimum.reduceat(rank[order], first), np.diff(np.append(first, len(key))))
             group = 2 * (key[order].view(np.uint64) % np.uint64(parts)).astype(np.int64) + (rank[order] > least_rank)
-            by = np.argsort(group, kind="stable")
+            by = np.argsort(group.astype(np.int16) if 2 * parts < 1 << 15 else group, kind="stable")
             rows, group = rows.take(pa.array(order[by])), group[by]
             begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
             packed = [_pack(rows.slice(i, j - i)) for i, j in zip(begin.tolist(), np.append(begin[1:], len(group)).tolist())]
@@ -472,29 +482,40 @@ def _beside_first_packed(parts: int):
             columns = [pa.array((which // 2).astype(np.int32)), *(pa.array([p if w % 2 == x else None for p, w in zip(packed, which)], pa.binary()) for x in (1, 0))]
             return pa.RecordBatch.from_arrays(columns, ["part", "some", "others"])
 
-        bucket, waiting, first = None, [], None
+        def of_firsts(first: pa.Table, keys: np.ndarray, packed: list[bytes]) -> None:
+            """Rows of keys that are all among the first ones."""
+            more = _unpack(packed)
+            at = _found(keys, np.unique(_column(more, "key").to_numpy()))[1]
+            keep(_in_order(pa.concat_tables([first.filter(pa.array(at)), more]).combine_chunks()))
+
+        bucket, waiting, first, held = None, [], None, 0
+
+        def finish() -> None:
+            if first is not None:
+                of_firsts(*first, waiting)
+            elif waiting:
+                keep(_in_order(several(_unpack(waiting))))
+
         for b, later, rows in rows_of(batches, "bucket", "later", "rows"):
             if b != bucket:
-                if waiting:
-                    keep(_in_order(several(_unpack(waiting))))
-                bucket, waiting, first = b, [], None
-            if not later:
-                waiting.append(rows)
-            else:
+                finish()
+                bucket, waiting, first, held = b, [], None, 0
+            if later and held + len(rows) > LARGE:
+                # The first documents stay, the others go on in lots.
                 if first is None:
                     whole = _in_order(_unpack(waiting))
                     keep(whole)
-                    first, waiting = firsts(whole), []
-                    keys = _column(first, "key").to_numpy()
-                more = _unpack([rows])
-                # Its keys are all among the first ones.
-                here = first.filter(pa.array(np.isin(keys, _column(more, "key").to_numpy())))
-                keep(_in_order(pa.concat_tables([here, more]).combine_chunks()))
+                    first = firsts(whole)
+                    first = (first, _column(first, "key").to_numpy())
+                else:
+                    of_firsts(*first, waiting)
+                waiting, held = [], 0
+            waiting.append(rows)
+            held += len(rows)
             if size >= ROWS:
                 yield send()
                 done, size = [], 0
-        if waiting:
-            keep(_in_order(several(_unpack(waiting))))
+        finish()
         if size:
             yield send()
 
@@ -802,8 +823,8 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return same / max(1, len(x) + len(y) - same)
 
 
-def _held_by_both(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in ``a`` and in ``b`` of the values that both have."""
+def _held_by_both(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Positions in ``a`` and in ``b`` of the values that both have, and whether neither has any value twice."""
     both = np.concatenate([a, b])
     order = np.argsort(both)
     values = both[order]
@@ -813,7 +834,8 @@ def _held_by_both(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     in_b = np.add.reduceat(of_b, begin, dtype=np.int64) if len(begin) else begin
     held = np.zeros(len(values), bool)
     held[order] = np.repeat((in_b > 0) & (in_b < size), size)
-    return np.flatnonzero(held[: len(a)]), np.flatnonzero(held[len(a) :])
+    plain = bool((in_b <= 1).all() and (size - in_b <= 1).all())
+    return np.flatnonzero(held[: len(a)]), np.flatnonzero(held[len(a) :]), plain
 
 
 def _further(a: np.ndarray, b: np.ndarray, share: float) -> int:
@@ -858,10 +880,10 @@ def merge(a: np.ndarray, b: np.ndarray, spans: list[tuple[int, int, int, int]],
     return done
 
 
-def _spans(at: np.ndarray, start: int, end: int, least: int) -> bool:
-    """Whether the first and the last of the sorted positions in [start, end) span ``least``."""
+def _spans(at: np.ndarray, start: int, end: int, least: int, fewest: float = 1) -> bool:
+    """Whether there are ``fewest`` of the sorted positions in [start, end) and the first and the last of them span ``least``."""
     i, j = at.searchsorted(start), at.searchsorted(end)
-    return bool(i < j and at[j - 1] - at[i] + 1 >= least)
+    return bool(j - i >= fewest and at[j - 1] - at[i] + 1 >= least)
 
 
 def _lists(column: pa.Array) -> tuple[list[int], pa.Array]:
@@ -953,9 +975,11 @@ def _compare(n: int, least: int, similarity: float, parts: int | None = None):
                         continue
                     tried.add(around)
                     if in_mine is None:
-                        in_mine, in_other = _held_by_both(mine, other)
+                        in_mine, in_other, plain = _held_by_both(mine, other)
+                        # Sets of that size that are similar have so many values in common, if none comes twice.
+                        fewest = 2 * least * similarity / (1 + similarity) - 1e-9 if plain else 1
                     a0, a1, b0, b1 = around
-                    if not (_spans(in_mine, a0, a1, least) and _spans(in_other, b0, b1, least)):
+                    if not (_spans(in_mine, a0, a1, least, fewest) and _spans(in_other, b0, b1, least, fewest)):
                         continue
                     found = _match(mine[a0:a1], other[b0:b1], least, similarity)
                     if found:

@@ -98,7 +98,8 @@ def test_packed_rows_beside_the_first_of_their_key(monkeypatch):
         of = min(r[1] for r in every if r[0] == k)
         theirs = tuple(sorted(r[2:] for r in every if r[:2] == (k, of)))
         want.update((*r, of, theirs) for r in every if r[0] == k and r[1] != of)
-    for size in (1, 5, 1000):
+    for size, large in ((1, 0), (5, 3000), (1000, 1 << 24)):
+        monkeypatch.setattr(compact_windows, "LARGE", large)
         batches = [pa.RecordBatch.from_pylist(packed[i : i + size]) for i in range(0, len(packed), size)]
         beside = sorted((r for b in _beside_first_packed(parts)(iter(batches)) for r in b.to_pylist()), key=lambda r: r["part"])
         schema = pa.schema([("part", pa.int32()), ("some", pa.binary()), ("others", pa.binary())])
